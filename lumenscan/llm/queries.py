@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import bpe, mixing, records
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
+    "op9_token_records": records.op9,
+    "op10_bpe_tree": bpe.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {}
