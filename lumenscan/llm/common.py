@@ -72,3 +72,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def broadcast_if(df: DataFrame, rows: int, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
+    """``df`` as a broadcast side where its counted rows are surely small; else Spark shuffles."""
+    return F.broadcast(df) if rows * row_bytes <= limit else df
+
+
+def normalised(column: str = "text") -> Column:
+    """The text with each run of white space as one space, null as empty."""
+    return F.regexp_replace(text_of(column), WHITE, " ")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, records
+from . import bpe, exact_dedup, mixing, records
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
+    "op5_exact_dedup": exact_dedup.op5,
     "op9_token_records": records.op9,
     "op10_bpe_tree": bpe.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_exact_dedup": exact_dedup.OP5_SQL,
+}
