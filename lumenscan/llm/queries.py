@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, records
+from . import bpe, exact_dedup, langid, mixing, quality, records
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
+    "op3_quality_pu": quality.op3,
     "op5_exact_dedup": exact_dedup.op5,
+    "op6_language_id": langid.op6,
     "op9_token_records": records.op9,
     "op10_bpe_tree": bpe.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_quality_pu": quality.op3,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
 }
