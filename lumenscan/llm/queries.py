@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, mixing, quality, records
+from . import bpe, exact_dedup, langid, licences, mixing, quality, records
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
+    "op2_licence_scan": licences.op2,
     "op3_quality_pu": quality.op3,
     "op5_exact_dedup": exact_dedup.op5,
     "op6_language_id": langid.op6,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_licence_scan": licences.op2,
     "op3_quality_pu": quality.op3,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
 }
