@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, licences, mixing, quality, records
+from . import bpe, exact_dedup, jaccard, langid, licences, mixing, quality, records
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_pu": quality.op3,
     "op5_exact_dedup": exact_dedup.op5,
     "op6_language_id": langid.op6,
+    "op8_jaccard_join": jaccard.op8,
     "op9_token_records": records.op9,
     "op10_bpe_tree": bpe.op10,
 }
@@ -18,4 +19,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_licence_scan": licences.op2,
     "op3_quality_pu": quality.op3,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op8_jaccard_join": jaccard.OP8_SQL,
 }
