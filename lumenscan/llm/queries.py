@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, jaccard, langid, licences, mixing, quality, records
+from . import audio, bpe, exact_dedup, html_main, jaccard, langid, licences, mixing, quality, records
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
     "op2_licence_scan": licences.op2,
     "op3_quality_pu": quality.op3,
+    "op4_main_text": html_main.op4,
     "op5_exact_dedup": exact_dedup.op5,
     "op6_language_id": langid.op6,
+    "op7_audio_fingerprint": audio.op7,
     "op8_jaccard_join": jaccard.op8,
     "op9_token_records": records.op9,
     "op10_bpe_tree": bpe.op10,
@@ -18,6 +20,8 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_licence_scan": licences.op2,
     "op3_quality_pu": quality.op3,
+    "op4_main_text": html_main.op4,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op7_audio_fingerprint": audio.op7,
     "op8_jaccard_join": jaccard.OP8_SQL,
 }
