@@ -1,15 +1,56 @@
-"""The corpus pipeline: documents in, token ids out, one operator per stage."""
+"""The corpus pipeline: documents in, token ids out, one training-data operator per stage.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. ``run`` writes
+every stage's result to the shared folder and reads it back as the next one's input, so a lost
+executor never costs more than one stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES = []
+from lumenscan.llm import bpe, common, exact_dedup, jaccard, mixing, quality
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on this input's labels, scores at least 0.5 stay."""
+    return quality.keep_good(docs, common.table(spark, sf_dir, "labels"))
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one of smallest doc_id stays."""
+    return exact_dedup.keep_first(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the one of smallest doc_id stays."""
+    return jaccard.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights: a document stands in the mix as often as it is drawn."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, and digests of the ids and of the bytes decoded from them."""
+    return bpe.digests(docs)
+
+
+STAGES = [
+    ("quality", quality_classifier),
+    ("exact_dedup", exact_duplicates),
+    ("near_dedup", near_duplicates),
+    ("mixing", mix_sources),
+    ("bpe", encode_texts),
+]
+
+#: Learned scores and random mixing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = common.materialise(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
