@@ -133,10 +133,10 @@ class WordEncoder:
 
     A byte-level pre-tokeniser without normaliser always breaks before a space that follows a
     visible character, so a text is the run of its pieces cut there, and its ids are theirs in turn.
-    Unknown pieces of a batch are encoded as one string and cut apart by the tokens' lengths. Where
-    other white space touches a space the text is encoded as it is."""
+    Unknown pieces of a batch are encoded as one string and cut apart by the tokens' lengths. A text with
+    white space other than single spaces and line ends within is encoded as it is."""
 
-    def __init__(self, path: str, end_id: int, known: int = 800_000):
+    def __init__(self, path: str, end_id: int, known: int = 1_200_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -151,37 +151,76 @@ class WordEncoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.length[i] = len(token)  # one character stands for each byte
         self.end = np.array([end_id], dtype=self.dtype).tobytes()
-        self.most, self.ids = known, {}
-        self.mixed = re.compile("\\s | \\s|^ | \\Z|[\u180e\u200b\ufeff]")
+        self.most, self.ids, self.old, self.after_line = known, {}, {}, {}
+        self.marks = {m: self.whole(m) for m in ".,;:!?"}
+        self.plain = re.compile("[A-Za-z0-9À-ÖØ-öø-ɏ]").match
+
+    @staticmethod
+    def _even(t: str) -> bool:
+        """Whether all white space is single spaces and line ends between visible characters, and
+        nothing stands there that Unicode versions disagree on."""
+        return t.split() == t.replace("\n", " ").split(" ") and not ("\u180e" in t or "\u200b" in t or "\ufeff" in t)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Encodes " word" for each word."""
+    def _learn_words(self, words: list[str]) -> None:
+        """Words of visible characters are encoded; a word and a mark, or several words with single line
+        ends between them, are put together, as the pre-tokeniser always breaks there too."""
+        ids, after, marks = self.ids, self.after_line, self.marks
+        simple, later, joined = {}, {}, []
+        for p in words:
+            if "\n" in p:
+                first, *rest = p.split("\n")
+                parts = [self._marked(first, simple), *(self._marked(r, later) for r in rest)]
+                joined.append((p, parts))
+            elif p[-1] in marks and self.plain(p[-2:-1]):
+                simple[p[:-1]] = None
+                joined.append((p, None))
+            else:
+                simple[p] = None
+        self._learn([w for w in simple if w not in ids], " ", ids)
+        self._learn([w for w in later if w not in after], "\n", after)
+        for p, parts in joined:
+            if parts is None:
+                ids[p] = ids[p[:-1]] + marks[p[-1]]
+            else:
+                ids[p] = b"".join(known[w] + marks.get(m, b"") for known, (w, m) in zip([ids] + [after] * len(parts), parts, strict=False))
+
+    def _marked(self, word: str, into: dict[str, None]) -> tuple[str, str | None]:
+        cut = len(word) > 1 and word[-1] in self.marks and self.plain(word[-2])
+        word, mark = (word[:-1], word[-1]) if cut else (word, None)
+        into[word] = None
+        return word, mark
+
+    def _learn(self, words: list[str], before: str, known: dict[str, bytes]) -> None:
+        """Encodes ``before`` and the word, for each word."""
         for i in range(0, len(words), 20_000):
             some = words[i : i + 20_000]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids)
+            ids = np.array(self.tokenizer.encode("".join(before + p for p in some), add_special_tokens=False).ids)
             ends = np.cumsum(self.length[ids])
             cuts = np.searchsorted(ends, np.cumsum([len(p.encode()) + 1 for p in some]), side="left") + 1
             raw, w, at = ids.astype(self.dtype).tobytes(), self.dtype.itemsize, 0
             for p, cut in zip(some, cuts.tolist(), strict=True):
-                self.ids[p] = raw[at * w : cut * w]
+                known[p] = raw[at * w : cut * w]
                 at = cut
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and the end id, as bytes."""
-        split = [t.split(" ") if self.by_word and not self.mixed.search(t) else None for t in texts]
+        split = [t.split(" ") if self.by_word and self._even(t) else None for t in texts]
         words: dict[str, None] = {}
         for parts in split:
             if parts:
                 words.update(dict.fromkeys(parts[1:]))
         unknown = [p for p in words if p not in self.ids]
-        if len(self.ids) + len(unknown) > self.most:
-            self.ids.clear()
+        if len(self.ids) + len(unknown) > self.most // 2:
+            # What is not asked for while half of the memory fills is forgotten.
+            self.old, self.ids, self.after_line = self.ids, {}, {}
             unknown = list(words)
-        if unknown:
-            self._learn(unknown)
+        if self.old and unknown:
+            self.ids.update((p, self.old[p]) for p in unknown if p in self.old)
+            unknown = [p for p in unknown if p not in self.ids]
+        self._learn_words(unknown)
         get, out = self.ids.__getitem__, []
         for t, parts in zip(texts, split, strict=True):
             if parts is None:
@@ -191,6 +230,12 @@ class WordEncoder:
         return out
 
 
+@lru_cache(maxsize=2)
+def word_encoder(path: str, end_id: int) -> WordEncoder:
+    """One encoder, with the words it knows, for each Python worker."""
+    return WordEncoder(path, end_id)
+
+
 # -- files ---------------------------------------------------------------------------------
 
 def _file_system(folder: str):
@@ -212,10 +257,9 @@ def _writer(folder: str, vocabulary: str, end_id: int):
         fs, root = _file_system(folder)
         fs.create_dir(root, recursive=True)
         attempt = f"{root}/_attempt-{uuid.uuid4().hex}"
-        encoder, position, before = None, 0, 0
+        encoder, position, before = word_encoder(vocabulary, end_id), 0, 0
         with fs.open_output_stream(attempt) as out:
             for batch in batches:
-                encoder = encoder or WordEncoder(vocabulary, end_id)
                 payloads = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
                 framed = frames(payloads)
                 for f in framed:
