@@ -33,7 +33,7 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 NEVER = frozenset("nav footer aside form button dialog menu head search input label fieldset audio video canvas map".split()) | RAW
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre b i em strong span a code article main".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre article main".split())
 CLOSES_P = BLOCK - frozenset("body html head caption tbody td tfoot th thead tr option optgroup legend dd dt li".split()) | {"dl", "ol", "ul", "table"}
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 HOLDERS = frozenset("ul ol dl table select menu".split())  # an end tag or sibling rule does not reach beyond these
@@ -121,7 +121,7 @@ def parse(html: str | None) -> Node:
 
 
 def hashes(root: Node) -> set[int]:
-    """Marks every element with its subtree's hash; those of elements with text."""
+    """Marks every element with its subtree's hash; returns those of block elements with text."""
     found: set[int] = set()
     todo: list[tuple[Node, bool]] = [(root, False)]
     empty = set()
@@ -140,10 +140,10 @@ def hashes(root: Node) -> set[int]:
                 h.update(" ".join(k.split()))
                 text = True
         node.mark = h.intdigest() - (1 << 63)
-        if text:
-            found.add(node.mark)
-        else:
+        if not text:
             empty.add(id(node))
+        elif node.tag in BLOCK:
+            found.add(node.mark)
     return found
 
 
@@ -177,7 +177,7 @@ def _blocks(root: Node, templates: frozenset[int], only_article: bool) -> list[s
                 run.append(node)
         elif node.tag == "br":
             run.append(" ")
-        elif not _foreign(node, inside) and (node is root or node.mark not in templates or (inside and node.tag in PROSE)):
+        elif not _foreign(node, inside) and (node is root or node.mark not in templates or node.tag not in BLOCK or (inside and node.tag in PROSE)):
             inside = inside or node.tag in ("article", "main") or "main" in node.hint.split()
             if node.tag in BLOCK:
                 end()

@@ -99,16 +99,17 @@ class Model:
         first = 0
         while first < len(raws):  # a few MB of text at a time
             last = max(first + 1, int(np.searchsorted(np.cumsum(sizes[first:]), 2_000_000)) + first)
-            starts = np.cumsum(sizes[first:last]) - sizes[first:last]
-            # Each text stands alone: zeros between texts would cost a copy, so grams run over them; two
-            # spaces meet there and the few mixed grams are of the earlier text's end.
-            slots = grams(np.frombuffer(b"".join(raws[first:last]), dtype=np.uint8), len(self.weights))
+            # Three zero bytes before each text stand for "no byte", as at the start of a text alone.
+            n = sizes[first:last]
+            ends = np.cumsum(n + 3)
+            bounds = np.stack([ends - n, ends], 1).ravel()
+            slots = grams(np.frombuffer(b"".join(b"\0\0\0" + r for r in raws[first:last]), dtype=np.uint8), len(self.weights))
             for k in range(len(self.pairs)):
                 w = self.weights[:, k]
                 total = w[slots[0]]
                 for s in slots[1:]:
                     total = total + w[s]
-                out[first:last, k] = np.add.reduceat(total, starts, dtype=np.float64) / (4 * sizes[first:last]) + self.bias[k]
+                out[first:last, k] = np.add.reduceat(np.append(total, 0), bounds, dtype=np.float64)[::2] / (4 * n) + self.bias[k]
             first = last
         return out
 
