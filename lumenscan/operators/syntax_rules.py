@@ -56,7 +56,7 @@ def taint_sources(p: Parsed) -> DataFrame:
 def tainted_calls(p: Parsed, calls: DataFrame) -> DataFrame:
     """``calls`` with tainted: whether the first argument is, or a template holds, a name tainted before it."""
     a = F.get("args", F.lit(0))
-    names = F.when(tk.one(a, "name"), F.array(a[0].text)).when(tk.one(a, "template"), tk.template_names(a[0].text)).otherwise(F.array().cast("array<string>"))
+    names = F.when(tk.one(a, "name"), F.array(F.get(a, F.lit(0)).text)).when(tk.one(a, "template"), tk.template_names(F.get(a, F.lit(0)).text)).otherwise(F.array().cast("array<string>"))
     first = taint_sources(p).groupBy("file_id", "var").agg(F.min("source_pos").alias("source_pos"))
     hit = calls.select("file_id", "open", F.explode(names).alias("var")).join(first, ["file_id", "var"]).filter("source_pos < open").select("file_id", "open").distinct().withColumn("tainted", F.lit(True))
     return calls.join(hit, ["file_id", "open"], "left").withColumn("tainted", F.coalesce("tainted", F.lit(False)))
@@ -91,22 +91,22 @@ def whole_file(p: Parsed) -> DataFrame:
 def _options(p: Parsed, calls: DataFrame, place: int) -> DataFrame:
     """Properties of an object argument: file_id, open, key, value (text of a value of one token)."""
     a = F.get("args", F.lit(place))
-    holds = calls.filter(F.coalesce(a[0].text == "{", F.lit(False))).select("file_id", F.col("open").alias("call"), a[0].pos.alias("open"))
+    holds = calls.filter(F.coalesce(F.get(a, F.lit(0)).text == "{", F.lit(False))).select("file_id", F.col("open").alias("call"), F.get(a, F.lit(0)).pos.alias("open"))
     k = F.col("toks")
-    return holds.join(p.items, ["file_id", "open"]).filter(k[0].kind == "name").select("file_id", F.col("call").alias("open"), k[0].text.alias("key"), F.when((F.size(k) == 3) & (k[1].text == ":"), k[2].text).alias("value"))
+    return holds.join(p.items, ["file_id", "open"]).filter(F.get(k, F.lit(0)).kind == "name").select("file_id", F.col("call").alias("open"), F.get(k, F.lit(0)).text.alias("key"), F.when((F.size(k) == 3) & (F.get(k, F.lit(1)).text == ":"), F.get(k, F.lit(2)).text).alias("value"))
 
 
 def call_rules(p: Parsed) -> DataFrame:
     c = tainted_calls(p, p.calls.filter(~F.col("is_new") & ~F.col("optional")))
     arg = [F.get("args", F.lit(k)) for k in range(3)]
-    value = [tk.string_value(a[0].text) for a in arg]
+    value = [tk.string_value(F.get(a, F.lit(0)).text) for a in arg]
     name, member, n = F.col("name"), F.col("member"), F.size("args")
     plain = c.filter(~member)
     out = [
         _finding(plain.filter(name == "eval"), "security", "EVAL", F.when(F.col("tainted"), "Request data reaches eval").otherwise("eval runs text as code"), order=3),
         _finding(c.filter(member & (name == "exec") & (F.col("tainted") | F.coalesce(F.col("object") == "child_process", F.lit(False)))), "security", "EXEC", F.when(F.col("tainted"), "Request data reaches a process call").otherwise("Process call with a command line"), order=5),
         _finding(plain.filter(name.isin("md5", "sha1")), "security", "WEAK_HASH", F.concat(F.lit("Weak hash "), name), order=8),
-        _finding(plain.filter((name == "eval") & F.coalesce((arg[0][0].text == "atob") & (arg[0][1].text == "("), F.lit(False))), "security", "HIDDEN_CODE", "eval of decoded text", order=12),
+        _finding(plain.filter((name == "eval") & F.coalesce((F.get(arg[0], F.lit(0)).text == "atob") & (F.get(arg[0], F.lit(1)).text == "("), F.lit(False))), "security", "HIDDEN_CODE", "eval of decoded text", order=12),
     ]
     cipher = c.filter(member & (name == "createCipheriv") & (n >= 3))
     out += [
@@ -126,7 +126,7 @@ def call_rules(p: Parsed) -> DataFrame:
     cookie = c.filter(member & (name == "cookie"))
     flags = _options(p, cookie.filter(n == 3), 2).groupBy("file_id", "open").agg(
         (F.bool_or((F.col("key") == "secure") & F.coalesce(F.col("value") == "true", F.lit(False))) & F.bool_or((F.col("key") == "httpOnly") & F.coalesce(F.col("value") == "true", F.lit(False))) & F.bool_or(F.lower("key") == "samesite")).alias("safe"))
-    loose = cookie.filter((n == 3) & F.coalesce(arg[2][0].text == "{", F.lit(False))).join(flags, ["file_id", "open"], "left").filter(~F.coalesce("safe", F.lit(False)))
+    loose = cookie.filter((n == 3) & F.coalesce(F.get(arg[2], F.lit(0)).text == "{", F.lit(False))).join(flags, ["file_id", "open"], "left").filter(~F.coalesce("safe", F.lit(False)))
     out += [_finding(loose, "security", "COOKIE_FLAGS", "Cookie without secure, httpOnly or sameSite", order=20), _finding(cookie.filter(n < 3), "security", "COOKIE_FLAGS", "Cookie without options", order=20)]
     found = out[0]
     for x in out[1:]:
@@ -196,5 +196,5 @@ def endpoints(p: Parsed) -> DataFrame:
     """file_id, endpoint, seq of every address that a call or literal names."""
     a = F.get("args", F.lit(0))
     net = p.calls.filter(((~F.col("member") & F.col("name").isin("fetch", "axios")) | (F.col("member") & (F.col("object") == "axios"))) & tk.one(a, "string") & ~F.col("is_new") & ~F.col("optional"))
-    return net.select("file_id", tk.string_value(a[0].text).alias("endpoint"), F.col("start").cast("int").alias("seq")).unionByName(
+    return net.select("file_id", tk.string_value(F.get(a, F.lit(0)).text).alias("endpoint"), F.col("start").cast("int").alias("seq")).unionByName(
         literals(p).filter(F.col("value").rlike(URL_LIKE)).select("file_id", F.col("value").alias("endpoint"), F.col("pos").cast("int").alias("seq")))

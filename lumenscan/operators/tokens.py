@@ -24,7 +24,6 @@ TOKEN = "|".join(_PARTS)
 # Words of the language that take a parenthesis but are no call.
 KEYWORDS = ("if", "for", "while", "switch", "catch", "return", "typeof", "function", "new", "throw", "await", "else", "do", "case", "in", "of", "delete", "void", "super", "with", "yield", "async")
 
-W = Window.partitionBy("file_id").orderBy("pos")
 
 
 def _kind(t: Column) -> Column:
@@ -39,12 +38,13 @@ def tokens(files: DataFrame) -> DataFrame:
     the neighbours' texts and kinds. Comments and line ends are left out."""
     cut = files.select("file_id", F.posexplode(F.regexp_extract_all("content", F.lit(TOKEN), F.lit(0))).alias("at", "text")).withColumn("kind", _kind(F.col("text")))
     ends = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    in_file = Window.partitionBy("file_id").orderBy("pos")
     before = Window.partitionBy("file_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     lined = cut.withColumn("line", 1 + F.coalesce(F.sum(ends).over(before), F.lit(0))).filter(~F.col("kind").isin("comment", "line"))
     opens, closes = F.col("text").isin("(", "[", "{") & (F.col("kind") == "mark"), F.col("text").isin(")", "]", "}") & (F.col("kind") == "mark")
     step = F.when(opens, 1).when(closes, -1).otherwise(0)
     placed = lined.withColumn("pos", F.row_number().over(Window.partitionBy("file_id").orderBy("at")))
-    placed = placed.withColumn("depth", F.coalesce(F.sum(step).over(W.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.when(closes, 1).otherwise(0))
+    placed = placed.withColumn("depth", F.coalesce(F.sum(step).over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.when(closes, 1).otherwise(0))
     placed = placed.withColumns({"opens": opens, "closes": closes})
     # A bracket heads the depth below it: the last head before a token at that depth is its parent.
     rows = placed.withColumn("head", F.explode(F.when(F.col("opens"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))).withColumn("level", F.col("depth") + F.col("head").cast("int"))
@@ -54,8 +54,8 @@ def tokens(files: DataFrame) -> DataFrame:
     held = held.withColumn("close", F.when(F.col("opens"), F.lead("pos").over(same)))
     near = {}
     for k in (1, 2, 3):
-        near |= {f"prev{k}": F.lag("text", k).over(W), f"next{k}": F.lead("text", k).over(W)}
-    near |= {"prev1_kind": F.lag("kind", 1).over(W), "prev2_kind": F.lag("kind", 2).over(W), "next1_kind": F.lead("kind", 1).over(W), "next1_close": F.lead("close", 1).over(W)}
+        near |= {f"prev{k}": F.lag("text", k).over(in_file), f"next{k}": F.lead("text", k).over(in_file)}
+    near |= {"prev1_kind": F.lag("kind", 1).over(in_file), "prev2_kind": F.lag("kind", 2).over(in_file), "next1_kind": F.lead("kind", 1).over(in_file), "next1_close": F.lead("close", 1).over(in_file)}
     return held.withColumns(near).drop("at")
 
 
@@ -67,7 +67,7 @@ def calls(t: DataFrame) -> DataFrame:
     member = F.coalesce(F.col("prev1") == ".", F.lit(False))
     c = c.select(
         "file_id", (F.col("pos") + 1).alias("open"), F.col("text").alias("name"), member.alias("member"), F.coalesce(F.col("prev1") == "?.", F.lit(False)).alias("optional"),
-        F.when(member & (F.col("prev2_kind") == "name"), F.col("prev2")).alias("object"), F.coalesce(F.when(member, F.col("prev3")).otherwise(F.col("prev1")) == "new", F.lit(False)).alias("is_new"),
+        F.when(member & (F.col("prev2_kind") == "name") & ~F.coalesce(F.col("prev3").isin(".", "?."), F.lit(False)), F.col("prev2")).alias("object"), F.coalesce(F.when(member, F.col("prev3")).otherwise(F.col("prev1")) == "new", F.lit(False)).alias("is_new"),
         "line", (F.col("pos") - F.when(member, 2).otherwise(0)).alias("start"), F.col("next1_close").alias("close"))
     # "name(...) {" declares a method.
     return c.join(after, ["file_id", "close"], "left").filter(~F.coalesce(F.col("after") == "{", F.lit(False))).drop("after")
@@ -100,13 +100,13 @@ def arguments(c: DataFrame, items: DataFrame) -> DataFrame:
 
 def one(arg: Column, kind: str) -> Column:
     """Whether an argument is a single token of a kind (false where it is missing)."""
-    return F.coalesce((F.size(arg) == 1) & (arg[0].kind == kind), F.lit(False))
+    return F.coalesce((F.size(arg) == 1) & (F.get(arg, F.lit(0)).kind == kind), F.lit(False))
 
 
 def names_of(arg: Column) -> Column:
     """Names that an expression takes its value from: bases of member chains, operands of arithmetic, names in
     templates, callees. Logical and conditional expressions, literals, arrays, objects and functions give none."""
     texts = F.transform(arg, lambda x: x.text)
-    none = F.arrays_overlap(texts, F.array(*map(F.lit, ["||", "&&", "??", "?", "=>", "=", "await", "new", "function", "!", "typeof", "..."]))) | texts[0].isin("{", "[")
+    none = F.arrays_overlap(texts, F.array(*map(F.lit, ["||", "&&", "??", "?", "=>", "=", "await", "new", "function", "!", "typeof", "..."]))) | F.get(texts, F.lit(0)).isin("{", "[")
     parts = F.transform(arg, lambda x, i: F.when((x.kind == "name") & ((i == 0) | (F.get(texts, i - 1) != ".")), F.array(x.text)).when(x.kind == "template", template_names(x.text)).otherwise(F.array().cast("array<string>")))
     return F.when(none | (F.size(arg) == 0), F.array().cast("array<string>")).otherwise(F.flatten(parts))
