@@ -10,13 +10,14 @@ threshold ends in one class, whatever the size of the groups; no pair list of a
    threshold t share one of these. Entries travel packed, dealt by shingle. A task first joins
    its own entries of a shingle and passes one on, so no list grows with a group of copies.
    Only shingles of two or more sets leave the index.
-4. Each set is compared with the one set it shares most indexed shingles with, the smallest
-   of each list (its hub). Sets that are linked to a hub are answered by it: their pairs lie
-   in one class already and are skipped.
+4. In each list the most central set, the one whose shingles others share, is the hub. Each set is
+   compared with the hub it shares most shingles with (``rounds`` times, then with hubs of other
+   classes). Sets linked to a hub are answered by it: their pairs lie in one class already.
 5. What is left are lists whose sets lie in several classes. Their pairs are joined by blocks of
    like size, skipping blocks that sizes rule out, pairs that the places in the index lists
-   rule out (too few shingles can follow), and pairs that the answers of a common hub rule out:
-   the Jaccard distance is a metric, so |d(h,x) - d(h,y)| > 1 - t parts x and y.
+   rule out (too few shingles can follow), pairs with too many shingles that no other set has, and
+   pairs that the answers of a common hub rule out: the Jaccard distance is a metric, so
+   |d(h,x) - d(h,y)| > 1 - t parts x and y. Pairs must then share enough indexed shingles.
 
 Comparisons are exact, on sets made again from the texts of the sets concerned.
 """
@@ -32,6 +33,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 from .components import components
@@ -111,13 +113,16 @@ def _order(scanned: DataFrame) -> np.ndarray:
 
 # -- 2. the index ----------------------------------------------------------------------------
 
-_ENTRIES = "part int, tokens binary, owners binary, places binary, token bigint, v bigint, place int"
+_ENTRIES = "part int, tokens binary, owners binary, places binary, token bigint, v bigint, place int, last bigint"
 
 
 def _index(width: int, percent: int, parts: int, order):
-    names = ["part", "tokens", "owners", "places", "token", "v", "place"]
+    names = ["part", "tokens", "owners", "places", "token", "v", "place", "last"]
 
-    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def flush(held: list[tuple], ends: dict[int, int]) -> Iterator[pa.RecordBatch]:
+        k = len(ends)
+        no, blank, none = pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64())
+        yield pa.record_batch([no, blank, blank, blank, none, pa.array(list(ends), pa.int64()), no, pa.array(list(ends.values()), pa.int64())], names=names)
         token, owner, place = (np.concatenate(x) for x in zip(*held, strict=True))
         by = np.argsort(token, kind="stable")
         token, owner, place = token[by], owner[by], place[by]
@@ -127,36 +132,38 @@ def _index(width: int, percent: int, parts: int, order):
         m = int(many.sum())
         if m:
             no, blank = pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())
-            yield pa.record_batch([no, blank, blank, blank, pa.array(token[many].view(np.int64)), pa.array(owner[many]), pa.array(place[many].astype(np.int32))], names=names)
+            yield pa.record_batch([no, blank, blank, blank, pa.array(token[many].view(np.int64)), pa.array(owner[many]), pa.array(place[many].astype(np.int32)), pa.nulls(m, pa.int64())], names=names)
         token, owner, place = token[first], owner[first], place[first]
         part = (token % np.uint64(parts)).astype(np.int64)
         by = np.lexsort((owner, part))
-        ends = np.append(0, np.cumsum(np.bincount(part, minlength=parts)))
+        cuts = np.append(0, np.cumsum(np.bincount(part, minlength=parts)))
         token, owner, place = token[by], owner[by], place[by]
-        used = [p for p in range(parts) if ends[p] < ends[p + 1]]
-        blobs = [pa.array([x[ends[p] : ends[p + 1]].tobytes() for p in used], pa.binary()) for x in (token, owner, place)]
+        used = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
+        blobs = [pa.array([x[cuts[p] : cuts[p + 1]].tobytes() for p in used], pa.binary()) for x in (token, owner, place)]
         none, zero = pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int32())
-        yield pa.record_batch([pa.array(used, pa.int32()), *blobs, none, none, zero], names=names)
+        yield pa.record_batch([pa.array(used, pa.int32()), *blobs, none, none, zero, none], names=names)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, held, size, seen = order.value, [], 0, set()
+        levels, held, size, ends = order.value, [], 0, {}
         for b in batches:
             for s in sets(b.column("text").to_pylist(), width):
                 if not len(s):
                     continue
                 v = _identity(s)[0]
-                if v in seen:
+                if v in ends:
                     continue
-                seen.add(v)
                 k = prefix(len(s), percent)
-                rank = np.argsort(levels[(s >> np.uint64(64 - BITS)).astype(np.int64)], kind="stable")[:k]
+                level = levels[(s >> np.uint64(64 - BITS)).astype(np.int64)]
+                rank = np.argsort(level, kind="stable")[:k]
+                # Where the indexed part ends in the global order: the level, then the hash.
+                ends[v] = (int(level[rank[-1]]) << 56) | int(s[rank[-1]] >> np.uint64(8))
                 held.append((s[rank], np.full(k, v), (np.arange(k) * 256 // len(s)).astype(np.uint8)))
                 size += k
                 if size > CHUNK:
-                    yield from flush(held)
-                    held, size, seen = [], 0, set()
+                    yield from flush(held, ends)
+                    held, size, ends = [], 0, {}
         if held:
-            yield from flush(held)
+            yield from flush(held, ends)
 
     return index
 
@@ -206,24 +213,36 @@ def _compare(width: int):
     return compare
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, lend: DataFrame, width: int, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, lend: DataFrame, width: int, percent: int, repeated: bool) -> DataFrame:
     """a, b, common, na, nb, linked. ``pairs``: a, b, written out. ``texts``: doc_id, h, text; ``lend``: of
     each set v the doc_id and h of a document that has it. Only texts of these sets are read on. A set
     that many pairs name is a skewed join key, which AQE splits."""
     ids = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
     need = common.materialise(lend.join(ids, "v").toDF("v", "lend_id", "lend_h"), "join-lend")
     same = texts.doc_id.eqNullSafe(need.lend_id) & (texts.h == need.lend_h)
-    wanted = texts.join(common.broadcast_if(need, need.count(), 60), same).select("v", "text").dropDuplicates(["v"])
+    wanted = texts.join(common.broadcast_if(need, need.count(), 60), same).select("v", "text")
+    if repeated:
+        wanted = wanted.dropDuplicates(["v"])
     wanted = common.materialise(wanted, "join-texts")
-    with_b = pairs.join(wanted.select(F.col("v").alias("b"), F.col("text").alias("text_b")), "b")
+    # Texts go to the pairs by a broadcast of the pairs while these are few, so each moves once at most.
+    with_b = wanted.select(F.col("v").alias("b"), F.col("text").alias("text_b")).join(common.broadcast_if(pairs, pairs.count(), 40), "b")
     both = with_b.join(wanted.select(F.col("v").alias("a"), F.col("text").alias("text_a")), "a")
     done = both.select("a", "b", "text_a", "text_b").mapInArrow(_compare(width), "a bigint, b bigint, common bigint, na bigint, nb bigint")
     return common.materialise(done.withColumn("linked", 100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))), "join-compared")
 
 
+def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (v, component) with the classes that ``links`` join made one: the graph of classes is small."""
+    of = lambda c: F.coalesce(F.col(f"component_{c}"), F.col(c))
+    both = links.join(labels.toDF("a", "component_a"), "a", "left").join(labels.toDF("b", "component_b"), "b", "left")
+    joined = components(both.select(of("a").alias("u"), of("b").alias("v"))).toDF("component", "root")
+    known = labels.unionByName(links.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(labels, "v", "left_anti").withColumn("component", F.col("v")))
+    return common.materialise(known.join(joined, "component", "left").select("v", F.coalesce("root", "component").alias("component")), "join-labels")
+
+
 # -- the join --------------------------------------------------------------------------------
 
-def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, rounds: int = 1) -> tuple[DataFrame, DataFrame]:
     """(rows, links). rows: doc_id, h (hash of the text), n_shingles, v (the set's identity, null for an empty set),
     component_id (smallest doc_id of the class). links: pairs of set identities that were compared
     and reach the threshold; with the rows of equal v they span every class.
@@ -244,43 +263,77 @@ def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     order = spark.sparkContext.broadcast(_order(scanned))
     packed = common.materialise(texts.select("text").mapInArrow(_index(width, percent, max(1, -(-entries // PART)), order), _ENTRIES), "join-entries")
     met = packed.filter("part is not null").select("part", "tokens", "owners", "places").groupBy("part").applyInPandas(_meet, "token bigint, v bigint, place int")
-    index = met.unionByName(packed.filter("part is null").select("token", "v", "place"))
-    index = common.materialise(index.join(classes.select("v", "n"), "v"), "join-index")
+    index = met.unionByName(packed.filter("token is not null").select("token", "v", "place"))
+    # How central a set is: the share of its indexed shingles that others index. A text has it high, its edited copies low.
+    # The others, rare ones, are in no set whose indexed part goes as far in the global order.
+    last = packed.filter("last is not null").groupBy("v").agg(F.min("last").alias("last"))
+    own, first = F.count("*").over(Window.partitionBy("v")), F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
+    index = index.join(classes.select("v", "n").join(last, "v"), "v").withColumn("own", own).withColumns({"central": F.col("own") / first, "rare": first - F.col("own")}).drop("own")
+    index = common.materialise(index, "join-index")
 
     # The document that lends its text to a set: found by id and, as ids may repeat, by the text's hash.
     lend = classes.select("v", "one.doc_id", "one.h")
-
-    alike = (percent * F.greatest("n", "hub_n")) <= (100 * F.least("n", "hub_n"))
-    hubs = index.groupBy("token").agg(F.min(F.struct("v", "n")).alias("hub")).select("token", F.col("hub.v").alias("hub"), F.col("hub.n").alias("hub_n"))
-    shared = index.join(hubs, "token").filter(F.col("v") != F.col("hub")).filter(alike).groupBy("v", "hub").agg(F.count("*").alias("times"))
-    best = shared.groupBy("v").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub"))
-    pairs = common.materialise(best.select(F.col("hub").alias("a"), F.col("v").alias("b")), "join-pairs")
-    answers = _verify(pairs, texts, lend, width, percent)
-    links = answers.filter("linked").select("a", "b")
-    labels = components(links.toDF("u", "v"))
+    repeated = not rows.groupBy("doc_id", "h").agg(F.count("*").alias("times")).filter("times > 1").isEmpty()
+
+    def may(x, y):
+        """Whether sizes and rare shingles leave room for the threshold. The set whose indexed part ends first
+        shares none of its rare ones; equal ends may be equal by rounding only."""
+        left_x, left_y = x("n") - x("rare"), y("n") - y("rare")
+        most = F.when(x("last") < y("last"), left_x).when(x("last") > y("last"), left_y).otherwise(F.greatest(left_x, left_y))
+        return (100 + percent) * F.least(most, x("n"), y("n")) >= percent * (x("n") + y("n"))
+
+    labels = index.select("v", F.col("v").alias("component")).limit(0)
+    links = answers = None
+    for _ in range(rounds):
+        # Of each list, the most central set, and the most central of another class than that one's.
+        placed = index.join(labels, "v", "left").withColumn("component", F.coalesce("component", "v"))
+        rank = F.struct("central", "v", "n", "rare", "last", "component")
+        first = placed.groupBy("token").agg(F.max(rank).alias("one"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token", "one")
+        left = common.materialise(placed.join(first, "token"), "join-left")
+        other = left.filter(F.col("component") != F.col("one.component")).groupBy("token").agg(F.max(rank).alias("two"))
+        near = left.join(other, "token").withColumn("hub", F.when(F.col("component") == F.col("one.component"), F.col("two")).otherwise(F.col("one")))
+        near = near.filter(may(F.col, lambda c: F.col("hub")[c])).select("v", F.col("hub.v").alias("hub"), F.col("hub.central").alias("hub_central"))
+        shared = near.groupBy("v", "hub").agg(F.count("*").alias("times"), F.max("hub_central").alias("hub_central"))
+        if answers is not None:
+            done = answers.select(F.col("b").alias("v"), F.col("a").alias("hub")).unionByName(answers.select(F.col("a").alias("v"), F.col("b").alias("hub")))
+            shared = shared.join(done, ["v", "hub"], "left_anti")
+        best = shared.groupBy("v").agg(F.max_by("hub", F.struct("times", "hub_central", "hub")).alias("hub"))
+        pairs = common.materialise(best.select(F.col("hub").alias("a"), F.col("v").alias("b")), "join-pairs")
+        new = _verify(pairs, texts, lend, width, percent, repeated)
+        answers = new if answers is None else answers.unionByName(new)
+        fresh = new.filter("linked").select("a", "b")
+        links = fresh if links is None else links.unionByName(fresh)
+        if fresh.isEmpty():
+            break
+        labels = _merge(labels, fresh)
 
     # Lists whose sets lie in several classes.
     placed = index.join(labels, "v", "left").withColumn("component", F.coalesce("component", "v"))
     spread = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
-    hub_of = answers.select(F.col("b").alias("v"), F.col("a").alias("hub"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("far"))
-    left = common.materialise(placed.join(spread, "token", "left_semi").join(hub_of, "v", "left").withColumn("block", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))), "join-left")
-    x = left.select("token", *[F.col(c).alias(c + "_x") for c in ("v", "n", "place", "component", "hub", "far")], F.explode(F.array("block", F.col("block") + 1)).alias("block"))
-    y = left.select("token", "block", *[F.col(c).alias(c + "_y") for c in ("v", "n", "place", "component", "hub", "far")])
+    far = F.struct((1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("far"), F.col("a").alias("hub"))
+    hub_of = answers.groupBy(F.col("b").alias("v")).agg(F.min(far).alias("near")).select("v", "near.hub", "near.far")
+    left = placed.join(spread, "token", "left_semi").join(hub_of, "v", "left").drop("central")
+    left = common.materialise(left.withColumn("block", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))), "join-left")
+    x = left.select("token", *[F.col(c).alias(c + "_x") for c in ("v", "n", "rare", "last", "place", "component", "hub", "far")], F.explode(F.array("block", F.col("block") + 1)).alias("block"))
+    y = left.select("token", "block", *[F.col(c).alias(c + "_y") for c in ("v", "n", "rare", "last", "place", "component", "hub", "far")])
     before = F.least((F.col("place_x") + 1) * F.col("n_x"), (F.col("place_y") + 1) * F.col("n_y")) / 256 + 1
     after = F.least((256 - F.col("place_x")) * F.col("n_x"), (256 - F.col("place_y")) * F.col("n_y")) / 256
     most = before + after + 1
     apart = F.coalesce((F.col("hub_x") == F.col("hub_y")) & (F.abs(F.col("far_x") - F.col("far_y")) > (100 - percent) / 100 + 1e-9), F.lit(False))
     found = x.join(y, ["token", "block"]).filter(
         (F.col("component_x") != F.col("component_y")) & ((F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("v_x") < F.col("v_y"))))
-        & (percent * F.col("n_y") <= 100 * F.col("n_x")) & ((100 + percent) * most >= percent * (F.col("n_x") + F.col("n_y"))) & ~apart)
-    found = found.select(F.least("v_x", "v_y").alias("a"), F.greatest("v_x", "v_y").alias("b")).distinct()
+        & (percent * F.col("n_y") <= 100 * F.col("n_x")) & ((100 + percent) * most >= percent * (F.col("n_x") + F.col("n_y"))) & may(lambda c: F.col(c + "_x"), lambda c: F.col(c + "_y")) & ~apart)
+    # The set whose indexed part ends first has less than ceil(t n) shingles past it; before, what is shared is indexed by both.
+    size = F.when(F.col("last_x") < F.col("last_y"), F.col("n_x")).when(F.col("last_x") > F.col("last_y"), F.col("n_y")).otherwise(F.greatest("n_x", "n_y"))
+    found = found.select(F.least("v_x", "v_y").alias("a"), F.greatest("v_x", "v_y").alias("b"), (F.col("n_x") + F.col("n_y")).alias("both"), (F.floor((percent * size + 99) / 100) - 1).alias("beyond"))
+    found = found.groupBy("a", "b", "both", "beyond").agg(F.count("*").alias("shared")).filter((100 + percent) * (F.col("shared") + F.col("beyond")) >= percent * F.col("both"))
     done = answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = common.materialise(found.join(done, ["a", "b"], "left_anti"), "join-rest")
+    rest = common.materialise(found.select("a", "b").join(done, ["a", "b"], "left_anti"), "join-rest")
     if not rest.isEmpty():
-        more = _verify(rest, texts, lend, width, percent).filter("linked").select("a", "b")
+        more = _verify(rest, texts, lend, width, percent, repeated).filter("linked").select("a", "b")
         if not more.isEmpty():
             links = links.unionByName(more)
-            labels = components(links.toDF("u", "v"))
+            labels = _merge(labels, more)
     named = classes.join(labels, "v", "left").withColumn("component", F.coalesce("component", "v"))
     names = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     of_set = named.select("v", "component").join(names, "component").select("v", "component_id")
