@@ -41,7 +41,7 @@ from .shingles import sets
 
 WIDTH, PERCENT = 5, 75
 BITS, SLICE = 22, 1 << 16  # the sketch: 4 MB, in slices
-CHUNK = 2_000_000  # entries that a task joins by itself
+CHUNK = 1_000_000  # entries that a task joins by itself
 PART = 400_000  # entries of a part of the index, on average
 
 
