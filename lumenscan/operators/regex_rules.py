@@ -18,9 +18,13 @@ class Rule:
     level: str
     pattern: str
     message: str
+    needs: tuple[str, ...] = ()  # texts, in lower case, that every match holds: told before the slower pattern
 
     def matches(self, line: Column) -> Column:
-        return line.rlike(self.pattern)
+        out = line.rlike(self.pattern)
+        for text in reversed(self.needs):
+            out = F.when(F.lower(line).contains(text), out).otherwise(False)
+        return out
 
 
 # Rule ids, levels and patterns, in their order.
@@ -33,7 +37,7 @@ RULES = (
     Rule("SEC_RSA_PRIVATE_KEY", "error", r"-----BEGIN (?:RSA |EC )?PRIVATE KEY-----", "Private key in source text"),
     Rule("SEC_HIGH_ENTROPY_VAR", "warning", r"""(?i)(?:key|secret|token|password|auth|api_key)\s*[:=]\s*['"`][A-Za-z0-9+/=_-]{32,}['"`]""", "Long string under a secret's name"),
     Rule("SEC_HARDCODED_PASSWORD", "error", r"""(?i)password\s*[:=]\s*['"`](?!\s*['"`]|null|undefined).+['"`]""", "Password in source text"),
-    Rule("SEC_FIREBASE_CONFIG_LEAK", "error", r"(?i)(?=.*apiKey)(?=.*authDomain)(?=.*databaseURL).*", "Firebase configuration on one line"),
+    Rule("SEC_FIREBASE_CONFIG_LEAK", "error", r"(?i)(?=.*apiKey)(?=.*authDomain)(?=.*databaseURL).*", "Firebase configuration on one line", ("apikey", "authdomain", "databaseurl")),
     Rule("SEC_DB_CONNECTION_STRING", "error", r"(?i)(mongodb(?:\+srv)?|postgres|mysql)://[^:\s]+:[^@\s]+@[^\s]+", "Database address with credentials"),
     Rule("SEC_SSH_KEY_TYPE", "error", r"(?:ssh-rsa|ssh-ed25519)\s+AAAA[0-9A-Za-z+/]+[=]{0,3}", "SSH key material"),
     Rule("SEC_HARDCODED_JWT_SECRET", "error", r"""jwt\.sign\s*\([^,]+,\s*(?:'[^']+'|"[^"]+"|`[^`]+`)\)""", "JWT signed with a literal secret"),
@@ -44,13 +48,13 @@ RULES = (
     Rule("INFRA_CLOUD_METADATA_SSRF", "error", r"(?i)169\.254\.169\.254|metadata\.google\.internal", "Cloud metadata address"),
     Rule("INFRA_SUBDOMAIN_BRUTE_LIST", "note", r"""(?i)\[\s*['"`](dev|uat|prod|staging|test|internal)['"`]""", "List of environment names"),
     Rule("INFRA_S3_BUCKET", "warning", r"(?i)(?:s3\.amazonaws\.com|s3://)[\w.-]+", "S3 bucket address"),
-    Rule("INFRA_AZURE_BLOB", "warning", r"(?i)[\w.-]+\.blob\.core\.windows\.net", "Azure blob address"),
+    Rule("INFRA_AZURE_BLOB", "warning", r"(?i)[\w.-]+\.blob\.core\.windows\.net", "Azure blob address", (".blob.core.windows.net",)),
     Rule("INFRA_HARDCODED_HTTP", "note", r"(?i)https?://(?!localhost|127\.0\.0\.1|0\.0\.0\.0)[\w.-]+", "External HTTP address"),
     Rule("INFRA_KUBERNETES_API", "warning", r"(?i)kubernetes\.default\.svc|/var/run/secrets/kubernetes\.io/serviceaccount", "Kubernetes service or account path"),
     Rule("INFRA_DOCKER_SOCKET", "error", r"/var/run/docker\.sock", "Docker socket path"),
     Rule("INFRA_SHADOW_API", "warning", r"(?i)/(?:v0|v1|debug|internal|admin)/(?:api|users|config)", "Debug or shadow API path"),
     Rule("INFRA_INTRANET_PORT_SCAN", "note", r"localhost:\d{4,5}|127\.0\.0\.1:\d{4,5}", "Local service port"),
-    Rule("INFRA_EMAIL_EXTRACTION", "note", r"(?i)[a-zA-Z0-9._%+-]+@(?:admin|internal|corp|company)\.[a-zA-Z]{2,}", "Internal mail address"),
+    Rule("INFRA_EMAIL_EXTRACTION", "note", r"(?i)[a-zA-Z0-9._%+-]+@(?:admin|internal|corp|company)\.[a-zA-Z]{2,}", "Internal mail address", ("@",)),
     Rule("INFRA_DOH_USAGE", "note", r"(?i)cloudflare-dns\.com/dns-query|dns\.google/resolve", "DNS over HTTPS service"),
     Rule("INFRA_CORS_STAR", "error", r"(?i)Access-Control-Allow-Origin:\s*\*", "CORS for every origin"),
     Rule("INFRA_GRAPHQL_INTROSPECTION", "warning", r"(?i)__schema|__type|introspectionQuery", "GraphQL introspection"),
