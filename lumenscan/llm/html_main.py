@@ -29,6 +29,8 @@ MIN_PAGES, MIN_SHARE = 5, 0.1  # a template stands in so many pages of its host,
 # Names of HTML elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math object select".split())
+FOREIGN = frozenset(("svg", "math"))  # a slash ends these; an unquoted value may end in one
+CLOSED = re.compile(r"""(?:^|[\s"'])/\s*$|(?:^|\s)[^\s"'=/]+/\s*$""")
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -110,6 +112,8 @@ def parse(html: str | None) -> Node:
         if tag in ("html", "body"):
             continue
         stack[-1].kids.append(node)
+        if tag in FOREIGN and (CLOSED.search(m[3]) or not re.compile(rf"</{tag}\s*>", re.I).search(html, at)):
+            continue  # self-closed or never closed: empty
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
             at = end.end() if end else len(html)

@@ -187,6 +187,12 @@ def test_articles_and_marks():
     assert html_main.main_text("<div>" * 5000 + "deep") == "deep"
 
 
+def test_self_closed_svg_and_math():
+    for cut in ("<svg/>", "<svg width='1' />", "<math/>", "<svg hidden/>", "<svg width=1>", "<svg><path d='M0'/></svg>", "<svg width='1'/><svg><text>no</text></svg>"):
+        assert html_main.main_text(f"<article><p>before</p>{cut}<p>after</p></article>") == "before after", cut
+    assert html_main.main_text("<p>a</p><svg href=x/><text>no</text></svg><p>b</p>") == "a b"
+
+
 # -- exact duplicates ----------------------------------------------------------------------
 
 def test_fuse_filter():
