@@ -5,7 +5,8 @@ many different pages of its host each subtree stands; pages of one title and hea
 one article and count once, as what they share is no template.
 Second pass: subtrees that recur across many pages of their host are deleted, as are elements
 that markup itself names as no part of the article (menus, footers, adverts, forms, scripts,
-reader comments). Prose in a marked article (paragraphs, headings) stays even where it recurs, as
+reader comments). A name alone deletes nothing that holds the article, its heading or most of the
+text, and none where it would leave nothing. Prose in a marked article (paragraphs, headings) stays even where it recurs, as
 in series of like articles. What is left of the article, or of the body without one, is the text.
 
 Counts are partial before their shuffle, so a host with a third of all pages is no hot key. A
@@ -49,11 +50,15 @@ NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>|<[!?/][^>]*+>?|[^<]++|<""", re.S)
 
 
+MODIFIER = re.compile(r"(?:^|(?<=[\s_-]))(?:has|with|without|no)[_-]\S*", re.I)  # says what stands beside or is missing
+COMMENTS = re.compile(r"(?:^|[\s_-])comments?(?:$|[\s_-])|\0hidden", re.I)
+
+
 class Node:
-    __slots__ = ("hint", "kids", "mark", "tag")
+    __slots__ = ("hint", "kids", "mark", "spare", "tag")
 
     def __init__(self, tag: str, hint: str = ""):
-        self.tag, self.hint, self.kids, self.mark = tag, hint, [], 0
+        self.tag, self.hint, self.kids, self.mark, self.spare = tag, hint, [], 0, False
 
 
 def _hint(attrs: str) -> str:
@@ -75,6 +80,7 @@ def parse(html: str | None) -> Node:
     html = html or ""
     root = Node("html")
     stack = [root]
+    open_ended: set[str] = set()
     at = 0
     while at < len(html):
         m = TOKEN.match(html, at)
@@ -112,11 +118,14 @@ def parse(html: str | None) -> Node:
         if tag in ("html", "body"):
             continue
         stack[-1].kids.append(node)
-        if tag in FOREIGN and (CLOSED.search(m[3]) or not re.compile(rf"</{tag}\s*>", re.I).search(html, at)):
-            continue  # self-closed or never closed: empty
+        if tag in FOREIGN and (tag in open_ended or CLOSED.search(m[3])):
+            continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
+            if end or tag not in FOREIGN:
+                at = end.end() if end else len(html)
+            else:
+                open_ended.add(tag)  # never closed from here on: empty
         elif tag not in VOID and not m[3].rstrip().endswith("/"):
             stack.append(node)
         elif tag not in VOID and tag in BLOCK | {"a", "b", "i", "span", "em", "strong"}:
@@ -151,17 +160,53 @@ def hashes(root: Node) -> set[int]:
     return found
 
 
-def _foreign(node: Node, in_article: bool) -> bool:
+def _spare(root: Node) -> None:
+    """Marks elements that a name alone must not delete: those that hold main, an h1 or the longest article, and
+    on a page that has none of these outside them those that hold most of its text."""
+    sizes: dict[int, tuple[int, int]] = {}  # by id: characters, and articles, mains and h1s
+    holders, longest, path = [], (-1, ()), []
+    todo: list[tuple[Node, bool]] = [(root, False)]
+    while todo:
+        node, done = todo.pop()
+        if done:
+            path.pop()
+            inner = [sizes[id(k)] if isinstance(k, Node) else (len(k.strip()), 0) for k in node.kids]
+            chars, heads = (sum(x) for x in zip(*inner, strict=True)) if inner else (0, 0)
+            if node.tag in ("article", "main", "h1") and not COMMENTS.search(node.hint):
+                heads += 1
+                if node.tag == "article":
+                    longest = max(longest, (chars, tuple(path)), key=lambda x: x[0])
+                else:
+                    holders.append(tuple(path))
+            sizes[id(node)] = chars, heads
+        elif node.tag in NEVER or "\0" in node.hint:
+            sizes[id(node)] = 0, 0  # not shown whatever it holds
+        else:
+            todo.append((node, True))
+            path.append(node)
+            todo.extend((k, False) for k in reversed(node.kids) if isinstance(k, Node))
+    for nodes in (*holders, longest[1]):
+        for node in nodes:
+            node.spare = True
+    chars, heads = sizes[id(root)]
+    node = root
+    while node is not None:  # at most one child holds most of the text
+        node = next((k for k in node.kids if isinstance(k, Node) and 2 * sizes[id(k)][0] > chars and sizes[id(k)][1] == heads), None)
+        if node is not None:
+            node.spare = True
+
+
+def _foreign(node: Node, in_article: bool, by_name: bool = True) -> bool:
     if node.tag in NEVER:
         return True
     if node.tag == "header":
         return not (in_article and any(isinstance(k, Node) and k.tag in ("h1", "h2") for k in node.kids))
     if node.tag in ("article", "main", "h1"):
-        return bool(node.hint) and bool(re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])|\0hidden", node.hint))
-    return bool(node.hint) and ("\0" in node.hint or bool(HINT.search(node.hint)))
+        return bool(node.hint) and bool(COMMENTS.search(node.hint))
+    return bool(node.hint) and ("\0" in node.hint or by_name and not node.spare and bool(HINT.search(MODIFIER.sub("", node.hint))))
 
 
-def _blocks(root: Node, templates: frozenset[int], only_article: bool) -> list[str]:
+def _blocks(root: Node, templates: frozenset[int], only_article: bool, by_name: bool = True) -> list[str]:
     out, run = [], []
 
     def end() -> None:
@@ -181,7 +226,7 @@ def _blocks(root: Node, templates: frozenset[int], only_article: bool) -> list[s
                 run.append(node)
         elif node.tag == "br":
             run.append(" ")
-        elif not _foreign(node, inside) and (node is root or node.mark not in templates or node.tag not in BLOCK or (inside and node.tag in PROSE)):
+        elif not _foreign(node, inside, by_name) and (node is root or node.mark not in templates or node.tag not in BLOCK or (inside and node.tag in PROSE)):
             inside = inside or node.tag in ("article", "main") or "main" in node.hint.split()
             if node.tag in BLOCK:
                 end()
@@ -195,12 +240,11 @@ def main_text(html: str | None, templates: frozenset[int] = frozenset()) -> str:
     root = parse(html)
     if templates:
         hashes(root)
-    for marks in (templates, frozenset()):  # a page that is all template keeps its article
+    _spare(root)
+    for marks, by_name in ((templates, True), (frozenset(), True), (frozenset(), False)):  # a page that is all template, or all named as none, keeps its article
         for only_article in (True, False):
-            if blocks := _blocks(root, marks, only_article):
+            if blocks := _blocks(root, marks, only_article, by_name):
                 return " ".join(blocks)
-        if not templates:
-            break
     return ""
 
 

@@ -193,6 +193,18 @@ def test_self_closed_svg_and_math():
     assert html_main.main_text("<p>a</p><svg href=x/><text>no</text></svg><p>b</p>") == "a b"
 
 
+def test_names_do_not_delete_articles():
+    text = html_main.main_text
+    assert text("<div class='site has-sidebar'><main><p>whole article</p></main><div class=sidebar>no</div></div>") == "whole article"
+    assert text("<div class='content with-sidebar'><p>text</p></div><div class=ad>no</div>") == "text"
+    assert text("<article><div class='entry-header'><h1>T</h1></div><p>a</p></article>") == "T a"
+    assert text("<div class='page-header'><article><p>long enough</p></article></div><div class=related><article>x</article></div>") == "long enough"
+    assert text("<div class='widget'><p>most of the text</p><div class=share>no</div></div><p>rest</p>") == "most of the text rest"
+    assert text("<article><p>a</p></article><section id=comments><article class=comment><p>far more text than in the article</p></article></section>") == "a"
+    assert text("<div class=notice>x</div><div class=alert>y</div>") == "x y"
+    assert text("<div hidden><main>no</main></div><p>a</p>") == "a"
+
+
 # -- exact duplicates ----------------------------------------------------------------------
 
 def test_fuse_filter():
