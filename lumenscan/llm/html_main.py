@@ -1,23 +1,25 @@
 """Main text of web pages by removal of site templates.
 
 First pass: every element's subtree is hashed (tags, class and id, text). Spark counts in how
-many different pages of its host each subtree stands; pages of one title and heading are copies of
-one article and count once, as what they share is no template.
-Second pass: subtrees that recur across many pages of their host are deleted, as are elements
+many pages of different content of its host each subtree stands.
+Second pass: subtrees that recur across pages of their host are deleted, as are elements
 that markup itself names as no part of the article (menus, footers, adverts, forms, scripts,
 reader comments). A name alone deletes nothing that holds the article, its heading or most of the
-text, and none where it would leave nothing. Prose in a marked article (paragraphs, headings) stays even where it recurs, as
-in series of like articles. What is left of the article, or of the body without one, is the text.
+text, and none where it would leave nothing. Prose in a marked article (paragraphs, headings) stays
+even where it recurs, as in series of like articles. What is left of the article, or of the body
+without one, is the text.
 
-Counts are partial before their shuffle, so a host with a third of all pages is no hot key. A
-template recurs in a share of its host's pages, so a host has few, whatever its size.
+Counts are partial before their shuffle, so a host with a third of all pages is no hot key.
+Templates go to pages as rows of (page, subtree): a host may have any number.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 from html import unescape
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MIN_PAGES, MIN_SHARE = 5, 0.1  # a template stands in so many pages of its host, and in such a share
+MIN_PAGES = 5  # a template stands in so many pages of its host, whatever the host's size
 
 # Names of HTML elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -236,7 +238,7 @@ def _blocks(root: Node, templates: frozenset[int], only_article: bool, by_name:
     return out
 
 
-def main_text(html: str | None, templates: frozenset[int] = frozenset()) -> str:
+def main_text(html: str | None, templates: Mapping[int, int] | frozenset[int] = frozenset()) -> str:
     root = parse(html)
     if templates:
         hashes(root)
@@ -252,41 +254,44 @@ def host(url_col: str = "url"):
     return F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def site_templates(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host, templates (array<bigint>): subtree hashes in at least ``min_pages`` different pages of the host
-    and ``min_share`` of them. Hosts without any have no row."""
+def _keys(pages: DataFrame, url_col: str, html_col: str) -> tuple:
+    """The host's hash, and the page's: its host and its own content."""
+    return F.xxhash64(host(url_col)), F.xxhash64(host(url_col), common.text_of(html_col))
+
+
+def site_templates(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
+    """page, marks (array of tree and n): a page's subtrees (hashes, mixed with its host's) that stand in at least
+    ``min_pages`` pages of different content of the host, and in how many. Pages without any have no row."""
     common.small_batches(pages.sparkSession)
 
     def subtrees(batches):
         for b in batches:
-            rows = [(h, d, x) for h, d, t in zip(b["host"], b["page"], b["html"], strict=True) for x in [0, *hashes(parse(t))]]
-            yield pd.DataFrame(rows, columns=["host", "page", "tree"])
+            found = [[t ^ site for t in hashes(parse(html))] for site, html in zip(b["site"].tolist(), b["html"], strict=True)]
+            yield pd.DataFrame({"page": b["page"].repeat([len(f) for f in found]).to_numpy(), "tree": np.array([t for f in found for t in f], dtype=np.int64)})
 
-    html = common.text_of(html_col)
-    title, heading = (F.regexp_extract(html, rf"(?is)<{t}\b[^>]*>(.*?)</{t}", 1) for t in ("title", "h1"))
-    page = F.when((title == "") & (heading == ""), F.xxhash64(html)).otherwise(F.xxhash64(title, heading))
-    found = pages.select(host(url_col).alias("host"), page.alias("page"), html.alias("html"))
-    found = found.mapInPandas(subtrees, "host string, page bigint, tree bigint").groupBy("host", "tree", "page").agg(F.lit(1).alias("one"))
-    counts = found.groupBy("host", "tree").agg(F.count("*").alias("n"))
-    counts = common.materialise(counts.filter((F.col("n") >= min_pages) | (F.col("tree") == 0)), "html-subtrees")  # 0 stands for the page
-    size = counts.filter("tree = 0").select("host", F.col("n").alias("pages"))
-    many = counts.filter("tree <> 0").join(size, "host").filter(F.col("n") >= min_share * F.col("pages"))
-    return common.materialise(many.groupBy("host").agg(F.collect_set("tree").alias("templates")), "html-templates")
+    site, page = _keys(pages, url_col, html_col)
+    found = pages.select(site.alias("site"), page.alias("page"), common.text_of(html_col).alias("html")).mapInPandas(subtrees, "page bigint, tree bigint")
+    found = common.materialise(found.distinct(), "html-subtrees")
+    counts = common.materialise(found.groupBy("tree").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages), "html-templates")
+    marks = found.join(common.broadcast_if(counts, counts.count(), 16), "tree").groupBy("page").agg(F.collect_list(F.struct("tree", "n")).alias("marks"))
+    return common.materialise(marks, "html-marks")
 
 
 def extract(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", name: str = "main_text", **limits) -> DataFrame:
     """``pages`` with their main text. Null html and pages without text give an empty string."""
     common.small_batches(pages.sparkSession)
-    name, at, own = common.fresh(pages, name, "page_host", "page_templates")
-    templates = site_templates(pages, url_col=url_col, html_col=html_col, **limits).toDF(at, own)
-    templates = common.broadcast_if(templates, templates.agg(F.coalesce(F.sum(F.size(own) + 8), F.lit(0))).first()[0], 8)
+    name, at, own = common.fresh(pages, name, "page_key", "page_marks")
+    marks = site_templates(pages, url_col=url_col, html_col=html_col, **limits).toDF(at, own)
+    marks = common.broadcast_if(marks, marks.agg(F.coalesce(F.sum(F.size(own) + 4), F.lit(0))).first()[0], 16)
 
     @F.pandas_udf("string")
-    def text(html: pd.Series, marks: pd.Series) -> pd.Series:
-        return pd.Series([main_text(h, frozenset(() if m is None else m.tolist())) for h, m in zip(html, marks, strict=True)], dtype=object)
+    def text(html: pd.Series, site: pd.Series, trees: pd.Series, counts: pd.Series) -> pd.Series:
+        rows = zip(html, site.tolist(), trees, counts, strict=True)
+        return pd.Series([main_text(h, {} if t is None else dict(zip((t ^ s).tolist(), n.tolist(), strict=True))) for h, s, t, n in rows], dtype=object)
 
-    rows = pages.withColumn(at, host(url_col)).join(templates, at, "left")
-    return rows.withColumn(name, text(F.col(html_col), F.col(own))).select(*pages.columns, name)
+    site, page = _keys(pages, url_col, html_col)
+    rows = pages.withColumn(at, page).join(marks, at, "left")
+    return rows.withColumn(name, text(F.col(html_col), site, F.col(own).tree, F.col(own).n)).select(*pages.columns, name)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

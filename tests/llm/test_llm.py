@@ -205,6 +205,16 @@ def test_names_do_not_delete_articles():
     assert text("<div hidden><main>no</main></div><p>a</p>") == "a"
 
 
+def test_templates_of_constant_titles_and_large_hosts(spark):
+    # One title and h1 on all pages, and a box on 6 of 100 pages.
+    page = "<title>same</title><div><h1>same</h1></div><div><p>menu</p></div>{box}<div><p>text {k}</p></div>"
+    rows = [(k, f"http://big.example.com/{k}", page.format(k=k, box="<div><b>box</b></div>" if k < 6 else "")) for k in range(100)]
+    rows += [(k, "http://big.example.com/again", page.format(k=0, box="<section>one page only</section>")) for k in range(100, 110)]  # one content counts once
+    out = {r.page_id: r.main_text for r in html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[k] == f"text {k}" for k in range(100)) and len(out) == 110
+    assert out[105] == "one page only text 0"
+
+
 # -- exact duplicates ----------------------------------------------------------------------
 
 def test_fuse_filter():
