@@ -2,12 +2,14 @@
 
 First pass: every element's subtree is hashed (tags, class and id, text). Spark counts in how
 many pages of different content of its host each subtree stands.
-Second pass: subtrees that recur across pages of their host are deleted, as are elements
-that markup itself names as no part of the article (menus, footers, adverts, forms, scripts,
-reader comments). A name alone deletes nothing that holds the article, its heading or most of the
-text, and none where it would leave nothing. Prose in a marked article (paragraphs, headings) stays
-even where it recurs, as in series of like articles. What is left of the article, or of the body
-without one, is the text.
+Second pass: subtrees that recur across pages of their host are deleted, inside a marked article
+(article, main) as outside it, as are elements that markup itself names as no part of the article
+(menus, footers, adverts, forms, scripts, reader comments). A name alone deletes nothing that holds
+the article, its heading or most of the text, and none where it would leave nothing. Copies of an
+article are no templates: a subtree's pages count as one where the text that stands on them alone is
+alike (at least 30 words, by sketches of their runs of three), and where three quarters of a page's prose (paragraphs,
+headings) recur, what stands in at most twice as many pages as that prose stays. The h1 of a marked
+article always stays. What is left is the text.
 
 Counts are partial before their shuffle, so a host with a third of all pages is no hot key.
 Templates go to pages as rows of (page, subtree): a host may have any number.
@@ -16,6 +18,7 @@ Templates go to pages as rows of (page, subtree): a host may have any number.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Mapping
 from html import unescape
 
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 from . import common
 
 MIN_PAGES = 5  # a template stands in so many pages of its host, whatever the host's size
+SKETCH = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) ** 5 % 2**64 | 1 for k in range(16)], dtype=np.uint64)  # odd factors of hash functions
+ALIKE, WORDS = 8, 30  # so many equal values over so many words tell copies of one article
 
 # Names of HTML elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,7 +43,7 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 NEVER = frozenset("nav footer aside form button dialog menu head search input label fieldset audio video canvas map".split()) | RAW
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre article main".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 CLOSES_P = BLOCK - frozenset("body html head caption tbody td tfoot th thead tr option optgroup legend dd dt li".split()) | {"dl", "ol", "ul", "table"}
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 HOLDERS = frozenset("ul ol dl table select menu".split())  # an end tag or sibling rule does not reach beyond these
@@ -208,7 +213,64 @@ def _foreign(node: Node, in_article: bool, by_name: bool = True) -> bool:
     return bool(node.hint) and ("\0" in node.hint or by_name and not node.spare and bool(HINT.search(MODIFIER.sub("", node.hint))))
 
 
-def _blocks(root: Node, templates: frozenset[int], only_article: bool, by_name: bool = True) -> list[str]:
+def _sketch(text: str) -> list[int]:
+    """The number of words, and of each of SKETCH hash functions the least value over the runs of three words."""
+    n = len(text.split())
+    words = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in text.split()], dtype=np.uint64)
+    if len(words) > 2:
+        words = words[:-2] * np.uint64(0x9E3779B97F4A7C15) + words[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + words[2:]
+    elif len(words) == 2:
+        words = words[:1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]
+    words ^= words >> np.uint64(29)
+    return [n, *((words[:, None] * SKETCH) >> np.uint64(33)).min(0).tolist()]
+
+
+def shown(root: Node) -> dict[int, list[int]]:
+    """The hashes of block elements with text that may stand in the main text, each with the sketch of
+    the text that stands in it and no inner block (none: empty)."""
+    blocks = hashes(root)
+    _spare(root)
+    own: dict[int, list[str]] = {}
+    todo: list[tuple[Node | str, bool, int]] = [(root, False, 0)]
+    while todo:
+        node, inside, block = todo.pop()
+        if isinstance(node, str):
+            own.setdefault(block, []).append(node)
+        elif not _foreign(node, inside):
+            inside = inside or node.tag in ("article", "main")
+            if node.tag in BLOCK:
+                block = node.mark
+                if block in own:
+                    block = 0  # the same subtree again
+                elif block in blocks:
+                    own[block] = []
+            todo.extend((k, inside, block) for k in reversed(node.kids))
+    return {b: _sketch(t) if (t := " ".join(texts)).strip() else [] for b, texts in own.items() if b in blocks}
+
+
+def _copied(root: Node, templates: Mapping[int, int], by_name: bool) -> int:
+    """In so many pages at least three quarters of this page's prose stand, by characters. A page whose prose
+    recurs is a copy; what recurs about as often belongs to it and is no template."""
+    sizes: dict[int, int] = {}
+    todo: list[tuple[Node | str, bool, int | None]] = [(root, False, None)]  # what, inside an article, pages of its prose
+    while todo:
+        node, inside, pages = todo.pop()
+        if isinstance(node, str):
+            if pages is not None and (n := len("".join(node.split()))):
+                sizes[pages] = sizes.get(pages, 0) + n
+        elif not _foreign(node, inside, by_name):
+            inside = inside or node.tag in ("article", "main")
+            pages = templates.get(node.mark, 0) if node.tag in PROSE else pages
+            todo.extend((k, inside, pages) for k in node.kids)
+    most, above = 0.75 * sum(sizes.values()), 0
+    for pages in sorted(sizes, reverse=True):
+        above += sizes[pages]
+        if above >= most:
+            return pages
+    return 0
+
+
+def _blocks(root: Node, templates: Mapping[int, int], by_name: bool = True) -> list[str]:
     out, run = [], []
 
     def end() -> None:
@@ -217,6 +279,7 @@ def _blocks(root: Node, templates: frozenset[int], only_article: bool, by_name:
             out.append(text)
         run.clear()
 
+    kept = 2 * _copied(root, templates, by_name) if templates else 0
     # (what, inside an article); None ends a block.
     todo: list[tuple[Node | str | None, bool]] = [(root, False)]
     while todo:
@@ -224,12 +287,11 @@ def _blocks(root: Node, templates: frozenset[int], only_article: bool, by_name:
         if node is None:
             end()
         elif isinstance(node, str):
-            if inside or not only_article:
-                run.append(node)
+            run.append(node)
         elif node.tag == "br":
             run.append(" ")
-        elif not _foreign(node, inside, by_name) and (node is root or node.mark not in templates or node.tag not in BLOCK or (inside and node.tag in PROSE)):
-            inside = inside or node.tag in ("article", "main") or "main" in node.hint.split()
+        elif not _foreign(node, inside, by_name) and (node is root or node.tag not in BLOCK or (inside and node.tag == "h1") or templates.get(node.mark, 0) <= kept):
+            inside = inside or node.tag in ("article", "main")
             if node.tag in BLOCK:
                 end()
                 todo.append((None, inside))
@@ -239,14 +301,15 @@ def _blocks(root: Node, templates: frozenset[int], only_article: bool, by_name:
 
 
 def main_text(html: str | None, templates: Mapping[int, int] | frozenset[int] = frozenset()) -> str:
+    """``templates``: the subtrees that recur on the page's host, and in how many of its pages (a set: all alike)."""
     root = parse(html)
+    templates = templates if isinstance(templates, Mapping) else dict.fromkeys(templates, MIN_PAGES)
     if templates:
         hashes(root)
     _spare(root)
-    for marks, by_name in ((templates, True), (frozenset(), True), (frozenset(), False)):  # a page that is all template, or all named as none, keeps its article
-        for only_article in (True, False):
-            if blocks := _blocks(root, marks, only_article, by_name):
-                return " ".join(blocks)
+    for marks, by_name in ((templates, True), ({}, True), ({}, False)):  # a page that is all template, or all named as none, keeps its text
+        if blocks := _blocks(root, marks, by_name):
+            return " ".join(blocks)
     return ""
 
 
@@ -261,20 +324,37 @@ def _keys(pages: DataFrame, url_col: str, html_col: str) -> tuple:
 
 def site_templates(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
     """page, marks (array of tree and n): a page's subtrees (hashes, mixed with its host's) that stand in at least
-    ``min_pages`` pages of different content of the host, and in how many. Pages without any have no row."""
+    ``min_pages`` pages of different content of the host, and in how many. Copies of one article, told by the
+    text that does not recur, count as one page. Pages without any have no row."""
     common.small_batches(pages.sparkSession)
 
     def subtrees(batches):
         for b in batches:
-            found = [[t ^ site for t in hashes(parse(html))] for site, html in zip(b["site"].tolist(), b["html"], strict=True)]
-            yield pd.DataFrame({"page": b["page"].repeat([len(f) for f in found]).to_numpy(), "tree": np.array([t for f in found for t in f], dtype=np.int64)})
+            found = [(page, t ^ site, sketch) for site, page, html in zip(b["site"].tolist(), b["page"].tolist(), b["html"], strict=True) for t, sketch in shown(parse(html)).items()]
+            yield pd.DataFrame(found, columns=["page", "tree", "sketch"])
 
     site, page = _keys(pages, url_col, html_col)
-    found = pages.select(site.alias("site"), page.alias("page"), common.text_of(html_col).alias("html")).mapInPandas(subtrees, "page bigint, tree bigint")
-    found = common.materialise(found.distinct(), "html-subtrees")
-    counts = common.materialise(found.groupBy("tree").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages), "html-templates")
-    marks = found.join(common.broadcast_if(counts, counts.count(), 16), "tree").groupBy("page").agg(F.collect_list(F.struct("tree", "n")).alias("marks"))
-    return common.materialise(marks, "html-marks")
+    found = pages.select(site.alias("site"), page.alias("page"), common.text_of(html_col).alias("html")).mapInPandas(subtrees, "page bigint, tree bigint, sketch array<int>")
+    found = common.materialise(found.dropDuplicates(["page", "tree"]), "html-subtrees")
+    counts = common.materialise(found.groupBy("tree").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages), "html-recurring")
+    n_counts = counts.count()
+    flagged = found.join(common.broadcast_if(counts, n_counts, 16), "tree", "left")
+    # The sketch of what stands on a page alone: one value where all recurs, null where a few words tell nothing.
+    alone = lambda k: F.when(F.col("n").isNull() & (F.size("sketch") > 0), F.get("sketch", F.lit(k)))
+    n_words = F.coalesce(F.sum(alone(0)), F.lit(0))
+    least = [F.when(n_words == 0, F.lit(-1)).when(n_words >= WORDS, F.min(alone(k + 1))) for k in range(len(SKETCH))]
+    rest = flagged.groupBy("page").agg(F.array(*least).alias("rest"), F.collect_list(F.when(F.col("n").isNotNull(), F.struct("tree", "n"))).alias("marks"))
+    rest = common.materialise(rest.filter(F.size("marks") > 0), "html-rests")
+    pairs = rest.select("rest", F.explode("marks").alias("m")).select("m.tree", "m.n", "rest")
+    groups = pairs.select("tree", "n", F.posexplode("rest").alias("k", "value")).groupBy("tree", "n", "k", "value").agg(F.count("*").alias("like"))
+    # Values that a quarter of a subtree's pages share name copies of one article.
+    copies = groups.filter(F.col("value").isNotNull() & (F.col("like") > 1) & (4 * F.col("like") >= F.col("n"))).groupBy("tree", "k").agg(F.max_by("value", F.struct("like", "value")).alias("value"))
+    copies = common.materialise(copies.groupBy("tree").agg(F.collect_list(F.struct("k", "value")).alias("shared")), "html-copies")
+    alike = F.size(F.filter("shared", lambda x: F.get("rest", x.k) == x.value)) >= ALIKE
+    one = pairs.join(common.broadcast_if(copies, copies.count(), 160), "tree").groupBy("tree", "n").agg(F.count_if(~alike).alias("others")).filter(F.col("others") + 1 < min_pages).select("tree")
+    one = common.materialise(one, "html-articles")
+    marks = rest.select("page", F.explode("marks").alias("m")).select("page", "m.tree", "m.n").join(common.broadcast_if(one, one.count(), 8), "tree", "left_anti")
+    return common.materialise(marks.groupBy("page").agg(F.collect_list(F.struct("tree", "n")).alias("marks")), "html-marks")
 
 
 def extract(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", name: str = "main_text", **limits) -> DataFrame:

@@ -215,6 +215,28 @@ def test_templates_of_constant_titles_and_large_hosts(spark):
     assert out[105] == "one page only text 0"
 
 
+def test_counts_decide_inside_and_outside_articles(spark):
+    def extract(pages):
+        rows = [(k, f"http://h.example.com/{k}", p) for k, p in enumerate(pages)]
+        return [r.main_text for r in html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+    own = [f"own text {k} of some length" for k in range(48)]
+    plain = [f"<div><div>menu</div><div>{x}</div><article><p>teaser {x[:10]}</p></article></div>" for x in own[:8]]
+    notice = [f"<main><article><h1>T {k}</h1><p>Read our terms.</p><p>{x}</p></article></main>" for k, x in enumerate(own[8:40])]
+    shared = "".join(f"<p>paragraph {k} of an article that was copied</p>" for k in range(4))  # near copies: one paragraph differs
+    copies = [f"<article><p>Read our terms.</p>{shared}<ul><li>a list</ul><p>{x}</p></article>" for x in own[40:]]
+    rng = random.Random(9)
+    base = words(rng, 300, 5000).split()  # one article, many words changed; heading and opening are the same
+    edits = [" ".join(f"x{rng.randrange(9999)}" if rng.random() < 0.08 else w for w in base) for _ in range(12)]
+    series = [f"<article><h1>Series</h1><p>The opening.</p><p>{x}</p><p>Read our terms.</p></article>" for x in edits]
+    got = extract(plain + notice + copies + series)
+    assert got[48:] == [f"Series The opening. {x}" for x in edits]
+    got = got[:48]
+    assert got[:8] == [f"{x} teaser {x[:10]}" for x in own[:8]]
+    assert got[8:40] == [f"T {k} {x}" for k, x in enumerate(own[8:40])]
+    assert got[40:] == [f"{' '.join(f'paragraph {k} of an article that was copied' for k in range(4))} a list {x}" for x in own[40:]]
+
+
 # -- exact duplicates ----------------------------------------------------------------------
 
 def test_fuse_filter():
