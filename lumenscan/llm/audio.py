@@ -3,8 +3,8 @@
 Sound becomes frames of energy in the twelve pitch classes. Haar-like filters, each a
 difference of two rectangle sums over (time, pitch class) that an integral image gives in four
 lookups, are quantised to two bits; sixteen of them pack into one 32-bit integer per position.
-Recordings that share integers are aligned: the histogram of their offsets names the shift,
-the share of differing bits over the overlap says how alike they are.
+Recordings that share integers are aligned: the histogram of their offsets names the shifts to
+compare, the bits that differ over the overlap say how alike they are.
 
 Recordings with equal fingerprints form one class first, so a group of copies takes part in the
 search once. The search is a join on the integers, grouped by pair and offset.
@@ -17,7 +17,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from . import common
 
@@ -114,36 +113,54 @@ def fingerprint(recordings: DataFrame, media_col: str, *, to_frames=chroma, name
     return recordings.withColumn(name, make(F.col(media_col)))
 
 
-@F.pandas_udf(T.StructType([T.StructField("bit_error", T.DoubleType()), T.StructField("compared", T.IntegerType())]))
-def _errors(a: pd.Series, b: pd.Series, offset: pd.Series) -> pd.DataFrame:
-    rows = [bit_error(np.asarray(x, dtype=np.int32).view(np.uint32), np.asarray(y, dtype=np.int32).view(np.uint32), int(o)) for x, y, o in zip(a, b, offset, strict=True)]
-    return pd.DataFrame(rows, columns=["bit_error", "compared"])
+def best_shift(a: np.ndarray, b: np.ndarray, offsets: np.ndarray, votes: np.ndarray) -> tuple[int, float, int, int]:
+    """Of the offsets the one of highest score (bits alike less bits that differ), with its bit error, the positions
+    compared and the score. ``votes``: equal positions; as the others differ in a bit at least, they bound a score."""
+    compared = np.minimum(len(b), len(a) - offsets) - np.maximum(0, -offsets)
+    bound = 32 * compared - 2 * (compared - votes)
+    best = None
+    for k in np.lexsort((offsets, -bound)):
+        if best is not None and bound[k] < best[0]:
+            break
+        error, n = bit_error(a, b, int(offsets[k]))
+        rank = (32 * n - 2 * round(32 * n * error), -error, -int(offsets[k]), n)
+        best = rank if best is None else max(best, rank)
+    return -best[2], -best[1], best[3], best[0]
 
 
-def align(prints: DataFrame, is_query, *, id_col: str = "rec_id", codes_col: str = "codes", least: int = 3, offsets: int = 3) -> DataFrame:
+@F.pandas_udf(T.StructType([T.StructField("offset", T.IntegerType()), T.StructField("bit_error", T.DoubleType()), T.StructField("compared", T.IntegerType()), T.StructField("score", T.LongType())]))
+def _best(a: pd.Series, b: pd.Series, offsets: pd.Series, votes: pd.Series) -> pd.DataFrame:
+    rows = [best_shift(np.asarray(x, dtype=np.int32).view(np.uint32), np.asarray(y, dtype=np.int32).view(np.uint32), o.astype(np.int64), v) for x, y, o, v in zip(a, b, offsets, votes, strict=True)]
+    return pd.DataFrame(rows, columns=["offset", "bit_error", "compared", "score"])
+
+
+def align(prints: DataFrame, is_query, *, id_col: str = "rec_id", codes_col: str = "codes", least: int = 3) -> DataFrame:
     """One row per recording: rec_id, n_codes, digest, class_id (smallest rec_id of equal fingerprints), and
     for those that ``is_query`` picks the best other class: match_id, offset (its position less the
-    query's), bit_error, compared. Pairs need ``least`` common integers at one offset; the
-    ``offsets`` fullest bins of a pair's histogram are compared. Empty fingerprints match nothing."""
+    query's), bit_error, compared. Pairs need ``least`` equal positions at one offset; every such offset of every
+    pair is compared, and the one with most bits alike, less those that differ, wins. Empty fingerprints match nothing."""
+    common.small_batches(prints.sparkSession)
     rows = common.materialise(prints.select(F.col(id_col).alias("rec_id"), F.col(codes_col).alias("codes"), is_query.alias("query")), "audio-prints")
     rows = rows.withColumn("digest", F.sha2(F.array_join(F.col("codes").cast("array<string>"), ","), 256))
     classes = common.materialise(
         rows.filter(F.size("codes") > 0).groupBy("digest").agg(F.min("rec_id").alias("class_id"), F.max("query").alias("query"), F.first("codes").alias("codes")), "audio-classes")
-    # Of a run of equal integers the first is looked up; copies of silence would else meet in every pair of places.
-    places = classes.select("class_id", "query", "codes", F.posexplode("codes").alias("pos", "code")).filter(
-        (F.col("pos") == 0) | (F.element_at("codes", F.greatest("pos", F.lit(1))) != F.col("code"))).drop("codes")
-    q = places.filter("query").select(F.col("class_id").alias("a"), F.col("pos").alias("at_a"), "code")
-    o = places.select(F.col("class_id").alias("b"), F.col("pos").alias("at_b"), "code")
-    bins = q.join(o, "code").filter("a <> b").groupBy("a", "b", (F.col("at_b") - F.col("at_a")).alias("offset")).agg(F.count("*").alias("votes")).filter(F.col("votes") >= least)
-    best = bins.withColumn("rank", F.row_number().over(Window.partitionBy("a", "b").orderBy(F.desc("votes"), F.abs("offset"), "offset"))).filter(F.col("rank") <= offsets)
+    # A run of equal integers is one row with its length; two runs overlap by up to the shorter at each offset.
+    starts = classes.withColumn("starts", F.expr("filter(sequence(0, size(codes) - 1), i -> i = 0 OR codes[greatest(i - 1, 0)] <> codes[i])"))
+    runs = starts.select("class_id", "query", F.expr("inline(transform(starts, (s, k) -> struct(s AS pos, coalesce(get(starts, k + 1), size(codes)) - s AS len, codes[s] AS code)))"))
+    q = runs.filter("query").select(F.col("class_id").alias("a"), F.col("pos").alias("at_a"), F.col("len").alias("len_a"), "code")
+    o = runs.select(F.col("class_id").alias("b"), F.col("pos").alias("at_b"), F.col("len").alias("len_b"), "code")
+    met = q.join(o, "code").filter("a <> b").select("a", "b", "at_a", "at_b", "len_a", "len_b", F.explode(F.expr("sequence(at_b - at_a - len_a + 1, at_b - at_a + len_b - 1)")).alias("offset"))
+    equal = F.least(F.col("at_b") + F.col("len_b"), F.col("at_a") + F.col("len_a") + F.col("offset")) - F.greatest(F.col("at_b"), F.col("at_a") + F.col("offset"))
+    bins = met.groupBy("a", "b", "offset").agg(F.sum(equal).alias("votes")).filter(F.col("votes") >= least)
+    pairs = bins.groupBy("a", "b").agg(F.collect_list(F.struct("offset", "votes")).alias("bins"))
     of = classes.select("class_id", "codes")
-    both = best.join(of.toDF("a", "codes_a"), "a").join(of.toDF("b", "codes_b"), "b")
-    # bit_error shifts its first list, so that is the match.
-    errors = both.select("a", "b", "offset", "votes", _errors("codes_b", "codes_a", "offset").alias("e")).filter("e.compared > 0")
-    top = errors.groupBy("a").agg(F.min_by(F.struct("b", "offset", "e"), F.struct("e.bit_error", (-F.col("e.compared")).alias("c"), "b", "offset")).alias("m"))
+    both = pairs.join(of.toDF("a", "codes_a"), "a").join(of.toDF("b", "codes_b"), "b")
+    # best_shift shifts its first list, so that is the match.
+    best = both.select("a", "b", _best("codes_b", "codes_a", F.col("bins").offset, F.col("bins").votes).alias("e"))
+    top = best.groupBy("a").agg(F.min_by(F.struct("b", "e"), F.struct((-F.col("e.score")).alias("s"), "e.bit_error", "b")).alias("m"))
     named = rows.join(classes.select("digest", "class_id"), "digest", "left").withColumn("class_id", F.coalesce("class_id", "rec_id"))
     found = named.join(top, (named.class_id == top.a) & named.query, "left")
-    return found.select("rec_id", F.size("codes").cast("long").alias("n_codes"), "digest", "class_id", F.col("m.b").alias("match_id"), F.col("m.offset").alias("offset"), F.col("m.e.bit_error").alias("bit_error"), F.col("m.e.compared").alias("compared"))
+    return found.select("rec_id", F.size("codes").cast("long").alias("n_codes"), "digest", "class_id", F.col("m.b").alias("match_id"), F.col("m.e.offset").alias("offset"), F.col("m.e.bit_error").alias("bit_error"), F.col("m.e.compared").alias("compared"))
 
 
 def tune(vector: np.ndarray) -> np.ndarray:

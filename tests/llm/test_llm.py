@@ -437,6 +437,31 @@ def test_shifted_recordings_align(spark):
     assert out[3].n_codes == out[4].n_codes == 0 and out[3].match_id is None
 
 
+def test_audio_alignment_is_whole(spark):
+    rng = np.random.default_rng(3)
+    noise = lambda n: rng.integers(-(2**31), 2**31, n)
+    true = noise(300)
+    near = true ^ np.where(rng.random(300) < 0.3, 1, 0)  # one bit of 32 in three of ten positions
+    loop = np.tile(noise(5), 12)  # repeats: many offsets with as many votes
+    far = np.concatenate([noise(40), loop[:20], noise(3)])
+    steady = [7] * 40
+    rows = [(0, true), (1, near), (2, np.concatenate([noise(50), true[:4]])), (20, loop), (3, far), (40, steady), (4, [7] * 25), (60, noise(30)), (80, np.array([5, 6] * 10)), (5, np.array([6, 5] * 8))]
+    codes = {k: np.asarray(c, dtype=np.int32).view(np.uint32) for k, c in rows}
+    d = spark.createDataFrame([(k, [int(x) for x in np.asarray(c)]) for k, c in rows], "rec_id long, codes array<int>")
+    got = {r.rec_id: r for r in audio.align(d, F.col("rec_id") % 20 == 0).collect()}
+    for a in (0, 20, 40, 60, 80):  # brute force over every offset of every pair
+        best = None
+        for b in codes:
+            for o in range(1 - len(codes[a]), len(codes[b])) if b != a else ():
+                lo, hi = max(0, -o), min(len(codes[a]), len(codes[b]) - o)
+                if (codes[b][lo + o : hi + o] == codes[a][lo:hi]).sum() >= 3:
+                    e, n = audio.bit_error(codes[b], codes[a], o)
+                    rank = (-round(32 * n * (1 - 2 * e)), e, b, o)
+                    best = min(best or rank, rank)
+        assert (got[a].match_id, got[a].offset) == ((best[2], best[3]) if best else (None, None)), a
+    assert got[0].match_id == 1 and got[40].match_id == 4 and got[60].match_id is None
+
+
 # -- pipeline ------------------------------------------------------------------------------
 
 def test_pipeline_stages(spark, docs, corpus):
