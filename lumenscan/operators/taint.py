@@ -9,6 +9,8 @@ the next round, until no new function is entered.
 from __future__ import annotations
 
 import posixpath
+import tempfile
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -245,9 +247,16 @@ def _enter(round_: int):
     return enter
 
 
-def track(p: Parsed, *, sinks: DataFrame | None = None, sources: DataFrame | None = None, max_rounds: int = 10) -> DataFrame:
+def _folder(spark) -> str:
+    """A new folder that driver and executors share; a local one where the session names none."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{shared.rstrip('/')}/taint-{uuid.uuid4().hex}"
+
+
+def track(p: Parsed, *, sinks: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
     """Findings: rule TAINT (with sink_type) or a probe's name, name of the callee, line, arg_no, var, flow, and
-    round: 0 within a file, k after k steps into other files. ``p.files`` needs path for imports."""
+    round: 0 within a file, k after k steps into other files. ``p.files`` needs path for imports.
+    Rounds end when no argument of a function is entered for the first time; each is written, so lineage does not grow."""
     spark = p.files.sparkSession
     known = builtin_sinks(spark)
     if sinks is not None:
@@ -259,19 +268,24 @@ def track(p: Parsed, *, sinks: DataFrame | None = None, sources: DataFrame | Non
         fold.walk(float("-inf"), float("inf"))
         return _results(fold, rows["file_id"].iloc[0], 0)
 
-    found = e.groupBy("file_id").applyInPandas(whole, FOUND).persist()
-    every, reached = found, None
-    for k in range(1, max_rounds + 1):
+    folder = _folder(spark)
+
+    def write(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
+
+    found, k = write(e.groupBy("file_id").applyInPandas(whole, FOUND), "found/k=0"), 0
+    functions = e.filter("op = 'function'").select(F.col("file_id").alias("to_file"), F.col("path").alias("to_path"), F.col("name").alias("fn"), F.col("more").alias("params"))
+    while True:
         calls = found.filter("rule = 'CROSS'").groupBy("to_path", "export", "arg_no").agg(F.min("flow").alias("flow"))
-        f = e.filter("op = 'function'").select(F.col("file_id").alias("to_file"), F.col("path").alias("to_path"), F.col("name").alias("fn"), F.col("more").alias("params"))
-        seeds = calls.join(f, "to_path").filter((F.col("fn") == F.col("export")) | (F.col("export") == "default")).filter("arg_no < size(params)").select("to_file", "fn", "arg_no", "flow")
-        if reached is not None:
+        seeds = calls.join(functions, "to_path").filter((F.col("fn") == F.col("export")) | (F.col("export") == "default")).filter("arg_no < size(params)").select("to_file", "fn", "arg_no", "flow")
+        if k:
+            reached = spark.read.schema(seeds.schema).parquet(*(f"{folder}/seeds/k={j}" for j in range(1, k + 1)))
             seeds = seeds.join(reached, ["to_file", "fn", "arg_no"], "left_anti")
-        seeds = seeds.persist()
+        k += 1
+        seeds = write(seeds, f"seeds/k={k}")
         if seeds.isEmpty():
             break
-        reached = seeds.select("to_file", "fn", "arg_no") if reached is None else reached.unionByName(seeds.select("to_file", "fn", "arg_no"))
-
-        found = e.groupBy("file_id").cogroup(seeds.groupBy("to_file")).applyInPandas(_enter(k), FOUND).persist()
-        every = every.unionByName(found)
+        found = write(e.groupBy("file_id").cogroup(seeds.groupBy("to_file")).applyInPandas(_enter(k), FOUND), f"found/k={k}")
+    every = spark.read.schema(found.schema).parquet(*(f"{folder}/found/k={j}" for j in range(k)))
     return every.filter("rule <> 'CROSS'").drop("to_path", "export")

@@ -79,6 +79,14 @@ def test_taint_rules(spark):
         ("0", "TAINT", 3, 2), ("5", "TAINT", 4, 2), ("6", "TAINT", 1, 2), ("7", "SENSITIVE_LOG", 4, 1)]
 
 
+def test_taint_over_many_files(spark):
+    rows = [("0", "src/m0.js", "import { f } from './m1';\nconst a = req.query.x;\nf(a);")]
+    rows += [(str(k), f"src/m{k}.js", f"import {{ f as g }} from './m{k + 1}';\nfunction f(p) {{ g(p); }}") for k in range(1, 13)]
+    rows += [("13", "src/m13.js", "import { f as g } from './m1';\nfunction f(p) { g(p); db.query(p); }")]  # and round again
+    got = taint.track(syntax_rules.prepare(spark.createDataFrame(rows, "file_id string, path string, content string"))).collect()
+    assert [(r.file_id, r.rule, r.round) for r in got] == [("13", "TAINT", 13)]
+
+
 def test_custom_rules_and_crawl(spark, tmp_path):
     (tmp_path / "rules").mkdir()
     (tmp_path / "rules/a.yaml").write_text("rules:\n  - {id: s, type: SINK, targetPattern: audit, severity: 9}\n  - {id: h, type: SOURCE, targetPattern: x-user}\n  - {id: no}\n")
