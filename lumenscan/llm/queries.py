@@ -18,10 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op2_licence_scan": licences.op2,
-    "op3_quality_pu": quality.op3,
-    "op4_main_text": html_main.op4,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
-    "op7_audio_fingerprint": audio.op7,
     "op8_jaccard_join": jaccard.OP8_SQL,
 }

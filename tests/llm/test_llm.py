@@ -462,6 +462,12 @@ def test_audio_alignment_is_whole(spark):
     assert got[0].match_id == 1 and got[40].match_id == 4 and got[60].match_id is None
 
 
+def test_oracle_is_sql():
+    from lumenscan.llm import queries
+
+    assert queries.ORACLE_SQL and all(isinstance(q, str) for q in queries.ORACLE_SQL.values())
+
+
 # -- pipeline ------------------------------------------------------------------------------
 
 def test_pipeline_stages(spark, docs, corpus):
