@@ -261,7 +261,7 @@ def track(p: Parsed, *, sinks: DataFrame | None = None, sources: DataFrame | Non
     known = builtin_sinks(spark)
     if sinks is not None:
         known = known.unionByName(sinks.select("function_name", F.lit("CUSTOM_RULE").alias("sink_type"), (F.col("ord") + 1000).alias("ord")))
-    e = events(p, known, sources).join(p.files.select("file_id", F.col("path") if "path" in p.files.columns else F.lit(None).cast("string").alias("path")), "file_id").persist()
+    e = events(p, known, sources).join(p.files.select("file_id", F.col("path") if "path" in p.files.columns else F.lit(None).cast("string").alias("path")), "file_id")
 
     def whole(rows: pd.DataFrame) -> pd.DataFrame:
         fold = _Fold(rows["path"].iloc[0], rows)
@@ -274,6 +274,7 @@ def track(p: Parsed, *, sinks: DataFrame | None = None, sources: DataFrame | Non
         rows.write.parquet(f"{folder}/{name}")
         return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
 
+    e = write(e, "events")
     found, k = write(e.groupBy("file_id").applyInPandas(whole, FOUND), "found/k=0"), 0
     functions = e.filter("op = 'function'").select(F.col("file_id").alias("to_file"), F.col("path").alias("to_path"), F.col("name").alias("fn"), F.col("more").alias("params"))
     while True:
