@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +47,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+_written: dict[int, tuple] = {}
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of tables that ``materialise`` wrote, once all that is made of them is written too."""
+    for t in tables:
+        own, path = _written.pop(id(t), (lambda: None, None))
+        if own() is t:
+            hadoop = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -54,6 +71,18 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Like ``small_batches`` for the jobs that run within; the session's setting comes back afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    small_batches(spark, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def text_of(column: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(column), F.lit(""))

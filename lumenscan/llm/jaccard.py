@@ -10,16 +10,20 @@ threshold ends in one class, whatever the size of the groups; no pair list of a
    threshold t share one of these. Entries travel packed, dealt by shingle. A task first joins
    its own entries of a shingle and passes one on, so no list grows with a group of copies.
    Only shingles of two or more sets leave the index.
-4. In each list the most central set, the one whose shingles others share, is the hub. Each set is
+4. Skipping by place. Sets of n and m shingles must share o = ceil(t (n + m) / (1 + t)), so the first
+   shingle they share stands at place n - o at most in the one, m - o in the other. The smaller set
+   of a pair so needs an early entry (place up to n - ceil(2 t n / (1 + t)), about n / 7): lists without early entries
+   are skipped whole. Rare shingles come first, so what a group of copies shares stands late.
+5. In each list the most central set, the one whose shingles others share, is the hub. Each set is
    compared with the hub it shares most shingles with (``rounds`` times, then with hubs of other
    classes). Sets linked to a hub are answered by it: their pairs lie in one class already.
-5. What is left are lists whose sets lie in several classes. Their pairs are joined by blocks of
-   like size, skipping blocks that sizes rule out, pairs that the places in the index lists
-   rule out (too few shingles can follow), pairs with too many shingles that no other set has, and
-   pairs that the answers of a common hub rule out: the Jaccard distance is a metric, so
-   |d(h,x) - d(h,y)| > 1 - t parts x and y. Pairs must then share enough indexed shingles.
-
-Comparisons are exact, on sets made again from the texts of the sets concerned.
+6. What is left are lists whose sets lie in several classes. Early entries are joined with entries of
+   sets of like or larger size, by blocks of size, skipping pairs by sizes, places, shingles that no
+   other set has, and by the answers of a common hub h: x and y share at most
+   min(|hx|, |hy|) + min(|x| - |hx|, |y| - |hy|), and their distances from h differ by 1 - t at most.
+7. Answers from answers: a set near its hub keeps its difference from the hub. Of two sets of one hub
+   the overlap follows from their differences, without the texts. Other pairs are compared on sets
+   made again from the texts concerned. Both are exact.
 """
 
 from __future__ import annotations
@@ -50,11 +54,31 @@ def prefix(n, percent: int = PERCENT):
     return n - (percent * n + 99) // 100 + 1
 
 
+def prefix_column(percent: int = PERCENT):
+    return F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
+
+
+def early(n, percent: int = PERCENT):
+    """The last place at which the smaller set of a linked pair holds the first shingle of both."""
+    return n - F.floor((2 * percent * n + 99 + percent) / (100 + percent))
+
+
+def needed(n, m, percent: int = PERCENT):
+    """How many shingles linked sets of n and m shingles share at least."""
+    return F.floor((percent * (n + m) + 99 + percent) / (100 + percent))
+
+
 def _identity(s: np.ndarray) -> tuple[int, int]:
     d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def _name(s: np.ndarray, clashing: frozenset[int]) -> int:
+    """A set's identity v: the first word of its digest, the second where several sets have that first word."""
+    v, w = _identity(s)
+    return w if v in clashing else v
+
+
 # -- 1. sets and the sketch ------------------------------------------------------------------
 
 _SETS = "doc_id bigint, h bigint, n bigint, v bigint, w bigint, slice int, counts binary"
@@ -116,7 +140,7 @@ def _order(scanned: DataFrame) -> np.ndarray:
 _ENTRIES = "part int, tokens binary, owners binary, places binary, token bigint, v bigint, place int, last bigint"
 
 
-def _index(width: int, percent: int, parts: int, order):
+def _index(width: int, percent: int, parts: int, order, clashing: frozenset[int]):
     names = ["part", "tokens", "owners", "places", "token", "v", "place", "last"]
 
     def flush(held: list[tuple], ends: dict[int, int]) -> Iterator[pa.RecordBatch]:
@@ -132,16 +156,16 @@ def _index(width: int, percent: int, parts: int, order):
         m = int(many.sum())
         if m:
             no, blank = pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())
-            yield pa.record_batch([no, blank, blank, blank, pa.array(token[many].view(np.int64)), pa.array(owner[many]), pa.array(place[many].astype(np.int32)), pa.nulls(m, pa.int64())], names=names)
+            yield pa.record_batch([no, blank, blank, blank, pa.array(token[many].view(np.int64)), pa.array(owner[many]), pa.array(place[many]), pa.nulls(m, pa.int64())], names=names)
         token, owner, place = token[first], owner[first], place[first]
         part = (token % np.uint64(parts)).astype(np.int64)
         by = np.lexsort((owner, part))
-        cuts = np.append(0, np.cumsum(np.bincount(part, minlength=parts)))
+        used, cuts = np.unique(part[by], return_index=True)
+        cuts = np.append(cuts, len(part)).tolist()
         token, owner, place = token[by], owner[by], place[by]
-        used = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
-        blobs = [pa.array([x[cuts[p] : cuts[p + 1]].tobytes() for p in used], pa.binary()) for x in (token, owner, place)]
+        blobs = [pa.array([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()) for x in (token, owner, place)]
         none, zero = pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int32())
-        yield pa.record_batch([pa.array(used, pa.int32()), *blobs, none, none, zero, none], names=names)
+        yield pa.record_batch([pa.array(used.astype(np.int32)), *blobs, none, none, zero, none], names=names)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, held, size, ends = order.value, [], 0, {}
@@ -149,7 +173,7 @@ def _index(width: int, percent: int, parts: int, order):
             for s in sets(b.column("text").to_pylist(), width):
                 if not len(s):
                     continue
-                v = _identity(s)[0]
+                v = _name(s, clashing)
                 if v in ends:
                     continue
                 k = prefix(len(s), percent)
@@ -157,7 +181,7 @@ def _index(width: int, percent: int, parts: int, order):
                 rank = np.argsort(level, kind="stable")[:k]
                 # Where the indexed part ends in the global order: the level, then the hash.
                 ends[v] = (int(level[rank[-1]]) << 56) | int(s[rank[-1]] >> np.uint64(8))
-                held.append((s[rank], np.full(k, v), (np.arange(k) * 256 // len(s)).astype(np.uint8)))
+                held.append((s[rank], np.full(k, v), np.arange(k, dtype=np.int32)))
                 size += k
                 if size > CHUNK:
                     yield from flush(held, ends)
@@ -170,19 +194,25 @@ def _index(width: int, percent: int, parts: int, order):
 
 def _meet(own: pd.DataFrame) -> pd.DataFrame:
     """Entries of a part whose shingle several sets have."""
-    token, owner, place = (np.frombuffer(b"".join(own[c]), dtype=t) for c, t in (("tokens", np.uint64), ("owners", np.int64), ("places", np.uint8)))
+    token, owner, place = (np.frombuffer(b"".join(own[c]), dtype=t) for c, t in (("tokens", np.uint64), ("owners", np.int64), ("places", np.int32)))
     by = np.lexsort((owner, token))
     token, owner, place = token[by], owner[by], place[by]
     new = np.append(True, (token[1:] != token[:-1]) | (owner[1:] != owner[:-1]))
     token, owner, place = token[new], owner[new], place[new]
     same = token[1:] == token[:-1]
     many = np.append(False, same) | np.append(same, False)
-    return pd.DataFrame({"token": token[many].view(np.int64), "v": owner[many], "place": place[many].astype(np.int32)})
+    return pd.DataFrame({"token": token[many].view(np.int64), "v": owner[many], "place": place[many]})
 
 
 # -- 3. comparisons --------------------------------------------------------------------------
 
+_ANSWER = "a bigint, b bigint, common bigint, na bigint, nb bigint, less binary, more binary"
+
+
 def _compare(width: int):
+    """Overlaps of pairs of texts' sets. ``less`` and ``more``: what b lacks of a and has beyond it, where they
+    share at least half of their union."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
         for b in batches:
@@ -196,25 +226,46 @@ def _compare(width: int):
             texts = [b.column(t)[i].as_py() for t, i in want.values()]
             new = dict(zip(want, sets(texts, width), strict=True))
             new.update((x, known[x]) for x in {*a, *c} & known.keys())
-            both, na, nb = [], [], []
+            both, na, nb, less, more = [], [], [], [], []
             for x, y in zip(a, c, strict=True):
                 s, t = new[x], new[y]
-                if len(s) > len(t):
-                    s, t = t, s
                 at = np.searchsorted(t, s)
                 at[at == len(t)] = 0
-                both.append(int((t[at] == s).sum()) if len(t) else 0)
-                na.append(len(new[x]))
-                nb.append(len(new[y]))
+                same = t[at] == s if len(t) else np.zeros(len(s), dtype=bool)
+                n = int(same.sum())
+                union = len(s) + len(t) - n
+                keep = 2 * n >= union
+                other = np.ones(len(t), dtype=bool)
+                other[at[same]] = False
+                both.append(n)
+                na.append(len(s))
+                nb.append(len(t))
+                less.append(s[~same].tobytes() if keep else None)
+                more.append(t[other].tobytes() if keep else None)
             # Rows come sorted by a, so its set serves the next batch too.
             known = {a[-1]: new[a[-1]]} if a else {}
-            yield pa.record_batch([b.column("a"), b.column("b"), pa.array(both, pa.int64()), pa.array(na, pa.int64()), pa.array(nb, pa.int64())], names=["a", "b", "common", "na", "nb"])
+            yield pa.record_batch([b.column("a"), b.column("b"), *(pa.array(x, pa.int64()) for x in (both, na, nb)), pa.array(less, pa.binary()), pa.array(more, pa.binary())], names=["a", "b", "common", "na", "nb", "less", "more"])
 
     return compare
 
 
+def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The overlap of two sets from their differences from one hub: what both have of it, and what both have beyond it."""
+    for b in batches:
+        common = []
+        for nh, *parts in zip(*(b.column(c).to_pylist() for c in ("nh", "less_a", "more_a", "less_b", "more_b")), strict=True):
+            la, ma, lb, mb = (np.frombuffer(x, dtype=np.uint64) for x in parts)
+            lacking = len(la) + len(lb) - len(np.intersect1d(la, lb, assume_unique=True))
+            common.append(nh - lacking + len(np.intersect1d(ma, mb, assume_unique=True)))
+        yield pa.record_batch([*(b.column(c) for c in ("a", "b", "na", "nb")), pa.array(common, pa.int64())], names=["a", "b", "na", "nb", "common"])
+
+
+def _linked(percent: int):
+    return 100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, lend: DataFrame, width: int, percent: int, repeated: bool) -> DataFrame:
-    """a, b, common, na, nb, linked. ``pairs``: a, b, written out. ``texts``: doc_id, h, text; ``lend``: of
+    """_ANSWER and linked. ``pairs``: a, b, written out. ``texts``: doc_id, h, text; ``lend``: of
     each set v the doc_id and h of a document that has it. Only texts of these sets are read on. A set
     that many pairs name is a skewed join key, which AQE splits."""
     ids = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
@@ -227,8 +278,10 @@ def _verify(pairs: DataFrame, texts: DataFrame, lend: DataFrame, width: int, per
     # Texts go to the pairs by a broadcast of the pairs while these are few, so each moves once at most.
     with_b = wanted.select(F.col("v").alias("b"), F.col("text").alias("text_b")).join(common.broadcast_if(pairs, pairs.count(), 40), "b")
     both = with_b.join(wanted.select(F.col("v").alias("a"), F.col("text").alias("text_a")), "a")
-    done = both.select("a", "b", "text_a", "text_b").mapInArrow(_compare(width), "a bigint, b bigint, common bigint, na bigint, nb bigint")
-    return common.materialise(done.withColumn("linked", 100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))), "join-compared")
+    done = both.select("a", "b", "text_a", "text_b").mapInArrow(_compare(width), _ANSWER)
+    done = common.materialise(done.withColumn("linked", _linked(percent)), "join-compared")
+    common.forget(need, wanted)
+    return done
 
 
 def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -242,6 +295,22 @@ def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 # -- the join --------------------------------------------------------------------------------
 
+def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, frozenset[int]]:
+    """(rows, classes of equal sets by their identity v, first words that several sets have). At 5e10
+    documents some dozens of sets share their first 64 bits; those go by their second 64 bits."""
+    clashing: frozenset[int] = frozenset()
+    while True:
+        named = rows.withColumn("v", F.when(F.col("v").isin(*clashing), F.col("w")).otherwise(F.col("v"))) if clashing else rows
+        classes = common.materialise(
+            named.filter("v is not null").groupBy("v").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "h")).alias("one"), F.first("n").alias("n"), F.min("w").alias("w"), F.max("w").alias("w2")), "join-classes")
+        more = frozenset(r["v"] for r in classes.filter("w <> w2").select("v").collect())
+        if not more:
+            return named, classes, clashing
+        if clashing:
+            raise RuntimeError("sets of equal second words among those of equal first words: change the digest")  # not expected in 1e12 documents
+        clashing = more
+
+
 def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, rounds: int = 1) -> tuple[DataFrame, DataFrame]:
     """(rows, links). rows: doc_id, h (hash of the text), n_shingles, v (the set's identity, null for an empty set),
     component_id (smallest doc_id of the class). links: pairs of set identities that were compared
@@ -250,46 +319,50 @@ def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Null and empty texts and texts without words have no set and stand alone. Rows of equal id are
     rows of their own. A null id takes part, but never names a class that holds another id.
     """
+    with common.batches_of(docs.sparkSession, 250):
+        return _join_classes(docs, id_col, text_col, width, percent, rounds)
+
+
+def _join_classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, rounds: int) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
-    common.small_batches(spark, 250)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
     scanned = common.materialise(texts.mapInArrow(_scan(width), _SETS), "join-sets")
-    rows = scanned.filter("slice is null").select("doc_id", "h", "n", "v", "w")
-    classes = common.materialise(
-        rows.filter("v is not null").groupBy("v").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "h")).alias("one"), F.first("n").alias("n"), F.min("w").alias("w"), F.max("w").alias("w2")), "join-classes")
-    if not classes.filter("w <> w2").isEmpty():
-        raise RuntimeError("two sets share a 64-bit identity")  # expected once in 4e9 documents
-    entries = classes.agg(F.sum(F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1)).first()[0] or 0
+    rows, classes, clashing = _classes(scanned.filter("slice is null").select("doc_id", "h", "n", "v", "w"))
+    entries = classes.agg(F.sum(prefix_column(percent))).first()[0] or 0
     order = spark.sparkContext.broadcast(_order(scanned))
-    packed = common.materialise(texts.select("text").mapInArrow(_index(width, percent, max(1, -(-entries // PART)), order), _ENTRIES), "join-entries")
+    packed = common.materialise(texts.select("text").mapInArrow(_index(width, percent, max(1, -(-entries // PART)), order, clashing), _ENTRIES), "join-entries")
     met = packed.filter("part is not null").select("part", "tokens", "owners", "places").groupBy("part").applyInPandas(_meet, "token bigint, v bigint, place int")
     index = met.unionByName(packed.filter("token is not null").select("token", "v", "place"))
+    # An entry that two tasks pass on comes twice; dealt by set, repeats go and the rest is counted in one place.
+    last = packed.filter("last is not null").groupBy("v").agg(F.min("last").alias("last"))
+    index = index.repartition("v").groupBy("v", "token").agg(F.min("place").alias("place"))
     # How central a set is: the share of its indexed shingles that others index. A text has it high, its edited copies low.
     # The others, rare ones, are in no set whose indexed part goes as far in the global order.
-    last = packed.filter("last is not null").groupBy("v").agg(F.min("last").alias("last"))
-    own, first = F.count("*").over(Window.partitionBy("v")), F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
-    index = index.join(classes.select("v", "n").join(last, "v"), "v").withColumn("own", own).withColumns({"central": F.col("own") / first, "rare": first - F.col("own")}).drop("own")
+    own, first = F.count("*").over(Window.partitionBy("v")), prefix_column(percent)
+    index = index.withColumn("own", own).join(classes.select("v", "n").join(last, "v"), "v").withColumns({"central": F.col("own") / first, "rare": first - F.col("own")}).drop("own")
     index = common.materialise(index, "join-index")
+    common.forget(packed)
 
     # The document that lends its text to a set: found by id and, as ids may repeat, by the text's hash.
     lend = classes.select("v", "one.doc_id", "one.h")
     repeated = not rows.groupBy("doc_id", "h").agg(F.count("*").alias("times")).filter("times > 1").isEmpty()
 
     def may(x, y):
-        """Whether sizes and rare shingles leave room for the threshold. The set whose indexed part ends first
-        shares none of its rare ones; equal ends may be equal by rounding only."""
+        """Whether sizes, rare shingles and the places of a shared one leave room for the threshold. The set whose
+        indexed part ends first shares none of its rare ones; equal ends may be equal by rounding only."""
         left_x, left_y = x("n") - x("rare"), y("n") - y("rare")
         most = F.when(x("last") < y("last"), left_x).when(x("last") > y("last"), left_y).otherwise(F.greatest(left_x, left_y))
-        return (100 + percent) * F.least(most, x("n"), y("n")) >= percent * (x("n") + y("n"))
+        least = needed(x("n"), y("n"), percent)
+        return (F.least(most, x("n"), y("n")) >= least) & (x("place") <= x("n") - least) & (y("place") <= y("n") - least)
 
     labels = index.select("v", F.col("v").alias("component")).limit(0)
     links = answers = None
     for _ in range(rounds):
         # Of each list, the most central set, and the most central of another class than that one's.
         placed = index.join(labels, "v", "left").withColumn("component", F.coalesce("component", "v"))
-        rank = F.struct("central", "v", "n", "rare", "last", "component")
-        first = placed.groupBy("token").agg(F.max(rank).alias("one"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token", "one")
-        left = common.materialise(placed.join(first, "token"), "join-left")
+        rank = F.struct("central", "v", "n", "rare", "last", "component", "place")
+        first = placed.groupBy("token").agg(F.max(rank).alias("one"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.col("place") <= early(F.col("n"), percent)).alias("starts"))
+        left = common.materialise(placed.join(first.filter("lo <> hi AND starts").select("token", "one"), "token"), "join-left")
         other = left.filter(F.col("component") != F.col("one.component")).groupBy("token").agg(F.max(rank).alias("two"))
         near = left.join(other, "token").withColumn("hub", F.when(F.col("component") == F.col("one.component"), F.col("two")).otherwise(F.col("one")))
         near = near.filter(may(F.col, lambda c: F.col("hub")[c])).select("v", F.col("hub.v").alias("hub"), F.col("hub.central").alias("hub_central"))
@@ -299,6 +372,7 @@ def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             shared = shared.join(done, ["v", "hub"], "left_anti")
         best = shared.groupBy("v").agg(F.max_by("hub", F.struct("times", "hub_central", "hub")).alias("hub"))
         pairs = common.materialise(best.select(F.col("hub").alias("a"), F.col("v").alias("b")), "join-pairs")
+        common.forget(left)
         new = _verify(pairs, texts, lend, width, percent, repeated)
         answers = new if answers is None else answers.unionByName(new)
         fresh = new.filter("linked").select("a", "b")
@@ -307,30 +381,36 @@ def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             break
         labels = _merge(labels, fresh)
 
-    # Lists whose sets lie in several classes.
-    placed = index.join(labels, "v", "left").withColumn("component", F.coalesce("component", "v"))
-    spread = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
-    far = F.struct((1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("far"), F.col("a").alias("hub"))
-    hub_of = answers.groupBy(F.col("b").alias("v")).agg(F.min(far).alias("near")).select("v", "near.hub", "near.far")
+    # Lists with early entries whose sets lie in several classes.
+    placed = index.join(labels, "v", "left").withColumn("component", F.coalesce("component", "v")).withColumn("starts", F.col("place") <= early(F.col("n"), percent))
+    spread = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("starts").alias("any")).filter("lo <> hi AND any").select("token")
+    far = F.struct((1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("far"), F.col("a").alias("hub"), "common", F.col("less").isNotNull().alias("kept"))
+    hub_of = answers.groupBy(F.col("b").alias("v")).agg(F.min(far).alias("near")).select("v", "near.*")
     left = placed.join(spread, "token", "left_semi").join(hub_of, "v", "left").drop("central")
     left = common.materialise(left.withColumn("block", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))), "join-left")
-    x = left.select("token", *[F.col(c).alias(c + "_x") for c in ("v", "n", "rare", "last", "place", "component", "hub", "far")], F.explode(F.array("block", F.col("block") + 1)).alias("block"))
-    y = left.select("token", "block", *[F.col(c).alias(c + "_y") for c in ("v", "n", "rare", "last", "place", "component", "hub", "far")])
-    before = F.least((F.col("place_x") + 1) * F.col("n_x"), (F.col("place_y") + 1) * F.col("n_y")) / 256 + 1
-    after = F.least((256 - F.col("place_x")) * F.col("n_x"), (256 - F.col("place_y")) * F.col("n_y")) / 256
-    most = before + after + 1
-    apart = F.coalesce((F.col("hub_x") == F.col("hub_y")) & (F.abs(F.col("far_x") - F.col("far_y")) > (100 - percent) / 100 + 1e-9), F.lit(False))
+    names = ("v", "n", "rare", "last", "place", "component", "hub", "far", "common", "kept")
+    x = left.filter("starts").select("token", *[F.col(c).alias(c + "_x") for c in names], F.explode(F.array("block", F.col("block") + 1)).alias("block"))
+    y = left.select("token", "block", *[F.col(c).alias(c + "_y") for c in names])
+    one_hub = F.coalesce(F.col("hub_x") == F.col("hub_y"), F.lit(False))
+    least = needed(F.col("n_x"), F.col("n_y"), percent)
+    by_hub = F.least("common_x", "common_y") + F.least(F.col("n_x") - F.col("common_x"), F.col("n_y") - F.col("common_y"))
+    apart = F.coalesce(one_hub & ((F.abs(F.col("far_x") - F.col("far_y")) > (100 - percent) / 100 + 1e-9) | (by_hub < least)), F.lit(False))
     found = x.join(y, ["token", "block"]).filter(
         (F.col("component_x") != F.col("component_y")) & ((F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("v_x") < F.col("v_y"))))
-        & (percent * F.col("n_y") <= 100 * F.col("n_x")) & ((100 + percent) * most >= percent * (F.col("n_x") + F.col("n_y"))) & may(lambda c: F.col(c + "_x"), lambda c: F.col(c + "_y")) & ~apart)
-    # The set whose indexed part ends first has less than ceil(t n) shingles past it; before, what is shared is indexed by both.
-    size = F.when(F.col("last_x") < F.col("last_y"), F.col("n_x")).when(F.col("last_x") > F.col("last_y"), F.col("n_y")).otherwise(F.greatest("n_x", "n_y"))
-    found = found.select(F.least("v_x", "v_y").alias("a"), F.greatest("v_x", "v_y").alias("b"), (F.col("n_x") + F.col("n_y")).alias("both"), (F.floor((percent * size + 99) / 100) - 1).alias("beyond"))
-    found = found.groupBy("a", "b", "both", "beyond").agg(F.count("*").alias("shared")).filter((100 + percent) * (F.col("shared") + F.col("beyond")) >= percent * F.col("both"))
-    done = answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = common.materialise(found.select("a", "b").join(done, ["a", "b"], "left_anti"), "join-rest")
+        & may(lambda c: F.col(c + "_x"), lambda c: F.col(c + "_y")) & ~apart)
+    hub = F.when(one_hub & F.col("kept_x") & F.col("kept_y"), F.col("hub_x"))
+    found = found.select(F.col("v_x").alias("a"), F.col("v_y").alias("b"), hub.alias("hub")).distinct()
+    done = answers.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+    rest = found.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).join(done, ["lo", "hi"], "left_anti")
+    rest = common.materialise(rest.select("a", "b", "hub"), "join-rest")
+    common.forget(left)
     if not rest.isEmpty():
-        more = _verify(rest, texts, lend, width, percent, repeated).filter("linked").select("a", "b")
+        kept = answers.filter("less is not null")
+        side = lambda c: kept.select(F.col("b").alias(c), F.col("a").alias("hub"), F.col("nb").alias("n" + c), F.col("less").alias("less_" + c), F.col("more").alias("more_" + c), *([F.col("na").alias("nh")] if c == "a" else []))
+        by_answers = rest.filter("hub is not null").join(side("b"), ["b", "hub"]).join(side("a"), ["a", "hub"])
+        by_answers = by_answers.mapInArrow(_derive, "a bigint, b bigint, na bigint, nb bigint, common bigint").filter(_linked(percent)).select("a", "b")
+        by_texts = _verify(common.materialise(rest.filter("hub is null").select("a", "b"), "join-pairs"), texts, lend, width, percent, repeated).filter("linked").select("a", "b")
+        more = common.materialise(by_answers.unionByName(by_texts), "join-links")
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = _merge(labels, more)
