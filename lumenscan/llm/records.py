@@ -33,6 +33,7 @@ from . import common
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 CHUNK = 64  # words of a checksum lane
+FILE_BYTES = 256 << 20  # of text a file, where the session asks for no more files
 
 
 # -- checksums -----------------------------------------------------------------------------
@@ -133,8 +134,9 @@ class WordEncoder:
 
     A byte-level pre-tokeniser without normaliser always breaks before a space that follows a
     visible character, so a text is the run of its pieces cut there, and its ids are theirs in turn.
-    Unknown pieces of a batch are encoded as one string and cut apart by the tokens' lengths. A text with
-    white space other than single spaces and line ends within is encoded as it is."""
+    Unknown pieces of a batch are encoded as one string and cut apart by the tokens' lengths. A text that holds
+    an added token's string (the library gives that token's id), or white space other than single
+    spaces and line ends within, is encoded as it is."""
 
     def __init__(self, path: str, end_id: int, known: int = 1_200_000):
         from tokenizers import Tokenizer
@@ -144,7 +146,7 @@ class WordEncoder:
         pre = spec.get("pre_tokenizer") or {}
         self.by_word = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if max(size, end_id + 1) <= 65536 else "<u4")
         self.length = np.zeros(size, dtype=np.int64)
@@ -207,7 +209,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and the end id, as bytes."""
-        split = [t.split(" ") if self.by_word and self._even(t) else None for t in texts]
+        split = [t.split(" ") if self.by_word and self._even(t) and not any(a in t for a in self.added) else None for t in texts]
         words: dict[str, None] = {}
         for parts in split:
             if parts:
@@ -310,11 +312,12 @@ def _reader(folder: str):
     return read
 
 
-def write_records(docs: DataFrame, folder: str, *, vocabulary: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", files: int | None = None) -> DataFrame:
+def write_records(docs: DataFrame, folder: str, *, vocabulary: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", files: int | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes the files and the index into ``folder`` and returns the index.
 
     Null texts count as empty and give the end id alone. Null ids come first, equal ids stand in
-    the order of their texts' hash. An empty table gives an index without rows and no file.
+    the order of their texts' hash, repeated rows give a record each. Only id and text are read, so other
+    columns may have any name. An empty table gives an index without rows and no file.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -322,8 +325,10 @@ def write_records(docs: DataFrame, folder: str, *, vocabulary: str | None = None
         import public_tokenizers
 
         vocabulary = public_tokenizers.path(VOCABULARY)
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.text_of(text_col).alias("text"))
+    if files is None:  # by size: a file holds about file_bytes of text, and no fewer files than the session has partitions
+        size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // file_bytes))
     rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(files, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     rows.mapInArrow(_writer(folder, vocabulary, end_id), INDEX).write.parquet(f"{folder}/index-parts")
     parts = spark.read.schema(INDEX).parquet(f"{folder}/index-parts")
