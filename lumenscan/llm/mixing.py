@@ -11,7 +11,9 @@ uniform shuffle. Rows are shuffled within their shard by hash.
 
 The driver holds the table of sources and of blocks only. ``max_blocks`` bounds the
 blocks whatever the input's size; sources are a configuration and are checked against
-``max_sources``. The text moves once, to its shard, and only when the mixed rows are asked for.
+``max_sources``. The number of shards follows from the words of all documents, so a shard stays
+about as large at any size of input. The text moves once, to its shard, and only when the mixed
+rows are asked for.
 """
 
 from __future__ import annotations
@@ -46,9 +48,10 @@ class Mixer:
 
     weights: tuple[float, ...] = (5.0, 2.0, 1.0)
     max_repeats: int = 3
-    shards: int = 64
+    shards: int | None = None  # by default one for each shard_words, and at most max_blocks / 8
+    shard_words: int = 4_000_000
     block_words: int = 20_000
-    max_blocks: int = 32_768
+    max_blocks: int = 262_144
     max_sources: int = 200_000
     seed: int = 17
 
@@ -73,19 +76,27 @@ def targets(sizes: list[int], weights: list[float], cap: float) -> list[float]:
     return out
 
 
-def split_tree(quota: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
-    """(shards, sources): quotas dealt out to shards of equal totals, by halves."""
-    if shards == 1:
-        return quota[None, :]
-    left = shards // 2
-    total = int(quota.sum())
-    n = total * left // shards
-    # The count method is exact for any total; "marginals" draws source by source.
-    mine = rng.multivariate_hypergeometric(quota, n, method="marginals") if total else quota * 0
-    return np.concatenate([split_tree(mine, left, rng), split_tree(quota - mine, shards - left, rng)])
+def split_tree(quota: np.ndarray, shards: int, rng: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each shard the sources that it draws from and how many blocks of each: quotas dealt out
+    to shards of equal totals, by halves. A node looks at the sources only that it has blocks of."""
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    some = np.flatnonzero(quota)
+    todo = [(some, quota[some], shards)]
+    while todo:
+        names, own, n = todo.pop()
+        if n == 1:
+            out.append((names, own))
+            continue
+        left = n // 2
+        total = int(own.sum())
+        # Exact for any total; "marginals" draws source by source.
+        mine = rng.multivariate_hypergeometric(own, total * left // n, method="marginals") if total else own
+        for part, k in ((own - mine, n - left), (mine, left)):
+            todo.append((names[part > 0], part[part > 0], k))
+    return out
 
 
-def _draws(blocks: list, m: Mixer) -> list[tuple]:
+def _draws(blocks: list, m: Mixer, shards: int) -> list[tuple]:
     """The planned draws of every block: shards of whole draws, and of the one partial draw."""
     by: dict[str | None, list] = {}
     for b in blocks:
@@ -113,14 +124,16 @@ def _draws(blocks: list, m: Mixer) -> list[tuple]:
         plans.append((own, seq, part, size, want))
         quota.append(len(seq))
     rng = np.random.Generator(np.random.PCG64(m.seed))
-    dealt = split_tree(np.array(quota, dtype=np.int64), m.shards, rng) if quota else np.zeros((m.shards, 0), int)
+    dealt: list[list[int]] = [[] for _ in quota]
+    for shard, (sources, counts) in enumerate(split_tree(np.array(quota, dtype=np.int64), shards, rng)):
+        for k, n in zip(sources.tolist(), counts.tolist(), strict=True):
+            dealt[k] += [shard] * n
     out = []
-    for k, (s, (own, seq, part, size, want)) in enumerate(zip(names, plans, strict=True)):
+    for s, (own, seq, part, size, want), to_shards in zip(names, plans, dealt, strict=True):
         # A shard takes the next run of the source's sequence: disjoint draws.
-        shard = np.repeat(np.arange(m.shards), dealt[:, k])
         whole: dict[int, list[int]] = {}
         last = None
-        for i, (block, to) in enumerate(zip(seq, shard.tolist(), strict=True)):
+        for i, (block, to) in enumerate(zip(seq, to_shards, strict=True)):
             if part and i == len(seq) - 1:
                 last = to
             else:
@@ -170,12 +183,14 @@ class MixPlan:
         stats = sized.groupBy("source").agg(F.sum("size").alias("words")).limit(m.max_sources + 1).collect()
         if len(stats) > m.max_sources:
             raise ValueError(f"over {m.max_sources} sources: raise max_sources or group them")
-        per = max(m.block_words, sum(r["words"] for r in stats) / m.max_blocks)
+        words = sum(r["words"] for r in stats)
+        per = max(m.block_words, words / m.max_blocks)
+        self.shards = m.shards or min(max(1, -(-words // m.shard_words)), m.max_blocks // 8)
         self.counts = F.broadcast(spark.createDataFrame([(r["source"], max(1, round(r["words"] / per))) for r in stats], "m_source string, m_blocks int"))
         blocked = self._blocked(sized, "source", "h")
         table = blocked.groupBy("source", F.col("m_block").alias("block")).agg(F.sum("size").alias("words")).collect()
         # max_blocks rows and one more per source at most.
-        self.draws = F.broadcast(spark.createDataFrame(_draws(table, m), DRAWS))
+        self.draws = F.broadcast(spark.createDataFrame(_draws(table, m, self.shards), DRAWS))
         # A source's partial block, one block per source, is drawn document by document.
         part = self._drawn(blocked, "source").filter(F.col("part_shard").isNotNull()).select("source", "h", "size", "part_words")
         self.cuts = F.broadcast(part.groupBy("source").applyInPandas(_cut, CUTS))
@@ -221,7 +236,7 @@ def mix(docs: DataFrame, m: Mixer | None = None, *, id_col: str = "doc_id", text
     rows = rows.select(*names, "m_h", F.posexplode("shards").alias("m_copy", "m_shard"))
     rows = rows.select(*names, "m_shard", F.xxhash64(F.lit(m.seed + 1), "m_h", "m_copy").alias("m_place")).toDF(*docs.columns, shard, place)
     if shuffled:
-        rows = rows.repartition(m.shards, shard).sortWithinPartitions(shard, place)
+        rows = rows.repartition(plan.shards, shard).sortWithinPartitions(shard, place)
     return rows
 
 
