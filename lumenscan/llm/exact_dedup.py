@@ -65,15 +65,18 @@ def build_snapshot(rows: DataFrame) -> Snapshot:
 
 
 def screen(groups: DataFrame, snapshot: Snapshot) -> DataFrame:
-    """The groups of a batch whose digest may be in the snapshot."""
+    """The groups of a batch whose digest may be in the snapshot. A batch larger than the snapshot goes to
+    several copies of each filter, so a task asks for about ``GROUPS`` digests at most."""
 
     def ask(new: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(new) or not len(own):
             return new.iloc[:0]
         return new[fuse.contains(own["filter"].iloc[0], _keys(new["digest"]))]
 
-    new = groups.withColumn("bucket", _bucket(snapshot.buckets))
-    return new.groupBy("bucket").cogroup(snapshot.filters.groupBy("bucket")).applyInPandas(ask, new.schema)
+    copies = max(1, -(-groups.count() // (GROUPS * snapshot.buckets)))
+    new = groups.withColumns({"bucket": _bucket(snapshot.buckets), "copy": F.pmod(F.xxhash64(F.lit(1), "digest"), F.lit(copies)).cast("int")})
+    filters = snapshot.filters.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    return new.groupBy("bucket", "copy").cogroup(filters.groupBy("bucket", "copy")).applyInPandas(ask, new.schema)
 
 
 @dataclass
