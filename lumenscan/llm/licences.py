@@ -1,14 +1,16 @@
 """Licence scans with a positional index of rare words.
 
-Templates are licence notices; the index maps each of their words to (template, position).
-How rare a word is comes from the corpus itself: one pass counts, over all documents, in how
-many each licence word stands. For a file the scan takes its licence words of highest IDF,
-looks up their postings and intersects them by relative position: postings of one template
-that agree on file position less template position align it there. An aligned template is
-compared word by word, weighted by IDF, and must hold its key phrases in full.
-
-Phrases are templates that must match whole, so each of their places is found: the rarest word
-of a phrase is always among the words looked up. Both passes are scans without a shuffle of texts.
+Templates are licence texts and notices; the index maps each of their words to its postings,
+(template, position). How rare a word is comes from the corpus itself: one pass counts, over all
+documents, in how many each licence word stands. A template can only stand in a file that has
+all words of its mandatory key phrases. Of such a file the scan takes the licence words of highest IDF
+that the template shares, looks up their postings and intersects them by relative position:
+postings whose file position less template position agree, up to a few inserted or lost words, make a
+candidate if at least two words do. A candidate must hold its key phrases, and is scored by
+the longest common run of words in order, weighted by IDF.
+
+Phrases are templates of which every word is looked up and must agree exactly, so each of their
+places is found. Both passes are scans without a shuffle of texts.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from collections import defaultdict
 from collections.abc import Mapping
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,54 +72,143 @@ NOTICES = (
 )
 
 
+# Public licence texts in full.
+TEXTS = (
+    Template("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to
+permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or
+substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT,
+TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""", ("copies or substantial portions of the software", "without warranty of any kind")),
+    Template("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this
+permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR
+PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""", ("permission notice appear in all copies", "the author disclaims all warranties")),
+    Template("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code
+must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of
+conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""", ("redistributions of source code must retain", "redistributions in binary form must reproduce")),
+    Template("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The
+origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation
+would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be
+removed or altered from any source distribution.""", ("altered source versions must be plainly marked",)),
+    Template("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in
+source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""", ("unencumbered software released into the public domain",)),
+    Template("apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES
+OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""", ("apache license version 2 0", "in compliance with the license")),
+)
+
+
+def _at(words: list[bytes], phrase: list[bytes]) -> bool:
+    """Whether the phrase's words stand together somewhere."""
+    i, n = -1, len(phrase)
+    try:
+        while True:
+            i = words.index(phrase[0], i + 1)
+            if words[i : i + n] == phrase:
+                return True
+    except ValueError:
+        return False
+
+
 class Index:
-    """Postings of the templates' words, and the IDF of each over the corpus."""
+    """Postings of the templates' words, and the IDF of each over the corpus. ``rare``: how many shared words of
+    highest IDF are looked up for each template of several sentences or notices."""
 
-    def __init__(self, templates: tuple[Template, ...], df: Mapping[bytes, int], n_docs: int, rare: int = 4):
-        self.templates = templates
+    def __init__(self, templates: tuple[Template, ...], df: Mapping[bytes, int], n_docs: int, rare: int = 12):
+        self.templates, self.rare = templates, rare
         self.words = [words_of(t.text) for t in templates]
         self.keys = [[words_of(k) for k in t.keys] for t in templates]
         self.idf = {w: math.log((n_docs + 1) / (df.get(w, 0) + 0.5)) + 0.1 for ws in self.words for w in ws}
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        # Of each template, its words of highest IDF are indexed; for a key phrase or whole phrase the rarest is.
-        self.most = rare
+        self.order = [sorted(set(ws), key=lambda w: (-self.idf[w], w)) for ws in self.words]  # equal IDF: by the word
+        self.must = [frozenset(w for key in keys for w in key) for keys in self.keys]
+        self.postings: list[dict[bytes, np.ndarray]] = []  # of each template: word -> positions
+        self.gate: dict[bytes, list[int]] = defaultdict(list)  # rarest key word -> templates
         for t, ws in enumerate(self.words):
-            best = set(sorted(set(ws), key=lambda w: (-self.idf[w], w))[:rare])
-            for key in self.keys[t]:
-                best.add(max(key, key=lambda w: (self.idf[w], w)))
+            own: dict[bytes, list[int]] = defaultdict(list)
             for p, w in enumerate(ws):
-                if w in best:
-                    self.postings[w].append((t, p))
-        self.anchors = frozenset(self.postings)
+                own[w].append(p)
+            self.postings.append({w: np.array(p) for w, p in own.items()})
+            self.gate[max(self.must[t], key=lambda w: (self.idf[w], w))].append(t)
+        self.gates = frozenset(self.gate)
         self.total = [sum(self.idf[w] for w in ws) for ws in self.words]
 
-    def alignments(self, words: list[bytes]) -> dict[tuple[int, int], int]:
-        """(template, start) -> how many indexed words agree on it."""
-        found: dict[tuple[int, int], int] = defaultdict(int)
-        here = self.anchors.intersection(words)
-        if here:
-            for i, w in enumerate(words):
-                if w in here:
-                    for t, p in self.postings[w]:
-                        found[t, i - p] += 1
-        return found
-
-    def match(self, words: list[bytes], t: int, start: int) -> float:
-        """The share of the template, by IDF, that stands at ``start``; 0 unless its key phrases do."""
-        own = self.words[t]
+    def looked_up(self, t: int, here: frozenset[bytes]) -> list[bytes]:
+        """The file's words of highest IDF that the template shares; all of a phrase."""
+        shared = [w for w in self.order[t] if w in here]
+        return shared if self.templates[t].whole else shared[: self.rare]
+
+    def alignments(self, t: int, chosen: list[bytes], places: Mapping[bytes, np.ndarray]) -> list[tuple[int, int]]:
+        """Runs (lo, hi) of relative positions on which looked-up words agree."""
+        at = [(places[w][:, None] - self.postings[t][w]).ravel() for w in chosen]
+        which = np.concatenate([np.tile(self.postings[t][w], len(places[w])) for w in chosen])
+        shift = np.concatenate(at)
+        by = np.argsort(shift, kind="stable")
+        shift, which = shift[by], which[by]
+        n = len(self.words[t])
         if self.templates[t].whole:
-            return float(start >= 0 and words[start : start + len(own)] == own)
-        got = sum(self.idf[w] for j, w in enumerate(own) if 0 <= start + j < len(words) and words[start + j] == w)
-        lo, hi = max(0, start - 3), start + len(own) + 3
-        near = words[lo:hi]
-        for key in self.keys[t]:
-            if not any(near[i : i + len(key)] == key for i in range(len(near) - len(key) + 1)):
-                return 0.0
-        return got / self.total[t]
+            value, count = np.unique(shift, return_counts=True)
+            return [(d, d) for d in value[count == n].tolist()]
+        slack, out, i = 3 + n // 8, [], 0
+        names = [self.words[t][p] for p in which.tolist()]
+        values = shift.tolist()
+        while i < len(values):
+            j = i + 1
+            while j < len(values) and values[j] - values[i] <= slack:
+                j += 1
+            if len(set(names[i:j])) >= min(2, len(chosen)) and (len(chosen) > 1 or len(self.order[t]) == 1):
+                out.append((values[i], values[j - 1]))
+                i = j
+            else:
+                i += 1
+        return out
+
+    def match(self, words: list[bytes], t: int, lo: int, hi: int) -> float:
+        """The share of the template, by IDF, that stands in order near lo to hi; 0 unless its key phrases do."""
+        own = self.words[t]
+        slack = 3 + len(own) // 8
+        near = words[max(0, lo - slack) : max(0, hi + len(own) + slack)]
+        if not all(_at(near, key) for key in self.keys[t]):
+            return 0.0
+        numbers = {w: k for k, w in enumerate(set(near))}
+        there = np.array([numbers[w] for w in near])
+        best = np.zeros(len(near) + 1)
+        for w in own:
+            if w in numbers:
+                more = best.copy()
+                more[1:] = np.maximum(more[1:], best[:-1] + self.idf[w] * (there == numbers[w]))
+                best = np.maximum.accumulate(more)
+        return float(best[-1]) / self.total[t]
 
     def scan(self, words: list[bytes], least: float) -> list[tuple[int, int, float]]:
-        out = [(t, s, self.match(words, t, s)) for t, s in self.alignments(words)]
-        return sorted((t, s, m) for t, s, m in out if m >= least)
+        """(template, start, score), by template and start; of runs that overlap by a fifth the better, of equal ones the first."""
+        here = frozenset(words)
+        templates = sorted(t for w in self.gates & here for t in self.gate[w] if self.must[t] <= here)
+        if not templates:
+            return []
+        chosen = {t: self.looked_up(t, here) for t in templates}
+        wanted = frozenset(w for ws in chosen.values() for w in ws)
+        found: dict[bytes, list[int]] = {w: [] for w in wanted}
+        for i, w in enumerate(words):
+            if w in wanted:
+                found[w].append(i)
+        places = {w: np.array(p) for w, p in found.items()}
+        out = []
+        for t in templates:
+            last: tuple[int, int, float] | None = None
+            for lo, hi in self.alignments(t, chosen[t], places):
+                score = 1.0 if self.templates[t].whole else self.match(words, t, lo, hi)
+                if score < least:
+                    continue
+                if last is not None and not self.templates[t].whole and lo - last[1] < 0.8 * len(self.words[t]):
+                    last = (t, lo, score) if score > last[2] else last
+                    out[-1] = last
+                else:
+                    last = (t, lo, score)
+                    out.append(last)
+        return out
 
 
 def document_frequency(docs: DataFrame, templates: tuple[Template, ...], text_col: str = "text") -> tuple[dict[bytes, int], int]:
@@ -138,7 +230,7 @@ def document_frequency(docs: DataFrame, templates: tuple[Template, ...], text_co
     return counts, counts.pop(None, 0) or 0
 
 
-def build_index(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + NOTICES, text_col: str = "text") -> Index:
+def build_index(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + NOTICES + TEXTS, text_col: str = "text") -> Index:
     common.small_batches(docs.sparkSession)
     return Index(templates, *document_frequency(docs, templates, text_col))
 
@@ -148,7 +240,8 @@ MATCH = "struct<n_words:bigint,places:array<struct<label:string,start:bigint>>,n
 
 def scan(docs: DataFrame, index: Index, *, text_col: str = "text", name: str = "licences", least: float = 0.75) -> DataFrame:
     """``docs`` with a struct: n_words, places of the phrases, and notices (label, start, words, score of at
-    least ``least``). Null text counts as empty and has neither."""
+    least ``least``). Null text counts as empty and has neither; repeated rows give equal rows, an empty table
+    none, and a column that has the struct's name keeps it (the struct gets another)."""
     common.small_batches(docs.sparkSession)
     (name,) = common.fresh(docs, name)
 
