@@ -70,7 +70,9 @@ def test_targets_are_capped_and_shared():
 def test_split_tree_keeps_quotas():
     quota = np.array([7, 0, 30, 101])
     rng = np.random.Generator(np.random.PCG64(1))
-    dealt = mixing.split_tree(quota, 10, rng)
+    dealt = np.zeros((10, 4), int)
+    for row, (sources, counts) in zip(dealt, mixing.split_tree(quota, 10, rng), strict=True):
+        row[sources] = counts
     assert (dealt.sum(0) == quota).all() and np.ptp(dealt.sum(1)) <= 1
 
 
@@ -97,6 +99,9 @@ def test_mix(docs, corpus, clashing):
     again = mixing.plan_mix(docs).collect()
     assert sorted(map(str, rows)) == sorted(map(str, again))
     assert mixing.mix(clashing).columns == [*clashing.columns, "_mix_shard", "mix_order"]
+    many = mixing.mix(docs, mixing.Mixer(shard_words=500, block_words=100))  # shards follow the size
+    assert many.select("mix_shard").distinct().count() > 10 and many.groupBy("doc_id", "text").count().filter("count > 6").isEmpty()
+    assert mixing.plan_mix(docs.limit(0)).count() == mixing.mix(docs.limit(0)).count() == 0
 
 
 def test_mix_comes_near_targets(spark):
@@ -121,6 +126,49 @@ def test_licences(spark, docs):
     assert licences.scan(docs, licences.build_index(docs)).count() == docs.count()
 
 
+def test_licences_against_brute_force(spark):
+    """Base places of random texts of licence words, phrases and others, by plain search."""
+    rng = random.Random(21)
+    pieces = ["mit", "MIT", "license", "License,", "apache", "general", "public", "licence", "GNU", "é", "x", "mit license", "apache\nlicense", "General-Public  License"]
+    texts = [None, "", *(" ".join(rng.choice(pieces) for _ in range(rng.randrange(60))) for _ in range(300))]
+    texts += texts[:20]  # repeated rows
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.licences for r in licences.scan(d, licences.build_index(d)).collect()}
+    for i, t in enumerate(texts):
+        ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        want = {(label, k) for phrase, label in (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")) for k in range(len(ws)) if ws[k : k + len(phrase.split())] == phrase.split()}
+        assert got[i].n_words == len(ws) and {(p.label, p.start) for p in got[i].places} == want and len(got[i].places) == len(want)
+
+
+def test_licence_candidates(spark, empty, clashing):
+    index = licences.Index(licences.PHRASES + licences.NOTICES + licences.TEXTS, {b"the": 90, b"of": 90}, 100)
+    bsd = next(t for t in licences.TEXTS if t.label == "bsd")
+    n = next(k for k, t in enumerate(index.templates) if t is bsd)
+    # Key words far apart pass the gate; one shared word at a place agrees with nothing.
+    far = " x ".join(w.decode() for key in index.keys[n] for w in key).encode().split()
+    assert index.scan([b"merchantability", *[b"y"] * 400], 0.75) == []
+    here = {w: np.array([k * 900]) for k, w in enumerate(index.order[n][:1])}
+    assert index.alignments(n, index.order[n][:1], here) == []
+    assert not [m for m in index.scan(far, 0.75) if m[0] == n]
+    words_ = licences.words_of(bsd.text)
+    rng = random.Random(3)
+    for change in range(4):
+        own = list(words_)
+        if change == 1:  # reflowed, with marks in other places
+            own = licences.words_of(" ".join(f"* {w.decode()},\n" if k % 7 == 0 else w.decode() for k, w in enumerate(own)))
+        elif change == 2:  # words lost and put in
+            for _ in range(6):
+                del own[rng.randrange(70, len(own))]
+                own.insert(rng.randrange(70, len(own)), b"zzz")
+        elif change == 3:  # two copies and text around
+            own = [b"a"] * 30 + own + [b"b"] * 50 + own
+        found = [m for m in index.scan(own, 0.75) if m[0] == n]
+        assert len(found) == (2 if change == 3 else 1) and all(m[2] >= 0.75 for m in found), change
+    assert licences.scan(empty, licences.build_index(empty)).count() == 0
+    kept = licences.scan(clashing, licences.build_index(clashing))
+    assert kept.columns == [*clashing.columns, "_licences"]
+
+
 # -- classifiers ---------------------------------------------------------------------------
 
 def junk(rng):
@@ -140,6 +188,25 @@ def test_quality(spark, docs, empty):
     assert quality.score(empty, model).count() == 0
     assert quality.model_of(d, labels.filter("false")) is None
     assert {r.quality_score for r in quality.score(docs, None).collect()} == {0.5}
+    odd = {r.doc_id: r.quality_score for r in some.collect()}
+    assert odd[80] == odd[81]  # null counts as empty
+    assert quality.score(docs.withColumn("quality_score", F.lit(1)), model).columns[-1] == "_quality_score"
+    # The scores are those of the network's plain arithmetic; labels of 0, repeats and null ids change nothing.
+    x = (quality.features("some words of a text") - model.mean) / model.scale
+    w1, b1, w2, b2 = model.layers
+    plain = 1 / (1 + np.exp(-(np.tanh(np.clip(x, -6, 6) @ w1 + b1) @ w2 + b2)))
+    assert model.scores(quality.features("some words of a text")[None, :])[0] == pytest.approx(plain[0] if np.ndim(plain) else plain)
+    more = labels.filter("quality = 1").unionByName(labels.filter("quality = 1")).unionByName(spark.createDataFrame([(None, 1, 0), (5, None, 0)], labels.schema))
+    assert all(np.allclose(a, b) for a, b in zip(quality.model_of(d, more).layers, model.layers, strict=True))
+
+
+def test_class_prior():
+    rng = np.random.default_rng(4)
+    for share in (0.2, 0.5, 0.9):
+        n = 4000
+        good, bad = rng.normal(0, 1, (n, 4)), rng.normal(2.5, 1, (n, 4))
+        u = np.concatenate([good[: int(n * share)], bad[: int(n * (1 - share))]])
+        assert abs(quality.class_prior(rng.normal(0, 1, (2000, 4)), u) - share) < 0.08
 
 
 def test_language(spark, docs, empty):
@@ -255,7 +322,7 @@ def brute_exact(corpus):
     return groups
 
 
-def test_exact_dedup(docs, corpus, empty, clashing):
+def test_exact_dedup(spark, docs, corpus, empty, clashing, monkeypatch):
     groups = brute_exact(corpus)
     rows = exact_dedup.decide(docs).rows.collect()
     assert sum(r.n for r in rows) == len(corpus)
@@ -264,6 +331,11 @@ def test_exact_dedup(docs, corpus, empty, clashing):
     kept = exact_dedup.keep_first(clashing)
     assert kept.columns == clashing.columns and kept.count() == len(groups)
     assert exact_dedup.decide(empty).rows.count() == 0
+    few = exact_dedup.build_snapshot(spark.createDataFrame([(1, bytes(32), 1)], "doc_id long, digest binary, n long"))
+    batch = spark.createDataFrame([(bytes([k]) * 32, k, 1) for k in range(200)], "digest binary, keep_id long, n long")
+    monkeypatch.setattr(exact_dedup, "GROUPS", 20)  # a batch of ten times the snapshot's bucket
+    assert [r.keep_id for r in exact_dedup.screen(batch, few).filter("keep_id = 0").collect()] == [0]
+    assert exact_dedup.screen(batch, few).count() < 20
     # A cut that gives the snapshot the larger ids changes nothing.
     other = exact_dedup.decide(docs, split_id=1).rows.collect()
     assert {(r.doc_id, r.keep_id, r.group_size) for r in other} == want
@@ -370,13 +442,17 @@ def test_word_encoder_is_the_plain_one():
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path(records.VOCABULARY)
-    plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
+    plain = Tokenizer.from_file(path)  # as it is: an added token's string gives its id
     own, rng = records.WordEncoder(path, 2, known=600), random.Random(7)
     for _ in range(60):
         texts = ["".join(rng.choice([*PIECES, "word", "Word"]) for _ in range(rng.randrange(30))) for _ in range(40)]
         for t, raw in zip(texts, own.encode(texts), strict=True):
             assert np.frombuffer(raw, dtype=own.dtype).tolist() == [*plain.encode(t, add_special_tokens=False).ids, 2]
+    end = "<|endoftext|>"
+    texts = [end, end + " b", "a " + end, f"a {end} b", end + end, f"word{end}word and {end}\n", "<|endoftext| >", "plain words."]
+    for t, raw in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(raw, dtype=own.dtype).tolist() == [*plain.encode(t, add_special_tokens=False).ids, 2]
+    assert 50256 in np.frombuffer(own.encode([f"a {end} b"])[0], dtype=own.dtype)
 
 
 def crc(data):
