@@ -15,8 +15,8 @@ threshold ends in one class, whatever the size of the groups; no pair list of a
    of a pair so needs an early entry (place up to n - ceil(2 t n / (1 + t)), about n / 7): lists without early entries
    are skipped whole. Rare shingles come first, so what a group of copies shares stands late.
 5. In each list the most central set, the one whose shingles others share, is the hub. Each set is
-   compared with the hub it shares most shingles with (``rounds`` times, then with hubs of other
-   classes). Sets linked to a hub are answered by it: their pairs lie in one class already.
+   compared with the hub it shares most shingles with (``rounds`` times, with hubs of other classes
+   than its own). Sets linked to a hub are answered by it: their pairs lie in one class already.
 6. What is left are lists whose sets lie in several classes. Early entries are joined with entries of
    sets of like or larger size, by blocks of size, skipping pairs by sizes, places, shingles that no
    other set has, and by the answers of a common hub h: x and y share at most
@@ -358,13 +358,11 @@ def _join_classes(docs: DataFrame, id_col: str, text_col: str, width: int, perce
     labels = index.select("v", F.col("v").alias("component")).limit(0)
     links = answers = None
     for _ in range(rounds):
-        # Of each list, the most central set, and the most central of another class than that one's.
+        # Of each list with early entries, the most central set.
         placed = index.join(labels, "v", "left").withColumn("component", F.coalesce("component", "v"))
         rank = F.struct("central", "v", "n", "rare", "last", "component", "place")
-        first = placed.groupBy("token").agg(F.max(rank).alias("one"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.col("place") <= early(F.col("n"), percent)).alias("starts"))
-        left = common.materialise(placed.join(first.filter("lo <> hi AND starts").select("token", "one"), "token"), "join-left")
-        other = left.filter(F.col("component") != F.col("one.component")).groupBy("token").agg(F.max(rank).alias("two"))
-        near = left.join(other, "token").withColumn("hub", F.when(F.col("component") == F.col("one.component"), F.col("two")).otherwise(F.col("one")))
+        first = placed.groupBy("token").agg(F.max(rank).alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.col("place") <= early(F.col("n"), percent)).alias("starts"))
+        near = placed.join(first.filter("lo <> hi AND starts").select("token", "hub"), "token").filter(F.col("component") != F.col("hub.component"))
         near = near.filter(may(F.col, lambda c: F.col("hub")[c])).select("v", F.col("hub.v").alias("hub"), F.col("hub.central").alias("hub_central"))
         shared = near.groupBy("v", "hub").agg(F.count("*").alias("times"), F.max("hub_central").alias("hub_central"))
         if answers is not None:
@@ -372,7 +370,6 @@ def _join_classes(docs: DataFrame, id_col: str, text_col: str, width: int, perce
             shared = shared.join(done, ["v", "hub"], "left_anti")
         best = shared.groupBy("v").agg(F.max_by("hub", F.struct("times", "hub_central", "hub")).alias("hub"))
         pairs = common.materialise(best.select(F.col("hub").alias("a"), F.col("v").alias("b")), "join-pairs")
-        common.forget(left)
         new = _verify(pairs, texts, lend, width, percent, repeated)
         answers = new if answers is None else answers.unionByName(new)
         fresh = new.filter("linked").select("a", "b")
