@@ -57,13 +57,38 @@ def write_text(documents: DataFrame, column: str, folder: str) -> None:
     documents.select(column).write.text(folder)
 
 
-def file_report(files: DataFrame, issues: DataFrame, endpoints: DataFrame, complexity: DataFrame) -> DataFrame:
-    """One row per file: complexity, issues in order, endpoints in order of discovery, error."""
+def with_taint(issues: DataFrame, taint_issues: DataFrame, redos: DataFrame | None = None) -> DataFrame:
+    """The classic pass's issues with the taint pass's appended behind them, file by file. ``taint_issues``: file_id,
+    message, line, and patched (null without a patch); ``redos``: the same of nested quantifiers."""
+    more = taint_issues if redos is None else taint_issues.unionByName(redos)
+    text = F.concat("message", F.when(F.col("patched").isNotNull(), " [AUTO-FIX AVAILABLE in CLI]").otherwise(""))
+    end = F.struct(F.lit(2**31 - 1).alias("pos"), F.col("line").cast("int").alias("rule"))
+    more = more.select("file_id", F.lit("security").alias("type"), F.lit("TAINT").alias("rule_id"), text.alias("message"), F.col("line").cast("int").alias("line_no"), end.alias("seq"))
+    return issues.select(*more.columns).unionByName(more)
+
+
+def file_report(files: DataFrame, issues: DataFrame, endpoints: DataFrame, complexity: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """One row per file: path, complexity, issues in order, endpoints in order of discovery, error. A file with an error
+    (``errors``: file_id, error) has nothing else, and the scan of the others goes on."""
     i = issues.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "type", "rule_id", "message", "line_no"))), lambda x: F.struct(x.type.alias("type"), x.rule_id.alias("rule_id"), x.message.alias("message"), x.line_no.alias("line"))).alias("issues"))
     first = endpoints.groupBy("file_id", "endpoint").agg(F.min("seq").alias("seq"))
     e = first.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "endpoint"))), lambda x: x.endpoint).alias("endpoints"))
-    out = files.select("file_id", "path", *[c for c in ("error",) if c in files.columns]).join(complexity, "file_id", "left").join(i, "file_id", "left").join(e, "file_id", "left")
-    return out.withColumn("complexity", F.coalesce("complexity", F.lit(0)))
+    wrong = files.select("file_id", "error") if errors is None and "error" in files.columns else errors
+    out = files.select("file_id", "path").join(complexity, "file_id", "left").join(i, "file_id", "left").join(e, "file_id", "left")
+    out = out.withColumn("error", F.lit(None).cast("string")) if wrong is None else out.join(wrong, "file_id", "left")
+    read = F.col("error").isNull()
+    return out.select("file_id", "path", F.when(read, F.coalesce("complexity", F.lit(0))).alias("complexity"), *[F.when(read, F.col(c)).alias(c) for c in ("issues", "endpoints")], "error")
+
+
+def text_report(report: DataFrame) -> DataFrame:
+    """One text per file: its complexity, endpoints and threats, or its error."""
+    of = lambda a, f: F.array_join(F.transform(a, f), "\n")
+    threats = of("issues", lambda x: F.concat(F.lit("    - ["), F.upper(x.type), F.lit("] Line "), x.line.cast("string"), F.lit(": "), x.message))
+    found = F.when(F.size("issues") > 0, F.concat(F.lit("  Threats:\n"), threats)).otherwise("  No threats found.")
+    ends = F.when(F.size("endpoints") > 0, F.concat(F.lit("  Endpoints:\n"), of("endpoints", lambda x: F.concat(F.lit("    - "), x))))
+    head = F.concat(F.lit("File: "), F.col("path"))
+    whole = F.concat_ws("\n", head, F.concat(F.lit("  Complexity: "), F.col("complexity").cast("string")), ends, found)
+    return report.select("path", F.when(F.col("error").isNotNull(), F.concat(head, F.lit("\n  Error: "), F.col("error"))).otherwise(whole).alias("text"))
 
 
 def totals(report: DataFrame) -> DataFrame:

@@ -29,10 +29,17 @@ class Parsed:
     tokens: DataFrame
     items: DataFrame
     calls: DataFrame
+    statements: DataFrame | None = None
+
+    def release(self) -> None:
+        """Frees the persisted tables, once all results are written."""
+        for t in (self.tokens, self.calls, self.statements):
+            if t is not None:
+                t.unpersist()
 
 
 def prepare(files: DataFrame) -> Parsed:
-    """``files``: file_id, content. The token table feeds every check, so it is persisted."""
+    """``files``: file_id, content. The token table feeds every check, so it is persisted until ``release``."""
     t = tk.tokens(files.select("file_id", "content")).persist()
     items = tk.children(t)
     return Parsed(files, t, items, tk.arguments(tk.calls(t), items).persist())
@@ -169,6 +176,17 @@ def token_rules(p: Parsed) -> DataFrame:
     return found
 
 
+def errors(p: Parsed) -> DataFrame:
+    """Files that cannot be read whole: file_id, error. Missing content, brackets that do not meet, texts without an end."""
+    t = p.tokens
+    n = lambda a, b: F.count_if((F.col("text") == a) & (F.col("kind") == "mark")) != F.count_if((F.col("text") == b) & (F.col("kind") == "mark"))
+    loose = (F.col("text").isin("(", "[", "{") & (F.col("kind") == "mark") & F.col("close").isNull()) | (F.col("depth") < 0)
+    marks = t.groupBy("file_id").agg(F.when(n("(", ")") | n("[", "]") | n("{", "}") | F.bool_or(loose), "Brackets do not meet").alias("marks"))
+    rest = F.regexp_replace("content", tk.TOKEN, "")
+    own = F.when(F.col("content").isNull(), "No content").when(rest.rlike("[\"'`]|/\\*"), "A text or comment has no end")
+    return p.files.withColumn("own", own).join(marks, "file_id", "left").select("file_id", F.coalesce("own", "marks").alias("error")).filter("error IS NOT NULL")
+
+
 def deep_nesting(p: Parsed) -> DataFrame:
     """Blocks with more than MAX_NESTING enclosing blocks of branches and loops, themselves included.
 

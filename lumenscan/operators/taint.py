@@ -2,8 +2,9 @@
 
 Assignments, sanitisers, calls and probes become one table of events. Their effect depends on
 order, and files are independent, so events are folded per file in order of place, after one
-shuffle by file. A call into another file is a row that joins that file's functions and seeds
-the next round, until no new function is entered.
+shuffle by file. A call into another file is a row that joins that file's functions. What an argument of a
+function does there does not depend on who calls, so each is folded once; the flows of all
+callers are joined to its results, round by round, until no caller reaches a new function.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import posixpath
 import tempfile
 import uuid
+from bisect import bisect_left, bisect_right
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,18 +33,22 @@ SENSITIVE_NAMES = ("password", "token", "secret", "key", "auth")
 STARTS = ("const", "let", "var", "if", "return", "for", "while", "function", "else", "try", "do", "switch", "case", "throw", "import", "export", "class", "break", "continue", "async")
 
 EVENT = "file_id string, path string, pos int, op string, name string, refs array<array<string>>, line int, stop int, more array<string>"
-FOUND = "file_id string, rule string, sink_type string, name string, line int, arg_no int, var string, flow array<string>, to_path string, export string, round int"
+FOUND = "file_id string, rule string, sink_type string, name string, line int, arg_no int, var string, flow array<string>, to_path string, export string"
+FINDING = ("file_id", "rule", "sink_type", "name", "line", "arg_no", "var", "flow")
 
 
 def statements(p: Parsed) -> DataFrame:
-    """Tokens that stand directly in one statement: file_id, toks (pos, kind, text, close, line), first place pos."""
+    """Tokens that stand directly in one statement: file_id, toks (pos, kind, text, close, line). Made once a scan."""
+    if p.statements is not None:
+        return p.statements
     t = p.tokens.withColumn("block", F.coalesce("parent", F.lit(0)))
     w = Window.partitionBy("file_id", "block").orderBy("pos")
     before, line = F.lag("text").over(w), F.lag("line").over(w)
     op = lambda c: c.rlike(r"^([-+*/%&|^=<>!?:.,(\[]|\?\.|&&|\|\||=>|===?|!==?)$")
     cut = F.col("text").isin(";", ",") | ((F.col("kind") == "name") & F.col("text").isin(*STARTS)) | ((before == "}") & (F.col("kind") == "name") & ~F.col("text").isin("from")) | ((F.col("line") > line) & ~op(before) & ~op(F.col("text")) & (F.col("kind") != "template") & ~F.col("text").isin(")", "]", "}", "{"))
     numbered = t.withColumn("n", F.sum(F.coalesce(cut, F.lit(False)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).filter(~F.col("text").isin(";", ","))
-    return numbered.groupBy("file_id", "block", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "text", "close", "line"))).alias("toks")).select("file_id", "toks")
+    p.statements = numbered.groupBy("file_id", "block", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "text", "close", "line"))).alias("toks")).select("file_id", "toks").persist()
+    return p.statements
 
 
 def assignments(p: Parsed) -> DataFrame:
@@ -107,7 +113,7 @@ def probes(p: Parsed) -> DataFrame:
         _event(c.filter("member AND object = 'Buffer' AND name = 'from' AND size(args) = 2").filter(encoding.isin("hex", "base64")), "probe", name=F.lit("BUFFER_DECODE"), refs=refs0),
         _event(c.filter("member AND object = 'document' AND name = 'write'"), "probe", name=F.lit("DOCUMENT_WRITE"), refs=refs0),
         _event(c.filter("is_new AND name = 'Function'"), "probe", name=F.lit("FUNCTION_CONSTRUCTOR"), refs=every),
-        _event(p.items.filter(F.get("toks", F.lit(0)).text.isin("$where", "$regex") & (F.get("toks", F.lit(1)).text == ":")).withColumns({"pos": F.get("toks", F.lit(0)).pos, "line": F.lit(None)}), "probe", name=F.lit("NOSQL_OPERATOR"), refs=F.array(tk.names_of(F.slice("toks", 3, 1000)))),
+        _event(p.items.filter(F.get("toks", F.lit(0)).text.isin("$where", "$regex") & (F.get("toks", F.lit(1)).text == ":")).withColumns({"pos": F.get("toks", F.lit(0)).pos, "line": F.lit(None)}), "probe", name=F.lit("NOSQL_OPERATOR"), refs=F.array(tk.names_of(F.slice("toks", 3, F.greatest(F.size("toks") - 2, F.lit(0)))))),
     ):
         out = out.unionByName(x)
     return out
@@ -155,18 +161,22 @@ def builtin_sinks(spark) -> DataFrame:
 
 
 class _Fold:
-    """The state of one file: names that hold request data, each with its flow."""
+    """The state of one file: names that hold request data, each with its flow and whether it was cleaned."""
 
     def __init__(self, path: str, rows: pd.DataFrame):
         self.path, self.base = path or "", posixpath.basename(path or "")
-        self.held: dict[str, list] = {}
-        self.out: list[tuple] = []
-        rows = rows.sort_values("pos", kind="stable")
-        self.imports = {r.name_: (r.more[0], r.more[1]) for r in rows[rows["op"] == "import"].rename(columns={"name": "name_"}).itertuples()}
+        rows = rows.sort_values("pos", kind="stable").rename(columns={"name": "name_"})
+        self.imports = {r.name_: (r.more[0], r.more[1]) for r in rows[rows["op"] == "import"].itertuples()}
         self.functions: dict[str, list] = {}
-        for r in rows[rows["op"] == "function"].rename(columns={"name": "name_"}).itertuples():
+        for r in rows[rows["op"] == "function"].itertuples():
             self.functions.setdefault(r.name_, []).append((r.pos, r.stop, list(r.more)))
-        self.events = [r for r in rows.rename(columns={"name": "name_"}).itertuples() if r.op not in ("import", "function")]
+        self.events = list(rows[~rows["op"].isin(("import", "function"))].itertuples())
+        self.places = [e.pos for e in self.events]
+        self.reset()
+
+    def reset(self) -> None:
+        self.held: dict[str, list] = {}
+        self.out: list[tuple] = []
 
     def first(self, refs) -> str | None:
         return next((n for n in refs if n in self.held and not self.held[n][1]), None)
@@ -178,43 +188,56 @@ class _Fold:
         self.out.append((rule, kind, e.name_, e.line, arg, var, list(self.held[var][0]), to, export))
 
     def walk(self, lo: float, hi: float) -> None:
-        for e in self.events:
-            if not lo <= e.pos <= hi:
-                continue
-            if e.op == "mark":
-                self.mark(e.name_, e.more[0])
-            elif e.op == "copy":
-                if (v := self.first(e.refs[0])) is not None:
-                    self.mark(e.name_, f"Assigned to {e.name_}", self.held[v][0])
-            elif e.op == "sanitize":
-                if e.name_ in self.held:
-                    self.held[e.name_][1] = True
-            elif e.op == "probe":
-                for k, refs in enumerate(e.refs if e.refs is not None else []):
-                    v = self.first(refs)
-                    if v is not None and (e.more is None or any(s in v.lower() for s in SENSITIVE_NAMES)):
-                        self.found(e, e.name_, None, k, v)
-            else:
-                hits = [(k, v) for k, refs in enumerate(e.refs) if (v := self.first(refs)) is not None]
-                if e.op == "sink":
-                    for k, v in hits:
-                        self.found(e, "TAINT", e.more[0], k, v)
-                elif hits and e.name_ in self.imports:
-                    module, export = self.imports[e.name_]
-                    to = posixpath.normpath(posixpath.join(posixpath.dirname(self.path), module))
-                    to = to if to.endswith((".js", ".ts")) else to + ".js"
-                    for k, v in hits:
-                        self.found(e, "CROSS", None, k, v, to, export)
-                elif hits:
-                    for start, stop, params in self.functions.get(e.name_, []):
-                        new = [(params[k], v) for k, v in hits if k < len(params) and params[k] not in self.held]
-                        for param, v in new:
-                            self.mark(param, f"Passed to {e.name_}", self.held[v][0])
-                        if new:
-                            self.walk(start, stop)
-
-
-def _results(fold: _Fold, file_id: str, round_: int) -> pd.DataFrame:
+        """Events from lo to hi in order; a call of the file's own function is gone into before the next one."""
+        stack = [(bisect_left(self.places, lo), bisect_right(self.places, hi))]
+        while stack:
+            i, end = stack.pop()
+            while i < end:
+                inner = self.step(self.events[i])
+                i += 1
+                if inner:
+                    stack.append((i, end))
+                    stack += [(bisect_left(self.places, a), bisect_right(self.places, b)) for a, b in reversed(inner)]
+                    break
+
+    def step(self, e) -> list[tuple[int, int]]:
+        """The effect of one event; the bodies to go into."""
+        inner = []
+        if e.op == "mark":
+            self.mark(e.name_, e.more[0])
+        elif e.op == "copy":
+            if (v := self.first(e.refs[0])) is not None:
+                self.mark(e.name_, f"Assigned to {e.name_}", self.held[v][0])
+        elif e.op == "sanitize":
+            if e.name_ in self.held:
+                self.held[e.name_][1] = True
+        elif e.op == "probe":
+            for k, refs in enumerate(e.refs if e.refs is not None else []):
+                v = self.first(refs)
+                if v is not None and (e.more is None or any(s in v.lower() for s in SENSITIVE_NAMES)):
+                    self.found(e, e.name_, None, k, v)
+        else:
+            hits = [(k, v) for k, refs in enumerate(e.refs) if (v := self.first(refs)) is not None]
+            if e.op == "sink":
+                for k, v in hits:
+                    self.found(e, "TAINT", e.more[0], k, v)
+            elif hits and e.name_ in self.imports:
+                module, export = self.imports[e.name_]
+                to = posixpath.normpath(posixpath.join(posixpath.dirname(self.path), module))
+                to = to if to.endswith((".js", ".ts")) else to + ".js"
+                for k, v in hits:
+                    self.found(e, "CROSS", None, k, v, to, export)
+            elif hits:
+                for start, stop, params in self.functions.get(e.name_, []):
+                    new = [(params[k], v) for k, v in hits if k < len(params) and params[k] not in self.held]
+                    for param, v in new:
+                        self.mark(param, f"Passed to {e.name_}", self.held[v][0])
+                    if new:
+                        inner.append((start, stop))
+        return inner
+
+
+def _results(fold: _Fold, **columns) -> pd.DataFrame:
     names = ["rule", "sink_type", "name", "line", "arg_no", "var", "flow", "to_path", "export"]
     seen, rows = set(), []
     for r in fold.out:  # a function that is declared after its call is walked twice: one finding
@@ -222,71 +245,118 @@ def _results(fold: _Fold, file_id: str, round_: int) -> pd.DataFrame:
         if key not in seen:
             seen.add(key)
             rows.append(r)
-    out = pd.DataFrame(rows, columns=names)
-    out.insert(0, "file_id", file_id)
-    out["round"] = round_
-    return out
+    return pd.DataFrame(rows, columns=names).assign(**columns)
 
 
-def _enter(round_: int):
-    """Folds the functions of a file that other files call with request data."""
+def _whole(rows: pd.DataFrame) -> pd.DataFrame:
+    fold = _Fold(rows["path"].iloc[0], rows)
+    fold.walk(float("-inf"), float("inf"))
+    return _results(fold, file_id=rows["file_id"].iloc[0])
 
-    def enter(rows: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
-        parts = [_results(_Fold(None, rows.iloc[:0]), "", round_)]
-        if len(rows):
-            for fn, own in seeds.groupby("fn"):
-                fold = _Fold(rows["path"].iloc[0], rows)
-                for start, stop, params in fold.functions[fn]:
-                    for s in own.itertuples():
-                        if s.arg_no < len(params):
-                            fold.mark(params[s.arg_no], f"Passed to {fn}", list(s.flow))
-                    fold.walk(start, stop)
-                parts.append(_results(fold, rows["file_id"].iloc[0], round_))
-        return pd.concat([p for p in parts if len(p)] or parts)
 
-    return enter
+def _enter(rows: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
+    """What each argument of a file's functions does there, if it holds request data."""
+    parts = [_results(_Fold(None, rows.iloc[:0]), file_id="", fn="", of_arg=0)]
+    if len(rows):
+        fold = _Fold(rows["path"].iloc[0], rows)
+        for t in targets.itertuples():
+            fold.reset()
+            for start, stop, params in fold.functions[t.fn]:
+                if t.of_arg < len(params):
+                    fold.mark(params[t.of_arg], f"Passed to {t.fn}")
+                    fold.walk(start, stop)
+            parts.append(_results(fold, file_id=rows["file_id"].iloc[0], fn=t.fn, of_arg=t.of_arg))
+    return pd.concat([p for p in parts if len(p)] or parts)
 
 
 def _folder(spark) -> str:
-    """A new folder that driver and executors share; a local one where the session names none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    """A new folder that driver and executors share. On one machine a local one will do where the session names none."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{shared.rstrip('/')}/taint-{uuid.uuid4().hex}"
 
 
-def track(p: Parsed, *, sinks: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
-    """Findings: rule TAINT (with sink_type) or a probe's name, name of the callee, line, arg_no, var, flow, and
-    round: 0 within a file, k after k steps into other files. ``p.files`` needs path for imports.
-    Rounds end when no argument of a function is entered for the first time; each is written, so lineage does not grow."""
-    spark = p.files.sparkSession
-    known = builtin_sinks(spark)
+def _inputs(p: Parsed, sinks: DataFrame | None, sources: DataFrame | None) -> DataFrame:
+    known = builtin_sinks(p.files.sparkSession)
     if sinks is not None:
         known = known.unionByName(sinks.select("function_name", F.lit("CUSTOM_RULE").alias("sink_type"), (F.col("ord") + 1000).alias("ord")))
-    e = events(p, known, sources).join(p.files.select("file_id", F.col("path") if "path" in p.files.columns else F.lit(None).cast("string").alias("path")), "file_id")
+    return events(p, known, sources).join(p.files.select("file_id", F.col("path") if "path" in p.files.columns else F.lit(None).cast("string").alias("path")), "file_id")
+
+
+def state(p: Parsed, *, sinks: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """The names that hold request data at each file's end: file_id, name, flow, cleaned."""
 
-    def whole(rows: pd.DataFrame) -> pd.DataFrame:
+    def held(rows: pd.DataFrame) -> pd.DataFrame:
         fold = _Fold(rows["path"].iloc[0], rows)
         fold.walk(float("-inf"), float("inf"))
-        return _results(fold, rows["file_id"].iloc[0], 0)
+        return pd.DataFrame([(rows["file_id"].iloc[0], n, f, c) for n, (f, c) in fold.held.items()], columns=["file_id", "name", "flow", "cleaned"])
 
+    return _inputs(p, sinks, sources).groupBy("file_id").applyInPandas(held, "file_id string, name string, flow array<string>, cleaned boolean")
+
+
+def track(p: Parsed, *, sinks: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """Findings: rule TAINT (with sink_type) or a probe's name, name of the callee, line, arg_no, var, flow, and
+    round: 0 within a file, k after k steps into other files, then with origin_file and origin_line of the first call.
+    ``p.files`` needs path for imports. Every call that passes request data on has its own findings; of several ways
+    from one call to one argument the first is told. Rounds end when no call reaches an argument for the
+    first time; each is written, so lineage does not grow."""
+    spark = p.files.sparkSession
     folder = _folder(spark)
 
     def write(rows: DataFrame, name: str) -> DataFrame:
         rows.write.parquet(f"{folder}/{name}")
         return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
 
-    e = write(e, "events")
-    found, k = write(e.groupBy("file_id").applyInPandas(whole, FOUND), "found/k=0"), 0
-    functions = e.filter("op = 'function'").select(F.col("file_id").alias("to_file"), F.col("path").alias("to_path"), F.col("name").alias("fn"), F.col("more").alias("params"))
+    def over_rounds(like: DataFrame, name: str, first: int, last: int) -> DataFrame:
+        return spark.read.schema(like.schema).parquet(*(f"{folder}/{name}/k={j}" for j in range(first, last + 1)))
+
+    e = write(_inputs(p, sinks, sources), "events")
+    start = write(e.groupBy("file_id").applyInPandas(_whole, FOUND), "start")
+    out = [start.filter("rule <> 'CROSS'").select(*FINDING, F.lit(0).alias("round"), F.lit(None).cast("string").alias("origin_file"), F.lit(None).cast("int").alias("origin_line"))]
+    functions = e.filter("op = 'function'").select(F.col("file_id").alias("to_file"), F.col("path").alias("to_path"), F.col("name").alias("fn"), F.size("more").alias("n_params"))
+
+    def reach(calls: DataFrame) -> DataFrame:
+        """Of calls (origin, to_path, export, arg_no, flow) the arguments that they reach."""
+        met = calls.join(functions, "to_path").filter((F.col("fn") == F.col("export")) | (F.col("export") == "default")).filter("arg_no < n_params")
+        return met.groupBy("origin", "origin_file", "origin_line", "to_file", "fn", F.col("arg_no").alias("of_arg")).agg(F.min("flow").alias("flow"))
+
+    origin = F.sha1(F.to_json(F.struct("file_id", "line", "name", "arg_no", "var", "flow", "to_path", "export")))
+    calls = start.filter("rule = 'CROSS'").select(origin.alias("origin"), F.col("file_id").alias("origin_file"), F.col("line").alias("origin_line"), "to_path", "export", "arg_no", "flow")
+    target, k = ["to_file", "fn", "of_arg"], 1
     while True:
-        calls = found.filter("rule = 'CROSS'").groupBy("to_path", "export", "arg_no").agg(F.min("flow").alias("flow"))
-        seeds = calls.join(functions, "to_path").filter((F.col("fn") == F.col("export")) | (F.col("export") == "default")).filter("arg_no < size(params)").select("to_file", "fn", "arg_no", "flow")
-        if k:
-            reached = spark.read.schema(seeds.schema).parquet(*(f"{folder}/seeds/k={j}" for j in range(1, k + 1)))
-            seeds = seeds.join(reached, ["to_file", "fn", "arg_no"], "left_anti")
-        k += 1
-        seeds = write(seeds, f"seeds/k={k}")
-        if seeds.isEmpty():
+        reached = reach(calls)
+        if k > 1:
+            reached = reached.join(over_rounds(reached, "reached", 1, k - 1), ["origin", *target], "left_anti")
+        reached = write(reached, f"reached/k={k}")
+        if reached.isEmpty():
             break
-        found = write(e.groupBy("file_id").cogroup(seeds.groupBy("to_file")).applyInPandas(_enter(k), FOUND), f"found/k={k}")
-    every = spark.read.schema(found.schema).parquet(*(f"{folder}/found/k={j}" for j in range(k)))
-    return every.filter("rule <> 'CROSS'").drop("to_path", "export")
+        new = reached.select(*target).distinct()
+        if k > 1:
+            new = new.join(over_rounds(reached, "reached", 1, k - 1), target, "left_anti")
+        effects = e.groupBy("file_id").cogroup(new.groupBy("to_file")).applyInPandas(_enter, FOUND + ", fn string, of_arg int")
+        write(effects, f"effects/k={k}")
+        effects = over_rounds(effects, "effects", 1, k).withColumnRenamed("flow", "onward")
+        both = reached.withColumnRenamed("to_file", "file_id").join(effects, ["file_id", "fn", "of_arg"]).withColumn("flow", F.concat("flow", "onward"))
+        both = write(both.drop("onward"), f"both/k={k}")
+        out.append(both.filter("rule <> 'CROSS'").select(*FINDING, F.lit(k).alias("round"), "origin_file", "origin_line"))
+        calls = both.filter("rule = 'CROSS'").select("origin", "origin_file", "origin_line", "to_path", "export", "arg_no", "flow")
+        k += 1
+    found = out[0]
+    for x in out[1:]:
+        found = found.unionByName(x)
+    return found
+
+
+def issues(found: DataFrame, sinks: DataFrame | None = None) -> DataFrame:
+    """Issues of the findings that reach a sink: file_id, type, message (with the flow), line, severity, sink_type, name."""
+    kind = F.col("sink_type")
+    rows = found.filter("rule = 'TAINT'")
+    if sinks is not None:
+        ids = F.broadcast(sinks.groupBy(F.col("function_name").alias("name")).agg(F.min_by("id", "ord").alias("rule_id")))  # user rules: a configuration
+        rows = rows.join(ids, "name", "left")
+        kind = F.when(kind == "CUSTOM_RULE", F.concat(kind, F.lit(": "), F.col("rule_id"))).otherwise(kind)
+    text = F.concat(F.lit("CRITICAL ["), kind, F.lit("] Data Flow Reached Sink: `"), F.col("name"), F.lit("()`. Flow: "), F.array_join("flow", " -> "))
+    return rows.select("file_id", F.lit("security").alias("type"), text.alias("message"), F.coalesce("line", F.lit(1)).alias("line"), F.lit("high").alias("severity"), "sink_type", "name", "var", "round")

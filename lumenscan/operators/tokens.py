@@ -13,8 +13,8 @@ from pyspark.sql.window import Window
 
 # Alternatives in order; quantifiers are possessive, so long literals need no stack.
 _PARTS = (
-    r"//[^\n]*+", r"/\*(?:[^*]|\*(?!/))*+\*/",
-    r"`(?:[^`\\]|\\[\s\S])*+`", r'"(?:[^"\\\n]|\\[\s\S])*+"', r"'(?:[^'\\\n]|\\[\s\S])*+'",
+    r"//[^\n]*+", r"/\*[\s\S]*?\*/",
+    r"`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`", r'"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"', r"'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'",
     r"(?<=[(,=:\[!&|?{};]\s{0,8}|return )/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*+",
     r"\d[\w.]*+", r"[A-Za-z_$][\w$]*+",
     r"===|!==|==|!=|=>|\.\.\.|&&=?|\|\|=?|\?\?=?|\?\.|\+\+|--|<=|>=|[-+*/%&|^]=|\n|[{}()\[\];,.<>+\-*/%&|^!~?:=@#]",

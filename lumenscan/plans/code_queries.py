@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import heuristics, report, syntax_rules, taint
+from ..sources import code as code_source
+from . import full_scan, seeds
 from .scan_queries import docs, table
 
 #: One-line programs and the findings that each must give (rules of the classic pass).
@@ -38,7 +40,7 @@ def _id(rows):
 
 
 def syntax_findings(spark, d):
-    x = syntax_rules.scan(syntax_rules.prepare(_files(spark, d, CODE)))
+    x = syntax_rules.scan(syntax_rules.prepare(_files(spark, d, seeds.program(CODE))))
     return _id(x).select("doc_id", "rule_id", "line_no")
 
 
@@ -60,11 +62,11 @@ def code_endpoints(spark, d):
 
 
 def structural_findings(spark, d):
-    return _id(heuristics.scan(syntax_rules.prepare(_files(spark, d, SHAPE)))).select("doc_id", "rule_id", "line_no")
+    return _id(heuristics.scan(syntax_rules.prepare(_files(spark, d, seeds.program(SHAPE))))).select("doc_id", "rule_id", "line_no")
 
 
 def file_totals(spark, d):
-    files = _files(spark, d, CODE)
+    files = _files(spark, d, seeds.program(CODE))
     p = syntax_rules.prepare(files)
     whole = report.file_report(files.withColumn("path", F.concat("file_id", F.lit(".js"))), syntax_rules.scan(p), syntax_rules.endpoints(p), syntax_rules.complexity(p))
     return report.totals(whole)
@@ -113,7 +115,86 @@ def taint_closure(spark, d):
     return x.select("user_id", F.col("line").cast("int").alias("line"), F.lit("SQL_INJECTION").alias("sink_type"), (F.col("copies") - F.col("at_source") + 1).alias("n_flow"))
 
 
+#: Uses of request data that only matter when tainted, and the rule that each must give.
+PROBES = (
+    ("const t = req.query.h; el.innerHTML = t;", "DOM_XSS"), ("const t = req.query.h; el.outerHTML = t;", "DOM_XSS"), ("const token = req.query.h; window.x = token;", "WINDOW_LEAK"), ("const t = req.query.h; window.x = t;", None),
+    ("const password = req.body.p; console.log(password);", "SENSITIVE_LOG"), ("const x = req.query.x; console.log(x);", None), ("const t = req.query.b; Buffer.from(t, 'hex');", "BUFFER_DECODE"), ("const t = req.query.b; Buffer.from(t, 'utf8');", None),
+    ("const t = req.query.d; document.write(t);", "DOCUMENT_WRITE"), ("const t = req.query.d; window.document.write(t);", None), ("const t = req.query.f; new Function(t);", "FUNCTION_CONSTRUCTOR"), ("const t = req.query.q; users.find({$where: t});", "NOSQL_OPERATOR"),
+    ("const t = req.query.q; users.find({$regex: 'a' + t});", "NOSQL_OPERATOR"), ("const t = req.query.h; lib.sanitize(t); el.innerHTML = t;", None), ("const t = req.query.h || 'd'; document.write(t);", None), ("let t = f(req); el.innerHTML = t;", None),
+)
+PROBE = f"CASE doc_id % {len(PROBES)} " + " ".join("WHEN {} THEN '{}'".format(k, c.replace("'", "''")) for k, (c, _) in enumerate(PROBES)) + " END"
+_ALL_SINKS = [(f, kind) for kind, names in taint.SINKS.items() for f in names]
+#: A call of each sink in turn, with a chain of copies of which every fourth document cleans the last.
+SINK_CALL = f"""concat('const v0 = req.body.a;', chr(10), repeat(concat('let w = v0;', chr(10)), cast(doc_id % 3 AS INT)), CASE WHEN doc_id % 4 = 0 THEN 'lib.sanitize(v0);' ELSE '' END, 'o.', CASE doc_id % {len(_ALL_SINKS)} {" ".join(f"WHEN {k} THEN '{f}'" for k, (f, _) in enumerate(_ALL_SINKS))} END, '(1, `x ${{"$"}}{{v0}}`);')""".replace('${"$"}{v0}', "#{v0}")
+SINK_CALL = f"replace({SINK_CALL}, '#{{', concat(chr(36), '{{'))"
+
+
+def taint_probes(spark, d):
+    x = taint.track(syntax_rules.prepare(_files(spark, d, seeds.program(PROBE)))).filter("rule <> 'TAINT'")
+    return _id(x).select("doc_id", F.col("rule").alias("rule_id"), F.size("flow").cast("long").alias("n_flow"))
+
+
+def taint_every_sink(spark, d):
+    x = taint.track(syntax_rules.prepare(_files(spark, d, seeds.program(SINK_CALL))))
+    return _id(x).select("doc_id", "name", "sink_type", "line", F.col("arg_no").cast("long").alias("arg_no"))
+
+
+def _rules(spark):
+    return spark.createDataFrame(seeds.RULES, "id string, description string, type string, severity double, target_pattern string, ord int")
+
+
+def taint_custom(spark, d):
+    """User rules: request data by a header's name, and two sinks of their own."""
+    code = "concat('const u = req.headers[''', CASE doc_id % 3 WHEN 0 THEN 'x-user' WHEN 1 THEN 'x-user-id' ELSE 'host' END, '''];', chr(10), CASE doc_id % 2 WHEN 0 THEN 'audit' ELSE 'logToSplunk' END, '(u + 1);')"
+    rules = _rules(spark)
+    sinks = code_source.rules_of(rules, "SINK")
+    p = syntax_rules.prepare(_files(spark, d, seeds.program(code)))
+    x = taint.issues(taint.track(p, sinks=sinks, sources=code_source.rules_of(rules, "SOURCE")), sinks)
+    return _id(x).select("doc_id", "line", "severity", "message")
+
+
+def taint_messages(spark, d):
+    """The text of each finding, with its flow, for every user's program."""
+    x = taint.issues(taint.track(syntax_rules.prepare(_programs(spark, d))))
+    return x.select(F.col("file_id").cast("long").alias("user_id"), "type", "line", F.regexp_replace("message", "v[0-9]+", "v").alias("message"))
+
+
+def taint_state(spark, d):
+    """Names that hold request data at the end of every user's program."""
+    x = taint.state(syntax_rules.prepare(_programs(spark, d)))
+    return x.select(F.col("file_id").cast("long").alias("user_id"), "name", "cleaned", F.size("flow").cast("long").alias("n_flow"))
+
+
+def taint_two_callers(spark, d):
+    """Two files call one function of a third; both are told, each with its own way."""
+    a = "concat('const {{ run }} = require(\"./c', cast(doc_id AS STRING), '\");', chr(10), 'const t = req.query.c;', chr(10), 'run({});')"
+    x = docs(spark, d, a=seeds.program(a.replace("{{", "{").replace("}}", "}").replace("{}", "t")), b=a.replace("{{", "{").replace("}}", "}").replace("{}", "1, t"), c="'function run(p, q) {\n  db.query(p);\n  cp.exec(q);\n}'")
+    files = None
+    for k in "abc":
+        own = x.selectExpr(f"concat('{k}', doc_id) AS file_id", f"{k} AS content", f"concat('src/{k}', doc_id, '.js') AS path")
+        files = own if files is None else files.unionByName(own)
+    x = taint.track(syntax_rules.prepare(files)).filter("rule = 'TAINT'")
+    return x.select("file_id", "sink_type", "line", "origin_file", F.size("flow").cast("long").alias("n_flow"))
+
+
+def classic_issues(spark, d):
+    """The classic report with the taint pass's issues behind the others: how many of each kind, and the last one."""
+    code = """concat('const q = req.query.a;', chr(10), CASE WHEN doc_id % 2 = 0 THEN 'db.query(q);' ELSE 'md5(q);' END, chr(10), CASE WHEN doc_id % 5 = 0 THEN 'f((' ELSE '' END)"""
+    files = _files(spark, d, seeds.program(code)).withColumn("path", F.concat("file_id", F.lit(".js")))
+    x = full_scan.classic_report(files)
+    return _id(x).select("doc_id", "error", F.size(F.filter("issues", lambda i: i.rule_id == "TAINT")).cast("long").alias("n_taint"), F.element_at("issues", -1).rule_id.alias("last_rule"), F.element_at("issues", -1).line.alias("last_line"))
+
+
+def text_reports(spark, d):
+    """The text report of each document's program."""
+    code = """concat('eval(x);', chr(10), CASE doc_id % 3 WHEN 0 THEN 'fetch("/api/a");' WHEN 1 THEN 'f(' ELSE '' END)"""
+    files = _files(spark, d, code).withColumn("path", F.concat(F.lit("p"), "file_id", F.lit(".js")))
+    return report.text_report(full_scan.classic_report(files)).select("path", "text")
+
+
 QUERIES = {
+    "taint_probes": taint_probes, "taint_every_sink": taint_every_sink, "taint_custom": taint_custom, "taint_messages": taint_messages, "taint_state": taint_state, "taint_two_callers": taint_two_callers,
+    "classic_issues": classic_issues, "text_reports": text_reports,
     "syntax_findings": syntax_findings, "complexity": complexity, "deep_nesting": deep_nesting, "code_endpoints": code_endpoints, "structural_findings": structural_findings, "file_totals": file_totals,
     "taint_sinks": taint_sinks, "taint_closure": taint_closure, "taint_interproc": taint_interproc, "taint_crossfile": taint_crossfile,
 }
@@ -124,16 +205,32 @@ y AS (SELECT *, max(copies) FILTER (k = 0) OVER (PARTITION BY user_id ORDER BY l
 SELECT user_id, CAST(line AS INT) AS line, 'SQL_INJECTION' AS sink_type, copies - at_source + 1 AS n_flow FROM y WHERE k = 3 AND source > coalesce(clean, 0)"""
 _RULES = ", ".join(f"({k}, '{r}')" for k, (_, rules) in enumerate(PROGRAMS) for r in rules)
 _SHAPES = ", ".join(f"({k}, '{r}')" for k, (_, r) in enumerate(SHAPES) if r)
+_LONG = f"{seeds.program(CODE)}"
+_MINIFIED = f"SELECT doc_id, 'MINIFIED' AS rule_id, 1 AS line_no FROM (SELECT doc_id, {_LONG} AS c FROM documents) WHERE length(c) + length(regexp_replace(c, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) > 1000 AND length(c) - length(replace(c, chr(10), '')) < 9"
 _BRANCH = {14: 1, 15: 1, 23: 1}  # programs with a branch
 
 ORACLE_SQL = {
-    "syntax_findings": f"SELECT doc_id, rule_id, 1 AS line_no FROM documents JOIN (VALUES {_RULES}) r(k, rule_id) ON doc_id % {len(PROGRAMS)} = k",
+    "syntax_findings": f"SELECT doc_id, rule_id, CASE WHEN rule_id = 'SOURCE_MAP' THEN 1 ELSE {seeds.CODE_LINE} END AS line_no FROM documents JOIN (VALUES {_RULES}) r(k, rule_id) ON doc_id % {len(PROGRAMS)} = k UNION ALL {_MINIFIED}",
     "complexity": "SELECT doc_id, CAST(3 * (doc_id % 7) + 3 AS INT) AS complexity FROM documents",
     "deep_nesting": "SELECT doc_id, doc_id % 9 - 4 AS n FROM documents WHERE doc_id % 9 > 4",
     "code_endpoints": "SELECT doc_id, concat('/api/', doc_id % 5) AS endpoint, 4 AS n FROM documents UNION ALL SELECT doc_id, concat('https://h/', doc_id % 3), 1 FROM documents",
-    "structural_findings": f"SELECT doc_id, rule_id, 1 AS line_no FROM documents JOIN (VALUES {_SHAPES}) r(k, rule_id) ON doc_id % {len(SHAPES)} = k",
-    "file_totals": f"SELECT count(*) AS total_files, count(*) FILTER (doc_id % {len(PROGRAMS)} IN ({', '.join(map(str, _BRANCH))})) AS total_complexity, (SELECT count(*) FROM documents JOIN (VALUES {_RULES}) r(k, x) ON doc_id % {len(PROGRAMS)} = k) AS total_issues, count(*) FILTER (doc_id % {len(PROGRAMS)} IN (4, 5)) AS total_endpoints FROM documents",
+    "structural_findings": f"SELECT doc_id, rule_id, {seeds.CODE_LINE} AS line_no FROM documents JOIN (VALUES {_SHAPES}) r(k, rule_id) ON doc_id % {len(SHAPES)} = k",
+    "file_totals": f"SELECT count(*) AS total_files, count(*) FILTER (doc_id % {len(PROGRAMS)} IN ({', '.join(map(str, _BRANCH))})) AS total_complexity, (SELECT count(*) FROM documents JOIN (VALUES {_RULES}) r(k, x) ON doc_id % {len(PROGRAMS)} = k) + (SELECT count(*) FROM ({_MINIFIED})) AS total_issues, count(*) FILTER (doc_id % {len(PROGRAMS)} IN (4, 5)) AS total_endpoints FROM documents",
     "taint_sinks": _TAINT, "taint_closure": _TAINT,
+    "taint_probes": f"SELECT doc_id, rule_id, 1 AS n_flow FROM documents JOIN (VALUES {', '.join(f'({k}, {chr(39)}{r}{chr(39)})' for k, (_, r) in enumerate(PROBES) if r)}) r(k, rule_id) ON doc_id % {len(PROBES)} = k",
+    "taint_every_sink": f"SELECT doc_id, name, sink_type, CAST({seeds.CODE_LINE} + 1 + doc_id % 3 AS INT) AS line, 1 AS arg_no FROM documents JOIN (VALUES {', '.join(f'({k}, {chr(39)}{f}{chr(39)}, {chr(39)}{kind}{chr(39)})' for k, (f, kind) in enumerate(_ALL_SINKS))}) s(k, name, sink_type) ON doc_id % {len(_ALL_SINKS)} = k WHERE doc_id % 4 <> 0",
+    "taint_custom": f"SELECT doc_id, CAST({seeds.CODE_LINE} + 1 AS INT) AS line, 'high' AS severity, concat('CRITICAL [CUSTOM_RULE: ', CASE doc_id % 2 WHEN 0 THEN 'r5' ELSE 'r1' END, '] Data Flow Reached Sink: `', CASE doc_id % 2 WHEN 0 THEN 'audit' ELSE 'logToSplunk' END, '()`. Flow: :Rule r2') AS message FROM documents WHERE doc_id % 3 < 2",
+    "taint_messages": f"SELECT user_id, 'security' AS type, line, concat('CRITICAL [SQL_INJECTION] Data Flow Reached Sink: `query()`. Flow: u', user_id, '.js:Request data', repeat(concat(' -> u', user_id, '.js:Assigned to v'), CAST(n_flow - 1 AS INT))) AS message FROM ({_TAINT})",
+    "taint_state": """WITH e AS (SELECT user_id, event_id, event_id % 4 AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS line FROM events),
+x AS (SELECT *, max(line) FILTER (k = 0) OVER w AS source, max(line) FILTER (k = 2) OVER w AS clean, count(*) FILTER (k = 1) OVER w AS copies FROM e WINDOW w AS (PARTITION BY user_id ORDER BY line)),
+y AS (SELECT *, max(copies) FILTER (k = 0) OVER (PARTITION BY user_id ORDER BY line) AS at_source, lead(line, 1, 1000000000) OVER (PARTITION BY user_id, k < 2 ORDER BY line) AS next_set FROM x)
+SELECT user_id, concat('v', event_id) AS name, EXISTS (SELECT 1 FROM e c WHERE c.user_id = y.user_id AND c.k = 2 AND c.line > y.line AND c.line < y.next_set) AS cleaned, copies - at_source + 1 AS n_flow
+FROM y WHERE k < 2 AND source > coalesce(clean, 0)""",
+    "taint_two_callers": "SELECT concat('c', doc_id) AS file_id, unnest(['SQL_INJECTION', 'COMMAND_INJECTION']) AS sink_type, unnest([2, 3]) AS line, unnest([concat('a', doc_id), concat('b', doc_id)]) AS origin_file, 2 AS n_flow FROM documents",
+    "classic_issues": f"""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'Brackets do not meet' END AS error, CASE WHEN doc_id % 5 > 0 THEN (doc_id + 1) % 2 END AS n_taint,
+CASE WHEN doc_id % 5 > 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'TAINT' ELSE 'WEAK_HASH' END END AS last_rule, CASE WHEN doc_id % 5 > 0 THEN CAST({seeds.CODE_LINE} + 1 AS INT) END AS last_line FROM documents""",
+    "text_reports": """SELECT concat('p', doc_id, '.js') AS path, concat('File: p', doc_id, '.js', chr(10), CASE WHEN doc_id % 3 = 1 THEN '  Error: Brackets do not meet' ELSE concat('  Complexity: 0', chr(10), CASE WHEN doc_id % 3 = 0 THEN concat('  Endpoints:', chr(10), '    - /api/a', chr(10)) ELSE '' END,
+'  Threats:', chr(10), '    - [SECURITY] Line 1: eval runs text as code', CASE WHEN doc_id % 3 = 0 THEN concat(chr(10), '    - [ENDPOINT] Line 2: Endpoint /api/a', chr(10), '    - [ENDPOINT] Line 2: Route or address /api/a') ELSE '' END) END) AS text FROM documents""",
     "taint_interproc": "SELECT doc_id, 1 AS line, 'COMMAND_INJECTION' AS sink_type, 2 AS n_flow FROM documents WHERE doc_id % 3 <> 0",
     "taint_crossfile": "SELECT concat('b', doc_id) AS file_id, 2 AS line, 'COMMAND_INJECTION' AS sink_type, 2 AS n_flow, 1 AS n_round FROM documents WHERE doc_id % 3 <> 0",
 }

@@ -73,7 +73,7 @@ def regex_documents(spark, d):
 
 
 def _seeded(spark, d):
-    return docs(spark, d, content=seeds.LINE)
+    return docs(spark, d, content=seeds.CONTENT)
 
 
 def regex_all(spark, d):
@@ -84,7 +84,7 @@ def _one_rule(rule):
     return lambda spark, d: regex_rules.scan_lines(regex_rules.lines(_seeded(spark, d)), (rule,)).select("doc_id", "line_no", "rule_id", "level")
 
 
-SEEDED_SQL = f"SELECT doc_id, 1 AS line_no, {seeds.LINE} AS line FROM documents"
+SEEDED_SQL = lines_sql(f"(SELECT doc_id, {seeds.CONTENT} AS t FROM documents)", "doc_id", "t")
 REGEX_ALL_SQL = " UNION ALL ".join(f"SELECT doc_id, line_no, {k} AS rule_no, '{r.id}' AS rule_id, '{r.level}' AS level FROM s WHERE {rule_sql(r)}" for k, r in enumerate(regex_rules.RULES))
 
 
@@ -98,8 +98,11 @@ def entropy_values(spark, d):
     return x.select("page_id", "line_no", "literal_no", F.round(shannon_entropy(F.col("literal")), 6).alias("entropy"))
 
 
+QUOTED = f"concat(coalesce(text, ''), chr(10), 'x = \"', {seeds.TOKEN}, '\"')"  # a whole text and a quoted token
+
+
 def entropy_secrets(spark, d):
-    x = entropy.secrets(_lines(spark, d, "documents", "doc_id", "text"))
+    x = entropy.secrets(regex_rules.lines(docs(spark, d, content=QUOTED)))
     return x.select("doc_id", "line_no", "literal_no", "literal", "rule_id", "level")
 
 
@@ -237,7 +240,7 @@ ORACLE_SQL = {
     **{f"regex_{r.id.lower()}": _S + f"SELECT doc_id, line_no, '{r.id}' AS rule_id, '{r.level}' AS level FROM s WHERE {rule_sql(r)}" for r in regex_rules.RULES},
     "string_literals": literals_sql("pages", "page_id", "html"),
     "entropy_values": f"SELECT page_id, line_no, literal_no, round({ENTROPY_SQL}, 6) AS entropy FROM ({literals_sql('pages', 'page_id', 'html')}) WHERE {BOUNDS_SQL}",
-    "entropy_secrets": f"SELECT doc_id, line_no, literal_no, literal, 'HIGH_ENTROPY_SECRET' AS rule_id, 'error' AS level FROM ({literals_sql('documents', 'doc_id', 'text')}) WHERE {SECRET_SQL}",
+    "entropy_secrets": f"SELECT doc_id, line_no, literal_no, literal, 'HIGH_ENTROPY_SECRET' AS rule_id, 'error' AS level FROM ({literals_sql(f'(SELECT doc_id, {QUOTED} AS t FROM documents)', 'doc_id', 't')}) WHERE {SECRET_SQL}",
     "token_flags": f"SELECT doc_id, {BOUNDS_SQL} AS bounds, {PREFIX_SQL} AS prefix, {SECRET_SQL} AS secret FROM (SELECT doc_id, {seeds.TOKEN} AS literal FROM documents)",
     "typosquat": _P + "SELECT p_partkey, pkg, version, meant FROM p JOIN t USING (pkg)",
     "clean_version": _P + f"SELECT p_partkey, {_CLEAN} AS version FROM p",
@@ -259,7 +262,7 @@ ELSE regexp_replace(line, 'exec\\((.*?)\\)', 'execFile(''sh'', [''-c'', \\1])')
     "totals": _F + "SELECT type, count(*) AS n_issues, count(DISTINCT file_id) AS n_files, count(DISTINCT endpoint) AS n_endpoints FROM f GROUP BY type",
     "summary_cube": _S + f"SELECT coalesce(level, '*') AS level, coalesce(rule_id, '*') AS rule_id, count(*) AS n FROM ({REGEX_ALL_SQL}) GROUP BY CUBE (level, rule_id)",
     "sarif_rules": _S + f"SELECT rule_id, min(doc_id) AS doc_id, min(rule_no) AS rule_no FROM ({REGEX_ALL_SQL}) GROUP BY rule_id",
-    "sarif_results": _S + f""", r AS ({REGEX_ALL_SQL}), u AS (SELECT doc_id % 17 AS project, rule_id, min((doc_id, rule_no)) AS first FROM r GROUP BY ALL)
-SELECT project, n_results, rules, results FROM (SELECT doc_id % 17 AS project, count(*) AS n_results, string_agg(concat(rule_id, '@f', doc_id, '.js:1'), ',' ORDER BY doc_id, rule_no) AS results FROM r GROUP BY 1)
+    "sarif_results": _S + f""", r AS ({REGEX_ALL_SQL}), u AS (SELECT doc_id % 17 AS project, rule_id, min((doc_id, line_no, rule_no)) AS first FROM r GROUP BY ALL)
+SELECT project, n_results, rules, results FROM (SELECT doc_id % 17 AS project, count(*) AS n_results, string_agg(concat(rule_id, '@f', doc_id, '.js:', line_no), ',' ORDER BY doc_id, line_no, rule_no) AS results FROM r GROUP BY 1)
 JOIN (SELECT project, string_agg(rule_id, ',' ORDER BY first) AS rules FROM u GROUP BY 1) USING (project)""",
 }

@@ -40,6 +40,18 @@ LINES = (
 #: Every seventh line is too long to be scanned.
 LINE = "concat(CASE WHEN doc_id % 7 = 3 THEN repeat('x', 2001) ELSE '' END, CASE doc_id % 30 " + " ".join(f"WHEN {k} THEN {e}" for k, e in enumerate(LINES)) + " END)"
 
+#: Every document's whole text with such a line behind it.
+CONTENT = f"concat(coalesce(text, ''), chr(10), {LINE})"
+
+
+def program(code: str) -> str:
+    """A file that holds the document's whole text as a comment, and the code on the lines behind it."""
+    return f"concat('/* ', replace(coalesce(text, ''), '*/', ' '), ' */', chr(10), {code})"
+
+
+#: The line on which that code begins.
+CODE_LINE = "CAST(2 + length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS INT)"
+
 TOKEN = f"""CASE doc_id % 8 WHEN 0 THEN concat('glpat-', substr({H}, 1, 12)) WHEN 1 THEN concat('ghp_', substr({H}, 1, 20)) WHEN 2 THEN concat('AKIA', upper(substr({H}, 1, 16)))
 WHEN 3 THEN concat('QwErTyUiOpAsDfGhJkLzXcVbNm', substr({H}, 1, 12)) WHEN 4 THEN substr({H}, 1, 15) WHEN 5 THEN repeat({H}, 9) WHEN 6 THEN concat({H}, ' words here') ELSE {H} END"""
 

@@ -41,6 +41,11 @@ def from_strings(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
     return _shape(spark.createDataFrame(list(texts.items()), "path string, content string"))
 
 
+def from_string(spark: SparkSession, text: str, path: str = "virtual-file.js") -> DataFrame:
+    """One text of code; a name of its own stands for the file it has not."""
+    return from_strings(spark, {path: text})
+
+
 def custom_rules(spark: SparkSession, folder: str) -> DataFrame:
     """User rules of all YAML files in a folder: id, description, type, severity, target_pattern, ord.
 
