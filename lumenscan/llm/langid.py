@@ -11,6 +11,7 @@ documents without a shuffle.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -69,14 +70,14 @@ def fit_svm(x: np.ndarray, y: np.ndarray, *, cost: float = 10.0, steps: int = 10
         v = xb.T @ (weight * (xb @ v))
         size = np.linalg.norm(v)
         v /= max(size, 1e-12)
-    rate = 1 / (2 * size + 1.0)
+    rate = float(1 / (2 * size + 1.0))
     w = np.zeros(xb.shape[1], dtype=np.float32)
-    z, t = w.copy(), 1.0
+    z, t = w.copy(), 1.0  # plain floats throughout: a wider number would widen the matrix at each step
     for _ in range(steps):
         slack = np.maximum(0, 1 - y * (xb @ z))
         grad = z - 2 * xb.T @ (weight * y * slack)
         new = z - rate * grad
-        t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
         z, w, t = new + (t - 1) / t2 * (new - w), new, t2
     return w[:-1], float(w[-1])
 
@@ -90,57 +91,79 @@ class Model:
     weights: np.ndarray | None = None  # (dims, pairs)
     bias: np.ndarray | None = None
 
-    def margins(self, texts: list[str]) -> np.ndarray:
-        if not self.pairs:
-            return np.zeros((len(texts), 0))
+    def _pieces(self, texts: list[str]):
+        """A few MB of texts at a time: first and last text, the grams' slots, each text's bounds in them and its bytes."""
         raws = [f" {t} ".encode() for t in texts]
         sizes = np.array([len(r) for r in raws])
-        out = np.empty((len(texts), len(self.pairs)))
         first = 0
-        while first < len(raws):  # a few MB of text at a time
+        while first < len(raws):
             last = max(first + 1, int(np.searchsorted(np.cumsum(sizes[first:]), 2_000_000)) + first)
             # Three zero bytes before each text stand for "no byte", as at the start of a text alone.
             n = sizes[first:last]
             ends = np.cumsum(n + 3)
-            bounds = np.stack([ends - n, ends], 1).ravel()
             slots = grams(np.frombuffer(b"".join(b"\0\0\0" + r for r in raws[first:last]), dtype=np.uint8), len(self.weights))
-            for k in range(len(self.pairs)):
-                w = self.weights[:, k]
-                total = w[slots[0]]
-                for s in slots[1:]:
-                    total = total + w[s]
-                out[first:last, k] = np.add.reduceat(np.append(total, 0), bounds, dtype=np.float64)[::2] / (4 * n) + self.bias[k]
+            yield first, last, slots, ends - n, n
             first = last
+
+    def _sums(self, slots, starts: np.ndarray, n: np.ndarray, pairs: list[int]) -> np.ndarray:
+        """The margins of some pairs for the texts that stand at ``starts`` and are ``n`` bytes long."""
+        out = np.empty((len(n), len(pairs)))
+        bounds = np.stack([starts, starts + n], 1).ravel()
+        for at, k in enumerate(pairs):
+            w = self.weights[:, k]
+            total = w[slots[0]]
+            for s in slots[1:]:
+                total = total + w[s]
+            out[:, at] = np.add.reduceat(np.append(total, 0), bounds, dtype=np.float64)[::2] / (4 * n) + self.bias[k]
         return out
 
-    def _choose(self, node, names: list[str], margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The winner's place in ``names`` by votes, then margins; its share of softened votes."""
+    def margins(self, texts: list[str]) -> np.ndarray:
+        """The margins of all pairs."""
+        every = list(range(len(self.pairs)))
+        if not every or not texts:
+            return np.zeros((len(texts), len(every)))
+        return np.concatenate([self._sums(slots, starts, n, every) for _, _, slots, starts, n in self._pieces(texts)])
+
+    def _choose(self, names: list[str], pairs: list[int], margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The winner's place in ``names`` by votes, then margins, then the alphabet; its share of softened votes.
+        ``margins``: a column for each of ``pairs``."""
         votes, soft = np.zeros((len(margins), len(names))), np.zeros((len(margins), len(names)))
         at = {n: i for i, n in enumerate(names)}
-        for k, (own, a, b) in enumerate(self.pairs):
-            if own == node:
-                p = 1 / (1 + np.exp(-np.clip(4 * margins[:, k], -30, 30)))
-                votes[:, at[a]] += p > 0.5
-                votes[:, at[b]] += p <= 0.5
-                soft[:, at[a]] += p
-                soft[:, at[b]] += 1 - p
+        for column, k in enumerate(pairs):
+            _, a, b = self.pairs[k]
+            p = 1 / (1 + np.exp(-np.clip(4 * margins[:, column], -30, 30)))
+            votes[:, at[a]] += p > 0.5
+            votes[:, at[b]] += p <= 0.5
+            soft[:, at[a]] += p
+            soft[:, at[b]] += 1 - p
         best = np.argmax(votes + soft / (len(names) + 1), axis=1)
         share = soft[np.arange(len(soft)), best] / max(1, len(names) - 1) if len(names) > 1 else np.ones(len(soft))
         return best, share
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """The family of each text, then its language by the pairs of that family alone."""
         names = sorted(self.families)
         if not names:
             return ["und"] * len(texts), np.zeros(len(texts))
-        margins = self.margins(texts)
-        family, score = self._choose(None, names, margins)
-        out = [""] * len(texts)
-        for f, name in enumerate(names):
-            rows = np.flatnonzero(family == f)
-            best, share = self._choose(name, self.families[name], margins[rows])
-            score[rows] *= share
-            for i, b in zip(rows.tolist(), best.tolist(), strict=True):
-                out[i] = self.families[name][b]
+        of = {node: [k for k, p in enumerate(self.pairs) if p[0] == node] for node in (None, *names)}
+        out, score = [""] * len(texts), np.ones(len(texts))
+        if not self.pairs:
+            return [self.families[names[0]][0]] * len(texts), score
+        for first, last, slots, starts, n in self._pieces(texts):
+            family, score[first:last] = self._choose(names, of[None], self._sums(slots, starts, n, of[None]))
+            for f, name in enumerate(names):
+                rows = np.flatnonzero(family == f)
+                if not len(rows):
+                    continue
+                if of[name]:
+                    # The bytes of these texts, moved together.
+                    keep = np.repeat(starts[rows] - (np.cumsum(n[rows]) - n[rows]), n[rows]) + np.arange(int(n[rows].sum()))
+                    best, share = self._choose(self.families[name], of[name], self._sums([s[keep] for s in slots], np.cumsum(n[rows]) - n[rows], n[rows], of[name]))
+                    score[first + rows] *= share
+                else:
+                    best = np.zeros(len(rows), dtype=int)
+                for i, b in zip(rows.tolist(), best.tolist(), strict=True):
+                    out[first + i] = self.families[name][b]
         return out, score
 
 
@@ -165,17 +188,22 @@ def fit_rows(x: np.ndarray, langs: np.ndarray) -> Model:
     return m
 
 
-def fit(docs: DataFrame, *, learn=None, max_rows: int = 3000, dims: int = DIMS) -> Model:
+def fit(docs: DataFrame, *, learn=None, max_rows: int = 3000, max_langs: int = 200, dims: int = DIMS) -> Model:
     """Fit on ``docs`` (text, lang). ``learn``: the rows that may be learnt from. About ``max_rows`` rows
-    are used, as many of each language as there are. Without labelled rows the model knows no language."""
-    common.small_batches(docs.sparkSession)
+    are used, as many of each language as there are; of over ``max_langs`` values of lang the most frequent are
+    learnt (equal ones by name). Without labelled rows the model knows no language."""
+    with common.batches_of(docs.sparkSession, 1000):
+        return _fit(docs, learn, max_rows, max_langs, dims)
+
+
+def _fit(docs: DataFrame, learn, max_rows: int, max_langs: int, dims: int) -> Model:
     known = docs.filter((F.lit(True) if learn is None else learn) & F.col("lang").isNotNull() & has_letter(F.col("text")))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
     share = {k: max_rows / len(sizes) / n for k, n in sizes.items()}
     if not share:
         return Model()
     limit = F.create_map(*[F.lit(x) for k, s in share.items() for x in (k, int(min(1.0, s) * 1_000_000))])
-    some = known.filter(F.pmod(F.xxhash64(F.lit(5), *(c for c in ("doc_id", "text") if c in docs.columns)), F.lit(1_000_000)) < F.element_at(limit, F.col("lang")))
+    some = known.filter(F.col("lang").isin(*sizes) & (F.pmod(F.xxhash64(F.lit(5), *(c for c in ("doc_id", "text") if c in docs.columns)), F.lit(1_000_000)) < F.element_at(limit, F.col("lang"))))
 
     def rows(batches):
         for b in batches:
@@ -192,7 +220,7 @@ def has_letter(text: Column) -> Column:
 
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and lang_score (new names if taken). Null text and text without a letter
-    are ``und`` with score 0."""
+    are ``und`` with score 0. Equal texts get equal languages; other columns are kept as they are."""
     common.small_batches(docs.sparkSession)
 
     @F.pandas_udf("lang string, score double")
