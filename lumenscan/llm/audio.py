@@ -12,6 +12,9 @@ search once. The search is a join on the integers, grouped by pair and offset.
 
 from __future__ import annotations
 
+import io
+import wave
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -48,6 +51,32 @@ def chroma(samples: np.ndarray, rate: int = RATE) -> np.ndarray:
     return unit(out)
 
 
+def wav_samples(data: bytes | None, rate: int = RATE) -> np.ndarray:
+    """Samples from -1 to 1 of a WAV file's bytes (PCM of 8 to 32 bits, channels averaged), at ``rate`` by linear
+    interpolation. What is no such file gives none."""
+    try:
+        with wave.open(io.BytesIO(data or b"")) as w:
+            width, channels, own = w.getsampwidth(), w.getnchannels(), w.getframerate()
+            raw = w.readframes(w.getnframes())
+    except (wave.Error, EOFError):
+        return np.zeros(0)
+    raw = raw[: len(raw) // (width * channels) * width * channels]
+    if width == 1:
+        x = np.frombuffer(raw, dtype=np.uint8).astype(np.float64) - 128
+    else:  # little-endian; the sign is in the last byte
+        wide = np.zeros((len(raw) // width, 4), dtype=np.uint8)
+        wide[:, 4 - width :] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, width)
+        x = wide.view("<i4")[:, 0] / 2.0 ** (8 * (4 - width))
+    x = x.reshape(-1, channels).mean(1) / 2.0 ** (8 * width - 1)
+    if own == rate or not len(x) or not own:
+        return x
+    return np.interp(np.arange(0, len(x), own / rate), np.arange(len(x)), x)
+
+
+def wav_chroma(data: bytes | None) -> np.ndarray:
+    return chroma(wav_samples(data))
+
+
 def unit(frames: np.ndarray) -> np.ndarray:
     size = np.linalg.norm(frames, axis=1, keepdims=True)
     return np.where(size > 1e-9, frames / np.maximum(size, 1e-9), 0.0)
@@ -100,15 +129,17 @@ def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
 
 
 def fingerprint(recordings: DataFrame, media_col: str, *, to_frames=chroma, name: str = "codes") -> DataFrame:
-    """``recordings`` with their integers (array<int>). ``media_col``: an array of numbers, by default samples
-    at RATE, that ``to_frames`` turns into (frames, 12). Null or too short recordings have none."""
+    """``recordings`` with their integers (array<int>). ``media_col``: what ``to_frames`` turns into (frames, 12): by
+    default an array of samples at RATE, with ``wav_chroma`` a binary column of WAV files. Null, broken or
+    too short recordings have none; a column of the new one's name keeps it."""
     common.small_batches(recordings.sparkSession)
     (name,) = common.fresh(recordings, name)
 
     @F.pandas_udf("array<int>")
     def make(values: pd.Series) -> pd.Series:
         none = np.zeros(0)
-        return pd.Series([codes(to_frames(none if v is None else np.asarray(v, dtype=np.float64))).view(np.int32) for v in values], dtype=object)
+        held = (v if isinstance(v, bytes) else none if v is None else np.asarray(v, dtype=np.float64) for v in values)
+        return pd.Series([codes(to_frames(b"" if to_frames is wav_chroma and not isinstance(v, bytes) else v)).view(np.int32) for v in held], dtype=object)
 
     return recordings.withColumn(name, make(F.col(media_col)))
 
@@ -134,11 +165,12 @@ def _best(a: pd.Series, b: pd.Series, offsets: pd.Series, votes: pd.Series) -> p
     return pd.DataFrame(rows, columns=["offset", "bit_error", "compared", "score"])
 
 
-def align(prints: DataFrame, is_query, *, id_col: str = "rec_id", codes_col: str = "codes", least: int = 3) -> DataFrame:
+def align(prints: DataFrame, is_query, *, id_col: str = "rec_id", codes_col: str = "codes", least: int = 1) -> DataFrame:
     """One row per recording: rec_id, n_codes, digest, class_id (smallest rec_id of equal fingerprints), and
     for those that ``is_query`` picks the best other class: match_id, offset (its position less the
-    query's), bit_error, compared. Pairs need ``least`` equal positions at one offset; every such offset of every
-    pair is compared, and the one with most bits alike, less those that differ, wins. Empty fingerprints match nothing."""
+    query's), bit_error, compared. Every offset of every pair at which one position is equal (``least``) is
+    compared, and the one with most bits alike, less those that differ, wins; of equal ones the least bit error, the
+    smallest id, the smallest offset. Empty fingerprints match nothing, repeated ids are rows of their own."""
     common.small_batches(prints.sparkSession)
     rows = common.materialise(prints.select(F.col(id_col).alias("rec_id"), F.col(codes_col).alias("codes"), is_query.alias("query")), "audio-prints")
     rows = rows.withColumn("digest", F.sha2(F.array_join(F.col("codes").cast("array<string>"), ","), 256))
