@@ -29,7 +29,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        spent = edges
         edges = common.materialise(small, "edges")
+        common.forget(spent, large)
         new = _state(edges)
         if new == state:
             break

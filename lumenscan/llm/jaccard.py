@@ -412,7 +412,8 @@ def _join_classes(docs: DataFrame, id_col: str, text_col: str, width: int, perce
             links = links.unionByName(more)
             labels = _merge(labels, more)
     named = classes.join(labels, "v", "left").withColumn("component", F.coalesce("component", "v"))
-    names = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    # Written out, so that AQE can split the join of a class that holds many sets.
+    names = common.materialise(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "join-names")
     of_set = named.select("v", "component").join(names, "component").select("v", "component_id")
     out = rows.join(of_set, "v", "left").select("doc_id", "h", F.col("n").alias("n_shingles"), "v", F.when(F.col("v").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out, links

@@ -12,7 +12,7 @@ import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TURN = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
-_PIECE = 1_000_000  # bytes of text worked on at a time
+_PIECE = 400_000  # bytes of text worked on at a time
 _powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
