@@ -11,6 +11,9 @@ alike (at least 30 words, by sketches of their runs of three), and where three q
 headings) recur, what stands in at most twice as many pages as that prose stays. The h1 of a marked
 article always stays. What is left is the text.
 
+Null html and pages without text give an empty text. Repeated rows give equal texts and count as one page,
+pages of one content as well; a subtree exactly at ``min_pages`` is a template. Order of blocks is that of the page.
+
 Counts are partial before their shuffle, so a host with a third of all pages is no hot key.
 Templates go to pages as rows of (page, subtree): a host may have any number.
 """
@@ -36,13 +39,13 @@ ALIKE, WORDS = 8, 30  # so many equal values over so many words tell copies of o
 
 # Names of HTML elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math object select".split())
+RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg object select".split())
 FOREIGN = frozenset(("svg", "math"))  # a slash ends these; an unquoted value may end in one
 CLOSED = re.compile(r"""(?:^|[\s"'])/\s*$|(?:^|\s)[^\s"'=/]+/\s*$""")
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
-NEVER = frozenset("nav footer aside form button dialog menu head search input label fieldset audio video canvas map".split()) | RAW
+NEVER = frozenset("nav footer aside form button dialog menu head search input fieldset audio video canvas map annotation annotation-xml".split()) | RAW
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 CLOSES_P = BLOCK - frozenset("body html head caption tbody td tfoot th thead tr option optgroup legend dd dt li".split()) | {"dl", "ol", "ul", "table"}
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
@@ -53,6 +56,8 @@ HINT = re.compile(
     r"site-?header|page-?header|masthead|topbar|header|footer|site-?footer|copyright|sidebar|side-?bar|rail|complementary|contentinfo|breadcrumbs?|cookies?|"
     r"consent|gdpr|notice|notification|alert|popup|modal|overlay|subscribe|subscription|newsletter|signup|sign-?in|login|share|sharing|social|"
     r"related|recommended|recommendations|comments?|commentlist|disqus|respond|replies|search|searchbox|widget|pagination|pager|toolbar|skip-?link|toc)(?:$|[\s_-])", re.I)
+# Of these, the words that mark what an article may hold and is no part of it. Others name parts of texts too.
+ADVERT = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|newsletter|comments?|commentlist|disqus|widget|related|recommended|recommendations)(?:$|[\s_-])", re.I)
 NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>|<[!?/][^>]*+>?|[^<]++|<""", re.S)
 
@@ -62,10 +67,10 @@ COMMENTS = re.compile(r"(?:^|[\s_-])comments?(?:$|[\s_-])|\0hidden", re.I)
 
 
 class Node:
-    __slots__ = ("hint", "kids", "mark", "spare", "tag")
+    __slots__ = ("hint", "kids", "links", "mark", "spare", "tag")
 
     def __init__(self, tag: str, hint: str = ""):
-        self.tag, self.hint, self.kids, self.mark, self.spare = tag, hint, [], 0, False
+        self.tag, self.hint, self.kids, self.mark, self.spare, self.links = tag, hint, [], 0, False, False
 
 
 def _hint(attrs: str) -> str:
@@ -169,25 +174,29 @@ def hashes(root: Node) -> set[int]:
 
 def _spare(root: Node) -> None:
     """Marks elements that a name alone must not delete: those that hold main, an h1 or the longest article, and
-    on a page that has none of these outside them those that hold most of its text."""
-    sizes: dict[int, tuple[int, int]] = {}  # by id: characters, and articles, mains and h1s
+    on a page that has none of these outside them those that hold most of its text. Also marks elements
+    of which at least half the text is links or none is."""
+    sizes: dict[int, tuple[int, int, int]] = {}  # by id: characters, articles, mains and h1s, characters in links
     holders, longest, path = [], (-1, ()), []
     todo: list[tuple[Node, bool]] = [(root, False)]
     while todo:
         node, done = todo.pop()
         if done:
             path.pop()
-            inner = [sizes[id(k)] if isinstance(k, Node) else (len(k.strip()), 0) for k in node.kids]
-            chars, heads = (sum(x) for x in zip(*inner, strict=True)) if inner else (0, 0)
+            inner = [sizes[id(k)] if isinstance(k, Node) else (len(k.strip()), 0, 0) for k in node.kids]
+            chars, heads, linked = (sum(x) for x in zip(*inner, strict=True)) if inner else (0, 0, 0)
+            if node.tag == "a":
+                linked = chars
+            node.links = 2 * linked >= chars
             if node.tag in ("article", "main", "h1") and not COMMENTS.search(node.hint):
                 heads += 1
                 if node.tag == "article":
                     longest = max(longest, (chars, tuple(path)), key=lambda x: x[0])
                 else:
                     holders.append(tuple(path))
-            sizes[id(node)] = chars, heads
+            sizes[id(node)] = chars, heads, linked
         elif node.tag in NEVER or "\0" in node.hint:
-            sizes[id(node)] = 0, 0  # not shown whatever it holds
+            sizes[id(node)] = 0, 0, 0  # not shown whatever it holds
         else:
             todo.append((node, True))
             path.append(node)
@@ -195,7 +204,7 @@ def _spare(root: Node) -> None:
     for nodes in (*holders, longest[1]):
         for node in nodes:
             node.spare = True
-    chars, heads = sizes[id(root)]
+    chars, heads, _ = sizes[id(root)]
     node = root
     while node is not None:  # at most one child holds most of the text
         node = next((k for k in node.kids if isinstance(k, Node) and 2 * sizes[id(k)][0] > chars and sizes[id(k)][1] == heads), None)
@@ -204,13 +213,22 @@ def _spare(root: Node) -> None:
 
 
 def _foreign(node: Node, in_article: bool, by_name: bool = True) -> bool:
+    """What is no main text whatever its counts. Inside an article a paragraph or heading is never told by its name,
+    and other elements only by a word of adverts and the like, or by any of HINT if they hold links above all."""
     if node.tag in NEVER:
         return True
     if node.tag == "header":
         return not (in_article and any(isinstance(k, Node) and k.tag in ("h1", "h2") for k in node.kids))
     if node.tag in ("article", "main", "h1"):
         return bool(node.hint) and bool(COMMENTS.search(node.hint))
-    return bool(node.hint) and ("\0" in node.hint or by_name and not node.spare and bool(HINT.search(MODIFIER.sub("", node.hint))))
+    if not node.hint:
+        return False
+    if "\0" in node.hint:
+        return True
+    if not by_name or node.spare or (in_article and node.tag in PROSE):
+        return False
+    name = MODIFIER.sub("", node.hint)
+    return bool(HINT.search(name)) and (not in_article or node.links or bool(ADVERT.search(name)))
 
 
 def _sketch(text: str) -> list[int]:

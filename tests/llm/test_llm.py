@@ -10,6 +10,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -305,6 +306,47 @@ def test_names_do_not_delete_articles():
     assert text("<div hidden><main>no</main></div><p>a</p>") == "a"
 
 
+def test_names_inside_articles():
+    text = html_main.main_text
+    long = "words of the article itself " * 20
+    for inner in ("<p class='header'>kept</p>", "<div class='social history'>kept</div>", "<section id='share'><p>kept</p></section>", "<label>kept</label>", "<math><mi>kept</mi></math>", "<h2 class=notice>kept</h2>", "<ul class=toc-notes><li>kept</ul>"):
+        assert text(f"<article><h1>T</h1><p>{long}</p>{inner}</article>").endswith("itself kept"), inner
+    for inner in ("<div class='ad'>no</div>", "<div class='share-bar'><a href=x>no</a> <a href=y>no</a></div>", "<ul class=related><li>no</ul>", "<section class='reader comments'><p>no</p></section>", "<math><annotation>no</annotation></math>"):
+        assert text(f"<article><h1>T</h1><p>{long}</p>{inner}</article>").endswith("itself"), inner
+
+
+FURNITURE = "<div><b>Home</b> | <b>News</b></div><section><span>Weather today</span></section>{x}<div><p>All rights reserved, imprint</p></div>"
+
+
+def test_neutral_furniture_goes_by_counts_alone(spark, empty, clashing):
+    """No tag or name tells it: with templates it is gone, without them it stays. Subtrees are counted again by hand."""
+    rng = random.Random(31)
+    rows = [(k, f"http://n.example.com/{k}", FURNITURE.format(x=f"<div><h2>Head {k}</h2><p>{words(rng, 40, 5000)}</p></div>")) for k in range(12)]
+    rows += [(k, f"http://few.example.com/{k}", FURNITURE.format(x=f"<div><p>{words(rng, 40, 5000)}</p></div>")) for k in range(20, 24)]  # under five pages
+    rows += [(40, "http://n.example.com/0", rows[0][2]), (41, "http://n.example.com/long", FURNITURE.format(x=f"<div><p>{words(rng, 60_000, 5000)}</p></div>"))]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r.page_id: r.main_text for r in html_main.extract(d).collect()}
+    for k, _, html in rows:
+        plain = html_main.main_text(html)
+        assert plain.startswith("Home | News Weather today") and plain.endswith("imprint")
+        assert out[k] == (plain if 20 <= k < 24 else plain.removeprefix("Home | News Weather today ").removesuffix(" All rights reserved, imprint")), k
+    count = defaultdict(set)  # brute force over the marks: host and subtree -> contents
+    for _, url, html in rows:
+        for mark in html_main.shown(html_main.parse(html)):
+            count[url.split("/")[2], mark].add(html)
+    expect = defaultdict(set)
+    for (site, mark), pages in count.items():
+        if len(pages) >= html_main.MIN_PAGES:
+            for html in pages:
+                expect[html].add((mark, len(pages)))
+    keys = d.select(F.xxhash64(html_main.host(), "html").alias("page"), F.xxhash64(html_main.host()).alias("site"), "html").distinct().collect()
+    got = {r.page: {(m.tree, m.n) for m in r.marks} for r in html_main.site_templates(d).collect()}
+    assert {r.html: {(t ^ r.site, n) for t, n in got.get(r.page, set())} for r in keys if r.page in got} == dict(expect)
+    one = html_main.extract(d.withColumn("main_text", F.lit(1)).withColumn("page_marks", F.lit(2)))
+    assert one.columns[:5] == ["page_id", "url", "html", "main_text", "page_marks"] and one.columns[5] == "_main_text"
+    assert html_main.extract(d.limit(0)).count() == 0
+
+
 def test_templates_of_constant_titles_and_large_hosts(spark):
     # One title and h1 on all pages, and a box on 6 of 100 pages.
     page = "<title>same</title><div><h1>same</h1></div><div><p>menu</p></div>{box}<div><p>text {k}</p></div>"
@@ -442,6 +484,29 @@ def test_jaccard_join_near_the_threshold(spark, monkeypatch, seed):
     assert got == brute_classes(rows)
 
 
+def test_equal_first_words_of_digests(spark, monkeypatch):
+    """Sets whose identities share their first 64 bits are told apart by the second."""
+    plain = jaccard._identity
+    few = lambda s: (plain(s)[0] % 3, plain(s)[1])
+    monkeypatch.setattr(jaccard, "_identity", few)
+    monkeypatch.setattr(jaccard, "_name", lambda s, clashing: few(s)[1] if few(s)[0] in clashing else few(s)[0])  # workers get these with the closures
+    rng = random.Random(5)
+    base = [words(rng, 30, 3000) for _ in range(12)]
+    rows = list(enumerate(base + [b + " tail" for b in base]))
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join_classes(spark.createDataFrame(rows, "doc_id long, text string"))[0].collect()), key=str)
+    assert got == brute_classes(rows)
+
+
+def test_overlaps_from_differences():
+    rng = np.random.default_rng(6)
+    pool = np.unique(rng.integers(0, 2**63, 500, dtype=np.uint64))
+    hub = pool[:200]
+    sets_ = [np.unique(np.concatenate([rng.permutation(hub)[:150], rng.permutation(pool)[:40]])) for _ in range(2)]
+    less, more = [[np.setdiff1d(hub, s).tobytes() for s in sets_], [np.setdiff1d(s, hub).tobytes() for s in sets_]]
+    b = pa.RecordBatch.from_pydict({"a": [1], "b": [2], "na": [len(sets_[0])], "nb": [len(sets_[1])], "nh": [len(hub)], "less_a": [less[0]], "less_b": [less[1]], "more_a": [more[0]], "more_b": [more[1]]})
+    assert next(jaccard._derive(iter([b]))).column("common").to_pylist() == [len(np.intersect1d(*sets_))]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7), (200, 201), (201, 202), (202, 200)]
     got = {r.v: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -637,3 +702,45 @@ def test_pipeline_stages(spark, docs, corpus):
     mixed = by["mixing"](spark, exact, "")
     assert mixed.columns == docs.columns
     assert by["bpe"](spark, mixed, "").count() == mixed.count()
+
+
+def test_pipeline_run(spark, tmp_path, corpus):
+    """The whole run over written tables against brute force: nulls, empty texts, repeats, a clashing column, an empty table."""
+    import corpus_pipeline
+    import tiktoken
+
+    rng = random.Random(14)
+    rows = [(*r, 7) for r in corpus if r[0] is None or r[0] != 88] + [(1000 + i, junk(rng), "en", "s9", 0, 7) for i in range(60)]
+    schema = SCHEMA + ", mix_shard int"
+    d = spark.createDataFrame(rows, schema)
+    labels = spark.createDataFrame([(r[0], int(r[0] < 1000), 0) for r in rows if r[0] is not None and r[0] % 4], "doc_id long, quality int, toxic int")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    got = defaultdict(int)
+    for r in corpus_pipeline.run(spark, f"file://{tmp_path}").collect():
+        got[r.doc_id, r.n_tokens, r.ids_sha256] += 1
+    d = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
+    good = [tuple(r) for r in quality.keep_good(d, labels).collect()]
+    assert 0 < len(good) < len(rows)
+    groups = brute_exact(good)
+    first = {(min((x for x in g if x is not None), default=None), t) for t, g in groups.items()}
+    unique, seen = [], set()
+    for r in good:
+        key = (r[0], re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or ""))
+        if key in first and key not in seen:
+            seen.add(key)
+            unique.append(r)
+    classes = brute_classes([(r[0], r[1]) for r in unique])
+    stay = {(i, n) for i, n, c in classes if i == c}
+    left = [r for r in unique if (r[0], len(shingle_set(r[1]))) in stay]
+    assert len(left) == sum(i == c for i, _, c in classes)
+    own = tiktoken.Encoding("own", pat_str=__import__("public_tokenizers").PATTERN, mergeable_ranks={bpe.codec(bpe.default_path(), None, bpe.LEAF).bytes_of[i]: i for i in range(50256)}, special_tokens={})
+    want = defaultdict(int)
+    for r in mixing.mix(spark.createDataFrame(left, schema)).collect():
+        ids = own.encode_ordinary(r.text or "")
+        want[r.doc_id, len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest()] += 1
+    assert got == want
+    (tmp_path / "none").mkdir()
+    d.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    labels.limit(0).write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/none").count() == 0
