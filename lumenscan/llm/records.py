@@ -33,6 +33,8 @@ from . import common
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 CHUNK = 64  # words of a checksum lane
+#: White space other than the space and the line end, and characters that Unicode versions disagree on.
+OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 FILE_BYTES = 256 << 20  # of text a file, where the session asks for no more files
 
 
@@ -161,10 +163,13 @@ class WordEncoder:
     def _even(t: str) -> bool:
         """Whether all white space is single spaces and line ends between visible characters, and
         nothing stands there that Unicode versions disagree on."""
-        return t.split() == t.replace("\n", " ").split(" ") and not ("\u180e" in t or "\u200b" in t or "\ufeff" in t)
+        return bool(t) and t[0] not in " \n" and t[-1] not in " \n" and not ("  " in t or "\n\n" in t or " \n" in t or "\n " in t) and not OTHER_SPACE.search(t)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        return np.array(self._ids(text), dtype=self.dtype).tobytes()
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids  # encodes without offsets
 
     def _learn_words(self, words: list[str]) -> None:
         """Words of visible characters are encoded; a word and a mark, or several words with single line
@@ -199,36 +204,39 @@ class WordEncoder:
         """Encodes ``before`` and the word, for each word."""
         for i in range(0, len(words), 20_000):
             some = words[i : i + 20_000]
-            ids = np.array(self.tokenizer.encode("".join(before + p for p in some), add_special_tokens=False).ids)
+            text = before + before.join(some)
+            ids = np.array(self._ids(text))
             ends = np.cumsum(self.length[ids])
-            cuts = np.searchsorted(ends, np.cumsum([len(p.encode()) + 1 for p in some]), side="left") + 1
-            raw, w, at = ids.astype(self.dtype).tobytes(), self.dtype.itemsize, 0
-            for p, cut in zip(some, cuts.tolist(), strict=True):
-                known[p] = raw[at * w : cut * w]
-                at = cut
+            # A word ends where the next one's space or line end stands, which no word holds itself.
+            data = np.frombuffer(text.encode(), dtype=np.uint8)
+            stops = np.append(np.flatnonzero(data == ord(before))[1:], len(data))
+            cuts = ((np.searchsorted(ends, stops, side="left") + 1) * self.dtype.itemsize).tolist()
+            raw = ids.astype(self.dtype).tobytes()
+            known.update(zip(some, map(raw.__getitem__, map(slice, [0, *cuts], cuts)), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and the end id, as bytes."""
         split = [t.split(" ") if self.by_word and self._even(t) and not any(a in t for a in self.added) else None for t in texts]
-        words: dict[str, None] = {}
+        firsts = [parts.pop(0) if parts else None for parts in split]  # the first word has no space before it
+        words: set[str] = set()
         for parts in split:
             if parts:
-                words.update(dict.fromkeys(parts[1:]))
-        unknown = [p for p in words if p not in self.ids]
+                words.update(parts)
+        unknown = words.difference(self.ids)
         if len(self.ids) + len(unknown) > self.most // 2:
             # What is not asked for while half of the memory fills is forgotten.
             self.old, self.ids, self.after_line = self.ids, {}, {}
-            unknown = list(words)
+            unknown = words
         if self.old and unknown:
             self.ids.update((p, self.old[p]) for p in unknown if p in self.old)
-            unknown = [p for p in unknown if p not in self.ids]
-        self._learn_words(unknown)
+            unknown = unknown.difference(self.ids)
+        self._learn_words(list(unknown))
         get, out = self.ids.__getitem__, []
-        for t, parts in zip(texts, split, strict=True):
+        for t, first, parts in zip(texts, firsts, split, strict=True):
             if parts is None:
                 out.append(self.whole(t) + self.end)
-            else:  # the first word has no space before it
-                out.append((self.whole(parts[0]) if parts[0] else b"") + b"".join(map(get, parts[1:])) + self.end)
+            else:
+                out.append((self.whole(first) if first else b"") + b"".join(map(get, parts)) + self.end)
         return out
 
 
