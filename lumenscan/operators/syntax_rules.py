@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import scratch
 from ..functions.text import at_most
 from . import tokens as tk
 
@@ -23,26 +24,26 @@ MINIFIED_LINES, MINIFIED_CHARS, AES_KEY_CHARS, MAX_NESTING = 10, 1000, 32, 4
 
 @dataclass
 class Parsed:
-    """A scan's token tables: written out once by ``prepare``."""
+    """A scan's token tables: written out once by ``prepare``, so every check reads the columns that it needs."""
 
     files: DataFrame
     tokens: DataFrame
     items: DataFrame
     calls: DataFrame
+    folder: str
     statements: DataFrame | None = None
 
     def release(self) -> None:
-        """Frees the persisted tables, once all results are written."""
-        for t in (self.tokens, self.calls, self.statements):
-            if t is not None:
-                t.unpersist()
+        """Deletes the written tables, once all results are written."""
+        scratch.delete(self.files.sparkSession, self.folder)
 
 
 def prepare(files: DataFrame) -> Parsed:
-    """``files``: file_id, content. The token table feeds every check, so it is persisted until ``release``."""
-    t = tk.tokens(files.select("file_id", "content")).persist()
-    items = tk.children(t)
-    return Parsed(files, t, items, tk.arguments(tk.calls(t), items).persist())
+    """``files``: file_id, content. The token table feeds every check; it is dealt out by file once."""
+    folder = scratch.new_folder(files.sparkSession, "tokens")
+    t = scratch.write(tk.tokens(files.select("file_id", "content")), f"{folder}/tokens")
+    items = scratch.write(tk.children(t), f"{folder}/items")
+    return Parsed(files, t, items, scratch.write(tk.arguments(tk.calls(t), items), f"{folder}/calls"), folder)
 
 
 def _finding(rows: DataFrame, kind: str, rule: str, message, *, order: int = 0, start: str = "start") -> DataFrame:

@@ -10,8 +10,6 @@ callers are joined to its results, round by round, until no caller reaches a new
 from __future__ import annotations
 
 import posixpath
-import tempfile
-import uuid
 from bisect import bisect_left, bisect_right
 
 import pandas as pd
@@ -19,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import scratch
 from . import tokens as tk
 from .syntax_rules import Parsed
 
@@ -47,7 +46,8 @@ def statements(p: Parsed) -> DataFrame:
     op = lambda c: c.rlike(r"^([-+*/%&|^=<>!?:.,(\[]|\?\.|&&|\|\||=>|===?|!==?)$")
     cut = F.col("text").isin(";", ",") | ((F.col("kind") == "name") & F.col("text").isin(*STARTS)) | ((before == "}") & (F.col("kind") == "name") & ~F.col("text").isin("from")) | ((F.col("line") > line) & ~op(before) & ~op(F.col("text")) & (F.col("kind") != "template") & ~F.col("text").isin(")", "]", "}", "{"))
     numbered = t.withColumn("n", F.sum(F.coalesce(cut, F.lit(False)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).filter(~F.col("text").isin(";", ","))
-    p.statements = numbered.groupBy("file_id", "block", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "text", "close", "line"))).alias("toks")).select("file_id", "toks").persist()
+    made = numbered.groupBy("file_id", "block", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "text", "close", "line"))).alias("toks")).select("file_id", "toks")
+    p.statements = scratch.write(made, f"{p.folder}/statements")
     return p.statements
 
 
@@ -269,16 +269,6 @@ def _enter(rows: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([p for p in parts if len(p)] or parts)
 
 
-def _folder(spark) -> str:
-    """A new folder that driver and executors share. On one machine a local one will do where the session names none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{shared.rstrip('/')}/taint-{uuid.uuid4().hex}"
-
-
 def _inputs(p: Parsed, sinks: DataFrame | None, sources: DataFrame | None) -> DataFrame:
     known = builtin_sinks(p.files.sparkSession)
     if sinks is not None:
@@ -304,11 +294,10 @@ def track(p: Parsed, *, sinks: DataFrame | None = None, sources: DataFrame | Non
     from one call to one argument the first is told. Rounds end when no call reaches an argument for the
     first time; each is written, so lineage does not grow."""
     spark = p.files.sparkSession
-    folder = _folder(spark)
+    folder = scratch.new_folder(spark, "taint")
 
     def write(rows: DataFrame, name: str) -> DataFrame:
-        rows.write.parquet(f"{folder}/{name}")
-        return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
+        return scratch.write(rows, f"{folder}/{name}")
 
     def over_rounds(like: DataFrame, name: str, first: int, last: int) -> DataFrame:
         return spark.read.schema(like.schema).parquet(*(f"{folder}/{name}/k={j}" for j in range(first, last + 1)))
