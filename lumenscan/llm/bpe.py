@@ -6,8 +6,8 @@ outwards, on either side, to the nearest place where the pre-tokeniser always br
 stands around it (a word character before white space, or a letter before a mark). Matches
 never cross such a place and start afresh there, so tokens outside the window are those of
 the joined text. Where a side has no such place (one unbroken run) the window takes all of
-that side. Joining is associative, so the same join serves halves of a text in one task and
-pieces of a very long text from several. Decoding concatenates bytes up the same tree.
+that side. Joining is associative; a text is encoded by halves within its task. Decoding concatenates
+bytes up the same tree.
 
 Texts are rows that Spark deals out; nothing is shuffled.
 """

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -11,6 +9,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scratch
+
 #: White space of the contracts: space and the five ASCII controls from tab on.
 WHITE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,27 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_own: dict[str, str] = {}  # by application
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the session names none and runs on one machine (tests, a laptop) a local one is made.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
-        folder = _own[app]
-    return folder.rstrip("/")
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """In the folder that driver and executors share."""
+    return scratch.new_folder(spark, name)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -48,8 +30,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     so a lost executor never costs more than one step."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = scratch.write(df, path)
     _written[id(out)] = (weakref.ref(out), path)
     return out
 
@@ -62,8 +43,7 @@ def forget(*tables: DataFrame) -> None:
     for t in tables:
         own, path = _written.pop(id(t), (lambda: None, None))
         if own() is t:
-            hadoop = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
+            scratch.delete(t.sparkSession, path)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

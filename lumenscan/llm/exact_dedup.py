@@ -27,11 +27,12 @@ GROUPS = 50_000  # groups in a bucket, on average
 
 @dataclass
 class Snapshot:
-    """groups: bucket, digest, keep_id, n; filters: bucket, filter."""
+    """groups: bucket, digest, keep_id, n; filters: bucket, filter; written: the table that holds the groups."""
 
     groups: DataFrame
     filters: DataFrame
     buckets: int
+    written: DataFrame
 
 
 def digest(text_col: str = "text") -> Column:
@@ -53,15 +54,15 @@ def _keys(digests: pd.Series) -> np.ndarray:
 
 def build_snapshot(rows: DataFrame) -> Snapshot:
     """``rows``: doc_id, digest, n (rows that are equal in both). Written once, never changed."""
-    groups = common.materialise(_group(rows), "dedup-groups")
-    buckets = max(1, -(-groups.count() // GROUPS))
-    groups = groups.withColumn("bucket", _bucket(buckets))
+    written = common.materialise(_group(rows), "dedup-groups")
+    buckets = max(1, -(-written.count() // GROUPS))
+    groups = written.withColumn("bucket", _bucket(buckets))
 
     def make(bucket: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"bucket": [bucket["bucket"].iloc[0]], "filter": [fuse.build(_keys(bucket["digest"]))]})
 
     filters = groups.select("bucket", "digest").groupBy("bucket").applyInPandas(make, "bucket int, filter binary")
-    return Snapshot(groups, common.materialise(filters, "dedup-filters"), buckets)
+    return Snapshot(groups, common.materialise(filters, "dedup-filters"), buckets, written)
 
 
 def screen(groups: DataFrame, snapshot: Snapshot) -> DataFrame:
@@ -116,6 +117,7 @@ def decide(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
         if clash is not None:
             decided = decided.join(clash.select("digest").distinct(), "digest", "left_anti").unionByName(clash)
     decided = common.materialise(decided.select("doc_id", "digest", "n", "keep_id", "group_size"), "dedup-decided")
+    common.forget(rows, snapshot.written, snapshot.filters, new, both, groups)
     count = decided.agg(
         F.count_if(~F.col("doc_id").eqNullSafe(F.col("keep_id"))), F.count_if(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n") > 1))).first()
     return Decision(decided, count[0], count[1])

@@ -243,3 +243,21 @@ def mix(docs: DataFrame, m: Mixer | None = None, *, id_col: str = "doc_id", text
 def op1(spark, sf_dir: str) -> DataFrame:
     plan = plan_mix(common.table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).cast("long").alias("taken"), "source")
+
+
+def mixing_targets(spark, sf_dir: str) -> DataFrame:
+    """Each source's documents, size and target, as the mix plans them."""
+    plan = plan_mix(common.table(spark, sf_dir, "documents"))
+    return plan.groupBy("source").agg(F.count("*").alias("n_docs"), F.max("source_size").alias("source_size"), F.round(F.max("target"), 2).alias("target"))
+
+
+# A source is capped while the level of the open ones is above its cap by weight: sources by that ratio, capped ones first.
+TARGETS_SQL = r"""
+WITH s AS (SELECT source, count(*) AS n_docs, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS size FROM documents GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM s),
+r AS (SELECT *, row_number() OVER (ORDER BY 3 * size / weight) AS k, sum(size) OVER ()::DOUBLE AS total FROM w),
+c AS (SELECT *, 3 * size / weight AS ratio, (total - coalesce(sum(3 * size) OVER b, 0)) / sum(weight) OVER a AS level FROM r
+      WINDOW b AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+l AS (SELECT min_by(level, k) FILTER (level <= ratio) AS level FROM c)
+SELECT source, n_docs, size AS source_size, round(least(3.0 * size, coalesce(l.level, 3.0 * size / weight) * weight), 2) AS target FROM c, l
+"""

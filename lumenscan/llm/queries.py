@@ -15,9 +15,14 @@ QUERIES = {
     "op8_jaccard_join": jaccard.op8,
     "op9_token_records": records.op9,
     "op10_bpe_tree": bpe.op10,
+    # Parts of op1 and op2 that SQL can express.
+    "mixing_targets": mixing.mixing_targets,
+    "licence_phrases": licences.licence_phrases,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op8_jaccard_join": jaccard.OP8_SQL,
+    "mixing_targets": mixing.TARGETS_SQL,
+    "licence_phrases": licences.PHRASES_SQL,
 }
