@@ -2,17 +2,20 @@
 
 Assignments, sanitisers, calls and probes become one table of events. Their effect depends on
 order, and files are independent, so events are folded per file in order of place, after one
-shuffle by file. A call into another file is a row that joins that file's functions. What an argument of a
-function does there does not depend on who calls, so each is folded once; the flows of all
-callers are joined to its results, round by round, until no caller reaches a new function.
+shuffle by file: one row holds a file's events. A call into another file is a row that joins that
+file's functions. What an argument of a function does there does not depend on who calls, so each is
+folded once; the flows of all callers are joined to its results, round by round, until no caller
+reaches a new function.
 """
 
 from __future__ import annotations
 
 import posixpath
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,8 +34,8 @@ SINKS = {
 SENSITIVE_NAMES = ("password", "token", "secret", "key", "auth")
 STARTS = ("const", "let", "var", "if", "return", "for", "while", "function", "else", "try", "do", "switch", "case", "throw", "import", "export", "class", "break", "continue", "async")
 
-EVENT = "file_id string, path string, pos int, op string, name string, refs array<array<string>>, line int, stop int, more array<string>"
 FOUND = "file_id string, rule string, sink_type string, name string, line int, arg_no int, var string, flow array<string>, to_path string, export string"
+EFFECT = FOUND + ", fn string, of_arg int"
 FINDING = ("file_id", "rule", "sink_type", "name", "line", "arg_no", "var", "flow")
 
 
@@ -160,17 +163,28 @@ def builtin_sinks(spark) -> DataFrame:
     return spark.createDataFrame([(f, kind, k) for k, (f, kind) in enumerate(rows)], "function_name string, sink_type string, ord int")
 
 
+class Event(NamedTuple):
+    pos: int
+    op: str
+    name: str | None
+    refs: list[list[str]] | None
+    line: int | None
+    stop: int | None
+    more: list[str] | None
+
+
 class _Fold:
     """The state of one file: names that hold request data, each with its flow and whether it was cleaned."""
 
-    def __init__(self, path: str, rows: pd.DataFrame):
+    def __init__(self, path: str | None, events: list[dict]):
         self.path, self.base = path or "", posixpath.basename(path or "")
-        rows = rows.sort_values("pos", kind="stable").rename(columns={"name": "name_"})
-        self.imports = {r.name_: (r.more[0], r.more[1]) for r in rows[rows["op"] == "import"].itertuples()}
+        rows = [Event(**e) for e in events]
+        self.imports = {r.name: (r.more[0], r.more[1]) for r in rows if r.op == "import"}
         self.functions: dict[str, list] = {}
-        for r in rows[rows["op"] == "function"].itertuples():
-            self.functions.setdefault(r.name_, []).append((r.pos, r.stop, list(r.more)))
-        self.events = list(rows[~rows["op"].isin(("import", "function"))].itertuples())
+        for r in rows:
+            if r.op == "function":
+                self.functions.setdefault(r.name, []).append((r.pos, r.stop, r.more))
+        self.events = [r for r in rows if r.op not in ("import", "function")]
         self.places = [e.pos for e in self.events]
         self.reset()
 
@@ -185,7 +199,7 @@ class _Fold:
         self.held[name] = [[*before, f"{self.base}:{what}"], False]
 
     def found(self, e, rule, kind, arg, var, to=None, export=None) -> None:
-        self.out.append((rule, kind, e.name_, e.line, arg, var, list(self.held[var][0]), to, export))
+        self.out.append((rule, kind, e.name, e.line, arg, var, list(self.held[var][0]), to, export))
 
     def walk(self, lo: float, hi: float) -> None:
         """Events from lo to hi in order; a call of the file's own function is gone into before the next one."""
@@ -204,87 +218,106 @@ class _Fold:
         """The effect of one event; the bodies to go into."""
         inner = []
         if e.op == "mark":
-            self.mark(e.name_, e.more[0])
+            self.mark(e.name, e.more[0])
         elif e.op == "copy":
             if (v := self.first(e.refs[0])) is not None:
-                self.mark(e.name_, f"Assigned to {e.name_}", self.held[v][0])
+                self.mark(e.name, f"Assigned to {e.name}", self.held[v][0])
         elif e.op == "sanitize":
-            if e.name_ in self.held:
-                self.held[e.name_][1] = True
+            if e.name in self.held:
+                self.held[e.name][1] = True
         elif e.op == "probe":
             for k, refs in enumerate(e.refs if e.refs is not None else []):
                 v = self.first(refs)
                 if v is not None and (e.more is None or any(s in v.lower() for s in SENSITIVE_NAMES)):
-                    self.found(e, e.name_, None, k, v)
+                    self.found(e, e.name, None, k, v)
         else:
             hits = [(k, v) for k, refs in enumerate(e.refs) if (v := self.first(refs)) is not None]
             if e.op == "sink":
                 for k, v in hits:
                     self.found(e, "TAINT", e.more[0], k, v)
-            elif hits and e.name_ in self.imports:
-                module, export = self.imports[e.name_]
+            elif hits and e.name in self.imports:
+                module, export = self.imports[e.name]
                 to = posixpath.normpath(posixpath.join(posixpath.dirname(self.path), module))
                 to = to if to.endswith((".js", ".ts")) else to + ".js"
                 for k, v in hits:
                     self.found(e, "CROSS", None, k, v, to, export)
             elif hits:
-                for start, stop, params in self.functions.get(e.name_, []):
+                for start, stop, params in self.functions.get(e.name, []):
                     new = [(params[k], v) for k, v in hits if k < len(params) and params[k] not in self.held]
                     for param, v in new:
-                        self.mark(param, f"Passed to {e.name_}", self.held[v][0])
+                        self.mark(param, f"Passed to {e.name}", self.held[v][0])
                     if new:
                         inner.append((start, stop))
         return inner
 
 
-def _results(fold: _Fold, **columns) -> pd.DataFrame:
-    names = ["rule", "sink_type", "name", "line", "arg_no", "var", "flow", "to_path", "export"]
+def _results(fold: _Fold, **columns) -> list[dict]:
+    names = ("rule", "sink_type", "name", "line", "arg_no", "var", "flow", "to_path", "export")
     seen, rows = set(), []
     for r in fold.out:  # a function that is declared after its call is walked twice: one finding
         key = (*r[:6], tuple(r[6]), *r[7:])
         if key not in seen:
             seen.add(key)
-            rows.append(r)
-    return pd.DataFrame(rows, columns=names).assign(**columns)
+            rows.append(dict(zip(names, r, strict=True)) | columns)
+    return rows
+
+
+def _each_file(schema: str, make):
+    """A function of Arrow batches for mapInArrow: ``make`` gives the rows of each file."""
+    types = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    out = pa.schema([(n, types[t]) for n, t in (c.split() for c in schema.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
+        for b in batches:
+            for i in range(b.num_rows):  # one file's events at a time
+                rows += make(b.slice(i, 1).to_pylist()[0])
+                if len(rows) > 1000:
+                    yield pa.RecordBatch.from_pylist(rows, schema=out)
+                    rows = []
+        yield pa.RecordBatch.from_pylist(rows, schema=out)
+
+    return run
 
 
-def _whole(rows: pd.DataFrame) -> pd.DataFrame:
-    fold = _Fold(rows["path"].iloc[0], rows)
+def _whole(file: dict) -> list[dict]:
+    fold = _Fold(file["path"], file["events"])
     fold.walk(float("-inf"), float("inf"))
-    return _results(fold, file_id=rows["file_id"].iloc[0])
+    return _results(fold, file_id=file["file_id"])
 
 
-def _enter(rows: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
+def _held(file: dict) -> list[dict]:
+    fold = _Fold(file["path"], file["events"])
+    fold.walk(float("-inf"), float("inf"))
+    return [{"file_id": file["file_id"], "name": n, "flow": f, "cleaned": c} for n, (f, c) in fold.held.items()]
+
+
+def _enter(file: dict) -> list[dict]:
     """What each argument of a file's functions does there, if it holds request data."""
-    parts = [_results(_Fold(None, rows.iloc[:0]), file_id="", fn="", of_arg=0)]
-    if len(rows):
-        fold = _Fold(rows["path"].iloc[0], rows)
-        for t in targets.itertuples():
-            fold.reset()
-            for start, stop, params in fold.functions[t.fn]:
-                if t.of_arg < len(params):
-                    fold.mark(params[t.of_arg], f"Passed to {t.fn}")
-                    fold.walk(start, stop)
-            parts.append(_results(fold, file_id=rows["file_id"].iloc[0], fn=t.fn, of_arg=t.of_arg))
-    return pd.concat([p for p in parts if len(p)] or parts)
+    fold, rows = _Fold(file["path"], file["events"]), []
+    for t in file["targets"]:
+        fold.reset()
+        for start, stop, params in fold.functions[t["fn"]]:
+            if t["of_arg"] < len(params):
+                fold.mark(params[t["of_arg"]], f"Passed to {t['fn']}")
+                fold.walk(start, stop)
+        rows += _results(fold, file_id=file["file_id"], fn=t["fn"], of_arg=t["of_arg"])
+    return rows
 
 
 def _inputs(p: Parsed, sinks: DataFrame | None, sources: DataFrame | None) -> DataFrame:
+    """One row for each file that has any: file_id, path, events in order of place."""
     known = builtin_sinks(p.files.sparkSession)
     if sinks is not None:
         known = known.unionByName(sinks.select("function_name", F.lit("CUSTOM_RULE").alias("sink_type"), (F.col("ord") + 1000).alias("ord")))
-    return events(p, known, sources).join(p.files.select("file_id", F.col("path") if "path" in p.files.columns else F.lit(None).cast("string").alias("path")), "file_id")
+    per = events(p, known, sources).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("pos", "op", "name", "refs", "line", "stop", "more"))).alias("events"))
+    return per.join(p.files.select("file_id", F.col("path") if "path" in p.files.columns else F.lit(None).cast("string").alias("path")), "file_id")
 
 
 def state(p: Parsed, *, sinks: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
     """The names that hold request data at each file's end: file_id, name, flow, cleaned."""
-
-    def held(rows: pd.DataFrame) -> pd.DataFrame:
-        fold = _Fold(rows["path"].iloc[0], rows)
-        fold.walk(float("-inf"), float("inf"))
-        return pd.DataFrame([(rows["file_id"].iloc[0], n, f, c) for n, (f, c) in fold.held.items()], columns=["file_id", "name", "flow", "cleaned"])
-
-    return _inputs(p, sinks, sources).groupBy("file_id").applyInPandas(held, "file_id string, name string, flow array<string>, cleaned boolean")
+    schema = "file_id string, name string, flow array<string>, cleaned boolean"
+    return _inputs(p, sinks, sources).mapInArrow(_each_file(schema, _held), schema)
 
 
 def track(p: Parsed, *, sinks: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
@@ -303,9 +336,10 @@ def track(p: Parsed, *, sinks: DataFrame | None = None, sources: DataFrame | Non
         return spark.read.schema(like.schema).parquet(*(f"{folder}/{name}/k={j}" for j in range(first, last + 1)))
 
     e = write(_inputs(p, sinks, sources), "events")
-    start = write(e.groupBy("file_id").applyInPandas(_whole, FOUND), "start")
+    start = write(e.mapInArrow(_each_file(FOUND, _whole), FOUND), "start")
     out = [start.filter("rule <> 'CROSS'").select(*FINDING, F.lit(0).alias("round"), F.lit(None).cast("string").alias("origin_file"), F.lit(None).cast("int").alias("origin_line"))]
-    functions = e.filter("op = 'function'").select(F.col("file_id").alias("to_file"), F.col("path").alias("to_path"), F.col("name").alias("fn"), F.size("more").alias("n_params"))
+    functions = e.select("file_id", "path", F.explode(F.filter("events", lambda x: x.op == "function")).alias("f"))
+    functions = functions.select(F.col("file_id").alias("to_file"), F.col("path").alias("to_path"), F.col("f.name").alias("fn"), F.size("f.more").alias("n_params"))
 
     def reach(calls: DataFrame) -> DataFrame:
         """Of calls (origin, to_path, export, arg_no, flow) the arguments that they reach."""
@@ -325,7 +359,8 @@ def track(p: Parsed, *, sinks: DataFrame | None = None, sources: DataFrame | Non
         new = reached.select(*target).distinct()
         if k > 1:
             new = new.join(over_rounds(reached, "reached", 1, k - 1), target, "left_anti")
-        effects = e.groupBy("file_id").cogroup(new.groupBy("to_file")).applyInPandas(_enter, FOUND + ", fn string, of_arg int")
+        asked = new.groupBy(F.col("to_file").alias("file_id")).agg(F.array_sort(F.collect_list(F.struct("fn", "of_arg"))).alias("targets"))
+        effects = e.join(asked, "file_id").mapInArrow(_each_file(EFFECT, _enter), EFFECT)
         write(effects, f"effects/k={k}")
         effects = over_rounds(effects, "effects", 1, k).withColumnRenamed("flow", "onward")
         both = reached.withColumnRenamed("to_file", "file_id").join(effects, ["file_id", "fn", "of_arg"]).withColumn("flow", F.concat("flow", "onward"))
