@@ -19,7 +19,14 @@ PROGRAMS = (
     ("Object.assign(a, b);", ("OBJECT_ASSIGN",)), ("var o = {...a};", ("OBJECT_SPREAD",)), ("fs.exists(p);", ("CHECK_THEN_USE",)), ('r.header("Access-Control-Allow-Origin", "*");', ("CORS_ANY",)),
     ("h.request({rejectUnauthorized: false});", ("TLS_OFF",)), ('r.cookie("a", b);', ("COOKIE_FLAGS",)), ('r.cookie("a", b, {secure: true, httpOnly: true, sameSite: 1});', ()), ("try { f(); } catch (e) { }", ("EMPTY_CATCH",)),
     ("//# sourceMappingURL=x.map", ("SOURCE_MAP",)), ("a?.eval(x); o.evaluate(y);", ()), ('// eval(x) "https://no"', ()),
+    ('f("ghp_abcdefghijklmnopqrstuvwxyz0123456789");', ("TOKEN_LITERAL",)), ('f("eyJhbGciOi.eyJzdWIiOi.abcdefghij1");', ("TOKEN_LITERAL",)), ("var q = localStorage.getItem(k); o.exec(q);", ("EXEC",)), ("o.exec(q);", ()),
 )
+#: Programs of the classic pass's own taint check, and the message that each must give.
+TAINTED = (
+    ("var q = req.query.a; eval(q);", "Request data reaches eval"), ("var q = f(1); eval(q);", "eval runs text as code"), ("eval(q); var q = req.query.a;", "eval runs text as code"), ("var q = req.body.a; el.innerHTML = q;", "Request data set as markup"),
+    ("var q = window.location; el.innerHTML = q;", "Request data set as markup"), ("el.innerHTML = q;", "Markup set from a value"), ("var q = localStorage.getItem(k); o.exec(q);", "Request data reaches a process call"), ("child_process.exec(q);", "Process call with a command line"),
+)
+TAINT_CODE = f"CASE doc_id % {len(TAINTED)} " + " ".join(f"WHEN {k} THEN '{c}'" for k, (c, _) in enumerate(TAINTED)) + " END"
 CODE = f"CASE doc_id % {len(PROGRAMS)} " + " ".join("WHEN {} THEN '{}'".format(k, c.replace("'", "''")) for k, (c, _) in enumerate(PROGRAMS)) + " END"
 
 #: The same for heuristics.
@@ -27,6 +34,7 @@ SHAPES = (
     ("u.role = 'admin';", "LITERAL_ROLE"), ("if (!ok) { f(); return true; }", "DEAD_AUTH_BRANCH"), ("Buffer.allocUnsafe(9);", "ALLOC_UNSAFE"), ("JSON.parse(x);", "JSON_PARSE"), ("vm.run(x);", "VM_USE"),
     ("jwt.verify(t, k, {algorithms: ['none']});", "JWT_NONE"), ("w.addEventListener('message', (e) => { f(e); });", "MESSAGE_ORIGIN"), ("w.addEventListener('message', (e) => { if (e.origin) f(e); });", None),
     ("res.send(err.stack);", "ERROR_LEAK"), ("if (mode == 'DEBUG_ON') { }", "MAGIC_VALUE"), ("if (hash == h) { }", "TIMING_COMPARE"), ("new RegExp('(a+)+b');", "REDOS"), ("new RegExp('abc');", None),
+    ("Object.assign(a, b);", "OBJECT_ASSIGN"),
 )
 SHAPE = f"CASE doc_id % {len(SHAPES)} " + " ".join("WHEN {} THEN '{}'".format(k, c.replace("'", "''")) for k, (c, _) in enumerate(SHAPES)) + " END"
 
@@ -44,6 +52,11 @@ def syntax_findings(spark, d):
     return _id(x).select("doc_id", "rule_id", "line_no")
 
 
+def classic_taint(spark, d):
+    x = syntax_rules.scan(syntax_rules.prepare(_files(spark, d, seeds.program(TAINT_CODE)))).filter("rule_id IN ('EVAL', 'EXEC', 'INNER_HTML')")
+    return _id(x).select("doc_id", "message", "line_no")
+
+
 def complexity(spark, d):
     code = "concat(repeat(concat('if (a && b) { f(c ? d : e); }', chr(10)), cast(doc_id % 7 AS INT)), 'switch (x) { case 1: default: } while (y) { }')"
     return _id(syntax_rules.complexity(syntax_rules.prepare(_files(spark, d, code))))
@@ -62,7 +75,7 @@ def code_endpoints(spark, d):
 
 
 def structural_findings(spark, d):
-    return _id(heuristics.scan(syntax_rules.prepare(_files(spark, d, seeds.program(SHAPE))))).select("doc_id", "rule_id", "line_no")
+    return _id(heuristics.scan(syntax_rules.prepare(_files(spark, d, seeds.program(SHAPE))))).select("doc_id", "rule_id", "channel", "line_no")
 
 
 def file_totals(spark, d):
@@ -194,7 +207,7 @@ def text_reports(spark, d):
 
 QUERIES = {
     "taint_probes": taint_probes, "taint_every_sink": taint_every_sink, "taint_custom": taint_custom, "taint_messages": taint_messages, "taint_state": taint_state, "taint_two_callers": taint_two_callers,
-    "classic_issues": classic_issues, "text_reports": text_reports,
+    "classic_taint": classic_taint, "classic_issues": classic_issues, "text_reports": text_reports,
     "syntax_findings": syntax_findings, "complexity": complexity, "deep_nesting": deep_nesting, "code_endpoints": code_endpoints, "structural_findings": structural_findings, "file_totals": file_totals,
     "taint_sinks": taint_sinks, "taint_closure": taint_closure, "taint_interproc": taint_interproc, "taint_crossfile": taint_crossfile,
 }
@@ -214,9 +227,10 @@ ORACLE_SQL = {
     "complexity": "SELECT doc_id, CAST(3 * (doc_id % 7) + 3 AS INT) AS complexity FROM documents",
     "deep_nesting": "SELECT doc_id, doc_id % 9 - 4 AS n FROM documents WHERE doc_id % 9 > 4",
     "code_endpoints": "SELECT doc_id, concat('/api/', doc_id % 5) AS endpoint, 4 AS n FROM documents UNION ALL SELECT doc_id, concat('https://h/', doc_id % 3), 1 FROM documents",
-    "structural_findings": f"SELECT doc_id, rule_id, {seeds.CODE_LINE} AS line_no FROM documents JOIN (VALUES {_SHAPES}) r(k, rule_id) ON doc_id % {len(SHAPES)} = k",
+    "structural_findings": f"SELECT doc_id, rule_id, CASE WHEN rule_id = 'REDOS' THEN 'collected' ELSE 'console' END AS channel, {seeds.CODE_LINE} AS line_no FROM documents JOIN (VALUES {_SHAPES}) r(k, rule_id) ON doc_id % {len(SHAPES)} = k",
     "file_totals": f"SELECT count(*) AS total_files, count(*) FILTER (doc_id % {len(PROGRAMS)} IN ({', '.join(map(str, _BRANCH))})) AS total_complexity, (SELECT count(*) FROM documents JOIN (VALUES {_RULES}) r(k, x) ON doc_id % {len(PROGRAMS)} = k) + (SELECT count(*) FROM ({_MINIFIED})) AS total_issues, count(*) FILTER (doc_id % {len(PROGRAMS)} IN (4, 5)) AS total_endpoints FROM documents",
     "taint_sinks": _TAINT, "taint_closure": _TAINT,
+    "classic_taint": f"SELECT doc_id, message, {seeds.CODE_LINE} AS line_no FROM documents JOIN (VALUES {', '.join(f'({k}, {chr(39)}{m}{chr(39)})' for k, (_, m) in enumerate(TAINTED))}) r(k, message) ON doc_id % {len(TAINTED)} = k",
     "taint_probes": f"SELECT doc_id, rule_id, 1 AS n_flow FROM documents JOIN (VALUES {', '.join(f'({k}, {chr(39)}{r}{chr(39)})' for k, (_, r) in enumerate(PROBES) if r)}) r(k, rule_id) ON doc_id % {len(PROBES)} = k",
     "taint_every_sink": f"SELECT doc_id, name, sink_type, CAST({seeds.CODE_LINE} + 1 + doc_id % 3 AS INT) AS line, 1 AS arg_no FROM documents JOIN (VALUES {', '.join(f'({k}, {chr(39)}{f}{chr(39)}, {chr(39)}{kind}{chr(39)})' for k, (f, kind) in enumerate(_ALL_SINKS))}) s(k, name, sink_type) ON doc_id % {len(_ALL_SINKS)} = k WHERE doc_id % 4 <> 0",
     "taint_custom": f"SELECT doc_id, CAST({seeds.CODE_LINE} + 1 AS INT) AS line, 'high' AS severity, concat('CRITICAL [CUSTOM_RULE: ', CASE doc_id % 2 WHEN 0 THEN 'r5' ELSE 'r1' END, '] Data Flow Reached Sink: `', CASE doc_id % 2 WHEN 0 THEN 'audit' ELSE 'logToSplunk' END, '()`. Flow: :Rule r2') AS message FROM documents WHERE doc_id % 3 < 2",
