@@ -45,8 +45,8 @@ from .shingles import sets
 
 WIDTH, PERCENT = 5, 75
 BITS, SLICE = 22, 1 << 16  # the sketch: 4 MB, in slices
-CHUNK = 1_000_000  # entries that a task joins by itself
-PART = 400_000  # entries of a part of the index, on average
+CHUNK = 400_000  # entries that a task joins by itself
+PART = 200_000  # entries of a part of the index, on average
 
 
 def prefix(n, percent: int = PERCENT):

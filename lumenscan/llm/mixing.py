@@ -49,7 +49,7 @@ class Mixer:
     weights: tuple[float, ...] = (5.0, 2.0, 1.0)
     max_repeats: int = 3
     shards: int | None = None  # by default one for each shard_words, and at most max_blocks / 8
-    shard_words: int = 4_000_000
+    shard_words: int = 1_000_000
     block_words: int = 20_000
     max_blocks: int = 262_144
     max_sources: int = 200_000
