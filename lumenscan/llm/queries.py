@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, bpe, exact_dedup, html_main, jaccard, langid, licences, mixing, quality, records
+from . import audio, bpe, divergence, exact_dedup, html_main, jaccard, langid, licences, mixing, quality, records
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard.op8,
     "op9_token_records": records.op9,
     "op10_bpe_tree": bpe.op10,
+    "op11_divergence": divergence.op11,
     # Parts of op1 and op2 that SQL can express.
     "mixing_targets": mixing.mixing_targets,
     "licence_phrases": licences.licence_phrases,
@@ -23,6 +24,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op8_jaccard_join": jaccard.OP8_SQL,
+    "op11_divergence": divergence.OP11_SQL,
     "mixing_targets": mixing.TARGETS_SQL,
     "licence_phrases": licences.PHRASES_SQL,
 }
