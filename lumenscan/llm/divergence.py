@@ -63,7 +63,7 @@ def _count(max_held: int):
     def rows(held: dict) -> Iterator[pa.RecordBatch]:
         for (lang, source), (n, docs) in held.items():
             terms = pa.array(list(n.keys()), pa.binary()).cast(pa.string())
-            same = [pa.array([v], pa.string()).take(pa.array([0] * len(n))) for v in (lang, source)]
+            same = [pa.array([v] * len(n), pa.string()) for v in (lang, source)]
             yield pa.RecordBatch.from_arrays([*same, terms, pa.array(list(n.values()), pa.int64()), pa.array([docs[t] for t in n], pa.int64())], schema=COUNTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
