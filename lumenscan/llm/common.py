@@ -8,6 +8,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import scratch
 
@@ -98,3 +99,32 @@ def broadcast_if(df: DataFrame, rows: int, row_bytes: int, limit: int = 32 << 20
 def normalised(column: str = "text") -> Column:
     """The text with each run of white space as one space, null as empty."""
     return F.regexp_replace(text_of(column), WHITE, " ")
+
+
+def placed(rows: DataFrame, groups: list[str], order: list[str], name: str) -> DataFrame:
+    """``rows`` with ``name``: each row's place in its group by ``order`` (nulls first), from 0 without gaps.
+
+    Rows are sorted by range, so a large group lies in many partitions, one after the other; what a partition
+    holds of a group is a run of the order, and only the runs' lengths are summed up. Rows equal in all these
+    columns are told apart by where they stood, so a group of equal rows is no hot spot either. ``rows`` should be
+    a written table, as the ranges are sampled from it."""
+    seq, part, at, n = fresh(rows, "p_seq", "p_part", "p_at", "p_n")
+    keys = [F.col(c) for c in (*groups, *order)] + [F.col(seq)]
+    spread = rows.withColumn(seq, F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ranged = materialise(spread.withColumn(seq, F.monotonically_increasing_id()), "placed").withColumn(part, F.shiftright(seq, 33))
+    before = Window.partitionBy(*groups).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    runs = ranged.groupBy(*groups, part).agg(F.min(seq).alias(at), F.count("*").alias(n)).select(*groups, part, (F.coalesce(F.sum(n).over(before), F.lit(0)) - F.col(at)).alias(at))
+    runs = runs.toDF(*(f"{at}_{k}" for k in range(len(groups))), f"{at}_part", at)
+    same = F.col(part) == F.col(f"{at}_part")
+    for k, c in enumerate(groups):
+        same = same & F.col(c).eqNullSafe(F.col(f"{at}_{k}"))
+    return ranged.join(runs, same).select(*rows.columns, (F.col(seq) + F.col(at)).alias(name))
+
+
+#: DuckDB has no CRC-32: its table as a list, and the checksum of a text's bytes by it.
+CRC_TABLE_SQL = "list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b))"
+
+
+def crc_sql(text: str, table: str = "crc_table") -> str:
+    taken = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    return f"xor(list_reduce({taken}, lambda c, b: xor(c >> 8, {table}[1 + (xor(c, b) & 255)]), 4294967295::BIGINT), 4294967295)"
