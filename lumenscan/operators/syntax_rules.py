@@ -31,6 +31,8 @@ class Parsed:
     items: DataFrame
     calls: DataFrame
     folder: str
+    cut: DataFrame  # all tokens, with bounds of placeholders and errors
+    inner: DataFrame  # the names that parentheses and templates amount to
     statements: DataFrame | None = None
 
     def release(self) -> None:
@@ -41,9 +43,11 @@ class Parsed:
 def prepare(files: DataFrame) -> Parsed:
     """``files``: file_id, content. The token table feeds every check; it is dealt out by file once."""
     folder = scratch.new_folder(files.sparkSession, "tokens")
-    t = scratch.write(tk.tokens(files.select("file_id", "content")), f"{folder}/tokens")
-    items = scratch.write(tk.children(t), f"{folder}/items")
-    return Parsed(files, t, items, scratch.write(tk.arguments(tk.calls(t), items), f"{folder}/calls"), folder)
+    cut = scratch.write(tk.lexed(files), f"{folder}/cut")
+    t = scratch.write(tk.tokens(cut), f"{folder}/tokens")
+    inner = scratch.write(tk.inner_names(cut), f"{folder}/inner")
+    items = scratch.write(tk.children(t, inner), f"{folder}/items")
+    return Parsed(files, t, items, scratch.write(tk.arguments(tk.calls(t), items), f"{folder}/calls"), folder, cut, inner)
 
 
 def _finding(rows: DataFrame, kind: str, rule: str, message, *, order: int = 0, start: str = "start") -> DataFrame:
@@ -64,7 +68,7 @@ def taint_sources(p: Parsed) -> DataFrame:
 def tainted_calls(p: Parsed, calls: DataFrame) -> DataFrame:
     """``calls`` with tainted: whether the first argument is, or a template holds, a name tainted before it."""
     a = F.get("args", F.lit(0))
-    names = F.when(tk.one(a, "name"), F.array(F.get(a, F.lit(0)).text)).when(tk.one(a, "template"), tk.template_names(F.get(a, F.lit(0)).text)).otherwise(F.array().cast("array<string>"))
+    names = F.concat(tk.alone(a, "name"), tk.alone(a, "template"))
     first = taint_sources(p).groupBy("file_id", "var").agg(F.min("source_pos").alias("source_pos"))
     hit = calls.select("file_id", "open", F.explode(names).alias("var")).join(first, ["file_id", "var"]).filter("source_pos < open").select("file_id", "open").distinct().withColumn("tainted", F.lit(True))
     return calls.join(hit, ["file_id", "open"], "left").withColumn("tainted", F.coalesce("tainted", F.lit(False)))
@@ -75,8 +79,7 @@ def literals(p: Parsed) -> DataFrame:
     t = p.tokens
     directive = F.col("prev1").isNull() | F.col("prev1").isin("{", ";")
     strings = t.filter((F.col("kind") == "string") & ~(directive & F.coalesce(F.col("next1") == ";", F.lit(False)))).select("file_id", "pos", "line", tk.string_value(F.col("text")).alias("value"))
-    chunks = F.split(tk.string_value(F.col("text")), r"\$\{[^}]*\}", -1)
-    return strings.unionByName(t.filter("kind = 'template'").select("file_id", "pos", "line", F.explode(chunks).alias("value")))
+    return strings.unionByName(t.filter("kind = 'template'").select("file_id", "pos", "line", F.explode("chunks").alias("value")))
 
 
 def complexity(p: Parsed) -> DataFrame:
@@ -179,13 +182,10 @@ def token_rules(p: Parsed) -> DataFrame:
 
 def errors(p: Parsed) -> DataFrame:
     """Files that cannot be read whole: file_id, error. Missing content, brackets that do not meet, texts without an end."""
-    t = p.tokens
-    n = lambda a, b: F.count_if((F.col("text") == a) & (F.col("kind") == "mark")) != F.count_if((F.col("text") == b) & (F.col("kind") == "mark"))
-    loose = (F.col("text").isin("(", "[", "{") & (F.col("kind") == "mark") & F.col("close").isNull()) | (F.col("depth") < 0)
-    marks = t.groupBy("file_id").agg(F.when(n("(", ")") | n("[", "]") | n("{", "}") | F.bool_or(loose), "Brackets do not meet").alias("marks"))
-    rest = F.regexp_replace("content", tk.TOKEN, "")
-    own = F.when(F.col("content").isNull(), "No content").when(rest.rlike("[\"'`]|/\\*"), "A text or comment has no end")
-    return p.files.withColumn("own", own).join(marks, "file_id", "left").select("file_id", F.coalesce("own", "marks").alias("error")).filter("error IS NOT NULL")
+    own = F.max(F.when(F.col("text") == "text", "A text or comment has no end"))
+    found = p.cut.filter("kind = 'error'").groupBy("file_id").agg(F.coalesce(own, F.lit("Brackets do not meet")).alias("found"))
+    rows = p.files.select(F.col("file_id").cast("string"), "content").join(found, "file_id", "left")
+    return rows.select("file_id", F.when(F.col("content").isNull(), "No content").otherwise(F.col("found")).alias("error")).filter("error IS NOT NULL")
 
 
 def deep_nesting(p: Parsed) -> DataFrame:

@@ -40,27 +40,50 @@ FINDING = ("file_id", "rule", "sink_type", "name", "line", "arg_no", "var", "flo
 
 
 def statements(p: Parsed) -> DataFrame:
-    """Tokens that stand directly in one statement: file_id, toks (pos, kind, text, close, line). Made once a scan."""
+    """Tokens that stand directly in one statement, or in one of its parts between commas: file_id, block, toks (TOKEN and line),
+    head (the statement's first word, carried over the commas). Made once a scan.
+
+    An automaton over the tokens of each block, by windows: a statement begins behind a semicolon, at a word that starts one,
+    behind the header of if, for and so on, behind else and do, an arrow, a case's colon, or a line's end that nothing bridges."""
     if p.statements is not None:
         return p.statements
-    t = p.tokens.withColumn("block", F.coalesce("parent", F.lit(0)))
     w = Window.partitionBy("file_id", "block").orderBy("pos")
-    before, line = F.lag("text").over(w), F.lag("line").over(w)
-    op = lambda c: c.rlike(r"^([-+*/%&|^=<>!?:.,(\[]|\?\.|&&|\|\||=>|===?|!==?)$")
-    cut = F.col("text").isin(";", ",") | ((F.col("kind") == "name") & F.col("text").isin(*STARTS)) | ((before == "}") & (F.col("kind") == "name") & ~F.col("text").isin("from")) | ((F.col("line") > line) & ~op(before) & ~op(F.col("text")) & (F.col("kind") != "template") & ~F.col("text").isin(")", "]", "}", "{"))
-    numbered = t.withColumn("n", F.sum(F.coalesce(cut, F.lit(False)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).filter(~F.col("text").isin(";", ","))
-    made = numbered.groupBy("file_id", "block", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "text", "close", "line"))).alias("toks")).select("file_id", "toks")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    text, word, b = F.col("text"), F.col("kind") == "name", F.col("b_text")
+    t = p.tokens.join(p.inner, ["file_id", "pos"], "left").withColumn("block", F.coalesce("parent", F.lit(0)))
+    # The sibling before, and the last word that a colon may belong to.
+    t = t.withColumns({"b_text": F.lag("text").over(w), "b_kind": F.lag("kind").over(w), "b_role": F.lag("role").over(w), "b_line": F.lag("line").over(w), "choice": F.last(F.when(text.isin("case", "default", "?"), text), ignorenulls=True).over(upto)})
+    op = lambda c: c.rlike(r"^([-+*/%&|^=<>!?:.,(\[]|\?\.|&&|\|\||=>|===?|!==?|[-+*/%&|^?]+=)$")
+    begins = (
+        b.isNull() | b.isin(";", "=>") | (text == ";") | (word & text.isin(*STARTS) & ~F.coalesce(b.isin(".", "?."), F.lit(False))) | ((b == "}") & word & ~text.isin("from", "as", "in", "of", "instanceof"))
+        | ((b == ")") & F.coalesce(F.col("b_role") == "head", F.lit(False))) | ((F.col("b_kind") == "name") & b.isin("else", "do", "try", "finally")) | ((b == ":") & F.coalesce(F.col("choice").isin("case", "default"), F.lit(False)))
+        | ((F.col("line") > F.col("b_line")) & ~op(b) & ~op(text) & (F.col("kind") != "template") & ~text.isin(")", "]", "}", "{")))
+    t = t.withColumn("begins", F.coalesce(begins, F.lit(False)))
+    comma = text.isin(",") & (F.col("kind") == "mark")
+    t = t.withColumns({"n": F.sum((F.col("begins") | comma).cast("int")).over(upto), "head": F.last(F.when(F.col("begins"), text), ignorenulls=True).over(upto)}).filter(~(text.isin(";", ",") & (F.col("kind") == "mark")))
+    made = t.groupBy("file_id", "block", "n").agg(F.array_sort(F.collect_list(tk.token_struct("line"))).alias("toks"), F.first("head").alias("head")).select("file_id", "block", "toks", "head")
     p.statements = scratch.write(made, f"{p.folder}/statements")
     return p.statements
 
 
 def assignments(p: Parsed) -> DataFrame:
-    """file_id, declared, left (tokens before the sign), right (tokens after), pos, line."""
-    s = statements(p).withColumn("texts", F.transform("toks", lambda x: x.text)).withColumn("at", F.array_position("texts", "=").cast("int")).filter("at > 1")
-    declared = F.get("texts", F.lit(0)).isin("const", "let", "var")
-    left = F.slice("toks", F.when(declared, 2).otherwise(1), F.greatest(F.col("at") - F.when(declared, 2).otherwise(1), F.lit(0)))
-    right = F.slice("toks", F.col("at") + 1, F.greatest(F.size("toks") - F.col("at"), F.lit(0)))
-    return s.select("file_id", declared.alias("declared"), left.alias("left"), right.alias("right")).filter("size(left) > 0 AND size(right) > 0").withColumns({"pos": F.get("left", F.lit(0)).pos, "line": F.get("left", F.lit(0)).line})
+    """file_id, declared, left (tokens before the sign), right (tokens after), bare (the same without parentheses around all
+    of it), pos, line: one for each sign of a statement, of ``a = b = c`` two. Defaults of parameters are no assignments."""
+    params = p.tokens.filter("role = 'params' AND text = '('").select("file_id", F.col("pos").alias("block"))
+    s = statements(p).join(params, ["file_id", "block"], "left_anti").withColumn("signs", F.filter(F.transform("toks", lambda x, i: F.when((x.kind == "mark") & x.text.isin(*tk.ASSIGNS), i)), lambda i: i.isNotNull())).filter("size(signs) > 0")
+    s = s.select("file_id", "toks", "head", "signs", F.posexplode("signs").alias("k", "at"))
+    worded = F.get("toks", F.lit(0)).text.isin("const", "let", "var")
+    declared = (F.col("k") == 0) & F.col("head").isin("const", "let", "var") & (F.get("toks", F.col("at")).text == "=")
+    start = F.when(F.col("k") > 0, F.get("signs", F.col("k") - 1) + 1).otherwise(worded.cast("int"))
+    right = F.slice("toks", F.col("at") + 2, F.greatest(F.size("toks") - F.col("at") - 1, F.lit(0)))
+    a = s.select("file_id", F.coalesce(declared, F.lit(False)).alias("declared"), F.slice("toks", start + 1, F.greatest(F.col("at") - start, F.lit(0))).alias("left"), right.alias("right")).filter("size(left) > 0 AND size(right) > 0")
+    a = a.withColumns({"pos": F.get("left", F.lit(0)).pos, "line": F.get("left", F.lit(0)).line})
+    first = F.get("right", F.lit(0))
+    a = a.withColumn("open", F.when((F.size("right") == 2) & (first.role == "group"), first.core))
+    bare = p.items.groupBy("file_id", "open").agg(F.max("item").alias("items"), F.first("toks").alias("bare")).filter("items = 0").drop("items")
+    like = F.transform("bare", lambda x: F.struct(*(x[c].alias(c) for c in tk.TOKEN), F.lit(None).cast("int").alias("line")))
+    wrapped = a.filter("open IS NOT NULL").join(bare, ["file_id", "open"], "left").withColumn("bare", like).drop("open")
+    return a.filter("open IS NULL").withColumn("bare", F.col("right")).drop("open").unionByName(wrapped)
 
 
 def _chain(toks: Column) -> Column:
@@ -125,16 +148,16 @@ def probes(p: Parsed) -> DataFrame:
 def events(p: Parsed, sinks: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """All events of each file. ``sinks``: function_name, sink_type, ord. ``sources``: source_pattern, id, ord."""
     a = assignments(p)
-    r = F.col("right")
+    r = F.col("bare")
     request = F.col("declared") & _chain(r) & (F.get(r, F.lit(0)).text == "req") & (F.get(r, F.lit(1)).text == ".") & F.get(r, F.lit(2)).text.isin("query", "body")
     plain = a.filter((F.size("left") == 1) & (F.get("left", F.lit(0)).kind == "name")).withColumn("name", F.get("left", F.lit(0)).text)
     marked = plain.filter(F.coalesce(request, F.lit(False)))
     rest = plain.filter(~F.coalesce(request, F.lit(False)))
     custom = None
     if sources is not None:
-        last = F.when(F.get(F.reverse("right"), F.lit(0)).text == "]", F.lit(None)).otherwise(F.get(F.reverse("right"), F.lit(0)).text)
+        last = F.when(F.get(F.reverse("bare"), F.lit(0)).text == "]", F.lit(None)).otherwise(F.get(F.reverse("bare"), F.lit(0)).text)
         inner = p.items.select("file_id", F.col("open").alias("b"), F.get("toks", F.lit(0)).text.alias("inner"), F.get("toks", F.lit(0)).kind.alias("inner_kind")).filter("inner_kind = 'string' OR inner_kind = 'name'")
-        shown = rest.filter(F.col("declared") & _chain(r)).withColumn("b", F.get(F.reverse(F.filter("right", lambda x: x.text == "[")), F.lit(0)).pos)
+        shown = rest.filter(F.col("declared") & _chain(r)).withColumn("b", F.get(F.reverse(F.filter("bare", lambda x: x.text == "[")), F.lit(0)).pos)
         shown = shown.join(inner, ["file_id", "b"], "left").withColumn("shown", F.coalesce(last, F.when(F.col("inner_kind") == "string", tk.string_value(F.col("inner"))).otherwise(F.col("inner"))))
         hit = shown.join(F.broadcast(sources.select("source_pattern", F.col("id").alias("rule"), "ord")), F.col("shown").contains(F.col("source_pattern")))
         custom = hit.groupBy("file_id", "pos", "name", "line").agg(F.min_by("rule", "ord").alias("rule"))
@@ -145,8 +168,8 @@ def events(p: Parsed, sinks: DataFrame, sources: DataFrame | None = None) -> Dat
     refs = F.transform("args", tk.names_of)
     out = _event(marked, "mark", more=F.array(F.lit("Request data")))
     for x in (
-        _event(rest, "copy", refs=F.array(tk.names_of(r))),
-        _event(c.filter(F.col("member") & (F.col("name") == "sanitize") & tk.one(arg0, "name")), "sanitize", name=F.get(arg0, F.lit(0)).text),
+        _event(rest, "copy", refs=F.array(tk.names_of(F.col("right")))),
+        _event(c.filter(F.col("member") & (F.col("name") == "sanitize") & (F.size(tk.alone(arg0, "name")) > 0)), "sanitize", name=F.get(tk.alone(arg0, "name"), F.lit(0))),
         _event(known.filter("sink IS NOT NULL"), "sink", refs=refs, more=F.array("sink", F.col("name"))),
         _event(known.filter("sink IS NULL AND NOT member"), "call", refs=refs),
         _event(functions(p), "function", stop=F.col("stop"), more=F.col("params")),
