@@ -36,3 +36,38 @@ def write(rows: DataFrame, path: str) -> DataFrame:
 def delete(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class files_of:
+    """A folder's own files, in whatever store it lies."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.jvm, self.path = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(folder)
+        self.fs = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(self.path, name)
+
+    def names(self) -> list[str]:
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(self.path))
+
+    def size(self, name: str) -> int:
+        return self.fs.getFileStatus(self._at(name)).getLen()
+
+    def rename(self, name: str, to: str) -> None:
+        if not self.fs.rename(self._at(name), self._at(to)):
+            raise OSError(f"{name} could not be renamed to {to}")
+
+    def delete(self, name: str) -> None:
+        self.fs.delete(self._at(name), True)
+
+    def write(self, name: str, text: str) -> None:
+        out = self.fs.create(self._at(name), True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+
+    def move(self, folder: str) -> None:
+        if not self.fs.rename(self.path, self.jvm.org.apache.hadoop.fs.Path(folder)):
+            raise OSError(f"{self.path} could not be moved to {folder}")

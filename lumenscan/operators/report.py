@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scratch
+
 # Weights of finding types, version and schema of the report format.
 WEIGHTS = {"security": 5, "auth": 4, "endpoint": 3, "performance": 2, "quality": 1}
 SARIF_VERSION = "2.1.0"
@@ -38,11 +42,9 @@ def distinct_rules(findings: DataFrame) -> DataFrame:
 
 
 def sarif(findings: DataFrame, *, tool: str = "lumenscan", by: tuple[str, ...] = ()) -> DataFrame:
-    """One SARIF document (column sarif) for each value of ``by``: by scanned project, say. A document is one
-    row, so scans of many projects are cut by project, not gathered into one."""
-    result = F.struct(
-        F.col("rule_id").alias("ruleId"), "level", F.struct(F.col("message").alias("text")).alias("message"),
-        F.array(F.struct(F.struct(F.struct(F.col("basename").alias("uri")).alias("artifactLocation"), F.struct(F.col("line_no").alias("startLine")).alias("region")).alias("physicalLocation"))).alias("locations"))
+    """One SARIF document (column sarif) for each value of ``by``: by scanned project or file, say. A document is one
+    row here, so this is for documents of bounded size; ``write_sarif`` writes one of any size."""
+    result = _result()
     results = findings.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("seq", result.alias("result")))).alias("r"))
     rules = findings.groupBy(*by, "rule_id").agg(F.min("seq").alias("seq")).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("seq", "rule_id"))).alias("u"))
     both = results.join(rules, list(by)) if by else results.crossJoin(rules)  # one row each
@@ -52,6 +54,42 @@ def sarif(findings: DataFrame, *, tool: str = "lumenscan", by: tuple[str, ...] =
     return both.select(*by, F.to_json(F.struct(F.lit(SARIF_VERSION).alias("version"), F.lit(SARIF_SCHEMA).alias("$schema"), F.array(run).alias("runs")), {"pretty": "true"}).alias("sarif"))
 
 
+def _result() -> Column:
+    place = F.struct(F.struct(F.col("basename").alias("uri")).alias("artifactLocation"), F.struct(F.col("line_no").alias("startLine")).alias("region"))
+    return F.struct(F.col("rule_id").alias("ruleId"), "level", F.struct(F.col("message").alias("text")).alias("message"), F.array(F.struct(place.alias("physicalLocation"))).alias("locations"))
+
+
+def write_sarif(findings: DataFrame, folder: str, *, tool: str = "lumenscan") -> None:
+    """One SARIF document of any size, as a folder of fragments that give it when put together in order of their names
+    (``cat folder/*``). Findings are sorted by range of seq and each task writes its own fragment, one finding a line; no row
+    holds more than a finding, but the first fragment, which holds the rules. The fragments are written aside and appear under
+    ``folder`` by one rename, so a reader never sees half a document. No findings give an empty list of results."""
+    spark = findings.sparkSession
+    staging = f"{folder.rstrip('/')}._writing"
+    scratch.delete(spark, staging)
+    rules = [r["rule_id"] for r in distinct_rules(findings).orderBy("first").select("rule_id").collect()]  # some dozens: the scan's rules
+    # The first row of a partition begins a fragment; the others bring the comma before them.
+    ranged = findings.repartitionByRange("seq").sortWithinPartitions("seq").select(F.monotonically_increasing_id().alias("n"), F.to_json(_result()).alias("json"))
+    ranged.select(F.when(F.col("n").bitwiseAND(F.lit((1 << 33) - 1)) == 0, F.col("json")).otherwise(F.concat(F.lit(","), "json")).alias("value")).write.text(staging)
+    described = [{"id": r, "shortDescription": {"text": r}} for r in rules]
+    driver = {"name": tool, "informationUri": "https://example.com", "rules": described}
+    head = json.dumps({"version": SARIF_VERSION, "$schema": SARIF_SCHEMA, "runs": [{"tool": {"driver": driver}, "results": []}]}, indent=2)
+    at = head.rindex("[]") + 1
+    fs = scratch.files_of(spark, staging)
+    parts = [p for p in fs.names() if p.startswith("part-") and fs.size(p)]
+    for p in fs.names():
+        if p not in parts:
+            fs.delete(p)
+    for k, p in enumerate(parts):
+        fs.rename(p, f"{2 * k + 2:08d}-results.json")
+        if k:
+            fs.write(f"{2 * k + 1:08d}-comma.json", ",")
+    fs.write("00000001-head.json" if parts else "00000000-head.json", head[:at])
+    fs.write("99999999-end.json", head[at:])
+    scratch.delete(spark, folder)
+    fs.move(folder)
+
+
 def write_text(documents: DataFrame, column: str, folder: str) -> None:
     """Documents as text files."""
     documents.select(column).write.text(folder)

@@ -24,7 +24,7 @@ class Scan:
     issues: DataFrame  # issues of the flows and of nested quantifiers, with a patch where there is one
     shapes: DataFrame  # findings that need no taint, by channel
     state: DataFrame  # names that hold request data
-    sarif: DataFrame  # the report as one JSON text
+    sarif: DataFrame  # the report of each file as one JSON text (file_id, sarif)
     parsed: syntax_rules.Parsed
 
     def release(self) -> None:
@@ -54,7 +54,8 @@ def issues_of(parsed: syntax_rules.Parsed, found: DataFrame, shapes: DataFrame,
 
 def scan(spark: SparkSession, folder: str, *, rules_folder: str | None = None, manifests: DataFrame | None = None, advisories: DataFrame | None = None, report_folder: str | None = None) -> Scan:
     """Scans all source files below ``folder``. ``rules_folder``: user rules in YAML. ``manifests`` (package_json) and
-    ``advisories`` feed the dependency check. ``report_folder``: where the report is written as text."""
+    ``advisories`` feed the dependency check. ``report_folder``: where the report of all files is written, as
+    fragments of one JSON text (``report.write_sarif``)."""
     files = code.crawl(spark, folder)
     return scan_files(files, rules=code.custom_rules(spark, rules_folder) if rules_folder else None, manifests=manifests, advisories=advisories, report_folder=report_folder)
 
@@ -70,9 +71,9 @@ def scan_files(files: DataFrame, *, rules: DataFrame | None = None, manifests: D
     label = F.when(code.is_test_file(F.col("basename")), "test").otherwise("reachable")
     labelled = flows.join(files.select("file_id", "basename"), "file_id").withColumn("reachability", label)
     shapes = heuristics.scan(p)
-    sarif = report.sarif(lines)
+    sarif = report.sarif(lines, by=("file_id",))
     if report_folder is not None:
-        report.write_text(sarif, "sarif", report_folder)
+        report.write_sarif(lines, report_folder)
     return Scan(files, found, lines, labelled, issues_of(p, flows, shapes, sinks), shapes, taint.state(p, sinks=sinks, sources=sources), sarif, p)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import scratch
 from ..functions.text import shannon_entropy
 from ..operators import dependencies, entropy, fixes, regex_rules, report, triage
 from ..sources import code
@@ -132,6 +133,14 @@ def advisory_join(spark, d):
     return x.select("p_partkey", "pkg", "version", F.array_join("vulnerabilities", ",").alias("vulnerabilities"))
 
 
+def advisory_ranges(spark, d):
+    """Versions with pre-releases and build marks against ranges with open, closed and missing ends."""
+    packages = table(spark, d, "part").selectExpr("p_partkey", "0 AS ord", f"{seeds.PKG} AS pkg", f"concat({seeds.RELEASE}, {seeds.TAG}) AS version")
+    ranges = table(spark, d, "supplier").selectExpr("CAST(s_suppkey AS STRING) AS range_id", f"{seeds.RANGE_PKG} AS pkg", "concat('A', CAST(s_suppkey AS STRING)) AS id", "CAST(NULL AS ARRAY<STRING>) AS aliases", "s_suppkey AS ord", f"{seeds.LOW} AS low", f"{seeds.LOW_OPEN} AS low_open", f"{seeds.HIGH} AS high", f"{seeds.HIGH_OPEN} AS high_open")
+    x = dependencies.range_advisories(packages, ranges)
+    return x.select("p_partkey", "pkg", "version", F.array_join("vulnerabilities", ",").alias("vulnerabilities"))
+
+
 def dependency_scan(spark, d):
     x = dependencies.scan(_packages(spark, d), _advisories(spark))
     return x.groupBy("rank", "is_typosquatting").agg(F.count("*").alias("n"), F.count_distinct("pkg").alias("n_pkg"))
@@ -212,15 +221,31 @@ def sarif_results(spark, d):
     return out.select("project", F.size("run.results").cast("long").alias("n_results"), ids.alias("rules"), uris.alias("results"))
 
 
+REPORTED = f"concat({seeds.CONTENT}, chr(10), 'x = \"', {seeds.TOKEN}, '\"')"  # lines for the rules and tokens for the entropy check
+
+
+def sarif_document(spark, d):
+    """The report of all documents, both passes, written as one SARIF document of many fragments and read back: its rules with
+    their places, and its results."""
+    rows = regex_rules.lines(docs(spark, d, content=REPORTED).select(F.col("doc_id").alias("file_id"), F.concat(F.lit("f"), "doc_id", F.lit(".js")).alias("basename"), "content"))
+    folder = scratch.new_folder(spark, "sarif")
+    report.write_sarif(report.in_report_order(regex_rules.scan_lines(rows), entropy.secrets(rows)), folder)
+    shown = spark.read.text(folder, pathGlobFilter="*-results.json").select(F.from_json(F.ltrim(F.col("value"), F.lit(",")), "ruleId string, level string, locations array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>>").alias("r"))
+    at = F.col("r.locations")[0].physicalLocation
+    results = shown.select(F.lit(None).cast("int").alias("place"), F.col("r.ruleId").alias("rule_id"), F.col("r.level").alias("level"), at.artifactLocation.uri.alias("uri"), at.region.startLine.alias("line_no"))
+    head = spark.read.text(folder, pathGlobFilter="*-head.json", wholetext=True).select(F.posexplode(F.regexp_extract_all("value", F.lit('"id": "([^"]+)"'), F.lit(1))).alias("place", "rule_id"))
+    return results.unionByName(head.select("place", "rule_id", *(F.lit(None).cast(t).alias(c) for c, t in (("level", "string"), ("uri", "string"), ("line_no", "int")))))
+
+
 QUERIES = {
     "lines_stats": lines_stats, "regex_documents": regex_documents, "regex_all": regex_all,
     **{f"regex_{r.id.lower()}": _one_rule(r) for r in regex_rules.RULES},
     "string_literals": string_literals, "entropy_values": entropy_values, "entropy_secrets": entropy_secrets, "token_flags": token_flags,
-    "typosquat": typosquat, "clean_version": clean_version, "advisory_join": advisory_join, "dependency_scan": dependency_scan, "manifest_merge": manifest_merge,
+    "typosquat": typosquat, "clean_version": clean_version, "advisory_join": advisory_join, "advisory_ranges": advisory_ranges, "dependency_scan": dependency_scan, "manifest_merge": manifest_merge,
     "custom_rules_split": custom_rules_split, "fp_triage": fp_triage, "poc_template": poc_template,
     "fix_redos": _fix(fixes.redos_fix), "fix_command": _fix(fixes.command_fix), "fix_sql": _fix(fixes.sql_fix), "unified_diff": unified_diff,
     "reachability_label": reachability_label, "priority_sort": priority_sort, "endpoints_distinct": endpoints_distinct, "totals": totals,
-    "summary_cube": summary_cube, "sarif_rules": sarif_rules, "sarif_results": sarif_results,
+    "summary_cube": summary_cube, "sarif_rules": sarif_rules, "sarif_results": sarif_results, "sarif_document": sarif_document,
 }
 
 _S = f"WITH s AS (SELECT * FROM ({SEEDED_SQL}) WHERE length(line) <= 2000) "
@@ -245,6 +270,11 @@ ORACLE_SQL = {
     "typosquat": _P + "SELECT p_partkey, pkg, version, meant FROM p JOIN t USING (pkg)",
     "clean_version": _P + f"SELECT p_partkey, {_CLEAN} AS version FROM p",
     "advisory_join": _P + _ADV,
+    "advisory_ranges": _P + f"""SELECT p_partkey, p.pkg, p.version, string_agg(r.id, ',' ORDER BY r.ord) AS vulnerabilities
+FROM (SELECT p_partkey, {seeds.PKG} AS pkg, concat({seeds.RELEASE}, {seeds.TAG}) AS version, {seeds.order_sql(f"concat({seeds.RELEASE}, {seeds.TAG})")} AS k FROM part) p
+JOIN (SELECT s_suppkey AS ord, concat('A', s_suppkey) AS id, {seeds.RANGE_PKG} AS pkg, {seeds.order_sql(seeds.LOW)} AS lo, {seeds.LOW_OPEN} AS lo_open, {seeds.order_sql(seeds.HIGH)} AS hi, {seeds.HIGH_OPEN} AS hi_open FROM supplier) r
+ON r.pkg = p.pkg AND (lo IS NULL OR k > lo OR (k = lo AND NOT lo_open)) AND (hi IS NULL OR k < hi OR (k = hi AND NOT hi_open))
+WHERE p.pkg NOT IN (SELECT pkg FROM t) GROUP BY ALL""",
     "dependency_scan": _P + f"SELECT 0 AS rank, true AS is_typosquatting, count(*) AS n, count(DISTINCT pkg) AS n_pkg FROM p JOIN t USING (pkg) UNION ALL SELECT 1, false, count(*), count(DISTINCT pkg) FROM ({_ADV})",
     "manifest_merge": f"""WITH p AS (SELECT p_partkey, {seeds.PKG} AS pkg, {seeds.VERSION} AS version FROM part) SELECT p_partkey, 0 AS ord, pkg, version FROM p
 UNION ALL SELECT p_partkey, 1, 'shared', concat('~2.0.', p_partkey % 10) FROM p UNION ALL SELECT p_partkey, 2, concat('dev-', p_partkey % 4), '>1.0.0' FROM p""",
@@ -265,4 +295,9 @@ ELSE regexp_replace(line, 'exec\\((.*?)\\)', 'execFile(''sh'', [''-c'', \\1])')
     "sarif_results": _S + f""", r AS ({REGEX_ALL_SQL}), u AS (SELECT doc_id % 17 AS project, rule_id, min((doc_id, line_no, rule_no)) AS first FROM r GROUP BY ALL)
 SELECT project, n_results, rules, results FROM (SELECT doc_id % 17 AS project, count(*) AS n_results, string_agg(concat(rule_id, '@f', doc_id, '.js:', line_no), ',' ORDER BY doc_id, line_no, rule_no) AS results FROM r GROUP BY 1)
 JOIN (SELECT project, string_agg(rule_id, ',' ORDER BY first) AS rules FROM u GROUP BY 1) USING (project)""",
+    "sarif_document": f"""WITH s AS (SELECT * FROM ({lines_sql(f"(SELECT doc_id, {REPORTED} AS t FROM documents)", "doc_id", "t")}) WHERE length(line) <= 2000),
+r AS ({REGEX_ALL_SQL}), e AS (SELECT doc_id, line_no FROM ({literals_sql(f"(SELECT doc_id, {REPORTED} AS t FROM documents)", "doc_id", "t")}) WHERE {SECRET_SQL}),
+f AS (SELECT 0 AS pass, doc_id, line_no, rule_no AS n, rule_id, level FROM r UNION ALL SELECT 1, doc_id, line_no, 0, 'HIGH_ENTROPY_SECRET', 'error' FROM e)
+SELECT NULL::INT AS place, rule_id, level, concat('f', doc_id, '.js') AS uri, line_no FROM f
+UNION ALL SELECT CAST(row_number() OVER (ORDER BY first) - 1 AS INT), rule_id, NULL, NULL, NULL FROM (SELECT rule_id, min((pass, doc_id, line_no, n)) AS first FROM f GROUP BY rule_id)""",
 }

@@ -59,6 +59,21 @@ PKG = """CASE p_partkey % 9 WHEN 0 THEN 'lo-dash' WHEN 1 THEN 'crossenv' WHEN 2
 VERSION = """concat(CASE p_partkey % 5 WHEN 0 THEN '^' WHEN 1 THEN '~' WHEN 2 THEN '>=' WHEN 3 THEN '' ELSE '^~>' END, cast(p_size AS STRING), '.', cast(p_partkey % 3 AS STRING), '.0')"""
 MANIFEST = f"""concat('{{"dependencies": {{"', {PKG}, '": "', {VERSION}, '", "shared": "^1.0.0"}}, "devDependencies": {{"shared": "~2.0.', cast(p_partkey % 10 AS STRING), '", "dev-', cast(p_partkey % 4 AS STRING), '": ">1.0.0"}}}}')"""
 
+#: Versions with tags, and ranges of versions; ``order_sql`` puts such a version into a list of numbers that sorts as it does.
+RELEASE = "concat(cast(p_size % 12 AS STRING), '.', cast(p_partkey % 3 AS STRING), '.', cast(p_partkey % 4 AS STRING))"
+_TAGS = ("-alpha.2", "-alpha.10", "-beta", "-beta.1", "-rc.1", "", "+b5")
+TAG = "CASE p_partkey % 11 " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(_TAGS)) + " ELSE '' END"
+RANGE_PKG = "concat('pkg-', cast(s_suppkey % 50 AS STRING))"
+LOW = "CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE concat(cast(s_suppkey % 12 AS STRING), '.', cast(s_suppkey % 3 AS STRING), '.0', CASE s_suppkey % 4 WHEN 0 THEN '-alpha.2' WHEN 1 THEN '-beta' ELSE '' END) END"
+HIGH = "CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE concat(cast(s_suppkey % 12 + s_suppkey % 3 AS STRING), '.', cast(s_suppkey % 2 AS STRING), '.3', CASE s_suppkey % 6 WHEN 0 THEN '-alpha.10' WHEN 1 THEN '-rc.1' ELSE '' END) END"
+LOW_OPEN, HIGH_OPEN = "s_suppkey % 2 = 0", "s_suppkey % 3 = 0"
+
+
+def order_sql(version: str) -> str:
+    tag = "CASE " + " ".join(f"WHEN contains(v, '{t}') THEN {k}" for t, k in (("-alpha.2", 0), ("-alpha.10", 1), ("-beta.1", 3), ("-beta", 2), ("-rc.1", 4))) + " ELSE 5 END"
+    return f"(SELECT CASE WHEN v IS NOT NULL THEN [CAST(split_part(v, '.', 1) AS INT), CAST(split_part(v, '.', 2) AS INT), CAST(regexp_extract(split_part(v, '.', 3), '^[0-9]+') AS INT), {tag}] END FROM (SELECT {version} AS v))"
+
+
 VARIABLE = "CASE doc_id % 5 WHEN 0 THEN 'key' WHEN 1 THEN 'apiToken' WHEN 2 THEN 'clientSecret' WHEN 3 THEN 'Key' ELSE 'value' END"
 SNIPPET = "CASE doc_id % 7 WHEN 0 THEN 'items.map(x => x)' WHEN 1 THEN 'React.createElement' WHEN 2 THEN 'req.Header(v)' WHEN 3 THEN '<a className=b>' ELSE 'plain code' END"
 FIX_LINE = """replace(CASE doc_id % 9 WHEN 0 THEN concat('new RegExp("(a*)*', cast(doc_id AS STRING), '")') WHEN 1 THEN 'x = /(.*)*b(.*)*/' WHEN 2 THEN 'cp.exec(cmd); cp.exec(b)' WHEN 3 THEN 'exec(userInput)'
