@@ -116,7 +116,7 @@ def _scan(width: int):
         none = pa.nulls(len(used), pa.int64())
         yield pa.record_batch([none, none, none, none, none, pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], names=["doc_id", "h", "n", "v", "w", "slice", "counts"])
 
-    return scan
+    return common.trimmed(scan)
 
 
 def _order(scanned: DataFrame) -> np.ndarray:
@@ -189,7 +189,7 @@ def _index(width: int, percent: int, parts: int, order, clashing: frozenset[int]
         if held:
             yield from flush(held, ends)
 
-    return index
+    return common.trimmed(index)
 
 
 def _meet(own: pd.DataFrame) -> pd.DataFrame:
@@ -201,7 +201,10 @@ def _meet(own: pd.DataFrame) -> pd.DataFrame:
     token, owner, place = token[new], owner[new], place[new]
     same = token[1:] == token[:-1]
     many = np.append(False, same) | np.append(same, False)
-    return pd.DataFrame({"token": token[many].view(np.int64), "v": owner[many], "place": place[many]})
+    met = pd.DataFrame({"token": token[many].view(np.int64), "v": owner[many], "place": place[many]})
+    del token, owner, place, by, new, same, many
+    common.trim()
+    return met
 
 
 # -- 3. comparisons --------------------------------------------------------------------------
@@ -246,7 +249,7 @@ def _compare(width: int):
             known = {a[-1]: new[a[-1]]} if a else {}
             yield pa.record_batch([b.column("a"), b.column("b"), *(pa.array(x, pa.int64()) for x in (both, na, nb)), pa.array(less, pa.binary()), pa.array(more, pa.binary())], names=["a", "b", "common", "na", "nb", "less", "more"])
 
-    return compare
+    return common.trimmed(compare)
 
 
 def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
