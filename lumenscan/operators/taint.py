@@ -2,10 +2,10 @@
 
 Assignments, sanitisers, calls and probes become one table of events. Their effect depends on
 order, and files are independent, so events are folded per file in order of place, after one
-shuffle by file: one row holds a file's events. A call into another file is a row that joins that
-file's functions. What an argument of a function does there does not depend on who calls, so each is
-folded once; the flows of all callers are joined to its results, round by round, until no caller
-reaches a new function.
+shuffle by file: one row holds a file's events. What an argument of a function does there does not depend on
+who calls, so each argument that a call from another file can name is folded once, and its calls into further files are
+edges from argument to argument. Who reaches whom over any number of files follows by path doubling: round j joins what is
+reached in under 2^j steps with edges of exactly 2^j steps, and those edges with themselves.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -186,6 +187,11 @@ def builtin_sinks(spark) -> DataFrame:
     return spark.createDataFrame([(f, kind, k) for k, (f, kind) in enumerate(rows)], "function_name string, sink_type string, ord int")
 
 
+def _module_path(path: str | None, module: str) -> str:
+    to = posixpath.normpath(posixpath.join(posixpath.dirname(path or ""), module))
+    return to if to.endswith((".js", ".ts")) else to + ".js"
+
+
 class Event(NamedTuple):
     pos: int
     op: str
@@ -260,8 +266,7 @@ class _Fold:
                     self.found(e, "TAINT", e.more[0], k, v)
             elif hits and e.name in self.imports:
                 module, export = self.imports[e.name]
-                to = posixpath.normpath(posixpath.join(posixpath.dirname(self.path), module))
-                to = to if to.endswith((".js", ".ts")) else to + ".js"
+                to = _module_path(self.path, module)
                 for k, v in hits:
                     self.found(e, "CROSS", None, k, v, to, export)
             elif hits:
@@ -343,58 +348,83 @@ def state(p: Parsed, *, sinks: DataFrame | None = None, sources: DataFrame | Non
     return _inputs(p, sinks, sources).mapInArrow(_each_file(schema, _held), schema)
 
 
+def _least(paths: DataFrame, *keys: str) -> DataFrame:
+    """Of several ways the shortest, and of these the first in order."""
+    return paths.groupBy(*keys).agg(F.min(F.struct("steps", "flow")).alias("way")).select(*keys, "way.steps", "way.flow")
+
+
+def closure(start: DataFrame, edges: DataFrame, write) -> DataFrame:
+    """origin, node, steps, flow: all nodes that ``start`` (origin, node, flow) leads to along ``edges`` (node, next, flow), each with
+    its least number of steps (1 for start itself) and the flows of that way, one after the other. For paths of n steps there are
+    log2(n) rounds; round j looks up one jump of 2^j steps for each node reached in at most 2^j, so what has been reached is read
+    once a round. ``write`` writes a table out under a name. Ends when a round reaches nothing new: cycles end too."""
+    reached = write(_least(start.select("origin", "node", F.lit(1).alias("steps"), "flow"), "origin", "node"), "reached/0")
+    jumps = write(_least(edges.select("node", "next", F.lit(1).alias("steps"), "flow"), "node", "next"), "jumps/0")
+    j = 0
+    while not (reached.isEmpty() or jumps.isEmpty()):
+        far = reached.withColumnsRenamed({"steps": "s", "flow": "f"}).join(jumps, "node").select("origin", F.col("next").alias("node"), (F.col("s") + F.col("steps")).alias("steps"), F.concat("f", "flow").alias("flow"))
+        new = write(_least(far.join(reached.select("origin", "node"), ["origin", "node"], "left_anti"), "origin", "node"), f"new/{j}")
+        if new.isEmpty():
+            break
+        j += 1
+        reached = write(reached.unionByName(new), f"reached/{j}")
+        on = jumps.select(F.col("node").alias("next"), F.col("next").alias("last"), F.col("steps").alias("s"), F.col("flow").alias("f"))
+        twice = jumps.join(on, "next").select("node", F.col("last").alias("next"), (F.col("steps") + F.col("s")).alias("steps"), F.concat("flow", "f").alias("flow"))
+        jumps = write(_least(twice, "node", "next"), f"jumps/{j}")
+    return reached
+
+
 def track(p: Parsed, *, sinks: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
     """Findings: rule TAINT (with sink_type) or a probe's name, name of the callee, line, arg_no, var, flow, and
     round: 0 within a file, k after k steps into other files, then with origin_file and origin_line of the first call.
     ``p.files`` needs path for imports. Every call that passes request data on has its own findings; of several ways
-    from one call to one argument the first is told. Rounds end when no call reaches an argument for the
-    first time; each is written, so lineage does not grow."""
+    from one call to one argument the shortest is told, of these the first. Every round is written, so lineage does not grow."""
     spark = p.files.sparkSession
     folder = scratch.new_folder(spark, "taint")
 
     def write(rows: DataFrame, name: str) -> DataFrame:
         return scratch.write(rows, f"{folder}/{name}")
 
-    def over_rounds(like: DataFrame, name: str, first: int, last: int) -> DataFrame:
-        return spark.read.schema(like.schema).parquet(*(f"{folder}/{name}/k={j}" for j in range(first, last + 1)))
-
     e = write(_inputs(p, sinks, sources), "events")
     start = write(e.mapInArrow(_each_file(FOUND, _whole), FOUND), "start")
-    out = [start.filter("rule <> 'CROSS'").select(*FINDING, F.lit(0).alias("round"), F.lit(None).cast("string").alias("origin_file"), F.lit(None).cast("int").alias("origin_line"))]
+    own = start.filter("rule <> 'CROSS'").select(*FINDING, F.lit(0).alias("round"), F.lit(None).cast("string").alias("origin_file"), F.lit(None).cast("int").alias("origin_line"))
+    calls = start.filter("rule = 'CROSS'")
+    if calls.isEmpty():
+        return own
     functions = e.select("file_id", "path", F.explode(F.filter("events", lambda x: x.op == "function")).alias("f"))
     functions = functions.select(F.col("file_id").alias("to_file"), F.col("path").alias("to_path"), F.col("f.name").alias("fn"), F.size("f.more").alias("n_params"))
-
-    def reach(calls: DataFrame) -> DataFrame:
-        """Of calls (origin, to_path, export, arg_no, flow) the arguments that they reach."""
-        met = calls.join(functions, "to_path").filter((F.col("fn") == F.col("export")) | (F.col("export") == "default")).filter("arg_no < n_params")
-        return met.groupBy("origin", "origin_file", "origin_line", "to_file", "fn", F.col("arg_no").alias("of_arg")).agg(F.min("flow").alias("flow"))
+    # The arguments that some file's import can name; others are reached within their file only.
+    named = e.select("path", F.explode(F.filter("events", lambda x: x.op == "import")).alias("i")).select(F.col("path"), F.col("i.more")[0].alias("module"), F.col("i.more")[1].alias("export"))
+    named = named.select(_target(F.col("path"), F.col("module")).alias("to_path"), "export").distinct()
+    asked = functions.join(named, "to_path").filter((F.col("fn") == F.col("export")) | (F.col("export") == "default")).filter("n_params > 0").select("to_file", "fn", "n_params").distinct()
+    asked = asked.select(F.col("to_file").alias("file_id"), F.explode(F.sequence(F.lit(0), F.col("n_params") - 1)).alias("of_arg"), "fn").distinct()
+    asked = asked.groupBy("file_id").agg(F.array_sort(F.collect_set(F.struct("fn", "of_arg"))).alias("targets"))
+    effects = write(e.join(asked, "file_id").mapInArrow(_each_file(EFFECT, _enter), EFFECT), "effects")
+    node = lambda file: F.concat_ws("\u0000", file, "fn", F.col("of_arg").cast("string"))
+
+    def met(rows: DataFrame) -> DataFrame:
+        """Calls (to_path, export, arg_no) with the argument that each names: next."""
+        found = rows.withColumnsRenamed({"fn": "own_fn", "of_arg": "own_arg"} if "fn" in rows.columns else {}).join(functions, "to_path").filter((F.col("fn") == F.col("export")) | (F.col("export") == "default")).filter("arg_no < n_params")
+        return found.withColumn("next", F.concat_ws("\u0000", "to_file", "fn", F.col("arg_no").cast("string")))
 
     origin = F.sha1(F.to_json(F.struct("file_id", "line", "name", "arg_no", "var", "flow", "to_path", "export")))
-    calls = start.filter("rule = 'CROSS'").select(origin.alias("origin"), F.col("file_id").alias("origin_file"), F.col("line").alias("origin_line"), "to_path", "export", "arg_no", "flow")
-    target, k = ["to_file", "fn", "of_arg"], 1
-    while True:
-        reached = reach(calls)
-        if k > 1:
-            reached = reached.join(over_rounds(reached, "reached", 1, k - 1), ["origin", *target], "left_anti")
-        reached = write(reached, f"reached/k={k}")
-        if reached.isEmpty():
-            break
-        new = reached.select(*target).distinct()
-        if k > 1:
-            new = new.join(over_rounds(reached, "reached", 1, k - 1), target, "left_anti")
-        asked = new.groupBy(F.col("to_file").alias("file_id")).agg(F.array_sort(F.collect_list(F.struct("fn", "of_arg"))).alias("targets"))
-        effects = e.join(asked, "file_id").mapInArrow(_each_file(EFFECT, _enter), EFFECT)
-        write(effects, f"effects/k={k}")
-        effects = over_rounds(effects, "effects", 1, k).withColumnRenamed("flow", "onward")
-        both = reached.withColumnRenamed("to_file", "file_id").join(effects, ["file_id", "fn", "of_arg"]).withColumn("flow", F.concat("flow", "onward"))
-        both = write(both.drop("onward"), f"both/k={k}")
-        out.append(both.filter("rule <> 'CROSS'").select(*FINDING, F.lit(k).alias("round"), "origin_file", "origin_line"))
-        calls = both.filter("rule = 'CROSS'").select("origin", "origin_file", "origin_line", "to_path", "export", "arg_no", "flow")
-        k += 1
-    found = out[0]
-    for x in out[1:]:
-        found = found.unionByName(x)
-    return found
+    calls = calls.withColumn("origin", origin)
+    first = met(calls).select("origin", F.col("next").alias("node"), "flow")
+    onward = effects.filter("rule = 'CROSS'").withColumn("node", node(F.col("file_id")))
+    reached = closure(first, met(onward).select("node", "next", "flow"), write)
+    ends = effects.filter("rule <> 'CROSS'").withColumn("node", node(F.col("file_id"))).withColumnRenamed("flow", "onward")
+    both = reached.join(ends, "node").withColumn("flow", F.concat("flow", "onward")).join(calls.select("origin", F.col("file_id").alias("origin_file"), F.col("line").alias("origin_line")).distinct(), "origin")
+    return own.unionByName(write(both.select(*FINDING, F.col("steps").alias("round"), "origin_file", "origin_line"), "found"))
+
+
+def _target(path: Column, module: Column) -> Column:
+    """The path that a relative module's name stands for, as ``_Fold`` makes it."""
+
+    @F.pandas_udf("string")
+    def joined(paths: pd.Series, modules: pd.Series) -> pd.Series:
+        return pd.Series([_module_path(p, m) for p, m in zip(paths, modules, strict=True)], dtype=object)
+
+    return joined(path, module)
 
 
 def issues(found: DataFrame, sinks: DataFrame | None = None) -> DataFrame:

@@ -123,3 +123,44 @@ def test_callees_in_brackets(spark):
     got = syntax_rules.scan(syntax_rules.prepare(files(spark, programs))).filter("rule_id IN ('EVAL', 'EXEC')").collect()
     assert sorted((r.file_id, r.message) for r in got) == [
         ("0", "Request data reaches a process call"), ("1", "Request data reaches eval"), ("2", "eval runs text as code"), ("4", "Process call with a command line"), ("5", "eval runs text as code")]
+
+
+def test_a_chain_of_two_hundred_files_in_few_rounds(spark, monkeypatch):
+    rounds = []
+    least = taint._least
+    monkeypatch.setattr(taint, "_least", lambda paths, *keys: rounds.append(keys) or least(paths, *keys))
+    n = 200
+    rows = [("0", "src/m0.js", "import { f } from './m1';\nconst a = req.query.x;\nf(a);")]
+    rows += [(str(k), f"src/m{k}.js", f"import {{ f as g }} from './m{k + 1}';\nfunction f(p) {{ g(p); }}") for k in range(1, n)]
+    rows += [(str(n), f"src/m{n}.js", "function f(p) { db.query(p); }")]
+    got = taint.track(syntax_rules.prepare(spark.createDataFrame(rows, "file_id string, path string, content string"))).collect()
+    assert [(r.file_id, r.rule, r.round, r.origin_file, len(r.flow)) for r in got] == [(str(n), "TAINT", n, "0", n + 1)]
+    assert [x.split(":")[0] for x in got[0].flow] == [f"m{k}.js" for k in range(n + 1)]
+    assert sum(k == ("origin", "node") for k in rounds) - 1 <= 10
+
+
+def test_closure_against_brute_force(spark, tmp_path):
+    from lumenscan.functions import scratch
+
+    rng = random.Random(9)
+    for case in range(3):
+        nodes = 25
+        edges = {(rng.randrange(nodes), rng.randrange(nodes)) for _ in range(45)}
+        start = {(o, rng.randrange(nodes)) for o in range(6)}
+        e = spark.createDataFrame([(str(a), str(b), [f"e{a}-{b}"]) for a, b in edges], "node string, next string, flow array<string>")
+        s = spark.createDataFrame([(str(o), str(a), [f"s{o}"]) for o, a in start], "origin string, node string, flow array<string>")
+        got = {(r.origin, r.node): (r.steps, list(r.flow)) for r in taint.closure(s, e, lambda t, name: scratch.write(t, f"file://{tmp_path}/{case}/{name}")).collect()}
+        want = {}
+        for o, a in start:
+            front = {a: [f"s{o}"]}
+            seen, steps = {}, 1
+            while front:
+                seen.update({n: (steps, f) for n, f in front.items()})
+                near = {}
+                for x, f in front.items():
+                    for a, b in edges:
+                        if a == x and b not in seen:
+                            near[b] = min(near.get(b, ["~"]), [*f, f"e{a}-{b}"])
+                front, steps = near, steps + 1
+            want |= {(str(o), str(n)): v for n, v in seen.items()}
+        assert got == want
