@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import dependencies, entropy, fixes, heuristics, regex_rules, report, syntax_rules, taint
 from ..sources import code
 
-FIXES = {"COMMAND_INJECTION": fixes.command_fix, "SQL_INJECTION": fixes.sql_fix}
+FIXES = {"COMMAND_INJECTION": fixes.command_fix, "REDOS": fixes.redos_fix, "SQL_INJECTION": fixes.sql_fix}
 
 
 @dataclass
@@ -21,7 +21,8 @@ class Scan:
     dependencies: DataFrame | None  # packages with look-alike names or advisories
     lines: DataFrame  # the report's rows: findings of the line rules, then secrets by entropy
     flows: DataFrame  # taint findings and uses of tainted values, with a reachability label
-    issues: DataFrame  # issues of the flows and of nested quantifiers, with a patch where there is one
+    issues: DataFrame  # issues of the flows and of nested quantifiers, with the line as fixed where there is a fix
+    patches: DataFrame  # one patch for each file that has fixes, with its diff
     shapes: DataFrame  # findings that need no taint, by channel
     state: DataFrame  # names that hold request data
     sarif: DataFrame  # the report of each file as one JSON text (file_id, sarif)
@@ -31,25 +32,20 @@ class Scan:
         self.parsed.release()
 
 
-def _patched(rows: DataFrame, files: DataFrame, fix) -> DataFrame:
-    whole = rows.join(files.select("file_id", "path", "content"), "file_id")
-    return fixes.patches(whole, fix).drop("path", "content")
+def fix_by_kind(line: Column, kind: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for name, f in FIXES.items():
+        out = F.when(kind == name, f(line)).otherwise(out)
+    return out
 
 
 def issues_of(parsed: syntax_rules.Parsed, found: DataFrame, shapes: DataFrame, sinks: DataFrame | None = None) -> DataFrame:
-    """file_id, type, message, line, severity, patched, diff: what the taint pass hands on to reports."""
+    """file_id, type, message, line, severity, kind, patched (the line as fixed, else null): what the taint pass hands on to
+    reports. ``fixes.file_patches`` makes one patch a file of it."""
     columns = ["file_id", "type", "message", "line", "severity"]
-    sunk = taint.issues(found, sinks)
-
-    def fix(line: Column) -> Column:
-        out = F.lit(None).cast("string")
-        for kind, f in FIXES.items():
-            out = F.when(F.col("sink_type") == kind, f(line)).otherwise(out)
-        return out
-
-    redos = shapes.filter("rule_id = 'REDOS'").select("file_id", F.lit("security").alias("type"), F.lit("Pattern repeats a group that repeats itself").alias("message"), F.col("line_no").alias("line"), F.lit("high").alias("severity"))
-    keep = [*columns, "patched", "diff"]
-    return _patched(sunk, parsed.files, fix).select(*keep).unionByName(_patched(redos, parsed.files, fixes.redos_fix).select(*keep))
+    sunk = taint.issues(found, sinks).select(*columns, F.when(F.col("sink_type").isin(*FIXES), F.col("sink_type")).alias("kind"))
+    redos = shapes.filter("rule_id = 'REDOS'").select("file_id", F.lit("security").alias("type"), F.lit("Pattern repeats a group that repeats itself").alias("message"), F.col("line_no").alias("line"), F.lit("high").alias("severity"), F.lit("REDOS").alias("kind"))
+    return fixes.fixed_lines(sunk.unionByName(redos), parsed.files, fix_by_kind)
 
 
 def scan(spark: SparkSession, folder: str, *, rules_folder: str | None = None, manifests: DataFrame | None = None, advisories: DataFrame | None = None, report_folder: str | None = None) -> Scan:
@@ -74,7 +70,8 @@ def scan_files(files: DataFrame, *, rules: DataFrame | None = None, manifests: D
     sarif = report.sarif(lines, by=("file_id",))
     if report_folder is not None:
         report.write_sarif(lines, report_folder)
-    return Scan(files, found, lines, labelled, issues_of(p, flows, shapes, sinks), shapes, taint.state(p, sinks=sinks, sources=sources), sarif, p)
+    issues = issues_of(p, flows, shapes, sinks)
+    return Scan(files, found, lines, labelled, issues, fixes.file_patches(issues, files), shapes, taint.state(p, sinks=sinks, sources=sources), sarif, p)
 
 
 def classic_report(files: DataFrame) -> DataFrame:

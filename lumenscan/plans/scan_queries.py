@@ -10,7 +10,7 @@ from ..functions import scratch
 from ..functions.text import shannon_entropy
 from ..operators import dependencies, entropy, fixes, regex_rules, report, triage
 from ..sources import code
-from . import seeds
+from . import full_scan, seeds
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -179,6 +179,20 @@ def unified_diff(spark, d):
     return fixes.patches(x, fixes.redos_fix).select("doc_id", "patched", "diff")
 
 
+#: A file of a document's text and two lines that may be fixed, and what was found where: (line from the end, kind).
+FIXABLE = f"concat(coalesce(text, ''), chr(10), {seeds.FIX_LINE}, chr(10), 'db.query(`x ', chr(36), '{{y}}`); cp.exec(z);')"
+FOUND_AT = ((1, "COMMAND_INJECTION"), (1, "REDOS"), (1, "SQL_INJECTION"), (0, "SQL_INJECTION"), (0, "COMMAND_INJECTION"), (0, "COMMAND_INJECTION"))
+
+
+def edit_scripts(spark, d):
+    """Several findings in each file, some on one line: one patch for the file."""
+    files = docs(spark, d, file_id="CAST(doc_id AS STRING)", content=FIXABLE).withColumn("path", F.lit("a.js"))
+    n = F.size(F.split("content", "\n", -1))
+    found = files.select("file_id", F.explode(F.array(*(F.struct((n - back).alias("line"), F.lit(kind).alias("kind")) for back, kind in FOUND_AT))).alias("f")).select("file_id", "f.*")
+    x = fixes.file_patches(fixes.fixed_lines(found, files, full_scan.fix_by_kind), files)
+    return x.select(F.col("file_id").cast("long").alias("doc_id"), F.size("edits").cast("long").alias("n_edits"), "patched", F.size(F.regexp_extract_all("diff", F.lit(r"(?m)^\+(?!\+)"), F.lit(0))).cast("long").alias("n_added"))
+
+
 def _findings(spark, d):
     x = docs(spark, d, type=seeds.KIND, endpoint=seeds.ENDPOINT, file_id="doc_id % 17")
     return x.withColumn("seq", F.col("doc_id"))
@@ -243,7 +257,7 @@ QUERIES = {
     "string_literals": string_literals, "entropy_values": entropy_values, "entropy_secrets": entropy_secrets, "token_flags": token_flags,
     "typosquat": typosquat, "clean_version": clean_version, "advisory_join": advisory_join, "advisory_ranges": advisory_ranges, "dependency_scan": dependency_scan, "manifest_merge": manifest_merge,
     "custom_rules_split": custom_rules_split, "fp_triage": fp_triage, "poc_template": poc_template,
-    "fix_redos": _fix(fixes.redos_fix), "fix_command": _fix(fixes.command_fix), "fix_sql": _fix(fixes.sql_fix), "unified_diff": unified_diff,
+    "fix_redos": _fix(fixes.redos_fix), "fix_command": _fix(fixes.command_fix), "fix_sql": _fix(fixes.sql_fix), "unified_diff": unified_diff, "edit_scripts": edit_scripts,
     "reachability_label": reachability_label, "priority_sort": priority_sort, "endpoints_distinct": endpoints_distinct, "totals": totals,
     "summary_cube": summary_cube, "sarif_rules": sarif_rules, "sarif_results": sarif_results, "sarif_document": sarif_document,
 }
@@ -258,6 +272,13 @@ _F = f"WITH f AS (SELECT doc_id, {seeds.KIND} AS type, {seeds.ENDPOINT} AS endpo
 _FIX = f"WITH x AS (SELECT doc_id, {seeds.FIX_LINE} AS line FROM documents) SELECT doc_id, "
 _PROOFS = " ".join(f"WHEN '{k}' THEN replace({_quote(v[1])}, '%v', variable)" for k, v in triage.PROOFS.items())
 
+_FIXED = {
+    "REDOS": f"CASE WHEN contains(line, '(.*)*') OR contains(line, '(a*)*') THEN concat(replace(replace(line, '(.*)*', '(.*){{1,10}}'), '(a*)*', 'a*'), '{fixes.NOTE}') END",
+    "COMMAND": f"""CASE WHEN NOT contains(line, 'exec(') THEN line ELSE concat(CASE WHEN regexp_matches(line, '\\.exec\\(.*?\\)') THEN regexp_replace(line, '\\.exec\\((.*?)\\)', '.execFile(''sh'', [''-c'', \\1])')
+ELSE regexp_replace(line, 'exec\\((.*?)\\)', 'execFile(''sh'', [''-c'', \\1])') END, '{fixes.NOTE}') END""",
+    "SQL": "NULL",  # the command fix comes first and always gives a line
+}
+
 ORACLE_SQL = {
     "lines_stats": f"SELECT doc_id, count(*) AS n_lines, count(*) FILTER (length(line) > 2000) AS n_long FROM ({lines_sql('documents', 'doc_id', 'text')}) GROUP BY doc_id",
     "regex_documents": f"WITH s AS (SELECT * FROM ({lines_sql('documents', 'doc_id', 'text')}) WHERE length(line) <= 2000) SELECT doc_id, line_no, rule_id, level FROM ({REGEX_ALL_SQL})",
@@ -300,4 +321,7 @@ r AS ({REGEX_ALL_SQL}), e AS (SELECT doc_id, line_no FROM ({literals_sql(f"(SELE
 f AS (SELECT 0 AS pass, doc_id, line_no, rule_no AS n, rule_id, level FROM r UNION ALL SELECT 1, doc_id, line_no, 0, 'HIGH_ENTROPY_SECRET', 'error' FROM e)
 SELECT NULL::INT AS place, rule_id, level, concat('f', doc_id, '.js') AS uri, line_no FROM f
 UNION ALL SELECT CAST(row_number() OVER (ORDER BY first) - 1 AS INT), rule_id, NULL, NULL, NULL FROM (SELECT rule_id, min((pass, doc_id, line_no, n)) AS first FROM f GROUP BY rule_id)""",
+    "edit_scripts": f"""WITH x AS (SELECT doc_id, coalesce(text, '') AS head, {seeds.FIX_LINE} AS line, concat('db.query(`x ', chr(36), '{{y}}`); cp.exec(z);') AS last FROM documents),
+y AS (SELECT *, coalesce({_FIXED["COMMAND"]}, {_FIXED["REDOS"]}, {_FIXED["SQL"]}) AS one FROM x)
+SELECT doc_id, 2 AS n_edits, concat(head, chr(10), one, chr(10), 'db.query(`x ', chr(36), '{{y}}`); cp.execFile(''sh'', [''-c'', z]);{fixes.NOTE}') AS patched, CASE WHEN one = line THEN 1 ELSE 2 END AS n_added FROM y""",
 }

@@ -238,7 +238,11 @@ def test_whole_scan_of_vulnerable_programs(spark, tmp_path):
     assert ("secrets.js", 3, "JWT_NONE") in shapes and ("flow.test.js", 11, "REDOS") in shapes
     assert {(r.name, r.cleaned) for r in s.state.collect() if name[r.file_id] == "own.js"} == {("a", False), ("p", False)}
     assert [r.pkg for r in s.dependencies.collect()] == ["lo-dash"]
-    assert json.loads("\n".join(r.value for r in spark.read.text(f"file://{tmp_path}/report", wholetext=True).collect()))["version"] == "2.1.0"
+    parts = [p.read_text() for p in sorted((tmp_path / "report").iterdir()) if not p.name.startswith(".")]
+    assert json.loads("".join(parts))["version"] == "2.1.0"
+    patches = {name[r.file_id]: r for r in s.patches.collect()}
+    assert set(patches) == {"flow.test.js", "own.js"} and set(patches["own.js"].edits) == {4}
+    assert set(patches["flow.test.js"].edits) == {4, 11} and patches["flow.test.js"].diff.count("\n+") == 3
     s.release()
     one = code.one_file(spark, f"file://{tmp_path}/src/own.js").collect()
     assert [r.basename for r in one] == ["own.js"] and code.from_string(spark, "x").first().path == "virtual-file.js"
@@ -252,3 +256,30 @@ def test_files_with_errors_are_rows(spark):
     assert {p: r.error is not None for p, r in rows.items()} == {"a.js": True, "b.js": True, "c.js": False, "d.js": True, "e.js": True}
     assert rows["a.js"].issues is None and rows["a.js"].complexity is None
     assert rows["c.js"].issues[-1].message.endswith(" [AUTO-FIX AVAILABLE in CLI]") and rows["c.js"].issues[-1].line == 2
+
+
+def test_several_fixes_of_a_file_are_one_patch(spark):
+    from lumenscan.plans import full_scan
+
+    rng, contents, found = random.Random(6), [], []
+    lines = ['new RegExp("(a*)*b")', "cp.exec(x);", "db.query(`a ${b}`);", "plain();", "/(.*)*x(.*)*/; exec(y)", ""]
+    for k in range(40):
+        own = [rng.choice(lines) for _ in range(rng.randrange(1, 8))]
+        contents.append((str(k), f"p{k}.js", "\n".join(own)))
+        found += [(str(k), rng.randrange(1, len(own) + 2), rng.choice(["REDOS", "COMMAND_INJECTION", "SQL_INJECTION", None])) for _ in range(rng.randrange(6))]
+    found += [("none", 1, "REDOS"), ("0", None, "REDOS")]
+    files = spark.createDataFrame([*contents, ("none", "n.js", None)], "file_id string, path string, content string")
+    fixed = fixes.fixed_lines(spark.createDataFrame(found, "file_id string, line int, kind string"), files, full_scan.fix_by_kind)
+    one = {(r.text, r.kind): r.fixed for r in spark.createDataFrame([(t, k) for t in lines for k in ("REDOS", "COMMAND_INJECTION", "SQL_INJECTION")], "text string, kind string").select("text", "kind", full_scan.fix_by_kind(F.col("text"), F.col("kind")).alias("fixed")).collect()}
+    assert fixed.count() == len(found)
+    got = {r.file_id: r for r in fixes.file_patches(fixed, files).collect()}
+    want = {}
+    for k, _, content in contents:
+        own, edits = content.split("\n"), {}
+        for f, line, kind in sorted(found, key=lambda x: str(x[2])):
+            if f == k and kind and line and line <= len(own) and (new := one[own[line - 1], kind]) is not None:
+                edits.setdefault(line, new)
+        if edits:
+            want[k] = (edits, "\n".join(edits.get(i + 1, x) for i, x in enumerate(own)))
+    assert {k: (r.edits, r.patched) for k, r in got.items()} == want and len(want) > 10
+    assert all(r.diff.startswith(f"--- p{k}.js\tOriginal\n+++ ") for k, r in got.items() if r.patched != dict((a, c) for a, _, c in contents)[k])
