@@ -3,7 +3,8 @@
 First pass: every element's subtree is hashed (tags, class and id, text). Spark counts in how
 many pages of different content of its host each subtree stands.
 Second pass: subtrees that recur across pages of their host are deleted, inside a marked article
-(article, main) as outside it, as are elements that markup itself names as no part of the article
+(article, main) only those that stand on a fifth of the host's pages and on no other host, as prose may that
+several articles hold; as are elements that markup itself names as no part of the article
 (menus, footers, adverts, forms, scripts, reader comments). A name alone deletes nothing that holds
 the article, its heading or most of the text, and none where it would leave nothing. Copies of an
 article are no templates: a subtree's pages count as one where the text that stands on them alone is
@@ -12,7 +13,9 @@ headings) recur, what stands in at most twice as many pages as that prose stays.
 article always stays. What is left is the text.
 
 Null html and pages without text give an empty text. Repeated rows give equal texts and count as one page,
-pages of one content as well; a subtree exactly at ``min_pages`` is a template. Order of blocks is that of the page.
+pages of one content as well; a subtree exactly at ``min_pages`` is a template; a host of fewer pages has none. Order of
+blocks is that of the page. Tags that never close are read as text from the last ">" on, elements that never close (but
+scripts and styles) as empty: any page is read in one pass, in time that grows as its length.
 
 Counts are partial before their shuffle, so a host with a third of all pages is no hot key.
 Templates go to pages as rows of (page, subtree): a host may have any number.
@@ -34,6 +37,7 @@ from pyspark.sql import functions as F
 from . import common
 
 MIN_PAGES = 5  # a template stands in so many pages of its host, whatever the host's size
+SHARE = 0.2  # and one inside an article in such a part of them
 SKETCH = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) ** 5 % 2**64 | 1 for k in range(16)], dtype=np.uint64)  # odd factors of hash functions
 ALIKE, WORDS = 8, 30  # so many equal values over so many words tell copies of one article
 
@@ -48,6 +52,7 @@ BLOCK = frozenset(
 NEVER = frozenset("nav footer aside form button dialog menu head search input fieldset audio video canvas map annotation annotation-xml".split()) | RAW
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 CLOSES_P = BLOCK - frozenset("body html head caption tbody td tfoot th thead tr option optgroup legend dd dt li".split()) | {"dl", "ol", "ul", "table"}
+SWALLOW = frozenset(("script", "style"))  # without an end tag these take the rest of the page
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 HOLDERS = frozenset("ul ol dl table select menu".split())  # an end tag or sibling rule does not reach beyond these
 # Parts of class, id and role names that mark what is no article.
@@ -93,8 +98,11 @@ def parse(html: str | None) -> Node:
     root = Node("html")
     stack = [root]
     open_ended: set[str] = set()
-    at = 0
+    at, last = 0, html.rfind(">")
     while at < len(html):
+        if at > last and html[at] == "<" and not html.startswith("<!--", at):
+            stack[-1].kids.append(unescape(html[at:]))
+            break
         m = TOKEN.match(html, at)
         at = m.end()
         tag = m[2]
@@ -130,11 +138,11 @@ def parse(html: str | None) -> Node:
         if tag in ("html", "body"):
             continue
         stack[-1].kids.append(node)
-        if tag in FOREIGN and (tag in open_ended or CLOSED.search(m[3])):
+        if tag in open_ended or (tag in FOREIGN and CLOSED.search(m[3])):
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-            if end or tag not in FOREIGN:
+            if end or tag in SWALLOW:
                 at = end.end() if end else len(html)
             else:
                 open_ended.add(tag)  # never closed from here on: empty
@@ -288,7 +296,7 @@ def _copied(root: Node, templates: Mapping[int, int], by_name: bool) -> int:
     return 0
 
 
-def _blocks(root: Node, templates: Mapping[int, int], by_name: bool = True) -> list[str]:
+def _blocks(root: Node, templates: Mapping[int, int], by_name: bool = True, within: frozenset[int] | None = None) -> list[str]:
     out, run = [], []
 
     def end() -> None:
@@ -308,7 +316,7 @@ def _blocks(root: Node, templates: Mapping[int, int], by_name: bool = True) -> l
             run.append(node)
         elif node.tag == "br":
             run.append(" ")
-        elif not _foreign(node, inside, by_name) and (node is root or node.tag not in BLOCK or (inside and node.tag == "h1") or templates.get(node.mark, 0) <= kept):
+        elif not _foreign(node, inside, by_name) and (node is root or node.tag not in BLOCK or (inside and (node.tag == "h1" or (within is not None and node.mark not in within))) or templates.get(node.mark, 0) <= kept):
             inside = inside or node.tag in ("article", "main")
             if node.tag in BLOCK:
                 end()
@@ -318,15 +326,16 @@ def _blocks(root: Node, templates: Mapping[int, int], by_name: bool = True) -> l
     return out
 
 
-def main_text(html: str | None, templates: Mapping[int, int] | frozenset[int] = frozenset()) -> str:
-    """``templates``: the subtrees that recur on the page's host, and in how many of its pages (a set: all alike)."""
+def main_text(html: str | None, templates: Mapping[int, int] | frozenset[int] = frozenset(), within: frozenset[int] | None = None) -> str:
+    """``templates``: the subtrees that recur on the page's host, and in how many of its pages (a set: all alike). ``within``:
+    those that go inside an article too (by default all)."""
     root = parse(html)
     templates = templates if isinstance(templates, Mapping) else dict.fromkeys(templates, MIN_PAGES)
     if templates:
         hashes(root)
     _spare(root)
     for marks, by_name in ((templates, True), ({}, True), ({}, False)):  # a page that is all template, or all named as none, keeps its text
-        if blocks := _blocks(root, marks, by_name):
+        if blocks := _blocks(root, marks, by_name, within):
             return " ".join(blocks)
     return ""
 
@@ -341,27 +350,36 @@ def _keys(pages: DataFrame, url_col: str, html_col: str) -> tuple:
 
 
 def site_templates(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
-    """page, marks (array of tree and n): a page's subtrees (hashes, mixed with its host's) that stand in at least
-    ``min_pages`` pages of different content of the host, and in how many. Copies of one article, told by the
+    """page, marks (array of tree, n and within): a page's subtrees (hashes, mixed with its host's) that stand in at least
+    ``min_pages`` pages of different content of the host, and in how many; within: they go inside an article too, as they stand
+    on SHARE of the host's pages and on no other host. Copies of one article, told by the
     text that does not recur, count as one page. Pages without any have no row."""
     common.small_batches(pages.sparkSession)
 
     def subtrees(batches):
         for b in batches:
-            found = [(page, t ^ site, sketch) for site, page, html in zip(b["site"].tolist(), b["page"].tolist(), b["html"], strict=True) for t, sketch in shown(parse(html)).items()]
-            yield pd.DataFrame(found, columns=["page", "tree", "sketch"])
+            found = [(page, site, t, sketch) for site, page, html in zip(b["site"].tolist(), b["page"].tolist(), b["html"], strict=True) for t, sketch in shown(parse(html)).items()]
+            yield pd.DataFrame(found, columns=["page", "site", "raw", "sketch"])
 
     site, page = _keys(pages, url_col, html_col)
-    found = pages.select(site.alias("site"), page.alias("page"), common.text_of(html_col).alias("html")).mapInPandas(subtrees, "page bigint, tree bigint, sketch array<int>")
+    found = pages.select(site.alias("site"), page.alias("page"), common.text_of(html_col).alias("html")).mapInPandas(subtrees, "page bigint, site bigint, raw bigint, sketch array<int>")
+    found = found.withColumn("tree", F.col("raw").bitwiseXOR(F.col("site")))
     found = common.materialise(found.dropDuplicates(["page", "tree"]), "html-subtrees")
-    counts = common.materialise(found.groupBy("tree").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages), "html-recurring")
+    # In how many pages of its host each subtree stands, and on how many hosts.
+    spread = common.materialise(found.groupBy("site", "raw", "tree").agg(F.count("*").alias("n")), "html-counts")
+    recurring = spread.filter(F.col("n") >= min_pages)
+    elsewhere = spread.join(recurring.select("raw").distinct(), "raw", "left_semi").groupBy("raw").agg(F.count("*").alias("hosts"))
+    sizes = found.groupBy("site", "page").agg(F.lit(1).alias("one")).groupBy("site").agg(F.count("*").alias("pages"))
+    within = (F.col("hosts") == 1) & (F.col("n") >= SHARE * F.col("pages"))
+    counts = common.materialise(recurring.join(elsewhere, "raw").join(sizes, "site").select("tree", "n", within.alias("within")), "html-recurring")
+    common.forget(spread)
     n_counts = counts.count()
-    flagged = found.join(common.broadcast_if(counts, n_counts, 16), "tree", "left")
+    flagged = found.drop("site", "raw").join(common.broadcast_if(counts, n_counts, 20), "tree", "left")
     # The sketch of what stands on a page alone: one value where all recurs, null where a few words tell nothing.
     alone = lambda k: F.when(F.col("n").isNull() & (F.size("sketch") > 0), F.get("sketch", F.lit(k)))
     n_words = F.coalesce(F.sum(alone(0)), F.lit(0))
     least = [F.when(n_words == 0, F.lit(-1)).when(n_words >= WORDS, F.min(alone(k + 1))) for k in range(len(SKETCH))]
-    rest = flagged.groupBy("page").agg(F.array(*least).alias("rest"), F.collect_list(F.when(F.col("n").isNotNull(), F.struct("tree", "n"))).alias("marks"))
+    rest = flagged.groupBy("page").agg(F.array(*least).alias("rest"), F.collect_list(F.when(F.col("n").isNotNull(), F.struct("tree", "n", "within"))).alias("marks"))
     rest = common.materialise(rest.filter(F.size("marks") > 0), "html-rests")
     pairs = rest.select("rest", F.explode("marks").alias("m")).select("m.tree", "m.n", "rest")
     groups = pairs.select("tree", "n", F.posexplode("rest").alias("k", "value")).groupBy("tree", "n", "k", "value").agg(F.count("*").alias("like"))
@@ -371,8 +389,8 @@ def site_templates(pages: DataFrame, *, url_col: str = "url", html_col: str = "h
     alike = F.size(F.filter("shared", lambda x: F.get("rest", x.k) == x.value)) >= ALIKE
     one = pairs.join(common.broadcast_if(copies, copies.count(), 160), "tree").groupBy("tree", "n").agg(F.count_if(~alike).alias("others")).filter(F.col("others") + 1 < min_pages).select("tree")
     one = common.materialise(one, "html-articles")
-    marks = rest.select("page", F.explode("marks").alias("m")).select("page", "m.tree", "m.n").join(common.broadcast_if(one, one.count(), 8), "tree", "left_anti")
-    return common.materialise(marks.groupBy("page").agg(F.collect_list(F.struct("tree", "n")).alias("marks")), "html-marks")
+    marks = rest.select("page", F.explode("marks").alias("m")).select("page", "m.tree", "m.n", "m.within").join(common.broadcast_if(one, one.count(), 8), "tree", "left_anti")
+    return common.materialise(marks.groupBy("page").agg(F.collect_list(F.struct("tree", "n", "within")).alias("marks")), "html-marks")
 
 
 def extract(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", name: str = "main_text", **limits) -> DataFrame:
@@ -383,13 +401,16 @@ def extract(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", n
     marks = common.broadcast_if(marks, marks.agg(F.coalesce(F.sum(F.size(own) + 4), F.lit(0))).first()[0], 16)
 
     @F.pandas_udf("string")
-    def text(html: pd.Series, site: pd.Series, trees: pd.Series, counts: pd.Series) -> pd.Series:
-        rows = zip(html, site.tolist(), trees, counts, strict=True)
-        return pd.Series([main_text(h, {} if t is None else dict(zip((t ^ s).tolist(), n.tolist(), strict=True))) for h, s, t, n in rows], dtype=object)
+    def text(html: pd.Series, site: pd.Series, trees: pd.Series, counts: pd.Series, within: pd.Series) -> pd.Series:
+        out = []
+        for h, s, t, n, w in zip(html, site.tolist(), trees, counts, within, strict=True):
+            marks = {} if t is None else dict(zip((t ^ s).tolist(), n.tolist(), strict=True))
+            out.append(main_text(h, marks, frozenset(k for k, yes in zip(marks, w if t is not None else (), strict=True) if yes)))
+        return pd.Series(out, dtype=object)
 
     site, page = _keys(pages, url_col, html_col)
     rows = pages.withColumn(at, page).join(marks, at, "left")
-    return rows.withColumn(name, text(F.col(html_col), site, F.col(own).tree, F.col(own).n)).select(*pages.columns, name)
+    return rows.withColumn(name, text(F.col(html_col), site, F.col(own).tree, F.col(own).n, F.col(own).within)).select(*pages.columns, name)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from heapq import heappop, heappush
 import pytest
 from pyspark.sql import functions as F
 
-from lumenscan.llm import divergence, repair, sharding
+from lumenscan.llm import divergence, html_main, repair, sharding
 
 DOCS = "doc_id long, text string, lang string, source string"
 TALK = "conv_id long, turn long, role string, text string"
@@ -219,3 +219,39 @@ def test_written_shards(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(tuple(r) for r in back.select("doc_id", "text", "lang", "source").collect()) == rows
     assert back.filter(F.col("shard") != sharding.shard_of(F.col("doc_id"), layout)).count() == 0
+
+
+# -- main text -----------------------------------------------------------------------------
+
+def test_article_prose_that_recurs_stays(spark):
+    """Sentences that articles of several hosts hold, and one that a few articles of one large host hold; a notice on most
+    pages of one host goes, inside the article too, as do menus outside it."""
+    rng, rows, want = random.Random(12), [], []
+    shared = [f"A closing sentence {k} that many articles share." for k in range(4)]
+    for k in range(240):
+        site = k % 3
+        own = " ".join(f"w{rng.randrange(4000)}" for _ in range(60))
+        more = [rng.choice(shared)] if rng.random() < 0.4 else []
+        few = ["Only some articles of this host say this."] if site == 0 and k % 36 == 0 else []
+        notice = "<p>Read the terms of host one.</p>" if site == 1 and k % 4 else ""
+        body = "".join(f"<p>{x}</p>" for x in [own, *few, *more])
+        rows.append((k, f"http://host{site}.example.com/{k}", f"<div><b>Menu</b></div><article><h1>Head {k}</h1>{notice}{body}</article><div><i>Imprint</i></div>"))
+        want.append(" ".join([f"Head {k}", own, *few, *more]))
+    got = {r.page_id: r.main_text for r in html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[k] for k in range(240)] == want
+
+
+def test_unclosed_elements_are_read_on():
+    for tag in ("object data=x", "select", "iframe src=y", "textarea", "noscript", "svg"):
+        assert html_main.main_text(f"<article><p>a</p><{tag}><p>b</p></article>") == "a b", tag
+    assert html_main.main_text("<article><p>a</p><object>no</object><p>b</p><object><p>c</p></article>") == "a b c"
+    assert html_main.main_text("<p>a</p><script>x = '<p>no</p>'") == "a"
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for page in ("<a " * 700_000, "<p>x</p>" + "<a <b " * 300_000, "<object>" * 200_000, "<p" * 500_000 + ">"):
+        began = time.perf_counter()
+        html_main.main_text(page)
+        assert time.perf_counter() - began < 10, page[:20]
