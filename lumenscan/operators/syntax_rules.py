@@ -180,12 +180,38 @@ def token_rules(p: Parsed) -> DataFrame:
     return found
 
 
+# Words that may stand beside another word or value.
+BESIDE = tuple(
+    "let const var function class return typeof new in of instanceof async await get set static yield import export from as default case else do throw delete void extends if for while switch try catch finally break "
+    "continue with debugger type interface implements private public protected readonly declare enum namespace module abstract keyof is infer satisfies override accessor unique asserts global require".split())
+NEED_RIGHT = tuple("+ - / % ^ = += -= *= /= %= &= |= ^= ||= &&= ??= == === != !== <= >= && || ?? => .".split())
+NEED_LEFT = tuple("% ^ = += -= *= %= == === != !== <= >= && || ?? => .".split())
+
+
+def misplaced(p: Parsed) -> DataFrame:
+    """Tokens where no statement can be read on: file_id, pos. A sign without what it needs to its right or left, a
+    comma at the front of a call, two values in a row on one line. Files with elements of markup are not judged, nor are signs
+    that types and generators use in other ways."""
+    t = p.tokens.filter("kind <> 'template'")
+    mark = F.col("kind") == "mark"
+    has = lambda c, *texts: F.coalesce(F.col(c).isin(*texts), F.lit(False))
+    value = lambda c: F.coalesce(F.col(c).isin("name", "number", "string"), F.lit(False))
+    right = mark & F.col("text").isin(*NEED_RIGHT) & (has("next1", ")", "]", "}", ";", ",") | F.col("next1").isNull()) & ~has("next1_kind", "string")
+    left = mark & F.col("text").isin(*NEED_LEFT) & (has("prev1", "(", "[", ";", ",", "const", "let", "var", "return", "=", "+=", "-=", "&&", "||", "??", "==", "!=", "===", "!==", "=>") & ~has("prev2", ".", "?.") & ~((F.col("text") == ".") & has("next1_kind", "number")) & ~((F.col("text") == "=>") & has("prev1", ")")))
+    comma = mark & (F.col("text") == ",") & has("prev1", "(", "=")
+    beside = value("kind") & value("prev1_kind") & (F.col("prev1_line") == F.col("line")) & ~F.col("text").isin(*BESIDE) & ~has("prev1", *BESIDE) & ~has("prev2", "@", "#")
+    marked = t.filter(((F.col("text") == "<") & has("next1", "/")) | ((F.col("text") == "/") & has("next1", ">"))).select("file_id").distinct()
+    return t.filter(right | left | comma | beside).select("file_id", "pos").join(marked, "file_id", "left_anti")
+
+
 def errors(p: Parsed) -> DataFrame:
-    """Files that cannot be read whole: file_id, error. Missing content, brackets that do not meet, texts without an end."""
+    """Files that cannot be read whole: file_id, error. Missing content, texts without an end, brackets that do not meet,
+    signs and values where none can stand."""
     own = F.max(F.when(F.col("text") == "text", "A text or comment has no end"))
     found = p.cut.filter("kind = 'error'").groupBy("file_id").agg(F.coalesce(own, F.lit("Brackets do not meet")).alias("found"))
-    rows = p.files.select(F.col("file_id").cast("string"), "content").join(found, "file_id", "left")
-    return rows.select("file_id", F.when(F.col("content").isNull(), "No content").otherwise(F.col("found")).alias("error")).filter("error IS NOT NULL")
+    odd = misplaced(p).select("file_id", F.lit("A statement cannot be read").alias("odd")).distinct()
+    rows = p.files.select(F.col("file_id").cast("string"), "content").join(found, "file_id", "left").join(odd, "file_id", "left")
+    return rows.select("file_id", F.when(F.col("content").isNull(), "No content").otherwise(F.coalesce("found", "odd")).alias("error")).filter("error IS NOT NULL")
 
 
 def deep_nesting(p: Parsed) -> DataFrame:

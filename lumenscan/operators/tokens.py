@@ -47,7 +47,7 @@ def tokens(cut: DataFrame) -> DataFrame:
     near = {}
     for k in (1, 2, 3):
         near |= {f"prev{k}": F.lag("text", k).over(order), f"next{k}": F.lead("text", k).over(order)}
-    near |= {"prev1_kind": F.lag("kind", 1).over(order), "prev2_kind": F.lag("kind", 2).over(order), "next1_kind": F.lead("kind", 1).over(order), "next1_close": F.lead("close", 1).over(order)}
+    near |= {"prev1_kind": F.lag("kind", 1).over(order), "prev2_kind": F.lag("kind", 2).over(order), "next1_kind": F.lead("kind", 1).over(order), "next1_close": F.lead("close", 1).over(order), "prev1_line": F.lag("line", 1).over(order)}
     return cut.filter(~F.col("kind").isin("hole", "error")).withColumns(near)
 
 

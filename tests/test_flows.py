@@ -118,6 +118,21 @@ def test_lexer_takes_long_and_deep_texts():
     assert not any(x.kind == "error" for x in lexer.lex(nested))
 
 
+BROKEN = ("const = 3;", "f(,)", "x y z", "a = ;", "b = c +;", "return (a &&);", "f(a, b +)", "let x = 1 2;", "'a' 'b'", "f(=)", "if (a ==) { }", "q = [1, 2 +];", "o.;", "x = => 1;", "g(a b)")
+SOUND = (
+    "", "a = b\nc = d", "x = -1 + +y - -z; i++; --j;", "for (const k of o) f(k); for (const k in o) g(k);", "async function* f() { yield* g(); await h }", "import a, { b as c } from './x'; export * from './y'; export default d;",
+    "class A extends B { static async m() { } get p() { return 1 } #q = 2; *gen() { } }", "const { a, b: [c, , d], ...e } = f, g = [, 1];", "type T = A | B; let x: string = y as any; function f<T>(a?: T, b: Array<T>): Promise<void> { return z! }",
+    "if (a) b(); else c(); do d(); while (e); switch (f) { case 'g': h(); break; default: i() }", "label: for (;;) { continue label; }", "x = a ? b : c; y = (d, e); z = f ?? g; w = h?.i?.[j]?.(k);", "const t = `a ${b} c`, u = tag`x`;", "'use strict'\n'other'\nf()",
+    "x = /a b/g.test(c) && typeof d === 'e';", "const el = <div className='a'>Hello world it is {x}</div>;", "var a = .5 + 1.;", "new Foo; throw new Error('x'); delete a.b; void 0;", "a => b; (c, d) => { }; async e => f;", "@dec() class G { @prop() h; }", "f(a,)\n[b, ].c", "let async; let of = 1; x = {get: 1, set, static: 2};")
+
+
+def test_statements_that_cannot_be_read(spark):
+    for texts, bad in ((BROKEN, True), (SOUND, False), (tuple(c for c, _ in BARE) + tuple(c for c, _ in CASES), False)):
+        p = syntax_rules.prepare(files(spark, texts))
+        got = {r.file_id: r.error for r in syntax_rules.errors(p).collect()}
+        assert [(t, got.get(str(k))) for k, t in enumerate(texts) if (str(k) in got) != bad] == []
+
+
 def test_callees_in_brackets(spark):
     programs = ["var q = req.query.a; o[exec](q);", "var q = req.query.a; eval((q));", "(eval)(q);", "o?.[exec](q);", "child_process[exec]('ls');", "f(`a ${eval(x)}`);"]
     got = syntax_rules.scan(syntax_rules.prepare(files(spark, programs))).filter("rule_id IN ('EVAL', 'EXEC')").collect()
