@@ -150,8 +150,12 @@ def manifest_merge(spark, d):
     return code.manifest_packages(table(spark, d, "part").selectExpr("p_partkey", f"{seeds.MANIFEST} AS package_json")).select("p_partkey", "ord", "pkg", "version")
 
 
+RULES_OF_PARTS = "SELECT CAST(p_partkey AS STRING) AS id, p_name AS description, CASE p_partkey % 4 WHEN 0 THEN 'SINK' WHEN 1 THEN 'SOURCE' WHEN 2 THEN 'AST_PATTERN' ELSE 'REGEX_MATCH' END AS type, CAST(p_size AS DOUBLE) AS severity, concat(p_brand, '-', p_type) AS target_pattern, p_partkey AS ord FROM part"
+
+
 def custom_rules_split(spark, d):
-    rules = spark.createDataFrame(seeds.RULES, "id string, description string, type string, severity double, target_pattern string, ord int")
+    """User rules, here one for each part, by what taint tracking takes of them."""
+    rules = spark.sql(RULES_OF_PARTS.replace("FROM part", "FROM {part}"), part=table(spark, d, "part"))
     one = lambda kind, name: code.rules_of(rules, kind).select(F.lit(kind).alias("kind"), F.col(name).alias("name"), "id", "severity", "description")
     return one("SINK", "function_name").unionByName(one("SOURCE", "source_pattern"))
 
@@ -299,7 +303,7 @@ WHERE p.pkg NOT IN (SELECT pkg FROM t) GROUP BY ALL""",
     "dependency_scan": _P + f"SELECT 0 AS rank, true AS is_typosquatting, count(*) AS n, count(DISTINCT pkg) AS n_pkg FROM p JOIN t USING (pkg) UNION ALL SELECT 1, false, count(*), count(DISTINCT pkg) FROM ({_ADV})",
     "manifest_merge": f"""WITH p AS (SELECT p_partkey, {seeds.PKG} AS pkg, {seeds.VERSION} AS version FROM part) SELECT p_partkey, 0 AS ord, pkg, version FROM p
 UNION ALL SELECT p_partkey, 1, 'shared', concat('~2.0.', p_partkey % 10) FROM p UNION ALL SELECT p_partkey, 2, concat('dev-', p_partkey % 4), '>1.0.0' FROM p""",
-    "custom_rules_split": f"SELECT type AS kind, target AS name, id, CAST(severity AS DOUBLE) AS severity, description FROM {seeds.values(seeds.RULES)} r(id, description, type, severity, target, ord) WHERE type IN ('SINK', 'SOURCE')",
+    "custom_rules_split": f"SELECT type AS kind, target_pattern AS name, id, severity, description FROM ({RULES_OF_PARTS}) WHERE type IN ('SINK', 'SOURCE')",
     "fp_triage": f"""WITH x AS (SELECT doc_id, lower({seeds.SNIPPET}) AS s, lower({seeds.VARIABLE}) AS v FROM documents), y AS (SELECT doc_id, v = 'key' AND (contains(s, 'react') OR contains(s, 'map(') OR contains(s, 'classname')) AS k,
 (contains(v, 'api') OR contains(v, 'secret')) AND contains(s, 'header') AS h FROM x) SELECT doc_id, k AS is_false_positive, CAST(CASE WHEN k THEN 0.95 WHEN h THEN 0.99 ELSE 0.5 END AS DOUBLE) AS confidence FROM y""",
     "poc_template": f"WITH x AS (SELECT doc_id, {seeds.SINK} AS sink_type, {seeds.VARIABLE} AS variable, {seeds.FILE} AS name FROM documents) SELECT doc_id, sink_type, CASE sink_type {_PROOFS} ELSE concat('Inspect the flow to ''', variable, ''' in ', name, ' at line ', doc_id) END AS text FROM x",
