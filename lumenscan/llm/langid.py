@@ -167,12 +167,42 @@ class Model:
         return out, score
 
 
-def fit_rows(x: np.ndarray, langs: np.ndarray) -> Model:
-    m = Model()
+FEW = 12
+
+
+def families_of(x: np.ndarray, langs: np.ndarray) -> dict[str, list[str]]:
+    """The languages by family. Those of no listed family are families of their own while they are FEW; else they are put
+    together by likeness: halved at the middle of their means' main direction until no part is larger than the square root of
+    their number. So pairs of families, and of languages in them, stay far fewer than pairs of languages."""
+    out: dict[str, list[str]] = {}
     for lang in sorted(set(langs.tolist())):
-        m.families.setdefault(family_of(lang), []).append(lang)
+        out.setdefault(family_of(lang), []).append(lang)
+    alone = [f for f in out if f not in FAMILIES]
+    if len(alone) <= FEW:
+        return out
+    means = {f: x[langs == f].mean(0) for f in alone}
+    for f in alone:
+        del out[f]
+    todo, most = [alone], max(2, math.isqrt(len(alone)))
+    while todo:
+        own = todo.pop()
+        if len(own) <= most:
+            out[f"like {own[0]}"] = sorted(own)
+            continue
+        at = np.stack([means[f] for f in own])
+        at -= at.mean(0)
+        main = np.linalg.svd(at, full_matrices=False)[2][0]
+        main *= np.sign(main[np.argmax(np.abs(main))]) or 1.0
+        order = [own[i] for i in np.argsort(at @ main, kind="stable")]
+        todo += [sorted(order[: len(order) // 2]), sorted(order[len(order) // 2 :])]
+    return out
+
+
+def fit_rows(x: np.ndarray, langs: np.ndarray) -> Model:
+    m = Model(families_of(x, langs))
     scale = 1 / (x.std(0) + 1e-5)
-    family = np.array([family_of(x) for x in langs])
+    of = {lang: f for f, own in m.families.items() for lang in own}
+    family = np.array([of[x] for x in langs])
     jobs = [(None, a, b, family) for a, b in combinations(sorted(m.families), 2)]
     jobs += [(f, a, b, langs) for f, own in m.families.items() for a, b in combinations(own, 2)]
     w, bias = [], []
@@ -188,22 +218,24 @@ def fit_rows(x: np.ndarray, langs: np.ndarray) -> Model:
     return m
 
 
-def fit(docs: DataFrame, *, learn=None, max_rows: int = 3000, max_langs: int = 200, dims: int = DIMS) -> Model:
+def fit(docs: DataFrame, *, learn=None, max_rows: int = 3000, least: int = 8, dims: int = DIMS) -> Model:
     """Fit on ``docs`` (text, lang). ``learn``: the rows that may be learnt from. About ``max_rows`` rows
-    are used, as many of each language as there are; of over ``max_langs`` values of lang the most frequent are
-    learnt (equal ones by name). Without labelled rows the model knows no language."""
+    are used, as many of each language as there are, and of every language ``least`` where it has them: all values of lang are
+    learnt. Without labelled rows the model knows no language."""
     with common.batches_of(docs.sparkSession, 1000):
-        return _fit(docs, learn, max_rows, max_langs, dims)
+        return _fit(docs, learn, max_rows, least, dims)
 
 
-def _fit(docs: DataFrame, learn, max_rows: int, max_langs: int, dims: int) -> Model:
+def _fit(docs: DataFrame, learn, max_rows: int, least: int, dims: int) -> Model:
     known = docs.filter((F.lit(True) if learn is None else learn) & F.col("lang").isNotNull() & has_letter(F.col("text")))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
-    share = {k: max_rows / len(sizes) / n for k, n in sizes.items()}
-    if not share:
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
         return Model()
-    limit = F.create_map(*[F.lit(x) for k, s in share.items() for x in (k, int(min(1.0, s) * 1_000_000))])
-    some = known.filter(F.col("lang").isin(*sizes) & (F.pmod(F.xxhash64(F.lit(5), *(c for c in ("doc_id", "text") if c in docs.columns)), F.lit(1_000_000)) < F.element_at(limit, F.col("lang"))))
+    # A language with few rows gives all of them, so that none is missed by chance.
+    share = {k: 1.0 if n <= 4 * least else max(max_rows / len(sizes), 2 * least) / n for k, n in sizes.items()}
+    (limit,) = common.fresh(docs, "l_limit")
+    limits = docs.sparkSession.createDataFrame([(k, int(min(1.0, s) * 1_000_000)) for k, s in share.items()], f"lang string, {limit} int")
+    some = known.join(F.broadcast(limits), "lang").filter(F.pmod(F.xxhash64(F.lit(5), *(c for c in ("doc_id", "text") if c in docs.columns)), F.lit(1_000_000)) < F.col(limit))
 
     def rows(batches):
         for b in batches:

@@ -252,8 +252,8 @@ def test_language_against_plain_arithmetic(spark, clashing):
         assert lang == vote(x, family, langs[family])
     assert got[:9] == got[80:] and ((score >= 0) & (score <= 1)).all()
     rows = [(i, f"{x} {x}a {x}b", x, None, 0) for i, x in enumerate(["en", "de", "fr"] * 20 + [f"bad{k}" for k in range(30)])]
-    model = langid.fit(spark.createDataFrame(rows, SCHEMA), max_langs=3)
-    assert sorted(x for own in model.families.values() for x in own) == ["de", "en", "fr"]
+    model = langid.fit(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(x for own in model.families.values() for x in own) == sorted({r[2] for r in rows})
     assert langid.predict(clashing, model).columns == [*clashing.columns, "_lang_pred", "lang_score"]
 
 
