@@ -283,3 +283,25 @@ def test_several_fixes_of_a_file_are_one_patch(spark):
             want[k] = (edits, "\n".join(edits.get(i + 1, x) for i, x in enumerate(own)))
     assert {k: (r.edits, r.patched) for k, r in got.items()} == want and len(want) > 10
     assert all(r.diff.startswith(f"--- p{k}.js\tOriginal\n+++ ") for k, r in got.items() if r.patched != dict((a, c) for a, _, c in contents)[k])
+
+
+def test_prefilter_loses_no_match(spark):
+    """Lines put together from parts of what the rules look for, in any case, against the patterns alone."""
+    rng = random.Random(11)
+    parts = [
+        "AKIA", "A" * 16, "ghp_", "b" * 36, "sk_live_", "0" * 24, "https://hooks.slack.com/services/T", "ABCDEFGH/B12345678/", "AIza", "c" * 35, "-----BEGIN ", "RSA ", "EC ", "PRIVATE KEY-----", "api_key", "Secret", "token", "password", "auth", " : ", "=", "'", '"', "`",
+        "d" * 32, "null", "apiKey", "authDomain", "databaseURL", "mongodb+srv://", "postgres://", "mysql://", "u:p@h", "ssh-rsa ", "ssh-ed25519 ", "AAAAxyz", "jwt.sign(", "a, ", "'k')", "A_B", "\n", "{{", "my_secret_x", "}}", "process.env.", "X_SECRET", "||", " ", "10.1.2.3", "172.16.0.1", "192.168.0.9",
+        "169.254.169.254", "metadata.google.internal", "[", "dev", "prod", "s3://", "s3.amazonaws.com", "bucket", ".blob.core.windows.net", "http://", "https://", "localhost", "127.0.0.1", ":8080", "example.org", "kubernetes.default.svc", "/var/run/secrets/kubernetes.io/serviceaccount", "/var/run/docker.sock",
+        "/v1/", "/debug/", "api", "users", "root@", "corp.", "admin.", "com", "cloudflare-dns.com/dns-query", "dns.google/resolve", "Access-Control-Allow-Origin: *", "__schema", "__type", "introspectionQuery", "/home/bob/", "C:\\Users\\bob\\", "é", "İ", "x"]
+    parts += [
+        "AKIA" + "A" * 16, "ghp_" + "b" * 36, "sk_live_" + "0" * 24, "https://hooks.slack.com/services/TABCDEFGH/B12345678/" + "0" * 24, "AIza" + "c" * 35, "-----BEGIN EC PRIVATE KEY-----", "token = '" + "d" * 32 + "'", "password: 'x1'", "mysql://u:p@h", "ssh-rsa AAAAxyz", "jwt.sign(a, 'k')",
+        "{{my_secret_x}}", "process.env.X_SECRET || 'v'", "['dev'", "/v1/users", "root@corp.com", "apiKey authDomain databaseURL", "A_B=c"]
+    lines = list(parts)
+    for _ in range(4000):
+        line = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 7)))
+        lines.append(rng.choice([line, line, line.upper(), line.lower(), line.swapcase()]).replace("\n", " "))
+    d = files(spark, lines).withColumnRenamed("content", "line")
+    got = {(r.file_id, r.rule_id) for r in regex_rules.scan_lines(d).collect()}
+    plain = d.select("file_id", F.explode(F.array(*(F.when(F.col("line").rlike(r.pattern), F.lit(r.id)) for r in regex_rules.RULES))).alias("rule_id")).filter("rule_id IS NOT NULL")
+    want = {(r.file_id, r.rule_id) for r in plain.collect()}
+    assert got == want and len({r for _, r in want}) >= 25
