@@ -287,6 +287,12 @@ def _verify(pairs: DataFrame, texts: DataFrame, lend: DataFrame, width: int, per
     return done
 
 
+def _labelled(index: DataFrame, labels: DataFrame) -> DataFrame:
+    """``index`` with component: its class, else the set alone. Few labels go to the index, which stays where it is."""
+    few = common.broadcast_if(labels, labels.count(), 40)
+    return index.join(few, "v", "left").withColumn("component", F.coalesce("component", "v"))
+
+
 def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` (v, component) with the classes that ``links`` join made one: the graph of classes is small."""
     of = lambda c: F.coalesce(F.col(f"component_{c}"), F.col(c))
@@ -362,7 +368,7 @@ def _join_classes(docs: DataFrame, id_col: str, text_col: str, width: int, perce
     links = answers = None
     for _ in range(rounds):
         # Of each list with early entries, the most central set.
-        placed = index.join(labels, "v", "left").withColumn("component", F.coalesce("component", "v"))
+        placed = _labelled(index, labels)
         rank = F.struct("central", "v", "n", "rare", "last", "component", "place")
         first = placed.groupBy("token").agg(F.max(rank).alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.col("place") <= early(F.col("n"), percent)).alias("starts"))
         near = placed.join(first.filter("lo <> hi AND starts").select("token", "hub"), "token").filter(F.col("component") != F.col("hub.component"))
@@ -382,7 +388,7 @@ def _join_classes(docs: DataFrame, id_col: str, text_col: str, width: int, perce
         labels = _merge(labels, fresh)
 
     # Lists with early entries whose sets lie in several classes.
-    placed = index.join(labels, "v", "left").withColumn("component", F.coalesce("component", "v")).withColumn("starts", F.col("place") <= early(F.col("n"), percent))
+    placed = _labelled(index, labels).withColumn("starts", F.col("place") <= early(F.col("n"), percent))
     spread = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("starts").alias("any")).filter("lo <> hi AND any").select("token")
     far = F.struct((1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("far"), F.col("a").alias("hub"), "common", F.col("less").isNotNull().alias("kept"))
     hub_of = answers.groupBy(F.col("b").alias("v")).agg(F.min(far).alias("near")).select("v", "near.*")
