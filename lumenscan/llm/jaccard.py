@@ -137,7 +137,7 @@ def _order(scanned: DataFrame) -> np.ndarray:
 
 # -- 2. the index ----------------------------------------------------------------------------
 
-_ENTRIES = "part int, tokens binary, owners binary, places binary, token bigint, v bigint, place int, last bigint"
+_ENTRIES = "part int, tokens binary, owners binary, places binary, token bigint, v bigint, place int, last int"
 
 
 def _index(width: int, percent: int, parts: int, order, clashing: frozenset[int]):
@@ -146,7 +146,7 @@ def _index(width: int, percent: int, parts: int, order, clashing: frozenset[int]
     def flush(held: list[tuple], ends: dict[int, int]) -> Iterator[pa.RecordBatch]:
         k = len(ends)
         no, blank, none = pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64())
-        yield pa.record_batch([no, blank, blank, blank, none, pa.array(list(ends), pa.int64()), no, pa.array(list(ends.values()), pa.int64())], names=names)
+        yield pa.record_batch([no, blank, blank, blank, none, pa.array(list(ends), pa.int64()), no, pa.array(list(ends.values()), pa.int32())], names=names)
         token, owner, place = (np.concatenate(x) for x in zip(*held, strict=True))
         by = np.argsort(token, kind="stable")
         token, owner, place = token[by], owner[by], place[by]
@@ -156,7 +156,7 @@ def _index(width: int, percent: int, parts: int, order, clashing: frozenset[int]
         m = int(many.sum())
         if m:
             no, blank = pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())
-            yield pa.record_batch([no, blank, blank, blank, pa.array(token[many].view(np.int64)), pa.array(owner[many]), pa.array(place[many]), pa.nulls(m, pa.int64())], names=names)
+            yield pa.record_batch([no, blank, blank, blank, pa.array(token[many].view(np.int64)), pa.array(owner[many]), pa.array(place[many]), no], names=names)
         token, owner, place = token[first], owner[first], place[first]
         part = (token % np.uint64(parts)).astype(np.int64)
         by = np.lexsort((owner, part))
@@ -165,7 +165,7 @@ def _index(width: int, percent: int, parts: int, order, clashing: frozenset[int]
         token, owner, place = token[by], owner[by], place[by]
         blobs = [pa.array([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()) for x in (token, owner, place)]
         none, zero = pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int32())
-        yield pa.record_batch([pa.array(used.astype(np.int32)), *blobs, none, none, zero, none], names=names)
+        yield pa.record_batch([pa.array(used.astype(np.int32)), *blobs, none, none, zero, zero], names=names)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, held, size, ends = order.value, [], 0, {}
@@ -179,8 +179,8 @@ def _index(width: int, percent: int, parts: int, order, clashing: frozenset[int]
                 k = prefix(len(s), percent)
                 level = levels[(s >> np.uint64(64 - BITS)).astype(np.int64)]
                 rank = np.argsort(level, kind="stable")[:k]
-                # Where the indexed part ends in the global order: the level, then the hash.
-                ends[v] = (int(level[rank[-1]]) << 56) | int(s[rank[-1]] >> np.uint64(8))
+                # Where the indexed part ends in the global order: the level, then as much of the hash as an int holds.
+                ends[v] = (int(level[rank[-1]]) << 24) | int(s[rank[-1]] >> np.uint64(40))
                 held.append((s[rank], np.full(k, v), np.arange(k, dtype=np.int32)))
                 size += k
                 if size > CHUNK:
@@ -287,14 +287,37 @@ def _verify(pairs: DataFrame, texts: DataFrame, lend: DataFrame, width: int, per
     return done
 
 
-def _labelled(index: DataFrame, labels: DataFrame) -> DataFrame:
+def _labelled(index: DataFrame, labels: DataFrame | None) -> DataFrame:
     """``index`` with component: its class, else the set alone. Few labels go to the index, which stays where it is."""
+    if labels is None:
+        return index.withColumn("component", F.col("v"))
     few = common.broadcast_if(labels, labels.count(), 40)
     return index.join(few, "v", "left").withColumn("component", F.coalesce("component", "v"))
 
 
-def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
+def _hubs(placed: DataFrame, percent: int, labelled: bool) -> DataFrame:
+    """token, hub, hub_central, hub_n, hub_rare, hub_last, hub_place: the most central set of each list that has an early entry and
+    sets of several classes. Where no set is labelled a list's sets are all of different classes.
+
+    All that is aggregated are numbers of fixed width, so rows are hashed where they stand, by set, and not sorted
+    by shingle before the shuffle. Equal ranks change which set is taken, which is free."""
+    rank = F.shiftleft((F.col("central") * (1 << 20)).cast("long"), 42).bitwiseOR(F.col("v").bitwiseAND(F.lit((1 << 42) - 1)))
+    sizes = F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("rare").cast("long"))
+    ends = F.shiftleft(F.col("last").cast("long"), 32).bitwiseOR(F.col("place").cast("long"))
+    found = [F.max_by(c, "rank").alias(name) for c, name in (("v", "hub"), ("sizes", "hub_sizes"), ("ends", "hub_ends"))]
+    found += [F.max("rank").alias("rank"), F.max(F.col("place") <= early(F.col("n"), percent)).alias("starts")]
+    if labelled:
+        found += [F.min("component").alias("lo"), F.max("component").alias("hi")]
+    lists = placed.withColumns({"rank": rank, "sizes": sizes, "ends": ends}).groupBy("token").agg(*found)
+    lists = lists.filter("starts AND lo <> hi" if labelled else "starts")
+    low = lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1))
+    return lists.select("token", "hub", F.shiftright("rank", 42).alias("hub_central"), F.shiftright("hub_sizes", 32).alias("hub_n"), low("hub_sizes").alias("hub_rare"), F.shiftright("hub_ends", 32).alias("hub_last"), low("hub_ends").alias("hub_place"))
+
+
+def _merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """``labels`` (v, component) with the classes that ``links`` join made one: the graph of classes is small."""
+    if labels is None:
+        return common.materialise(components(links.toDF("u", "v")), "join-labels")
     of = lambda c: F.coalesce(F.col(f"component_{c}"), F.col(c))
     both = links.join(labels.toDF("a", "component_a"), "a", "left").join(labels.toDF("b", "component_b"), "b", "left")
     joined = components(both.select(of("a").alias("u"), of("b").alias("v"))).toDF("component", "root")
@@ -364,15 +387,14 @@ def _join_classes(docs: DataFrame, id_col: str, text_col: str, width: int, perce
         least = needed(x("n"), y("n"), percent)
         return (F.least(most, x("n"), y("n")) >= least) & (x("place") <= x("n") - least) & (y("place") <= y("n") - least)
 
-    labels = index.select("v", F.col("v").alias("component")).limit(0)
-    links = answers = None
+    labels = links = answers = None
     for _ in range(rounds):
         # Of each list with early entries, the most central set.
         placed = _labelled(index, labels)
-        rank = F.struct("central", "v", "n", "rare", "last", "component", "place")
-        first = placed.groupBy("token").agg(F.max(rank).alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.col("place") <= early(F.col("n"), percent)).alias("starts"))
-        near = placed.join(first.filter("lo <> hi AND starts").select("token", "hub"), "token").filter(F.col("component") != F.col("hub.component"))
-        near = near.filter(may(F.col, lambda c: F.col("hub")[c])).select("v", F.col("hub.v").alias("hub"), F.col("hub.central").alias("hub_central"))
+        hubs = _hubs(placed, percent, labels is not None)
+        near = placed.join(hubs, "token").filter(F.col("v") != F.col("hub")).filter(may(F.col, lambda c: F.col(f"hub_{c}")))
+        if labels is not None:
+            near = near.join(common.broadcast_if(labels, labels.count(), 40).toDF("hub", "hub_component"), "hub", "left").filter(F.col("component") != F.coalesce("hub_component", "hub"))
         shared = near.groupBy("v", "hub").agg(F.count("*").alias("times"), F.max("hub_central").alias("hub_central"))
         if answers is not None:
             done = answers.select(F.col("b").alias("v"), F.col("a").alias("hub")).unionByName(answers.select(F.col("a").alias("v"), F.col("b").alias("hub")))
@@ -388,14 +410,16 @@ def _join_classes(docs: DataFrame, id_col: str, text_col: str, width: int, perce
         labels = _merge(labels, fresh)
 
     # Lists with early entries whose sets lie in several classes.
-    placed = _labelled(index, labels).withColumn("starts", F.col("place") <= early(F.col("n"), percent))
-    spread = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("starts").alias("any")).filter("lo <> hi AND any").select("token")
+    # Of each its least block with an early entry and its largest block tell which entries can be of a pair.
+    block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
+    placed = _labelled(index.drop("central"), labels).withColumns({"starts": F.col("place") <= early(F.col("n"), percent), "block": block})
+    spread = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.when(F.col("starts"), F.col("block"))).alias("low"), F.max("block").alias("top"))
+    spread = spread.filter("lo <> hi AND low IS NOT NULL").select("token", "low", "top")
     far = F.struct((1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("far"), F.col("a").alias("hub"), "common", F.col("less").isNotNull().alias("kept"))
     hub_of = answers.groupBy(F.col("b").alias("v")).agg(F.min(far).alias("near")).select("v", "near.*")
-    left = placed.join(spread, "token", "left_semi").join(hub_of, "v", "left").drop("central")
-    left = common.materialise(left.withColumn("block", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))), "join-left")
+    left = common.materialise(placed.join(spread, "token").filter("block >= low").drop("low").join(hub_of, "v", "left"), "join-left")
     names = ("v", "n", "rare", "last", "place", "component", "hub", "far", "common", "kept")
-    x = left.filter("starts").select("token", *[F.col(c).alias(c + "_x") for c in names], F.explode(F.array("block", F.col("block") + 1)).alias("block"))
+    x = left.filter("starts").select("token", *[F.col(c).alias(c + "_x") for c in names], F.explode(F.when(F.col("block") < F.col("top"), F.array("block", F.col("block") + 1)).otherwise(F.array("block"))).alias("block"))
     y = left.select("token", "block", *[F.col(c).alias(c + "_y") for c in names])
     one_hub = F.coalesce(F.col("hub_x") == F.col("hub_y"), F.lit(False))
     least = needed(F.col("n_x"), F.col("n_y"), percent)
@@ -420,7 +444,7 @@ def _join_classes(docs: DataFrame, id_col: str, text_col: str, width: int, perce
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = _merge(labels, more)
-    named = classes.join(labels, "v", "left").withColumn("component", F.coalesce("component", "v"))
+    named = _labelled(classes, labels)
     # Written out, so that AQE can split the join of a class that holds many sets.
     names = common.materialise(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "join-names")
     of_set = named.select("v", "component").join(names, "component").select("v", "component_id")
