@@ -463,9 +463,9 @@ def test_jaccard_join(docs, corpus, empty, clashing):
     assert jaccard.keep_one(clashing).columns == clashing.columns
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard_join_near_the_threshold(spark, monkeypatch, seed):
-    """Chains of texts around the threshold: lists fall into several classes, so every step is used."""
+@pytest.mark.parametrize(("seed", "rounds", "cut"), [(1, 1, 3), (2, 1, 3), (3, 2, 3), (4, 1, 12), (5, 3, 12)])
+def test_jaccard_join_near_the_threshold(spark, monkeypatch, seed, rounds, cut):
+    """Chains of texts around the threshold, of like or of different sizes: lists fall into several classes, so every step is used."""
     monkeypatch.setattr(jaccard, "CHUNK", 300)
     monkeypatch.setattr(jaccard, "PART", 200)
     rng = random.Random(seed)
@@ -477,10 +477,10 @@ def test_jaccard_join_near_the_threshold(spark, monkeypatch, seed):
                 own = list(own)
                 own[rng.randrange(len(own))] = f"n{rng.randrange(10**6)}"
             if rng.random() < 0.2:
-                own = own[rng.randrange(3) :]
+                own = own[rng.randrange(cut) :] if len(own) > cut else own
             rows.append((len(rows), " ".join(own)))
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join_classes(d)[0].collect()), key=str)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join_classes(d, rounds=rounds)[0].collect()), key=str)
     assert got == brute_classes(rows)
 
 
