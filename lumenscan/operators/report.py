@@ -136,10 +136,10 @@ def totals(report: DataFrame) -> DataFrame:
 
 
 def table_report(report: DataFrame) -> DataFrame:
-    """File, complexity, endpoints and threats as text cells."""
+    """File, complexity, endpoints and threats as text cells; of a file with an error its error, and no complexity."""
     lines = lambda a: F.array_join(a, "\n")
     threats = F.transform("issues", lambda x: F.concat(F.lit("["), F.upper(x.type), F.lit("] "), x.message, F.lit(" (line "), x.line.cast("string"), F.lit(")")))
-    return report.select("path", F.col("complexity").cast("string").alias("complexity"), F.coalesce(lines("endpoints"), F.lit("None")).alias("endpoints"), F.coalesce(lines(threats), F.lit("Secure")).alias("threats"))
+    return report.select("path", F.coalesce(F.col("complexity").cast("string"), F.lit("NaN")).alias("complexity"), F.coalesce(lines("endpoints"), F.lit("None")).alias("endpoints"), F.coalesce("error", lines(threats), F.lit("Secure")).alias("threats"))
 
 
 def json_report(report: DataFrame) -> DataFrame:

@@ -205,9 +205,30 @@ def text_reports(spark, d):
     return report.text_report(full_scan.classic_report(files)).select("path", "text")
 
 
+REPORTED = """concat('eval(x);', chr(10), CASE doc_id % 3 WHEN 0 THEN 'fetch("/api/a");' WHEN 1 THEN 'f(' ELSE 'if (a) b();' END)"""
+
+
+def _reported(spark, d):
+    files = _files(spark, d, seeds.program(REPORTED)).withColumn("path", F.concat(F.lit("p"), "file_id", F.lit(".js")))
+    return full_scan.classic_report(files)
+
+
+def table_reports(spark, d):
+    """The table report of each document's whole text with a program behind it."""
+    return report.table_report(_reported(spark, d))
+
+
+def json_reports(spark, d):
+    """The same files' JSON reports, read again."""
+    schema = "path string, complexity int, issues array<struct<type:string,rule_id:string,message:string,line:int>>, endpoints array<string>, error string"
+    x = report.json_report(_reported(spark, d)).select(F.from_json("json", schema).alias("r")).select("r.*")
+    rules = F.array_join(F.transform("issues", lambda i: F.concat(i.type, F.lit(":"), i.rule_id, F.lit("@"), i.line.cast("string"))), ",")
+    return x.select("path", "complexity", rules.alias("issues"), F.array_join("endpoints", ",").alias("endpoints"), "error")
+
+
 QUERIES = {
     "taint_probes": taint_probes, "taint_every_sink": taint_every_sink, "taint_custom": taint_custom, "taint_messages": taint_messages, "taint_state": taint_state, "taint_two_callers": taint_two_callers,
-    "classic_taint": classic_taint, "classic_issues": classic_issues, "text_reports": text_reports,
+    "classic_taint": classic_taint, "classic_issues": classic_issues, "text_reports": text_reports, "table_reports": table_reports, "json_reports": json_reports,
     "syntax_findings": syntax_findings, "complexity": complexity, "deep_nesting": deep_nesting, "code_endpoints": code_endpoints, "structural_findings": structural_findings, "file_totals": file_totals,
     "taint_sinks": taint_sinks, "taint_closure": taint_closure, "taint_interproc": taint_interproc, "taint_crossfile": taint_crossfile,
 }
@@ -220,6 +241,8 @@ _RULES = ", ".join(f"({k}, '{r}')" for k, (_, rules) in enumerate(PROGRAMS) for
 _SHAPES = ", ".join(f"({k}, '{r}')" for k, (_, r) in enumerate(SHAPES) if r)
 _LONG = f"{seeds.program(CODE)}"
 _MINIFIED = f"SELECT doc_id, 'MINIFIED' AS rule_id, 1 AS line_no FROM (SELECT doc_id, {_LONG} AS c FROM documents) WHERE length(c) + length(regexp_replace(c, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) > 1000 AND length(c) - length(replace(c, chr(10), '')) < 9"
+_REPORTED = f"""SELECT concat('p', doc_id, '.js') AS path, doc_id % 3 AS k, {seeds.CODE_LINE} AS line, length(c) + length(regexp_replace(c, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) > 1000 AND length(c) - length(replace(c, chr(10), '')) < 9 AS long
+FROM (SELECT *, {seeds.program(REPORTED)} AS c FROM documents)"""
 _BRANCH = {14: 1, 15: 1, 23: 1}  # programs with a branch
 
 ORACLE_SQL = {
@@ -245,6 +268,11 @@ FROM y WHERE k < 2 AND source > coalesce(clean, 0)""",
 CASE WHEN doc_id % 5 > 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'TAINT' ELSE 'WEAK_HASH' END END AS last_rule, CASE WHEN doc_id % 5 > 0 THEN CAST({seeds.CODE_LINE} + 1 AS INT) END AS last_line FROM documents""",
     "text_reports": """SELECT concat('p', doc_id, '.js') AS path, concat('File: p', doc_id, '.js', chr(10), CASE WHEN doc_id % 3 = 1 THEN '  Error: Brackets do not meet' ELSE concat('  Complexity: 0', chr(10), CASE WHEN doc_id % 3 = 0 THEN concat('  Endpoints:', chr(10), '    - /api/a', chr(10)) ELSE '' END,
 '  Threats:', chr(10), '    - [SECURITY] Line 1: eval runs text as code', CASE WHEN doc_id % 3 = 0 THEN concat(chr(10), '    - [ENDPOINT] Line 2: Endpoint /api/a', chr(10), '    - [ENDPOINT] Line 2: Route or address /api/a') ELSE '' END) END) AS text FROM documents""",
+    "table_reports": f"""SELECT path, CASE k WHEN 0 THEN '0' WHEN 1 THEN 'NaN' ELSE '1' END AS complexity, CASE k WHEN 0 THEN '/api/a' ELSE 'None' END AS endpoints,
+CASE WHEN k = 1 THEN 'Brackets do not meet' ELSE concat(CASE WHEN long THEN concat('[QUALITY] Minified file, checks may miss (line 1)', chr(10)) ELSE '' END, '[SECURITY] eval runs text as code (line ', line, ')',
+CASE k WHEN 0 THEN concat(chr(10), '[ENDPOINT] Endpoint /api/a (line ', line + 1, ')', chr(10), '[ENDPOINT] Route or address /api/a (line ', line + 1, ')') ELSE '' END) END AS threats FROM ({_REPORTED})""",
+    "json_reports": f"""SELECT path, CASE k WHEN 0 THEN 0 WHEN 2 THEN 1 END AS complexity, CASE WHEN k <> 1 THEN concat(CASE WHEN long THEN 'quality:MINIFIED@1,' ELSE '' END, 'security:EVAL@', line,
+CASE k WHEN 0 THEN concat(',endpoint:NETWORK_CALL@', line + 1, ',endpoint:URL_LITERAL@', line + 1) ELSE '' END) END AS issues, CASE k WHEN 0 THEN '/api/a' END AS endpoints, CASE k WHEN 1 THEN 'Brackets do not meet' END AS error FROM ({_REPORTED})""",
     "taint_interproc": "SELECT doc_id, 1 AS line, 'COMMAND_INJECTION' AS sink_type, 2 AS n_flow FROM documents WHERE doc_id % 3 <> 0",
     "taint_crossfile": "SELECT concat('b', doc_id) AS file_id, 2 AS line, 'COMMAND_INJECTION' AS sink_type, 2 AS n_flow, 1 AS n_round FROM documents WHERE doc_id % 3 <> 0",
 }

@@ -134,6 +134,9 @@ def test_reports(spark):
     p = syntax_rules.prepare(f)
     whole = report.file_report(f, syntax_rules.scan(p), syntax_rules.endpoints(p), syntax_rules.complexity(p)).persist()
     assert {r.path: (r.threats == "Secure", r.endpoints) for r in report.table_report(whole).collect()} == {"a.js": (False, "https://x/y"), "b.js": (True, "None")}
+    errors = f.filter("basename = 'b.js'").select("file_id").withColumn("error", F.lit("Brackets do not meet"))
+    wrong = report.table_report(report.file_report(f, syntax_rules.scan(p), syntax_rules.endpoints(p), syntax_rules.complexity(p), errors))
+    assert {r.path: (r.complexity, r.threats) for r in wrong.filter("path = 'b.js'").collect()} == {"b.js": ("NaN", "Brackets do not meet")}
     t = report.totals(whole).first()
     assert (t.total_files, t.total_issues, t.total_endpoints) == (2, 3, 1)
     assert json.loads(report.json_report(whole.filter("path = 'a.js'")).first().json)["endpoints"] == ["https://x/y"]
