@@ -15,10 +15,11 @@ it with the same bytes. Files go through pyarrow's file systems (local, HDFS, S3
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -140,7 +141,7 @@ class WordEncoder:
     an added token's string (the library gives that token's id), or white space other than single
     spaces and line ends within, is encoded as it is."""
 
-    def __init__(self, path: str, end_id: int, known: int = 1_200_000):
+    def __init__(self, path: str, end_id: int, known: int = 800_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -155,7 +156,7 @@ class WordEncoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.length[i] = len(token)  # one character stands for each byte
         self.end = np.array([end_id], dtype=self.dtype).tobytes()
-        self.most, self.ids, self.old, self.after_line = known, {}, {}, {}
+        self.most, self.ids, self.again, self.after_line = known, {}, set(), {}
         self.marks = {m: self.whole(m) for m in ".,;:!?"}
         self.plain = re.compile("[A-Za-z0-9À-ÖØ-öø-ɏ]").match
 
@@ -175,29 +176,28 @@ class WordEncoder:
         """Words of visible characters are encoded; a word and a mark, or several words with single line
         ends between them, are put together, as the pre-tokeniser always breaks there too."""
         ids, after, marks = self.ids, self.after_line, self.marks
-        simple, later, joined = {}, {}, []
-        for p in words:
-            if "\n" in p:
-                first, *rest = p.split("\n")
-                parts = [self._marked(first, simple), *(self._marked(r, later) for r in rest)]
-                joined.append((p, parts))
-            elif p[-1] in marks and self.plain(p[-2:-1]):
-                simple[p[:-1]] = None
-                joined.append((p, None))
-            else:
-                simple[p] = None
-        self._learn([w for w in simple if w not in ids], " ", ids)
-        self._learn([w for w in later if w not in after], "\n", after)
+        lined = [p for p in words if "\n" in p]
+        if lined:
+            words = [p for p in words if "\n" not in p]
+        marked = [p for p in words if p[-1] in marks and self.plain(p[-2:-1])]
+        stems = [p[:-1] for p in marked]
+        simple = set(stems).difference(ids)
+        simple.update(set(words).difference(marked) if marked else words)
+        joined, starts, later = [], [], []
+        for p in lined:
+            first, *rest = p.split("\n")
+            joined.append((p, [self._marked(first, starts.append), *(self._marked(r, later.append) for r in rest)]))
+        simple.update(set(starts).difference(ids))
+        self._learn(list(simple), " ", ids)
+        self._learn(list(set(later).difference(after)), "\n", after)
+        ids.update(zip(marked, [ids[w] + marks[p[-1]] for w, p in zip(stems, marked, strict=True)], strict=True))
         for p, parts in joined:
-            if parts is None:
-                ids[p] = ids[p[:-1]] + marks[p[-1]]
-            else:
-                ids[p] = b"".join(known[w] + marks.get(m, b"") for known, (w, m) in zip([ids] + [after] * len(parts), parts, strict=False))
+            ids[p] = b"".join(known[w] + marks.get(m, b"") for known, (w, m) in zip([ids] + [after] * len(parts), parts, strict=False))
 
-    def _marked(self, word: str, into: dict[str, None]) -> tuple[str, str | None]:
+    def _marked(self, word: str, put: Callable) -> tuple[str, str | None]:
         cut = len(word) > 1 and word[-1] in self.marks and self.plain(word[-2])
         word, mark = (word[:-1], word[-1]) if cut else (word, None)
-        into[word] = None
+        put(word)
         return word, mark
 
     def _learn(self, words: list[str], before: str, known: dict[str, bytes]) -> None:
@@ -216,6 +216,15 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and the end id, as bytes."""
+        was = gc.isenabled()
+        gc.disable()  # nothing here refers in circles, and what is known would be gone through again and again
+        try:
+            return self._encode(texts)
+        finally:
+            if was:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") if self.by_word and self._even(t) and not any(a in t for a in self.added) else None for t in texts]
         firsts = [parts.pop(0) if parts else None for parts in split]  # the first word has no space before it
         words: set[str] = set()
@@ -223,27 +232,39 @@ class WordEncoder:
             if parts:
                 words.update(parts)
         unknown = words.difference(self.ids)
-        if len(self.ids) + len(unknown) > self.most // 2:
-            # What is not asked for while half of the memory fills is forgotten.
-            self.old, self.ids, self.after_line = self.ids, {}, {}
-            unknown = words
-        if self.old and unknown:
-            self.ids.update((p, self.old[p]) for p in unknown if p in self.old)
-            unknown = unknown.difference(self.ids)
+        self.again |= words - unknown
+        if len(self.ids) + len(unknown) > self.most:
+            self.forget()
+            unknown = words.difference(self.ids)
         self._learn_words(list(unknown))
+        begins = iter(self.tokenizer.encode_batch_fast([f for f in firsts if f], add_special_tokens=False))
         get, out = self.ids.__getitem__, []
         for t, first, parts in zip(texts, firsts, split, strict=True):
             if parts is None:
                 out.append(self.whole(t) + self.end)
             else:
-                out.append((self.whole(first) if first else b"") + b"".join(map(get, parts)) + self.end)
+                out.append((np.array(next(begins).ids, dtype=self.dtype).tobytes() if first else b"") + b"".join(map(get, parts)) + self.end)
         return out
 
+    def forget(self) -> None:
+        """Keeps the words that came in another batch after the one they were learnt from; none where these fill half of the memory."""
+        self.ids = {p: self.ids[p] for p in self.again} if len(self.again) <= self.most // 2 else {}
+        self.again, self.after_line = set(), {}
+
+    def rest(self) -> None:
+        """Gives all words up; they are learnt again where texts ask for them."""
+        self.ids, self.again, self.after_line = {}, set(), {}
+
+
+_encoders: dict[tuple[str, int], WordEncoder] = {}
+
 
-@lru_cache(maxsize=2)
 def word_encoder(path: str, end_id: int) -> WordEncoder:
     """One encoder, with the words it knows, for each Python worker."""
-    return WordEncoder(path, end_id)
+    if (path, end_id) not in _encoders:
+        _encoders.clear()
+        _encoders[path, end_id] = WordEncoder(path, end_id)
+    return _encoders[path, end_id]
 
 
 # -- files ---------------------------------------------------------------------------------
@@ -287,12 +308,14 @@ def _writer(folder: str, vocabulary: str, end_id: int):
         else:
             fs.delete_file(attempt)
 
-    return write
+    return common.trimmed(write)
 
 
 def _reader(folder: str):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _file_system(folder)
+        for encoder in _encoders.values():
+            encoder.rest()  # the files are written; what a worker still holds would stand beside all that follows
         for batch in batches:
             part, pos, size, count = (batch.column(c).to_numpy() for c in ("part", "position", "n_bytes", "n_tokens"))
             out: list[bytes] = [b""] * len(part)
@@ -317,7 +340,7 @@ def _reader(folder: str):
             ids = [np.frombuffer(p, dtype=f"<u{len(p) // n}").astype("<u4").tobytes() for p, n in zip(payloads, count.tolist(), strict=True)]
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "start": batch.column("start"), "ids": pa.array(ids, pa.binary())})
 
-    return read
+    return common.trimmed(read)
 
 
 def write_records(docs: DataFrame, folder: str, *, vocabulary: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", files: int | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:

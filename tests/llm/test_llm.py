@@ -553,6 +553,20 @@ def test_word_encoder_is_the_plain_one():
     assert 50256 in np.frombuffer(own.encode([f"a {end} b"])[0], dtype=own.dtype)
 
 
+def test_word_encoder_bounds_what_it_holds(tmp_path):
+    """Words that never come again are given up, those that do stay; a worker that reads files holds none."""
+    import public_tokenizers
+
+    own = records.WordEncoder(public_tokenizers.path(records.VOCABULARY), 2)
+    for k in range(10):
+        own.encode(["start common words " + " ".join(f"k{k}w{i}" for i in range(100_000))])
+        assert sum(len(x) for x in vars(own).values() if isinstance(x, dict)) <= 801_000
+    assert {"common", "words"} <= own.ids.keys() and "k0w5" not in own.ids
+    own = records.word_encoder(public_tokenizers.path(records.VOCABULARY), 2)
+    own.encode(["start common words"])
+    assert own.ids and list(records._reader(f"file://{tmp_path}")(iter([]))) == [] and not own.ids
+
+
 def crc(data):
     c = 0xFFFFFFFF
     for x in data:
