@@ -7,7 +7,8 @@ threshold ends in one class, whatever the size of the groups; no pair list of a
 2. Shingles get a global order, rare ones first. A bounded sketch counts, over all texts, the
    shingles that repeat within a task's own texts; it only shapes the order, any order is right.
 3. Of a set of n shingles the first n - ceil(t n) + 1 are indexed: two sets that reach the
-   threshold t share one of these. Entries travel packed, dealt by shingle. A task first joins
+   threshold t share one of these. Entries travel packed in 16 bytes (48 bits of the shingle's hash, its
+   place, the set), dealt by shingle, and are written once. A task first joins
    its own entries of a shingle and passes one on, so no list grows with a group of copies.
    Only shingles of two or more sets leave the index.
 4. Skipping by place. Sets of n and m shingles must share o = ceil(t (n + m) / (1 + t)), so the first
@@ -47,6 +48,7 @@ WIDTH, PERCENT = 5, 75
 BITS, SLICE = 22, 1 << 16  # the sketch: 4 MB, in slices
 CHUNK = 400_000  # entries that a task joins by itself
 PART = 200_000  # entries of a part of the index, on average
+TOKEN, PLACE = 48, 16  # bits of an entry: of its shingle's hash, and of its place, where later ones count as the last
 
 
 def prefix(n, percent: int = PERCENT):
@@ -137,35 +139,42 @@ def _order(scanned: DataFrame) -> np.ndarray:
 
 # -- 2. the index ----------------------------------------------------------------------------
 
-_ENTRIES = "part int, tokens binary, owners binary, places binary, token bigint, v bigint, place int, last int"
+_ENTRIES = "part int, entries binary, owners binary, lasts binary"
 
 
-def _index(width: int, percent: int, parts: int, order, clashing: frozenset[int]):
-    names = ["part", "tokens", "owners", "places", "token", "v", "place", "last"]
+def _index(width: int, percent: int, parts: int, order, clashing: frozenset[int], bits: int = TOKEN):
+    """Packed entries by part. Parts from 0 on hold one entry of a shingle each, to meet those of other tasks. Those under 0
+    hold entries that have met, and where sets' indexed parts end; they are dealt by set, so a shingle of many
+    sets is no hot spot.
+
+    Shingles go by ``bits`` bits of their hash: of two that agree there a set counts both, so lists, and
+    what is shared, are too large at most, never too small."""
+
+    def packed(part: np.ndarray, entry: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
+        by = np.lexsort((owner, part))
+        used, cuts = np.unique(part[by], return_index=True)
+        cuts = np.append(cuts, len(part)).tolist()
+        blobs = [pa.array([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()) for x in (entry[by], owner[by])]
+        return pa.record_batch([pa.array(used.astype(np.int32)), *blobs, pa.nulls(len(used), pa.binary())], names=["part", "entries", "owners", "lasts"])
+
+    def by_set(owner: np.ndarray) -> np.ndarray:
+        return -1 - (owner.view(np.uint64) % np.uint64(parts)).astype(np.int64)
 
     def flush(held: list[tuple], ends: dict[int, int]) -> Iterator[pa.RecordBatch]:
-        k = len(ends)
-        no, blank, none = pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64())
-        yield pa.record_batch([no, blank, blank, blank, none, pa.array(list(ends), pa.int64()), no, pa.array(list(ends.values()), pa.int32())], names=names)
+        sets_, last = np.array(list(ends), dtype=np.int64), np.array(list(ends.values()), dtype=np.int32)
+        done = packed(by_set(sets_), last, sets_)
+        yield pa.record_batch([done.column("part"), done.column("lasts"), done.column("owners"), done.column("entries")], names=done.schema.names)
         token, owner, place = (np.concatenate(x) for x in zip(*held, strict=True))
+        token = token >> np.uint64(64 - bits)
+        entry = (token << np.uint64(PLACE)) | np.minimum(place, (1 << PLACE) - 1).astype(np.uint64)
         by = np.argsort(token, kind="stable")
-        token, owner, place = token[by], owner[by], place[by]
+        token, owner, entry = token[by], owner[by], entry[by]
         first = np.append(True, token[1:] != token[:-1])
         many = ~first
         many[:-1] |= ~first[1:]
-        m = int(many.sum())
-        if m:
-            no, blank = pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())
-            yield pa.record_batch([no, blank, blank, blank, pa.array(token[many].view(np.int64)), pa.array(owner[many]), pa.array(place[many]), no], names=names)
-        token, owner, place = token[first], owner[first], place[first]
-        part = (token % np.uint64(parts)).astype(np.int64)
-        by = np.lexsort((owner, part))
-        used, cuts = np.unique(part[by], return_index=True)
-        cuts = np.append(cuts, len(part)).tolist()
-        token, owner, place = token[by], owner[by], place[by]
-        blobs = [pa.array([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()) for x in (token, owner, place)]
-        none, zero = pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int32())
-        yield pa.record_batch([pa.array(used.astype(np.int32)), *blobs, none, none, zero, zero], names=names)
+        if many.any():
+            yield packed(by_set(owner[many]), entry[many], owner[many])
+        yield packed((token[first] % np.uint64(parts)).astype(np.int64), entry[first], owner[first])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, held, size, ends = order.value, [], 0, {}
@@ -193,16 +202,25 @@ def _index(width: int, percent: int, parts: int, order, clashing: frozenset[int]
 
 
 def _meet(own: pd.DataFrame) -> pd.DataFrame:
-    """Entries of a part whose shingle several sets have."""
-    token, owner, place = (np.frombuffer(b"".join(own[c]), dtype=t) for c, t in (("tokens", np.uint64), ("owners", np.int64), ("places", np.int32)))
-    by = np.lexsort((owner, token))
-    token, owner, place = token[by], owner[by], place[by]
-    new = np.append(True, (token[1:] != token[:-1]) | (owner[1:] != owner[:-1]))
-    token, owner, place = token[new], owner[new], place[new]
-    same = token[1:] == token[:-1]
-    many = np.append(False, same) | np.append(same, False)
-    met = pd.DataFrame({"token": token[many].view(np.int64), "v": owner[many], "place": place[many]})
-    del token, owner, place, by, new, same, many
+    """Entries of a part whose shingle several sets have; of a part that is dealt by set, all. Rows without a token tell where
+    a set's indexed part ends, in place."""
+    has, ends = own[own["lasts"].isna()], own[own["lasts"].notna()]
+    entry, owner = (np.frombuffer(b"".join(has[c]), dtype=t) for c, t in (("entries", np.uint64), ("owners", np.int64)))
+    by = np.lexsort((owner, entry))
+    entry, owner = entry[by], owner[by]
+    new = np.append(True, (entry[1:] != entry[:-1]) | (owner[1:] != owner[:-1]))[: len(entry)]
+    entry, owner = entry[new], owner[new]
+    if own["part"].iloc[0] >= 0:
+        token = entry >> np.uint64(PLACE)
+        same = token[1:] == token[:-1]
+        many = np.append(False, same) | np.append(same, False)
+        entry, owner = entry[many[: len(entry)]], owner[many[: len(owner)]]
+    token, place = (entry >> np.uint64(PLACE)).astype(np.int64), (entry & np.uint64((1 << PLACE) - 1)).astype(np.int32)
+    met = pd.DataFrame({"token": pd.array(token, dtype="Int64"), "v": owner, "place": place})
+    if len(ends):
+        v, last = (np.frombuffer(b"".join(ends[c]), dtype=t) for c, t in (("owners", np.int64), ("lasts", np.int32)))
+        met = pd.concat([met, pd.DataFrame({"token": pd.array([None] * len(v), dtype="Int64"), "v": v, "place": last})], ignore_index=True)
+    del entry, owner, token, place, by, new
     common.trim()
     return met
 
@@ -362,18 +380,18 @@ def _join_classes(docs: DataFrame, id_col: str, text_col: str, width: int, perce
     rows, classes, clashing = _classes(scanned.filter("slice is null").select("doc_id", "h", "n", "v", "w"))
     entries = classes.agg(F.sum(prefix_column(percent))).first()[0] or 0
     order = spark.sparkContext.broadcast(_order(scanned))
-    packed = common.materialise(texts.select("text").mapInArrow(_index(width, percent, max(1, -(-entries // PART)), order, clashing), _ENTRIES), "join-entries")
-    met = packed.filter("part is not null").select("part", "tokens", "owners", "places").groupBy("part").applyInPandas(_meet, "token bigint, v bigint, place int")
-    index = met.unionByName(packed.filter("token is not null").select("token", "v", "place"))
+    packed = texts.select("text").mapInArrow(_index(width, percent, max(1, -(-entries // PART)), order, clashing, TOKEN), _ENTRIES)
+    # Entries go straight to their parts: written out first, they would lie on disk twice.
+    met = common.materialise(packed.groupBy("part").applyInPandas(_meet, "token bigint, v bigint, place int"), "join-met")
+    last = met.filter("token is null").groupBy("v").agg(F.min("place").alias("last"))
     # An entry that two tasks pass on comes twice; dealt by set, repeats go and the rest is counted in one place.
-    last = packed.filter("last is not null").groupBy("v").agg(F.min("last").alias("last"))
-    index = index.repartition("v").groupBy("v", "token").agg(F.min("place").alias("place"))
+    index = met.filter("token is not null").repartition("v").distinct()
     # How central a set is: the share of its indexed shingles that others index. A text has it high, its edited copies low.
     # The others, rare ones, are in no set whose indexed part goes as far in the global order.
     own, first = F.count("*").over(Window.partitionBy("v")), prefix_column(percent)
-    index = index.withColumn("own", own).join(classes.select("v", "n").join(last, "v"), "v").withColumns({"central": F.col("own") / first, "rare": first - F.col("own")}).drop("own")
+    index = index.withColumn("own", own).join(classes.select("v", "n").join(last, "v"), "v").withColumns({"central": F.col("own") / first, "rare": F.when(first >= 1 << PLACE, 0).otherwise(first - F.col("own"))}).drop("own")  # late places of huge sets are not told apart
     index = common.materialise(index, "join-index")
-    common.forget(packed)
+    common.forget(met)
 
     # The document that lends its text to a set: found by id and, as ids may repeat, by the text's hash.
     lend = classes.select("v", "one.doc_id", "one.h")

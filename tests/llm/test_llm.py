@@ -484,6 +484,28 @@ def test_jaccard_join_near_the_threshold(spark, monkeypatch, seed, rounds, cut):
     assert got == brute_classes(rows)
 
 
+@pytest.mark.parametrize("bits", [48, 9])
+def test_jaccard_join_writes_entries_once(spark, monkeypatch, bits):
+    """Entries go to their parts in 16 bytes and lie in no table of their own; shingles of equal bits change no class."""
+    monkeypatch.setattr(jaccard, "CHUNK", 300)
+    monkeypatch.setattr(jaccard, "PART", 200)
+    monkeypatch.setattr(jaccard, "TOKEN", bits, raising=False)
+    written, plain = [], common.materialise
+    monkeypatch.setattr(common, "materialise", lambda df, name: written.append((name, df.dtypes)) or plain(df, name))
+    rng, rows = random.Random(11), []
+    for g in range(8):
+        own = words(rng, 60, 3000).split()
+        for _ in range(10):
+            own = list(own)
+            own[rng.randrange(len(own))] = f"n{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join_classes(d)[0].collect()), key=str)
+    assert got == brute_classes(rows)
+    binary = {name for name, types in written if "binary" in dict(types).values()}
+    assert binary <= {"join-sets", "join-compared"}  # the sketch, differences from hubs
+
+
 def test_equal_first_words_of_digests(spark, monkeypatch):
     """Sets whose identities share their first 64 bits are told apart by the second."""
     plain = jaccard._identity
